@@ -1,4 +1,21 @@
 """Registered queries over the driver's tables, and the SQL that each must equal."""
 
+from __future__ import annotations
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(name: str, sql: str | None = None):
+    """Registers a function (spark, folder) -> DataFrame, with its oracle SQL if there is one."""
+
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+from . import resolve_queries  # noqa: E402, F401
