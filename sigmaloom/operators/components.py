@@ -17,19 +17,19 @@ def connected_components(links: DataFrame, left: str = "left", right: str = "rig
     """
     u, v = F.col(left), F.col(right)
     edges = links.filter((u != v)).select(F.greatest(u, v).alias("a"), F.least(u, v).alias("b")).distinct()
-    edges = written(edges, "links")
+    edges, before = written(edges, "links"), None
     for _ in range(rounds):
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.union(least.filter("m < a").select("a", F.col("m").alias("b"))).distinct()
+        large = large.union(least.filter("m < a").select("a", F.col("m").alias("b")))
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a")
         nxt = small.filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).filter("a != b").distinct()
         nxt = written(nxt, "links")
-        one = nxt.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("h")).first()
-        two = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("h")).first()
+        now = tuple(nxt.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
         edges = nxt
-        if (one["n"], one["h"]) == (two["n"], two["h"]):
+        if now == before:
             break
+        before = now
     return edges.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("id"), F.col("b").alias("component")).union(edges.select("b", F.col("b")).distinct())
