@@ -6,10 +6,11 @@ its first least one. Equal strings stand at equal distance from equal triggers,
 trigger. A trigger with the bytes around it that its strings can touch is a phrase; the corpus is a sequence of
 phrases, and a phrase that occurs twice needs no look inside.
 
-Order. Sorting the phrases by (trigger, phrase) brings equal ones together: all strings of a phrase found twice
-repeat. Only phrases found once, at a trigger found twice, are opened: their strings, and those of one copy of each
-repeated phrase at the same trigger, sort by content, and equal neighbours repeat. That is the order of the
-corpus's suffixes by their first ``length`` bytes, restricted to where repeats can be.
+Order. A trigger's strings fall into cells by their distance to it; the bytes that all strings of a cell share are
+its core. Sorting the phrases of the cells by (core, phrase) brings equal ones together: all strings of a phrase found
+twice repeat. Only phrases found once, with a core found twice, are opened: their strings, and those of one copy of
+each repeated phrase of the core, sort by content, and equal neighbours repeat. That is the order of the corpus's
+suffixes by their first ``length`` bytes, restricted to where repeats can be.
 
 Strings are told apart by 64-bit rolling hashes with a second 64-bit check, triggers' phrases likewise.
 
@@ -35,7 +36,11 @@ from .common import Bits, Rolling, mixed, slices, written
 
 LENGTH = 200
 ANCHOR = 48
+#: Distances to a trigger fall into so many cells.
+CELLS = 4
 BASE2 = 0xD6E8FEB86659FD93
+#: Bytes of text that are hashed at a time.
+SLICE = 1 << 18
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -61,6 +66,7 @@ class Phrases:
         empty = np.zeros(0, np.int64)
         self.start, self.at, self.row = empty, empty, empty
         width = length - ANCHOR + 1
+        self.step = -(-width // CELLS)
         if len(data) < length:
             return
         place = np.arange(len(data) - ANCHOR + 1)
@@ -93,45 +99,58 @@ class Phrases:
         return at
 
     def runs(self) -> tuple[np.ndarray, np.ndarray]:
-        """First and last index into ``start`` of the strings of each (row, trigger)."""
+        """First and last index into ``start`` of the strings of each (row, trigger, cell)."""
         if not len(self.start):
             return self.start, self.start
-        cut = np.flatnonzero((self.at[1:] != self.at[:-1]) | (self.row[1:] != self.row[:-1]) | (self.start[1:] != self.start[:-1] + 1)) + 1
+        cell = (self.at - self.start) // self.step
+        cut = np.flatnonzero((cell[1:] != cell[:-1]) | (self.at[1:] != self.at[:-1]) | (self.row[1:] != self.row[:-1]) | (self.start[1:] != self.start[:-1] + 1)) + 1
         return np.concatenate([[0], cut]), np.concatenate([cut, [len(self.start)]]) - 1
 
-    def table(self, first: np.ndarray, last: np.ndarray) -> dict[str, np.ndarray]:
-        """Per trigger: its hash, the phrase's hash, its row, and its strings' first start in the row and number."""
+    def triggers(self) -> np.ndarray:
+        """Hash of each trigger, once for each run of its strings."""
+        first, _ = self.runs()
+        at = self.at[first]
+        return mixed(self.one.of(at, at + ANCHOR) ^ self.two.of(at, at + ANCHOR) * np.uint64(3))
+
+    def table(self) -> dict[str, np.ndarray]:
+        """Per run: the trigger's hash, the hashes of the cell's core and of the run's bytes, its row, and its strings' first start in the row and number."""
+        first, last = self.runs()
         at, a, b = self.at[first], self.start[first], self.start[last]
+        cell = (at - a) // self.step
+        low = at - cell * self.step
+        high = low - self.step + 1 + self.length
         stop = b + self.length
+        core = mixed(self.one.of(low, high) + mixed(self.two.of(low, high) + cell.astype(np.uint64)))
         shape = ((at - a).astype(np.uint64) << np.uint64(32)) ^ (b - a).astype(np.uint64)
-        trigger = mixed(self.one.of(at, at + ANCHOR) ^ self.two.of(at, at + ANCHOR) * np.uint64(3))
         phrase = mixed(self.one.of(a, stop) + mixed(self.two.of(a, stop) + shape))
-        return {"trigger": trigger, "phrase": phrase, "row": self.row[first], "begin": a - self.offsets[self.row[first]], "n": b - a + 1}
+        return {"trigger": self.triggers(), "core": core, "phrase": phrase, "row": self.row[first], "begin": a - self.offsets[self.row[first]], "n": b - a + 1}
 
 
-def triggers(texts: DataFrame, length: int, twice: Bits | None = None) -> DataFrame:
-    """Per trigger of (key, text): (trigger, phrase, key, begin, n); with ``twice`` only those that it lets through."""
+def phrases(texts: DataFrame, length: int, twice: Bits) -> DataFrame:
+    """(core, phrase, key, begin, n) of the runs of (key, text) whose trigger ``twice`` lets through."""
 
     def run(batches):
-        for rows, data, offsets in slices(batches, "text", 1 << 20):
-            p = Phrases(data, offsets, length)
-            t = p.table(*p.runs())
-            keep = np.arange(len(t["n"])) if twice is None else np.flatnonzero(twice.has(t["trigger"]))
+        for rows, data, offsets in slices(batches, "text", SLICE):
+            t = Phrases(data, offsets, length).table()
+            keep = np.flatnonzero(twice.has(t["trigger"]))
             yield pa.record_batch({
-                "trigger": pa.array(t["trigger"][keep].view(np.int64)), "phrase": pa.array(t["phrase"][keep].view(np.int64)), "key": rows.column("key").take(pa.array(t["row"][keep])),
+                "core": pa.array(t["core"][keep].view(np.int64)), "phrase": pa.array(t["phrase"][keep].view(np.int64)), "key": rows.column("key").take(pa.array(t["row"][keep])),
                 "begin": pa.array(t["begin"][keep].astype("int32")), "n": pa.array(t["n"][keep].astype("int32")),
             })
 
-    return texts.select("key", "text").mapInArrow(run, "trigger long, phrase long, key long, begin int, n int")
+    return texts.select("key", "text").mapInArrow(run, "core long, phrase long, key long, begin int, n int")
 
 
 def trigger_counts(texts: DataFrame, length: int) -> DataFrame:
-    """(trigger, c): partial counts of the triggers of (text), one row per slice and trigger."""
+    """(trigger, c): partial counts of the triggers' places in (text), one row per slice and trigger."""
 
     def run(batches):
-        for _, data, offsets in slices(batches, "text", 1 << 20):
+        for _, data, offsets in slices(batches, "text", SLICE):
             p = Phrases(data, offsets, length)
-            got, c = np.unique(p.table(*p.runs())["trigger"], return_counts=True)
+            first, _ = p.runs()
+            own = np.ones(len(first), bool)
+            own[1:] = (p.at[first[1:]] != p.at[first[:-1]]) | (p.row[first[1:]] != p.row[first[:-1]])
+            got, c = np.unique(p.triggers()[own], return_counts=True)
             yield pa.record_batch({"trigger": pa.array(got.view(np.int64)), "c": pa.array(c.astype("int32"))})
 
     return texts.select("text").mapInArrow(run, "trigger long, c int")
@@ -157,11 +176,11 @@ def key_bits(keys: DataFrame) -> Bits:
 
 
 def opened_strings(texts: DataFrame, phrases: DataFrame, length: int) -> DataFrame:
-    """(string, key, start, copy) of every string of the given phrases (key, begin, n, copy)."""
+    """(string, key, start, copy) of every string of the given runs (key, begin, n, copy)."""
     wanted = phrases.groupBy("key").agg(F.collect_list(F.struct("begin", "n", "copy")).alias("wanted"))  # as many as the text has triggers
 
     def run(batches):
-        for rows, data, offsets in slices(batches, "text", 1 << 20):
+        for rows, data, offsets in slices(batches, "text", SLICE):
             one, two = Rolling(data), Rolling(data, BASE2)
             lists = rows.column("wanted")
             row = np.repeat(np.arange(len(rows)), np.diff(lists.offsets.to_numpy()))
@@ -174,24 +193,22 @@ def opened_strings(texts: DataFrame, phrases: DataFrame, length: int) -> DataFra
             yield pa.record_batch({"string": pa.array(string.view(np.int64)), "key": rows.column("key").take(pa.array(row[which])), "start": pa.array(start.astype("int32")), "copy": pa.array(copy[which])})
 
     bits = key_bits(phrases)
-    d = passing(texts.select("key", "text"), bits, True).dropDuplicates(["key"]).join(wanted, "key")
+    d = passing(texts.select("key", "text"), bits, True).join(wanted, "key")
     return d.select("key", "text", "wanted").mapInArrow(run, "string long, key long, start int, copy boolean")
 
 
 def repeated_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     """(key, begin, n): strings of ``length`` bytes that start at begin, begin + 1, ..., n of them, and start elsewhere too; of (key, text)."""
     counts = trigger_counts(texts, length).groupBy("trigger").agg(F.sum("c").alias("c")).filter("c > 1").select("trigger")
-    counts = written(counts, "pfp-triggers")
-    found = triggers(texts, length, Bits(counts, "trigger")).join(counts, "trigger")
-    found = written(found, "pfp-phrases")
-    # equal rows share a key: their phrases are counted by row, kept once
-    kinds = found.groupBy("trigger", "phrase").agg(F.count("*").alias("c"), F.min(F.struct("key", "begin", "n")).alias("f"))
+    found = written(phrases(texts, length, Bits(written(counts, "pfp-triggers"), "trigger")), "pfp-phrases")
+    kinds = found.groupBy("core", "phrase").agg(F.count("*").alias("c"), F.min(F.struct("key", "begin", "n")).alias("f"))
     kinds = written(kinds, "pfp-kinds")
     again = kinds.filter("c > 1")
-    whole = found.join(again.select("trigger", "phrase"), ["trigger", "phrase"], "left_semi").select("key", "begin", "n")
-    single = kinds.filter("c = 1").select("trigger", "f.*", F.lit(False).alias("copy"))
-    copies = again.select("trigger", "f.*", F.lit(True).alias("copy")).join(single.select("trigger").distinct(), "trigger", "left_semi")
-    strings = opened_strings(texts, written(single.union(copies).drop("trigger"), "pfp-open"), length)
+    whole = found.join(again.select("core", "phrase"), ["core", "phrase"], "left_semi").select("key", "begin", "n")
+    # cores of two phrases or more, one of them found once
+    cores = kinds.groupBy("core").agg(F.count("*").alias("m"), F.min("c").alias("least")).filter("m > 1 and least = 1").select("core")
+    opened = kinds.join(cores, "core", "left_semi").select("f.*", (F.col("c") > 1).alias("copy"))
+    strings = opened_strings(texts, written(opened, "pfp-open"), length)
     strings = written(strings, "pfp-strings")
     twice = strings.groupBy("string").agg(F.count("*").alias("c")).filter("c > 1").select("string")
     part = strings.filter("not copy").join(twice, "string", "left_semi").select("key", F.col("start").alias("begin"), F.lit(1).alias("n"))
@@ -207,8 +224,8 @@ def removed_runs(begin: np.ndarray, n: np.ndarray, length: int) -> list[tuple[in
     return list(zip(a[np.concatenate([[0], cut])].tolist(), far[np.concatenate([cut - 1, [len(a) - 1]])].tolist(), strict=True))
 
 
-def cut_repeats(docs: DataFrame, length: int = LENGTH, keep: list[str] | None = None) -> DataFrame:
-    """Columns ``keep`` of ``docs`` (doc_id by default) with n_bytes, n_removed, n_spans, kept_sha256 and kept (what stays as text, without characters cut in two)."""
+def cut_repeats(docs: DataFrame, length: int = LENGTH, keep: list[str] | None = None, texts: bool = True) -> DataFrame:
+    """Columns ``keep`` of ``docs`` (doc_id by default) with n_bytes, n_removed, n_spans, kept_sha256 and, if ``texts``, kept (what stays, without characters cut in two)."""
     keep = ["doc_id"] if keep is None else keep
     rows = docs.withColumns({"key": F.xxhash64("doc_id", "text"), "text": F.coalesce("text", F.lit(""))})
     spans = written(repeated_spans(rows, length), "pfp-spans")
@@ -231,7 +248,7 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, keep: list[str] | None =
                     at = b
                 left.append(text[at:].tobytes())
                 left = b"".join(left)
-                out.append((len(text), len(text) - len(left), len(runs), hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore")))
+                out.append((len(text), len(text) - len(left), len(runs), hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore") if texts else None))
             cols = list(zip(*out, strict=True))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
             made = {n: pa.array(c, k) for n, c, k in zip(("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"), cols, kinds, strict=True)}
