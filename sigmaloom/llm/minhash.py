@@ -7,9 +7,13 @@ full sets confirm each link.
 
 * Equal sets become one class first (by two 64-bit sums over the set); only classes go on.
 * A key with up to ``SMALL`` classes yields all its pairs. In a larger group every class is held against the
-  group's cleanest ones (fewest shingles that no other class of large groups has). Let q be those lone shingles of
-  a class with n; a link at similarity t to a class with q' needs q' <= (n - q) / t - n. What is not yet in one
-  component and passes this bound both ways is compared as well, so no link between components is lost.
+  group's cleanest one P (fewest shingles that no other class of large groups has), and against the next cleanest.
+  With d the size of the symmetric difference to P and q the lone shingles, which all count in d and in no other's,
+  two classes share at most min(d - q, d' - q') of their differences, so at similarity t a link needs
+  d - c n <= d' - 2 q' + c n' and the same the other way round, c = (1 - t) / (1 + t). Classes of different
+  components that pass both are compared if they share enough of what they add to P: a link needs
+  (d + d' - c (n + n')) / 2 common differences, of which at most the smaller lack of P's shingles is common lack.
+  So no link between components is lost.
 * Candidates whose minhashes agree in fewer than ``least_equal`` places or whose sizes differ too much are dropped:
   a link at the threshold falls below with probability under 1e-6.
 
@@ -122,22 +126,30 @@ def full_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     return d.mapInArrow(run, "id long, items binary")
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """Those of the pairs (left, right) whose sets have num * union <= den * intersection."""
-    num, den = threshold
+def shared_counts(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(left, right, both, n_left, n_right): sizes of the sets of each pair (left, right) and of their intersection."""
 
     def run(batches):
         for batch in batches:
-            keep = []
+            got = []
             for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
                 x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(den * both >= num * (len(x) + len(y) - both))
-            yield batch.select(["left", "right"]).filter(pa.array(keep, pa.bool_()))
+                got.append((len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)))
+            made = np.array(got, np.int64).reshape(-1, 3)
+            yield pa.record_batch({"left": batch.column("left"), "right": batch.column("right"), "both": pa.array(made[:, 0]), "n_left": pa.array(made[:, 1]), "n_right": pa.array(made[:, 2])})
 
     a = sets.select(F.col("id").alias("left"), F.col("items").alias("a"))
     b = sets.select(F.col("id").alias("right"), F.col("items").alias("b"))
-    return pairs.join(a, "left").join(b, "right").select("left", "right", "a", "b").mapInArrow(run, "left long, right long")
+    return pairs.join(a, "left").join(b, "right").select("left", "right", "a", "b").mapInArrow(run, "left long, right long, both long, n_left long, n_right long")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """Those of the pairs (left, right) whose sets have num * union <= den * intersection."""
+    return shared_counts(pairs, sets).filter(_linked(threshold)).select("left", "right")
+
+
+def _linked(threshold: tuple[int, int]):
+    return threshold[1] * F.col("both") >= threshold[0] * (F.col("n_left") + F.col("n_right") - F.col("both"))
 
 
 def plausible(pairs: DataFrame, classes: DataFrame, threshold: tuple[int, int], least_equal: int) -> DataFrame:
@@ -158,7 +170,7 @@ def plausible(pairs: DataFrame, classes: DataFrame, threshold: tuple[int, int],
 
 
 def lone_shingles(sets: DataFrame) -> DataFrame:
-    """(id, n, q): size of each set, and how many of its items no other set has."""
+    """(id, n, q, lone): size of each set, and the items that no other set has, with their number."""
 
     def items(batches):
         for batch in batches:
@@ -166,7 +178,7 @@ def lone_shingles(sets: DataFrame) -> DataFrame:
             yield pa.record_batch({"id": batch.column("id").take(pa.array(np.repeat(np.arange(len(raw)), [len(x) // 8 for x in raw]))), "h": pa.array(np.frombuffer(b"".join(raw), np.int64))})
 
     once = sets.mapInArrow(items, "id long, h long").groupBy("h").agg(F.count("*").alias("c"), F.min("id").alias("id")).filter("c = 1")
-    q = once.groupBy("id").agg(F.count("*").alias("q"))
+    q = once.groupBy("id").agg(F.count("*").alias("q"), F.collect_list("h").alias("lone"))  # a set's own items at most
     return sets.select("id", (F.octet_length("items") / 8).cast("long").alias("n")).join(q, "id", "left").na.fill(0, ["q"])
 
 
@@ -185,8 +197,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (8
     more = written(keys.join(buckets.filter("c > 2").select("key", "c"), "key"), "minhash-keys")
     lists = more.filter(F.col("c") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_list("id")).alias("ids"))  # SMALL at most
     few = lists.select(F.posexplode("ids").alias("p", "left"), "ids").select("left", F.explode(F.slice("ids", F.col("p") + 2, F.lit(SMALL))).alias("right"))
-    pairs = plausible(written(twos.union(few), "minhash-pairs"), classes, threshold, least_equal)
-    pairs = written(pairs, "minhash-pairs")
+    pairs = written(plausible(twos.union(few), classes, threshold, least_equal), "minhash-pairs")
     large = more.filter(F.col("c") > SMALL).select("key", "id")
     large = written(large, "minhash-large")
     ids = pairs.select(F.col("left").alias("id")).union(pairs.select("right")).union(large.select("id")).distinct()
@@ -203,29 +214,66 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (8
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
+def added_shingles(pairs: DataFrame, sets: DataFrame, lone: DataFrame) -> DataFrame:
+    """(pivot, id, h): the items of each class that its pivot lacks and some other class has."""
+
+    def run(batches):
+        for batch in batches:
+            extra = []
+            for a, b, own in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("lone"), strict=True):
+                x = np.setdiff1d(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), assume_unique=True)
+                extra.append(np.setdiff1d(x, own.values.to_numpy().view(np.uint64), assume_unique=True) if own.is_valid else x)
+            row = pa.array(np.repeat(np.arange(len(extra)), [len(x) for x in extra]))
+            h = np.concatenate(extra) if extra else np.zeros(0, np.uint64)
+            yield pa.record_batch({"pivot": batch.column("pivot").take(row), "id": batch.column("id").take(row), "h": pa.array(h.view(np.int64))})
+
+    own = sets.select("id", F.col("items").alias("a")).join(lone, "id", "left")
+    d = pairs.join(own, "id").join(sets.select(F.col("id").alias("pivot"), F.col("items").alias("b")), "pivot")
+    return d.select("pivot", "id", "a", "b", "lone").mapInArrow(run, "pivot long, id long, h long")
+
+
 def large_group_links(large: DataFrame, classes: DataFrame, sets: DataFrame, links: DataFrame, threshold: tuple[int, int], least_equal: int) -> DataFrame:
     """Links that join the components of groups too large for all their pairs."""
     num, den = threshold
+    c = (den - num) / (den + num)
     clean = written(lone_shingles(sets.join(large.select("id").distinct(), "id", "left_semi")), "minhash-lone")
-    members = written(large.join(clean, "id").withColumn("reach", ((F.col("n") - F.col("q")) * den / num - F.col("n"))), "minhash-members")
-    rank = F.row_number().over(Window.partitionBy("key").orderBy("share", "id"))
+    members = written(large.join(clean.select("id", "n", "q"), "id").withColumn("reach", ((F.col("n") - F.col("q")) * den / num - F.col("n"))), "minhash-members")
     # the cleanest of each of 64 parts first, so that no group is ranked in one task
     share = members.withColumn("share", F.col("q") / F.col("n"))
     part = F.row_number().over(Window.partitionBy("key", F.pmod(F.xxhash64("id"), F.lit(64))).orderBy("share", "id"))
+    rank = F.row_number().over(Window.partitionBy("key").orderBy("share", "id"))
     pivots = share.withColumn("_r", part).filter(F.col("_r") <= PIVOTS).withColumn("_r", rank).filter(F.col("_r") <= PIVOTS)
-    pivots = pivots.select("key", F.col("id").alias("pivot"), F.col("q").alias("pq"), F.col("reach").alias("preach"))
-    near = members.join(pivots, "key").filter("id != pivot and q <= preach and pq <= reach")
-    star = near.select(F.least("id", "pivot").alias("left"), F.greatest("id", "pivot").alias("right"))
-    star = written(confirmed(written(plausible(star, classes, threshold, least_equal), "minhash-star"), sets, threshold), "minhash-links")
+    pivots = written(pivots.select("key", F.col("id").alias("pivot"), F.col("q").alias("pq"), F.col("reach").alias("preach"), "_r"), "minhash-pivots")
+    lead = pivots.filter("_r = 1").select("key", "pivot")
+    first = members.join(lead, "key").filter("id != pivot").select(F.col("id").alias("left"), F.col("pivot").alias("right")).distinct()
+    first = written(shared_counts(first, sets), "minhash-first")
+    near = members.join(pivots.filter("_r > 1"), "key").filter("id != pivot and q <= preach and pq <= reach")
+    near = near.select(F.least("id", "pivot").alias("left"), F.greatest("id", "pivot").alias("right"))
+    star = confirmed(written(plausible(near, classes, threshold, least_equal), "minhash-star"), sets, threshold)
+    star = written(star.union(first.filter(_linked(threshold)).select("left", "right")), "minhash-links")
     parts = written(connected_components(links.union(star)), "minhash-parts")
-    m = members.join(parts, "id", "left").select("key", "id", "q", "reach", F.coalesce("component", "id").alias("comp"))
-    # per group the two components with the least q: a class is open if the least q outside its own is in reach
-    least = m.groupBy("key", "comp").agg(F.min("q").alias("q"))
-    one = least.groupBy("key").agg(F.min(F.struct("q", "comp")).alias("one"))
-    two = least.join(one, "key").filter("comp != one.comp").groupBy("key", "one").agg(F.min("q").alias("two"))
-    opened = m.join(two, "key").filter(F.when(F.col("comp") == F.col("one.comp"), F.col("two")).otherwise(F.col("one.q")) <= F.col("reach")).select("key", "id", "q", "reach", "comp")
+
+    # what tells a class from its group's first pivot bounds its links to all others of the group
+    of_pivot = members.select("key", "id", "n", "q").join(lead, "key").select("pivot", "id", "n", "q").distinct()
+    apart = first.select(F.col("left").alias("id"), F.col("right").alias("pivot"), (F.col("n_left") - F.col("both")).alias("added"), (F.col("n_right") - F.col("both")).alias("removed"))
+    m = of_pivot.join(apart, ["id", "pivot"], "left").na.fill(0, ["added", "removed"]).join(parts, "id", "left")
+    m = m.withColumns({"comp": F.coalesce("component", "id"), "d": F.col("added") + F.col("removed")})
+    m = m.withColumns({"least": F.col("d") - c * F.col("n") - 1e-6, "most": F.col("d") - 2 * F.col("q") + c * F.col("n")}).drop("component")
+    # per pivot the two components that reach furthest: a class is open if one outside its own reaches it
+    ends = m.groupBy("pivot", "comp").agg(F.max("most").alias("most"))
+    one = ends.groupBy("pivot").agg(F.max(F.struct("most", "comp")).alias("one"))
+    two = ends.join(one, "pivot").filter("comp != one.comp").groupBy("pivot", "one").agg(F.max("most").alias("two"))
+    opened = m.join(two, "pivot").filter(F.when(F.col("comp") == F.col("one.comp"), F.col("two")).otherwise(F.col("one.most")) >= F.col("least")).drop("one", "two")
     opened = written(opened, "minhash-open")
-    other = opened.select("key", *[F.col(c).alias(f"_{c}") for c in ("id", "q", "reach", "comp")])
-    rest = opened.join(other, "key").filter("id < _id and comp != _comp and q <= _reach and _q <= reach").select(F.col("id").alias("left"), F.col("_id").alias("right"))
+    told = ("id", "comp", "n", "d", "added", "removed", "least", "most")
+    other = opened.select("pivot", *[F.col(x).alias(f"_{x}") for x in told])
+    both = "id < _id and comp != _comp and least <= _most and _least <= most"
+    # shingles that both add to the pivot's: what both lack of it covers the smaller of the two lacks at most
+    need = (F.col("d") + F.col("_d") - c * (F.col("n") + F.col("_n"))) / 2 - F.least("removed", "_removed") - 1e-6
+    few = opened.join(other, "pivot").filter(both).filter(need <= 0).select("id", "_id")
+    h = written(added_shingles(opened.select("id", "pivot"), sets, clean.select("id", "lone")).join(opened, ["pivot", "id"]), "minhash-added")
+    many = h.join(h.select("pivot", "h", *[F.col(x).alias(f"_{x}") for x in told]), ["pivot", "h"]).filter(both).filter(need > 0)
+    many = many.withColumn("need", need).groupBy("id", "_id", "pivot").agg(F.count("*").alias("c"), F.max("need").alias("need")).filter("c >= need").select("id", "_id")
+    rest = few.union(many).select(F.col("id").alias("left"), F.col("_id").alias("right"))
     rest = confirmed(written(plausible(rest, classes, threshold, least_equal), "minhash-rest"), sets, threshold)
     return star.union(rest)
