@@ -25,7 +25,7 @@ def op3_html_extraction(spark, folder):
 
 
 def op4_suffix_dedup(spark, folder):
-    return suffix.cut_repeats(_table(spark, folder, "documents")).drop("kept")
+    return suffix.cut_repeats(_table(spark, folder, "documents"), texts=False).drop("kept")
 
 
 def op5_language_id(spark, folder):
@@ -77,7 +77,7 @@ from k join t on t.conv_id = k.conv_id group by all
 """,
     "op2_quality_rules": r"""
 with d as (select doc_id, coalesce(text, '') as text, row_number() over () as r from documents),
-w as (select r, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as w, list_filter(string_split(text, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) as l from d),
+w as (select r, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') as w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as l from d),
 g as (select r, unnest(generate_series(1, len(w) - 2)) as i, w from w where len(w) >= 3),
 h as (select r, i, count(*) over (partition by r, w[i], w[i + 1], w[i + 2]) as c from g),
 c as (select r, count(distinct j) as n_repeat_words from (select r, unnest([i, i + 1, i + 2]) as j from h where c > 1) group by r),
