@@ -106,3 +106,20 @@ def internal_key_scan(rows: DataFrame, keys: list[str]) -> DataFrame:
     """(id, key): internal keys at any depth of rows(id, json)."""
     found = F.array_distinct(F.regexp_extract_all("json", F.lit(r'"([A-Za-z_]+)"\s*:'), F.lit(1)))
     return rows.select("id", F.explode(F.array_intersect(found, F.array(*map(F.lit, keys)))).alias("key"))
+
+
+def concept_entry_ranking(views: DataFrame, generic: list[str], k: int = 5) -> DataFrame:
+    """(chapter_id, rank, title, score): views(chapter_id, title, symbol, tier, length) grouped by title and symbol: 80 backbone or 55 representative, 18 with a symbol, length / 18 up to 24, 3 for each occurrence up to 24, less 85 for a generic title; ``k`` a chapter."""
+    g = views.groupBy("chapter_id", F.lower("title").alias("title"), F.lower("symbol").alias("symbol")).agg(F.min("tier").alias("tier"), F.max("length").alias("length"), F.count("*").alias("n"))
+    score = F.when(F.col("tier") == 0, 80).when(F.col("tier") == 1, 55).otherwise(0) + F.when(F.col("symbol") != "", 18).otherwise(0) + F.least(F.lit(24), F.floor(F.col("length") / 18)) + F.least(F.lit(24), 3 * F.col("n")) - F.when(F.col("title").isin(generic), 85).otherwise(0)
+    g = g.withColumn("score", score.cast("long"))
+    r = F.row_number().over(Window.partitionBy("chapter_id").orderBy(F.desc("score"), "title", "symbol"))
+    return g.withColumn("rank", r.cast("long")).filter(F.col("rank") <= k).select("chapter_id", "rank", "title", "score")
+
+
+def evidence_ranking(concepts: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(key, doc_id, block_index, score): per concept(key, formula_id, term) the best block of its formula: priority in hundredths, 200 if it holds the term, 150 if it is the document's first reference, 100 for a definition; first on ties."""
+    d = concepts.join(blocks, F.col("formula_id") == F.col("doc_id"))
+    score = 100 * F.col("priority") + F.when(F.contains(F.lower("content"), F.lower("term")), 200).otherwise(0) + F.when(F.col("formula_references") != "", 150).otherwise(0) + F.when(F.col("block_type") == "definition", 100).otherwise(0)
+    best = F.max_by(F.struct("doc_id", "block_index", score.cast("long").alias("score")), F.struct(score, -F.col("block_index")))
+    return d.groupBy("key").agg(best.alias("b")).select("key", "b.*")

@@ -75,3 +75,12 @@ def generated_copy_filter(rows: DataFrame, least_words: int = 14) -> DataFrame:
     latin, cjk = F.regexp_count("text", F.lit("[A-Za-z]{2,}")), F.regexp_count("text", F.lit(r"[一-鿿]"))
     reason = F.when(F.trim(F.coalesce("text", F.lit(""))) == "", "missing").when((latin >= least_words) & (latin > F.greatest(F.lit(6.0), 0.45 * cjk)), "raw_english")
     return rows.select("id", reason.isNull().alias("ok"), F.coalesce(reason, F.lit("")).alias("reason"))
+
+
+def sense_to_edges(results: DataFrame, formulas: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """V7: (edges, ambiguous) of results(formula_id, symbol, target_id, conf): a target earlier in the same chapter becomes a candidate edge of weight 45, below 40 or without such a target the row stays ambiguous."""
+    at = lambda s: formulas.select(F.col("formula_id").alias(s), F.col("chapter_id").alias(f"{s}_c"), F.col("position").alias(f"{s}_p"))
+    d = results.join(at("formula_id"), "formula_id").join(at("target_id"), "target_id", "left")
+    good = F.coalesce((F.col("conf") >= 40) & (F.col("formula_id_c") == F.col("target_id_c")) & (F.col("target_id_p") < F.col("formula_id_p")), F.lit(False))
+    edges = d.filter(good).select(F.col("formula_id").alias("dependent_id"), "target_id", F.col("symbol").alias("via_symbol"), F.lit("llm_reasoned").alias("evidence"), F.lit(45).cast("long").alias("edge_weight"))
+    return edges, d.filter(~good).select("formula_id", "symbol", "conf")

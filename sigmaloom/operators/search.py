@@ -66,3 +66,21 @@ def concept_grouping(hits: DataFrame) -> DataFrame:
     """Q8: (query_id, title, best_id, score, n, labels): hits(query_id, id, title, label, score) collapsed by title without regard to case."""
     d = hits.groupBy("query_id", F.lower("title").alias("title")).agg(F.max_by("id", F.struct("score", -F.col("id"))).alias("best_id"), F.max("score").alias("score"), F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("label")), ",").alias("labels"))
     return d
+
+
+def score_concepts(plan: DataFrame, concepts: DataFrame) -> DataFrame:
+    """Q4: (query_id, id, score) over concepts(id, title, alias): 880 equal title, 820 title begins, 760 title holds, 850 equal alias, 740 alias holds; found by the variant's first word among the words of both."""
+    words = F.array_distinct(F.filter(F.split(F.lower(F.concat_ws(" ", "title", "alias")), r"[^a-z0-9]+"), lambda x: x != ""))
+    tokens = concepts.select("id", F.lower("title").alias("title"), F.lower("alias").alias("alias"), F.explode(words).alias("t"))
+    hit = plan.withColumn("t", F.regexp_extract("variant", r"^([a-z0-9]+)", 1)).filter("t != ''").join(tokens, "t")
+    v = F.col("variant")
+    score = F.when(F.col("title") == v, 880).when(F.col("alias") == v, 850).when(F.col("title").startswith(v), 820).when(F.contains("title", v), 760).when(F.contains("alias", v), 740)
+    return hit.withColumn("score", score.cast("long")).filter("score is not null").groupBy("query_id", "id").agg(F.max("score").alias("score"))
+
+
+def score_chapters(plan: DataFrame, chapters: DataFrame) -> DataFrame:
+    """Q5: (query_id, chapter_id, score): 960 if a variant is the chapter's number or name, 820 if its title(chapter_id, chapter, title) holds the variant; numbers are chapters, not appendices."""
+    number = F.regexp_extract("variant", r"^(?:chapter\s*)?(\d+)(?:\.|$)", 1)
+    exact = plan.withColumn("n", number).filter("n != ''").join(chapters.withColumn("n", F.col("chapter").cast("string")), "n").select("query_id", "chapter_id", F.lit(960).alias("score"))
+    held = plan.join(F.broadcast(chapters), F.expr("length(variant) >= 3 and contains(lower(title), variant)")).select("query_id", "chapter_id", F.lit(820).alias("score"))
+    return exact.union(held).groupBy("query_id", "chapter_id").agg(F.max("score").cast("long").alias("score"))

@@ -18,4 +18,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from . import concept_queries, graph_queries, resolve_queries, review_queries, segment_queries, view_queries  # noqa: E402, F401
+from . import concept_queries, graph_queries, more_queries, resolve_queries, review_queries, segment_queries, view_queries  # noqa: E402, F401

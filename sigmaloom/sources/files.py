@@ -68,3 +68,19 @@ def sanitized(views: DataFrame) -> DataFrame:
         if gone:
             out = out.withColumn(f.name, _without(f.name, gone))
     return out
+
+
+def read_formula_library(spark: SparkSession, path: str) -> DataFrame:
+    """library(raw_id, formula_id, latex, label, chapter) of JSON lines(ordinal, id, latex, label, chapter): blank ids are dropped, the last of equal ids wins, the chapter falls back to the number's."""
+    d = spark.read.schema("ordinal long, id string, latex string, label string, chapter string").json(path).filter("trim(coalesce(id, '')) != ''")
+    last = d.groupBy("id").agg(F.max_by(F.struct("latex", "label", "chapter"), "ordinal").alias("x"))
+    chapter = F.coalesce(F.nullif("x.chapter", F.lit("")), F.concat(F.lit("chapter"), F.regexp_extract("id", r"^(\d+)\.", 1)))
+    return last.select(F.col("id").alias("raw_id"), F.concat(F.lit("formula_"), "id").alias("formula_id"), "x.latex", "x.label", chapter.alias("chapter_id"))
+
+
+def read_dependency_payloads(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(formulas, edges) of nested chapter payloads; the last chapter of equal formula ids wins."""
+    f = payloads.select("chapter_id", F.explode("formulas").alias("f")).select("chapter_id", "f.*")
+    f = f.groupBy("formula_id").agg(F.max(F.struct("chapter_id", "position", "latex")).alias("x")).select("formula_id", "x.*")
+    e = payloads.select(F.explode("dependencies").alias("d")).select(F.col("d.formula_id").alias("dependent_id"), F.explode("d.prerequisites").alias("p"))
+    return f, e.select("dependent_id", "p.*")
