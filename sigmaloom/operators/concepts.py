@@ -123,3 +123,29 @@ def evidence_ranking(concepts: DataFrame, blocks: DataFrame) -> DataFrame:
     score = 100 * F.col("priority") + F.when(F.contains(F.lower("content"), F.lower("term")), 200).otherwise(0) + F.when(F.col("formula_references") != "", 150).otherwise(0) + F.when(F.col("block_type") == "definition", 100).otherwise(0)
     best = F.max_by(F.struct("doc_id", "block_index", score.cast("long").alias("score")), F.struct(score, -F.col("block_index")))
     return d.groupBy("key").agg(best.alias("b")).select("key", "b.*")
+
+
+def symbol_concepts(occ: DataFrame, formulas: DataFrame, rules: DataFrame, names: DataFrame) -> DataFrame:
+    """(key, name, concept_type, conf, needs_review) for every symbol of every formula.
+
+    The first of rules(ordinal, symbol_pattern, context_pattern, name, concept_type) that fits symbol and context, else
+    the name in names(symbol, name), else the symbol itself. 82 if named, 68 else; 8 more if the context explains the
+    symbol, 4 more if the formula defines it, 95 at most; below 72 it needs review.
+    """
+    d = occ.select("formula_id", "symbol", "defines").join(formulas.select("formula_id", "context_text"), "formula_id").withColumn("key", F.concat_ws("::", "formula_id", "symbol"))
+    fit = d.join(F.broadcast(rules), F.expr("symbol rlike symbol_pattern and context_text rlike context_pattern"))
+    fit = fit.groupBy("key").agg(F.min_by(F.struct(F.col("name").alias("n"), F.col("concept_type").alias("t")), "ordinal").alias("rule"))
+    d = d.join(fit, "key", "left").join(F.broadcast(names.select("symbol", F.col("name").alias("listed"))), "symbol", "left")
+    named = F.coalesce("rule.n", "listed")
+    explained = F.contains(F.lower("context_text"), F.concat(F.lit("where "), F.lower("symbol"), F.lit(" is")))
+    conf = F.least(F.lit(95), F.when(named.isNotNull(), 82).otherwise(68) + F.when(explained, 8).otherwise(0) + F.when(F.col("defines"), 4).otherwise(0)).cast("long")
+    return d.select("key", F.coalesce(named, "symbol").alias("name"), F.coalesce("rule.t", F.lit("symbol")).alias("concept_type"), conf.alias("conf"), (conf < 72).alias("needs_review"))
+
+
+def rule_concept_graph(formulas: DataFrame, senses: DataFrame, introduced: DataFrame, prerequisites: DataFrame, limit: int = 6) -> DataFrame:
+    """(formula_id, focus, conf, n_prerequisites, introduced, copy): the first defined symbol is the focus (90 at most, 84 without prerequisites), with up to ``limit`` introduced symbols and a sentence from a template."""
+    pre = prerequisites.groupBy("formula_id").agg(F.count("*").alias("n_prerequisites"))
+    new = introduced.filter(F.col("ordinal") < limit).groupBy("formula_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "symbol"))), lambda x: x["symbol"]), ",").alias("introduced"))
+    d = formulas.join(senses.select("formula_id", F.col("symbol").alias("focus")), "formula_id").join(pre, "formula_id", "left").join(new, "formula_id", "left").na.fill(0, ["n_prerequisites"]).na.fill("", ["introduced"])
+    conf = F.least("conf", F.when(F.col("n_prerequisites") > 0, 90).otherwise(84)).cast("long")
+    return d.select("formula_id", "focus", conf.alias("conf"), "n_prerequisites", "introduced", F.format_string("%s defines %s from %d earlier concepts.", "label", "focus", "n_prerequisites").alias("copy"))

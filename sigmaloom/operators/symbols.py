@@ -62,3 +62,12 @@ def symbol_role(keys: DataFrame) -> DataFrame:
         .when(macro.isin(OPERATORS), "operator").when(macro.isin(GREEK) & (F.col("canonical") == F.concat(F.lit("\\"), macro)), "variable").when(c.rlike(r"^[A-Za-z]+_[A-Za-z0-9]+$"), "parameter").when(c.rlike("^[A-Za-z]$"), "variable").otherwise("symbol")
     )
     return keys.withColumns({"role": role, "is_operator": operator})
+
+
+def concept_symbols(formulas: DataFrame, occ: DataFrame) -> DataFrame:
+    """(formula_id, symbol, role): whole symbols only, the first left of ``=`` as defined, the rest of the right side as used; a symbol on both sides is defined."""
+    whole = fragment_suppression(occ)
+    kinds = defined_symbols(formulas, occ).filter("kind = 'defined'").join(whole, ["formula_id", "symbol"])
+    first = kinds.groupBy("formula_id").agg(F.min_by("symbol", "ordinal").alias("_first"))
+    d = whole.join(first, "formula_id", "left")
+    return d.select("formula_id", "symbol", F.when(F.col("symbol") == F.col("_first"), "defined").otherwise("used").alias("role"))
