@@ -39,6 +39,8 @@ from .common import LOWER, NOT_SPACE, Bits, Rolling, mixed, slices, word_spans,
 SIDE, DEPTH = 8, 2
 SMALL = 16
 PIVOTS = 4
+#: Sets in one Arrow batch; a set of a long text takes 100 KB and more.
+ROWS = 500
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -201,10 +203,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (8
     large = more.filter(F.col("c") > SMALL).select("key", "id")
     large = written(large, "minhash-large")
     ids = pairs.select(F.col("left").alias("id")).union(pairs.select("right")).union(large.select("id")).distinct()
-    sets = written(full_sets(docs, written(ids, "minhash-ids"), k), "minhash-sets")
-    links = confirmed(pairs, sets, threshold)
+    sets = written(full_sets(docs, written(ids, "minhash-ids"), k), "minhash-sets", ROWS)
+    links = written(confirmed(pairs, sets, threshold), "minhash-links", ROWS)
     if not large.isEmpty():
-        links = written(links, "minhash-links")
         links = links.union(large_group_links(large, classes, sets, links, threshold, least_equal))
     found = connected_components(links)
     parts = written(found, "minhash-parts")
@@ -236,7 +237,7 @@ def large_group_links(large: DataFrame, classes: DataFrame, sets: DataFrame, lin
     """Links that join the components of groups too large for all their pairs."""
     num, den = threshold
     c = (den - num) / (den + num)
-    clean = written(lone_shingles(sets.join(large.select("id").distinct(), "id", "left_semi")), "minhash-lone")
+    clean = written(lone_shingles(sets.join(large.select("id").distinct(), "id", "left_semi")), "minhash-lone", ROWS)
     members = written(large.join(clean.select("id", "n", "q"), "id").withColumn("reach", ((F.col("n") - F.col("q")) * den / num - F.col("n"))), "minhash-members")
     # the cleanest of each of 64 parts first, so that no group is ranked in one task
     share = members.withColumn("share", F.col("q") / F.col("n"))
@@ -246,11 +247,11 @@ def large_group_links(large: DataFrame, classes: DataFrame, sets: DataFrame, lin
     pivots = written(pivots.select("key", F.col("id").alias("pivot"), F.col("q").alias("pq"), F.col("reach").alias("preach"), "_r"), "minhash-pivots")
     lead = pivots.filter("_r = 1").select("key", "pivot")
     first = members.join(lead, "key").filter("id != pivot").select(F.col("id").alias("left"), F.col("pivot").alias("right")).distinct()
-    first = written(shared_counts(first, sets), "minhash-first")
+    first = written(shared_counts(first, sets), "minhash-first", ROWS)
     near = members.join(pivots.filter("_r > 1"), "key").filter("id != pivot and q <= preach and pq <= reach")
     near = near.select(F.least("id", "pivot").alias("left"), F.greatest("id", "pivot").alias("right"))
     star = confirmed(written(plausible(near, classes, threshold, least_equal), "minhash-star"), sets, threshold)
-    star = written(star.union(first.filter(_linked(threshold)).select("left", "right")), "minhash-links")
+    star = written(star.union(first.filter(_linked(threshold)).select("left", "right")), "minhash-links", ROWS)
     parts = written(connected_components(links.union(star)), "minhash-parts")
 
     # what tells a class from its group's first pivot bounds its links to all others of the group
@@ -271,9 +272,9 @@ def large_group_links(large: DataFrame, classes: DataFrame, sets: DataFrame, lin
     # shingles that both add to the pivot's: what both lack of it covers the smaller of the two lacks at most
     need = (F.col("d") + F.col("_d") - c * (F.col("n") + F.col("_n"))) / 2 - F.least("removed", "_removed") - 1e-6
     few = opened.join(other, "pivot").filter(both).filter(need <= 0).select("id", "_id")
-    h = written(added_shingles(opened.select("id", "pivot"), sets, clean.select("id", "lone")).join(opened, ["pivot", "id"]), "minhash-added")
+    h = written(added_shingles(opened.select("id", "pivot"), sets, clean.select("id", "lone")).join(opened, ["pivot", "id"]), "minhash-added", ROWS)
     many = h.join(h.select("pivot", "h", *[F.col(x).alias(f"_{x}") for x in told]), ["pivot", "h"]).filter(both).filter(need > 0)
     many = many.withColumn("need", need).groupBy("id", "_id", "pivot").agg(F.count("*").alias("c"), F.max("need").alias("need")).filter("c >= need").select("id", "_id")
     rest = few.union(many).select(F.col("id").alias("left"), F.col("_id").alias("right"))
-    rest = confirmed(written(plausible(rest, classes, threshold, least_equal), "minhash-rest"), sets, threshold)
+    rest = written(confirmed(written(plausible(rest, classes, threshold, least_equal), "minhash-rest"), sets, threshold), "minhash-links", ROWS)
     return star.union(rest)

@@ -39,6 +39,8 @@ ANCHOR = 48
 #: Distances to a trigger fall into so many cells.
 CELLS = 4
 BASE2 = 0xD6E8FEB86659FD93
+#: Texts in one Arrow batch.
+ROWS = 2000
 #: Bytes of text that are hashed at a time.
 SLICE = 1 << 18
 
@@ -200,7 +202,7 @@ def opened_strings(texts: DataFrame, phrases: DataFrame, length: int) -> DataFra
 def repeated_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     """(key, begin, n): strings of ``length`` bytes that start at begin, begin + 1, ..., n of them, and start elsewhere too; of (key, text)."""
     counts = trigger_counts(texts, length).groupBy("trigger").agg(F.sum("c").alias("c")).filter("c > 1").select("trigger")
-    found = written(phrases(texts, length, Bits(written(counts, "pfp-triggers"), "trigger")), "pfp-phrases")
+    found = written(phrases(texts, length, Bits(written(counts, "pfp-triggers"), "trigger")), "pfp-phrases", ROWS)
     kinds = found.groupBy("core", "phrase").agg(F.count("*").alias("c"), F.min(F.struct("key", "begin", "n")).alias("f"))
     kinds = written(kinds, "pfp-kinds")
     again = kinds.filter("c > 1")
@@ -209,7 +211,7 @@ def repeated_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     cores = kinds.groupBy("core").agg(F.count("*").alias("m"), F.min("c").alias("least")).filter("m > 1 and least = 1").select("core")
     opened = kinds.join(cores, "core", "left_semi").select("f.*", (F.col("c") > 1).alias("copy"))
     strings = opened_strings(texts, written(opened, "pfp-open"), length)
-    strings = written(strings, "pfp-strings")
+    strings = written(strings, "pfp-strings", ROWS)
     twice = strings.groupBy("string").agg(F.count("*").alias("c")).filter("c > 1").select("string")
     part = strings.filter("not copy").join(twice, "string", "left_semi").select("key", F.col("start").alias("begin"), F.lit(1).alias("n"))
     return whole.union(part)
