@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.work import written
 
 
-def connected_components(links: DataFrame, left: str = "left", right: str = "right", rounds: int = 100) -> DataFrame:
+def connected_components(links: DataFrame, left: str = "left", right: str = "right") -> DataFrame:
     """(id, component): each linked vertex with the smallest vertex it can reach.
 
     Large star, then small star, until no edge changes; each round is two shuffles on the vertex, written to
@@ -18,7 +18,7 @@ def connected_components(links: DataFrame, left: str = "left", right: str = "rig
     u, v = F.col(left), F.col(right)
     edges = links.filter((u != v)).select(F.greatest(u, v).alias("a"), F.least(u, v).alias("b")).distinct()
     edges, before = written(edges, "links"), None
-    for _ in range(rounds):
+    while True:
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))

@@ -2,31 +2,54 @@
 
 from __future__ import annotations
 
+import uuid
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.work import written
+from ..functions.work import shared_dir, written
+
 
+#: Formulas of a chapter in one block of the depth: what a task holds at once.
+BLOCK = 4096
 
-def formula_depth(formulas: DataFrame, edges: DataFrame, rounds: int = 1000) -> DataFrame:
+
+def formula_depth(formulas: DataFrame, edges: DataFrame, block: int = BLOCK) -> DataFrame:
     """(formula_id, depth): the longest path to a formula without prerequisites, over edges whose target sorts earlier in the chapter.
 
-    Level by level: each round moves only formulas whose depth grew; written to the shared folder, so lineage stays short.
+    A chapter is cut by position into blocks, and the first blocks of all chapters are settled in one round, then the
+    second ones: targets in earlier blocks are joined from the shared folder, those in the block are followed in order.
+    So rounds grow with the longest chapter's blocks, not with the depth, which has no bound.
     """
-    e = written(edges.filter("target_id is not null").select("dependent_id", "target_id").distinct(), "depth-edges")
-    depth = formulas.select("formula_id", F.lit(0).alias("depth"))
-    front = e.select(F.col("dependent_id").alias("formula_id")).distinct().withColumn("depth", F.lit(1))
-    found = [depth]
-    for level in range(2, rounds):
-        front = written(front, "depth")
-        if front.isEmpty():
-            break
-        found.append(front)
-        front = e.join(front, F.col("target_id") == F.col("formula_id")).select(F.col("dependent_id").alias("formula_id")).distinct().withColumn("depth", F.lit(level))
-    every = found[0]
-    for x in found[1:]:
-        every = every.union(x)
-    return every.groupBy("formula_id").agg(F.max("depth").cast("long").alias("depth"))
+    spark = formulas.sparkSession
+    at = formulas.select("formula_id", "chapter_id", "position")
+    e = edges.filter("target_id is not null").select("dependent_id", "target_id").distinct()
+    e = e.join(at.withColumnRenamed("formula_id", "dependent_id"), "dependent_id")
+    e = e.join(at.select(F.col("formula_id").alias("target_id"), F.col("chapter_id").alias("_c"), F.col("position").alias("target")), "target_id")
+    e = e.select("chapter_id", "position", "target", F.expr(f"position div {block}").alias("block"), F.expr(f"target div {block}").alias("_b"), F.expr("chapter_id = _c and target < position").alias("earlier"))
+    e = written(e.sortWithinPartitions("block"), "depth-edges")
+    blocks = sorted(r.block for r in e.select("block").distinct().collect())
+    if not e.filter("not earlier").isEmpty():
+        raise ValueError("an edge's target does not sort earlier in the chapter")
+
+    def levels(rows: pa.Table) -> pa.Table:
+        depth: dict[int, int] = {}
+        for p, t, base in sorted(zip(*(rows.column(c).to_pylist() for c in ("position", "target", "base")), strict=True)):
+            depth[p] = max(depth.get(p, 0), base if base else depth.get(t, 0) + 1)
+        chapter = pa.repeat(rows.column("chapter_id")[0], len(depth))
+        return pa.table({"chapter_id": chapter, "position": pa.array(depth.keys(), pa.int64()), "depth": pa.array(depth.values(), pa.int64())})
+
+    schema = at.select("chapter_id").schema.add("position", "long").add("depth", "long")
+    path = f"{shared_dir(spark)}/depth-{uuid.uuid4().hex}"
+    spark.createDataFrame([], schema).write.parquet(path)
+    for k in blocks:
+        done = spark.read.schema(schema).parquet(path).select("chapter_id", F.col("position").alias("target"), "depth")
+        own = e.filter(F.col("block") == k).join(done, ["chapter_id", "target"], "left")
+        base = F.when(F.col("_b") < k, F.coalesce("depth", F.lit(0)) + 1).otherwise(0)
+        own.select("chapter_id", "position", "target", base.alias("base")).groupBy("chapter_id").applyInArrow(levels, schema).write.mode("append").parquet(path)
+    found = at.join(spark.read.schema(schema).parquet(path), ["chapter_id", "position"], "left")
+    return found.groupBy("formula_id").agg(F.coalesce(F.max("depth"), F.lit(0)).cast("long").alias("depth"))
 
 
 def neighbours(edges: DataFrame, direction: str = "prerequisites", hidden: tuple[str, ...] = ("\\pi", "\\infty")) -> DataFrame:

@@ -43,6 +43,22 @@ def test_components(spark):
     assert got == {5: 2, 4: 2, 3: 2, 2: 2, 9: 8, 8: 8}
 
 
+def test_depth_has_no_bound(spark):
+    """A chain of 1,500 formulas over many blocks, a short chapter, and edges that skip blocks."""
+    from sigmaloom.operators.graph import formula_depth
+
+    n = 1500
+    rows = [(f"a{i}", "a", i) for i in range(n)] + [(f"b{i}", "b", i) for i in range(5)]
+    edges = [(f"a{i}", f"a{i - 1}") for i in range(1, n)] + [(f"a{i}", f"a{i - 700}") for i in range(700, n)] + [("b4", "b0"), ("b4", "b2"), ("b2", "b1"), ("b3", None)]
+    formulas = spark.createDataFrame(rows, "formula_id string, chapter_id string, position long")
+    want = {f"a{i}": i for i in range(n)} | {"b0": 0, "b1": 0, "b2": 1, "b3": 0, "b4": 2}
+    found = spark.createDataFrame(edges, "dependent_id string, target_id string")
+    assert {r.formula_id: r.depth for r in formula_depth(formulas, found, block=400).collect()} == want
+    assert {r.formula_id: r.depth for r in formula_depth(formulas, found).collect()} == want
+    with pytest.raises(ValueError, match="earlier"):
+        formula_depth(formulas, spark.createDataFrame([("b0", "b1")], "dependent_id string, target_id string"))
+
+
 def test_every_oracle_has_a_query():
     assert registry.ORACLES.keys() <= registry.QUERIES.keys()
 
