@@ -143,6 +143,32 @@ def test_licenses(spark):
     assert got[4].n_base == 0 and got[5].labels == "gpl"
 
 
+def test_license_names_and_wraps(spark):
+    """Notices that share most words keep apart; a notice is found however its lines are broken."""
+    texts = {
+        "gpl": "This work is licensed under the GNU General Public License, version 3.",
+        "lgpl": "It is licensed under the GNU Lesser General Public License, version 3.",
+        "cc-by": "The text is licensed under CC BY 4.0.",
+        "cc-by,cc-by-nc": "The text is licensed under CC BY-NC 4.0.",
+        "cc-by,cc-by-sa": "The text is licensed under CC BY-SA 4.0.",
+        "cc-by,cc-by-nc,cc-by-sa": "The text is licensed under CC BY-NC-SA 4.0.",
+        "": "The song was released under the other name, so no license was needed for it.",
+        "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software)",
+        "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that",
+        "mpl": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+        "cc0": "This work is dedicated to the public domain under CC0.",
+    }
+    rows = []
+    for label, text in texts.items():
+        w = text.split()
+        rows += [(label, text), (label, "Lead in words here.\n" + text + "\nand more.")]
+        rows += [(label, "\n".join([" ".join(w[:k]), " ".join(w[k:])])) for k in range(1, len(w))] + [(label, "\n * ".join(w))]
+    both = texts["gpl"] + "\n" + texts["lgpl"].replace("It", "Other parts")
+    rows += [("gpl,lgpl", both), ("", "source and binary forms\n" + "of other things\n" * 9 + "redistribution and use with or without modification are permitted")]
+    got = licenses.scan_licenses(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.labels for r in got} == {i: label for i, (label, _) in enumerate(rows)}
+
+
 @pytest.mark.parametrize(("k", "num"), [(3, 85), (5, 80)])
 def test_minhash(spark, docs, k, num):
     sets = {}
