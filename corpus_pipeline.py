@@ -27,9 +27,17 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by five-word shingles at similarity 0.8: the one with the smallest doc_id."""
-    gone = minhash.near_duplicates(docs).filter("not kept").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
+    """One row of each group linked by five-word shingles at similarity 0.8: of the smallest doc_id (null last), then of the least hash.
+
+    Rows are told apart by a number of their own, so repeated rows, null ids and equal ids with different texts are
+    each linked by their text, and one row of a group stays. Rows without words link with nothing.
+    """
+    rows = written(docs.select(*COLUMNS, F.monotonically_increasing_id().alias("row")), "near-duplicate-rows")
+    found = minhash.near_duplicates(rows.select(F.col("row").alias("doc_id"), "text")).select(F.col("doc_id").alias("row"), "component_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64(*COLUMNS), "row")
+    least = rows.select("row", order.alias("o")).join(found, "row").groupBy("component_id").agg(F.min("o").alias("o"))
+    gone = found.select("row").join(least.select("o.row"), "row", "left_anti")
+    return rows.join(gone, "row", "left_anti").select(*COLUMNS)
 
 
 def repeated_string_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ each; every pair of a band of the first and a band of the second is the key of a
 need 2 * side * depth minhashes, not side * side * 2 * depth. Documents that share a key are candidates; their
 full sets confirm each link.
 
-* Equal sets become one class first (by two 64-bit sums over the set); only classes go on.
+* Equal sets become one class first (by two 64-bit sums over the set, hashed to the class's id); only classes go on.
 * A key with up to ``SMALL`` classes yields all its pairs. In a larger group every class is held against the
   group's cleanest one P (fewest shingles that no other class of large groups has), and against the next cleanest.
   With d the size of the symmetric difference to P and q the lone shingles, which all count in d and in no other's,
@@ -19,7 +19,7 @@ full sets confirm each link.
 
 Defined results: words are split at ASCII white space, A-Z lower-cased; a text with fewer words than a shingle is
 one shingle; without words the set is empty and links with nothing; a null doc_id is never linked; rows with
-equal doc_id share a component; an empty table gives no row.
+words and equal doc_id share a component, and each of their texts is compared; an empty table gives no row.
 
 A link of similarity s is missed by all tables with probability about 2 (1 - s^depth)^side: 7e-5 at 0.85.
 """
@@ -68,7 +68,7 @@ def _seeds(count: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, k: int, hashes: int) -> DataFrame:
-    """(doc_id, n, s1, s2, mins): size of the set, two sums that identify it, and its minhashes (32 bits each)."""
+    """(doc_id, t, n, s1, s2, mins): hash of the text, size of the set, two sums that identify it, and its minhashes (32 bits each)."""
     seeds = _seeds(hashes)
 
     def run(batches):
@@ -85,10 +85,10 @@ def signatures(docs: DataFrame, k: int, hashes: int) -> DataFrame:
                 sums[0, full] = np.add.reduceat(mixed(h), at)
                 sums[1, full] = np.add.reduceat(mixed(h ^ np.uint64(0xA5A5A5A5A5A5A5A5)), at)
             packed = pa.Array.from_buffers(pa.binary(4 * hashes), len(n), [None, pa.py_buffer(np.ascontiguousarray(mins))])
-            yield pa.record_batch({"doc_id": rows.column("doc_id"), "n": pa.array(n.astype("int64")), "s1": pa.array(sums[0].view(np.int64)), "s2": pa.array(sums[1].view(np.int64)), "mins": packed.cast(pa.binary())})
+            yield pa.record_batch({"doc_id": rows.column("doc_id"), "t": rows.column("t"), "n": pa.array(n.astype("int64")), "s1": pa.array(sums[0].view(np.int64)), "s2": pa.array(sums[1].view(np.int64)), "mins": packed.cast(pa.binary())})
 
-    d = docs.select("doc_id", "text")
-    return d.mapInArrow(run, d.select("doc_id").schema.add("n", "long").add("s1", "long").add("s2", "long").add("mins", "binary"))
+    d = docs.select("doc_id", F.xxhash64("text").alias("t"), "text")
+    return d.mapInArrow(run, d.select("doc_id", "t").schema.add("n", "long").add("s1", "long").add("s2", "long").add("mins", "binary"))
 
 
 def table_keys(classes: DataFrame, side: int, depth: int) -> DataFrame:
@@ -109,8 +109,8 @@ def table_keys(classes: DataFrame, side: int, depth: int) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """(id, items): sorted shingle hashes of the documents named in ``ids``; a Bloom filter keeps other texts out of the shuffle."""
-    bits = Bits(ids.select(F.xxhash64("id").alias("h")), "h")
+    """(id, items): sorted shingle hashes of the texts named in ``ids``(id, doc_id, t); a Bloom filter keeps other texts out of the shuffle."""
+    bits = Bits(ids.select(F.xxhash64("doc_id", "t").alias("h")), "h")
 
     def near(batches):
         for batch in batches:
@@ -123,9 +123,9 @@ def full_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
             raw = h.tobytes()
             yield pa.record_batch({"id": rows.column("id"), "items": pa.array([raw[8 * a : 8 * b] for a, b in zip(ends[:-1], ends[1:], strict=True)], pa.binary())})
 
-    d = docs.filter("doc_id is not null").select(F.col("doc_id").alias("id"), "text", F.xxhash64("doc_id").alias("h"))
-    d = d.mapInArrow(near, d.schema).drop("h").join(ids.select("id"), "id", "left_semi").dropDuplicates(["id"])
-    return d.mapInArrow(run, "id long, items binary")
+    d = docs.filter("doc_id is not null").select("doc_id", F.xxhash64("text").alias("t"), "text").withColumn("h", F.xxhash64("doc_id", "t"))
+    d = d.mapInArrow(near, d.schema).drop("h").join(ids, ["doc_id", "t"]).dropDuplicates(["doc_id", "t"])
+    return d.select("id", "text").mapInArrow(run, "id long, items binary")
 
 
 def shared_counts(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -184,6 +184,17 @@ def lone_shingles(sets: DataFrame) -> DataFrame:
     return sets.select("id", (F.octet_length("items") / 8).cast("long").alias("n")).join(q, "id", "left").na.fill(0, ["q"])
 
 
+#: The id of a class, from the sums and the size of its set.
+CLASS = "xxhash64(s1, s2, n)"
+
+
+def same_document(sig: DataFrame) -> DataFrame:
+    """(left, right): links between the classes of texts with equal doc_id."""
+    d = sig.filter("n > 0 and doc_id is not null").select("doc_id", F.expr(CLASS).alias("right"))
+    several = d.groupBy("doc_id").agg(F.min("right").alias("left"), F.max("right").alias("_m")).filter("left != _m").select("doc_id", "left")
+    return d.join(several, "doc_id").filter("left != right").select("left", "right").distinct()
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (80, 100), side: int = SIDE, depth: int = DEPTH) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every document."""
     hashes = 2 * side * depth
@@ -191,8 +202,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (8
     least_equal = max(0, math.floor(hashes * s - 5.2 * math.sqrt(hashes * s * (1 - s))))
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sig = written(signatures(docs, k, hashes), "minhash")
-    first = sig.filter("n > 0 and doc_id is not null").groupBy("s1", "s2", "n").agg(F.min(F.struct("doc_id", "mins")).alias("f"))
-    classes = written(first.select("s1", "s2", "n", F.col("f.doc_id").alias("id"), F.col("f.mins").alias("mins")), "minhash-classes")
+    first = sig.filter("n > 0 and doc_id is not null").groupBy("s1", "s2", "n").agg(F.min(F.struct("doc_id", "t", "mins")).alias("f"))
+    classes = written(first.select("s1", "s2", "n", F.expr(CLASS).alias("id"), F.col("f.doc_id").alias("doc_id"), F.col("f.t").alias("t"), F.col("f.mins").alias("mins")), "minhash-classes")
     keys = table_keys(classes, side, depth)
     buckets = keys.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("low"), F.max("id").alias("high")).filter("c > 1")
     twos = buckets.filter("c = 2").select(F.col("low").alias("left"), F.col("high").alias("right"))
@@ -203,13 +214,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (8
     large = more.filter(F.col("c") > SMALL).select("key", "id")
     large = written(large, "minhash-large")
     ids = pairs.select(F.col("left").alias("id")).union(pairs.select("right")).union(large.select("id")).distinct()
-    sets = written(full_sets(docs, written(ids, "minhash-ids"), k), "minhash-sets", ROWS)
+    ids = written(classes.select("id", "doc_id", "t").join(ids, "id", "left_semi"), "minhash-ids")
+    sets = written(full_sets(docs, ids, k), "minhash-sets", ROWS)
     links = written(confirmed(pairs, sets, threshold), "minhash-links", ROWS)
     if not large.isEmpty():
         links = links.union(large_group_links(large, classes, sets, links, threshold, least_equal))
-    found = connected_components(links)
-    parts = written(found, "minhash-parts")
-    of_class = classes.select("s1", "s2", "n", "id").join(parts, "id", "left").select("s1", "s2", "n", F.coalesce("component", "id").alias("component"))
+    found = connected_components(links.union(same_document(sig)))
+    parts = classes.select("id", "doc_id").join(found, "id")
+    least = parts.groupBy("component").agg(F.min("doc_id").alias("least"))
+    parts = written(parts.join(least, "component").select("id", "least"), "minhash-parts")
+    of_class = classes.select("s1", "s2", "n", "id", "doc_id").join(parts, "id", "left").select("s1", "s2", "n", F.coalesce("least", "doc_id").alias("component"))
     out = sig.select("doc_id", "n", "s1", "s2").join(of_class, ["s1", "s2", "n"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

@@ -188,6 +188,29 @@ def test_minhash(spark, docs, k, num):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got if r.doc_id is not None} == {i: (len(s), part[i], part[i] == i) for i, s in sets.items()}
 
 
+def test_equal_ids_with_different_texts(spark):
+    """Each text of a doc_id is compared, whichever the table gives first, and they share a component."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a), (1, b), (2, a + " end"), (3, b + " end"), (4, c), (5, c), (6, "lone words"), (None, a)]
+    for order in (rows, rows[::-1]):
+        got = minhash.near_duplicates(spark.createDataFrame(order, "doc_id long, text string"), 5, (80, 100)).collect()
+        assert sorted((r.doc_id, r.component_id) for r in got if r.doc_id is not None) == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (6, 6)]
+
+
+def test_stages_keep_one_row_of_a_group(spark):
+    """Repeated rows, null ids and equal ids with different texts: one row of a group stays, with its text whole."""
+    import corpus_pipeline
+
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(80)) for x in "abcd")
+    rows = [(1, a), (1, a), (1, a), (2, a + " end"), (None, b), (None, b), (7, c), (7, d), (8, d + " end"), (None, d), (9, "x y"), (None, a)]
+    docs = spark.createDataFrame([(i, t, "en", "src1", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.near_duplicate_stage(spark, docs, "")
+    want = sorted([(1, a), (None, b), (7, c), (7, d), (9, "x y")], key=repr)
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr) == want
+    left = corpus_pipeline.repeated_string_stage(spark, kept, "").collect()
+    assert sorted(((r.doc_id, r.text) for r in left), key=repr) == want
+
+
 def test_large_groups(spark):
     """A group too large for all pairs: edits of one text, in chains that link only by way of others."""
     import random
