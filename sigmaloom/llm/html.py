@@ -22,12 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|object|textarea|select|math|title)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*+>.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(script|style|template|svg|iframe|title)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*+>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)>|<[/!?a-zA-Z][^>]*>",
     re.S | re.I,
 )
 #: Elements that lie inside a line of text; all others end a block.
-INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q ruby rt rp s samp small span strike strong sub sup time tt u var wbr object textarea".split())
+#: Elements of formulas, which lie inside a line too.
+INLINE |= set("math mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom mfenced menclose msub msup msubsup munder mover munderover mmultiscripts mprescripts mtable mtr mtd maction semantics annotation".split())
 #: Elements without an end tag.
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
 #: Elements whose content is no article, and names of classes, ids and roles that say so.
@@ -37,6 +39,10 @@ OUTSIDE_NAMES = set(
     "breadcrumb breadcrumbs header masthead footer foot copyright comment comments disqus reply replies respond share sharing social related recommended subscribe subscription newsletter "
     "popup modal overlay toolbar pagination pager search login signup form contentinfo complementary legal disclaimer".split()
 )
+#: Of the names, those whose elements hold articles that are not the page's.
+FOREIGN_NAMES = set("comment comments disqus reply replies respond related recommended".split())
+#: First parts of a class token that say what a layout has, or not.
+FORMS = set("has with no without".split())
 INSIDE = {"article", "main"}
 INSIDE_NAMES = set("article content entry post story main body text".split())
 NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -45,16 +51,24 @@ SPLIT = re.compile(r"[^a-z]+")
 SPACE = re.compile(r"\s+")
 
 #: Weights of the classifier, in units of the cut's capacity.
-WEIGHTS = {"bias": -0.6, "outside": -8.0, "inside": 4.0, "named": 1.5, "heading": 0.4, "item": -0.8, "link": -3.0, "words": 0.12, "sentence": 0.8}
+WEIGHTS = {"bias": -0.6, "outside": -8.0, "token": -6.0, "compound": -4.0, "inside": 4.0, "named": 1.5, "heading": 0.4, "item": -0.8, "link": -3.0, "words": 0.12, "sentence": 0.8}
 #: Capacity between neighbours: under one parent, and across parents.
 NEAR, FAR = 0.6, 0.15
 
 
+def against(tokens: set[str], names: set[str]) -> float:
+    """The cost of class tokens: one that is a boilerplate name, else one that ends in such a name (site-footer), but for has-sidebar and the like."""
+    if not tokens.isdisjoint(names):
+        return WEIGHTS["token"]
+    parts = [[x for x in SPLIT.split(t) if x] for t in tokens]
+    return WEIGHTS["compound"] if any(len(p) > 1 and p[-1] in names and FORMS.isdisjoint(p) for p in parts) else 0.0
+
+
 def blocks_of(html: str) -> list[tuple[str, float, tuple[int, ...]]]:
     """(text, score, path of element numbers) of each text block, in page order."""
     out, stack, parts = [], [], []
-    # of the open elements: (tag, number, outside, inside, named)
-    state, number, link, linked = (False, False, False), 0, 0, 0
+    # of the open elements: (tag, number, state before it); a state is (cost outside, the part of it that no article resets, inside, named)
+    state, number, link, linked = (0.0, 0.0, False, False), 0, 0, 0
 
     def end_block():
         nonlocal linked
@@ -63,10 +77,10 @@ def blocks_of(html: str) -> list[tuple[str, float, tuple[int, ...]]]:
             parts.clear()
             if text:
                 n = text.count(" ") + 1
-                outside, inside, named = state
+                outside, _, inside, named = state
                 tag = next((t for t, *_ in reversed(stack) if t not in INLINE), "")
                 w = WEIGHTS
-                score = w["bias"] + w["outside"] * outside + w["inside"] * inside + w["named"] * named + w["words"] * min(n, 40) + w["link"] * min(1.0, linked / len(text))
+                score = w["bias"] + outside + w["inside"] * inside + w["named"] * named + w["words"] * min(n, 40) + w["link"] * min(1.0, linked / len(text))
                 score += w["heading"] * (len(tag) == 2 and tag[0] == "h") + w["item"] * (tag == "li") + w["sentence"] * (text[-1] in ".!?:”\"")
                 out.append((text, score, tuple(x[1] for x in stack if x[0] not in INLINE)))
         linked = 0
@@ -109,14 +123,24 @@ def blocks_of(html: str) -> list[tuple[str, float, tuple[int, ...]]]:
         number += 1
         link = 0 if tag in ("p", "div", "li", "article", "section") else link
         stack.append((tag, number, state))
-        outside, inside, named = state
+        outside, lasting, inside, named = state
         attrs = m[4]
-        names = set()
+        tokens, names = set(), set()
         if attrs:
             for found in NAMES.finditer(attrs):
-                names.update(SPLIT.split((found[1] or found[2] or found[3] or "").lower()))
-            outside = outside or HIDDEN.search(attrs) is not None
-        state = (outside or tag in OUTSIDE or (tag not in INSIDE and tag != "body" and not OUTSIDE_NAMES.isdisjoint(names)), inside or tag in INSIDE, named or not INSIDE_NAMES.isdisjoint(names))
+                tokens.update((found[1] or found[2] or found[3] or "").lower().split())
+            names.update(*(SPLIT.split(t) for t in tokens))
+            if HIDDEN.search(attrs):
+                lasting = WEIGHTS["outside"]
+        if tag in INSIDE:
+            outside = 0.0
+        elif tag in OUTSIDE:
+            outside = WEIGHTS["outside"]
+            lasting = outside if tag in ("nav", "aside", "footer") else lasting
+        if tag not in INSIDE and tag != "body":
+            outside = min(outside, against(tokens, OUTSIDE_NAMES))
+            lasting = min(lasting, against(tokens, FOREIGN_NAMES))
+        state = (min(outside, lasting), lasting, inside or tag in INSIDE, named or not INSIDE_NAMES.isdisjoint(names))
     if at < len(html):
         parts.append(html[at:])
     end_block()

@@ -69,6 +69,14 @@ def test_html():
     assert html.main_text("<p>" * 3000)[0] == ""
 
 
+@pytest.mark.parametrize("wrap", ['div class="layout has-sidebar"', 'div class="post-header-wrap"', 'div id="page-banner-top"', 'div class="sidebar"', "form"])
+def test_html_wrappers(wrap):
+    """An article is kept whatever wraps it; what is no article beside it is not."""
+    inner = '<article><h1>Title</h1><p>The sum <math><mi>x</mi><mo>+</mo><mn>1</mn></math> is <object>a figure</object> here.</p></article>'
+    page = f'<body><nav><a href="/">Home</a></nav><{wrap}>{inner}</{wrap.split()[0]}><div id="comments"><article><p>Nice one, thank you.</p></article></div><div class="site-footer"><p>All rights kept.</p></div></body>'
+    assert html.main_text(page)[0] == "Title\nThe sum x+1 is a figure here."
+
+
 def test_minimum_cut():
     import itertools
     import random
