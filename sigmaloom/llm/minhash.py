@@ -11,8 +11,9 @@ full sets confirm each link.
   With d the size of the symmetric difference to P and q the lone shingles, which all count in d and in no other's,
   two classes share at most min(d - q, d' - q') of their differences, so at similarity t a link needs
   d - c n <= d' - 2 q' + c n' and the same the other way round, c = (1 - t) / (1 + t). Classes of different
-  components that pass both are compared if they share enough of what they add to P: a link needs
-  (d + d' - c (n + n')) / 2 common differences, of which at most the smaller lack of P's shingles is common lack.
+  components that pass both are compared. A link needs (d + d' - c (n + n')) / 2 common differences, of which at most
+  the smaller lack of P's shingles is common lack. Where that leaves none to what they add to P, one of the two is
+  next to P; otherwise both meet in a prefix, by rarity, of what they add (the lone ones first, P's own last).
   So no link between components is lost.
 * Candidates whose minhashes agree in fewer than ``least_equal`` places or whose sizes differ too much are dropped:
   a link at the threshold falls below with probability under 1e-6.
@@ -30,7 +31,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
@@ -39,6 +40,8 @@ from .common import LOWER, NOT_SPACE, Bits, Rolling, mixed, slices, word_spans,
 SIDE, DEPTH = 8, 2
 SMALL = 16
 PIVOTS = 4
+#: Parts among which the classes next to a pivot are dealt.
+PARTS = 8
 #: Sets in one Arrow batch; a set of a long text takes 100 KB and more.
 ROWS = 500
 
@@ -281,14 +284,43 @@ def large_group_links(large: DataFrame, classes: DataFrame, sets: DataFrame, lin
     opened = m.join(two, "pivot").filter(F.when(F.col("comp") == F.col("one.comp"), F.col("two")).otherwise(F.col("one.most")) >= F.col("least")).drop("one", "two")
     opened = written(opened, "minhash-open")
     told = ("id", "comp", "n", "d", "added", "removed", "least", "most")
-    other = opened.select("pivot", *[F.col(x).alias(f"_{x}") for x in told])
-    both = "id < _id and comp != _comp and least <= _most and _least <= most"
+    both = F.expr("comp != _comp and least <= _most and _least <= most")
     # shingles that both add to the pivot's: what both lack of it covers the smaller of the two lacks at most
     need = (F.col("d") + F.col("_d") - c * (F.col("n") + F.col("_n"))) / 2 - F.least("removed", "_removed") - 1e-6
-    few = opened.join(other, "pivot").filter(both).filter(need <= 0).select("id", "_id")
-    h = written(added_shingles(opened.select("id", "pivot"), sets, clean.select("id", "lone")).join(opened, ["pivot", "id"]), "minhash-added", ROWS)
-    many = h.join(h.select("pivot", "h", *[F.col(x).alias(f"_{x}") for x in told]), ["pivot", "h"]).filter(both).filter(need > 0)
-    many = many.withColumn("need", need).groupBy("id", "_id", "pivot").agg(F.count("*").alias("c"), F.max("need").alias("need")).filter("c >= need").select("id", "_id")
+    few = _next_to_pivot(opened, c, told, both & (need <= 0))
+    h = added_shingles(opened.select("id", "pivot"), sets, clean.select("id", "lone"))
+    h = written(_rarest(written(h, "minhash-added", ROWS), opened, threshold).select("pivot", "h", *told), "minhash-prefix")
+    many = h.join(h.select("pivot", "h", *[F.col(x).alias(f"_{x}") for x in told]), ["pivot", "h"]).filter((F.col("id") < F.col("_id")) & both & (need > 0)).select("id", "_id")
     rest = few.union(many).select(F.col("id").alias("left"), F.col("_id").alias("right"))
     rest = written(confirmed(written(plausible(rest, classes, threshold, least_equal), "minhash-rest"), sets, threshold), "minhash-links", ROWS)
     return star.union(rest)
+
+
+def _next_to_pivot(opened: DataFrame, c: float, told: tuple[str, ...], both: Column) -> DataFrame:
+    """(id, _id): the pairs that pass ``both`` of ``opened`` of one pivot that may need no common addition to it: c n - added of the two sums to 0 or more, so one of them is next to the pivot."""
+    m = opened.withColumn("v", c * F.col("n") - F.col("added") + 1e-6)
+    reach = m.groupBy("pivot", "comp").agg(F.max("v").alias("v"))
+    one = reach.groupBy("pivot").agg(F.max(F.struct("v", "comp")).alias("one"))
+    two = reach.join(one, "pivot").filter("comp != one.comp").groupBy("pivot", "one").agg(F.max("v").alias("two"))
+    m = m.join(two, "pivot").filter(F.col("v") + F.when(F.col("comp") == F.col("one.comp"), F.col("two")).otherwise(F.col("one.v")) >= 0)
+    m = written(m.select("pivot", *told, "v"), "minhash-next")
+    # the side next to the pivot meets the whole of the other; both are dealt by parts, so that no pivot is one task
+    part, parts = F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int"), F.explode(F.array(*[F.lit(i) for i in range(PARTS)]))
+    near = m.filter("v >= 0").select("pivot", part.alias("part"), *told)
+    whole = m.select("pivot", parts.alias("part"), *[F.col(x).alias(f"_{x}") for x in told])
+    return near.join(whole, ["pivot", "part"]).filter(both).select(F.least("id", "_id").alias("id"), F.greatest("id", "_id").alias("_id")).distinct()
+
+
+def _rarest(added: DataFrame, opened: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """Of each class's additions to its pivot the prefix by rarity that a linked class must meet.
+
+    In the order lone shingles, additions by how many classes of the pivot have them, the pivot's own, the first
+    n - ceil(t n) + 1 of two linked sets meet; lone ones meet none, and additions only additions.
+    """
+    num, den = threshold
+    often = added.groupBy("pivot", "h").agg(F.count("*").alias("f"))
+    n, q = F.col("n"), F.col("q")
+    prefix = n - F.ceil(n * num / den - 1e-9) + 1 - q
+    d = added.join(often, ["pivot", "h"]).join(opened.filter(prefix > 0), ["pivot", "id"])
+    rank = F.row_number().over(Window.partitionBy("pivot", "id").orderBy("f", "h"))
+    return d.withColumn("_rank", rank).filter((F.col("_rank") <= prefix) & (F.col("f") > 1))
