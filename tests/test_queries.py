@@ -69,3 +69,32 @@ def test_unclosed_formula_and_heading(spark):
     text = "# Chapter 2: Drift\ntext a\n$$\np_{t}=q\n$$\nwhere p is freq (2.1)\n$$ x=y $$ tail\n# Chapter 3: a $$ b\n$$\nnever closed"
     rows = segment_events(spark.createDataFrame([("b", 0, text)], "book_id string, page_index int, text string")).orderBy("line_index", "seq").collect()
     assert [(r.kind, r.text) for r in rows] == [("heading", "Drift"), ("text", "text a"), ("formula", "p_{t}=q"), ("text", "where p is freq (2.1)"), ("formula", "x=y"), ("text", "tail"), ("heading", "a $$ b")]
+
+
+@pytest.mark.parametrize("most", [1, 7, 100_000])
+def test_components_of_chains_and_hubs(spark, monkeypatch, most):
+    """Whatever fits a task: a long chain, a hub and pairs, in shuffled order, against union-find."""
+    import random
+
+    from sigmaloom.operators import components
+
+    monkeypatch.setattr(components, "TASK_LINKS", most)
+    links = [(i, i + 1) for i in range(100, 140)] + [(500, 500 + i) for i in range(1, 30)] + [(900 - i, 800 - i) for i in range(9)] + [(3, 3)]
+    random.Random(1).shuffle(links)
+    top = {x: x for pair in links for x in pair}
+
+    def find(x):
+        while top[x] != x:
+            x = top[x]
+        return x
+
+    for a, b in links:
+        x, y = find(a), find(b)
+        top[max(x, y)] = min(x, y)
+    want = {x: find(x) for x in top if x != 3}
+    rows = spark.createDataFrame(links, "left long, right long").repartition(5)
+    assert {r.id: r.component for r in components.connected_components(rows).collect()} == want
+    text = rows.selectExpr("cast(left as string) as left", "cast(right as string) as right")
+    if most > 7:
+        assert {r.id: r.component for r in components.connected_components(text).collect()} == {str(k): min(str(x) for x, w in want.items() if w == v) for k, v in want.items()}
+    assert components.connected_components(rows.limit(0)).count() == 0
