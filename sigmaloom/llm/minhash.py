@@ -42,6 +42,8 @@ SMALL = 16
 PIVOTS = 4
 #: Parts among which the classes next to a pivot are dealt.
 PARTS = 8
+#: Partners of a pivot in a part.
+PART = 64
 #: Sets in one Arrow batch; a set of a long text takes 100 KB and more.
 ROWS = 500
 
@@ -131,8 +133,21 @@ def full_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     return d.select("id", "text").mapInArrow(run, "id long, items binary")
 
 
-def shared_counts(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(left, right, both, n_left, n_right): sizes of the sets of each pair (left, right) and of their intersection."""
+def with_sets(pairs: DataFrame, sets: DataFrame, own: DataFrame | None = None) -> DataFrame:
+    """``pairs`` (left, right) with a, b: the sets of both, and the further columns of ``own`` for the left one.
+
+    A right one with many partners is dealt by parts of PART partners, so that none is one task.
+    """
+    deal = pairs.groupBy("right").agg(F.count("*").alias("_c")).withColumn("_parts", F.ceil(F.col("_c") / PART).cast("int")).drop("_c")
+    deal = written(deal, "minhash-deal")
+    a = (sets if own is None else own).withColumnsRenamed({"id": "left", "items": "a"})
+    b = sets.select(F.col("id").alias("right"), F.col("items").alias("b")).join(deal, "right").select("right", "b", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_part"))
+    dealt = pairs.join(deal, "right").withColumn("_part", F.pmod(F.xxhash64("left"), F.col("_parts")).cast("int")).drop("_parts")
+    return dealt.join(a, "left").join(b, ["right", "_part"]).drop("_part")
+
+
+def shared_counts(pairs: DataFrame) -> DataFrame:
+    """(left, right, both, n_left, n_right) of (left, right, a, b): sizes of the sets of each pair and of their intersection."""
 
     def run(batches):
         for batch in batches:
@@ -143,14 +158,14 @@ def shared_counts(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             made = np.array(got, np.int64).reshape(-1, 3)
             yield pa.record_batch({"left": batch.column("left"), "right": batch.column("right"), "both": pa.array(made[:, 0]), "n_left": pa.array(made[:, 1]), "n_right": pa.array(made[:, 2])})
 
-    a = sets.select(F.col("id").alias("left"), F.col("items").alias("a"))
-    b = sets.select(F.col("id").alias("right"), F.col("items").alias("b"))
-    return pairs.join(a, "left").join(b, "right").select("left", "right", "a", "b").mapInArrow(run, "left long, right long, both long, n_left long, n_right long")
+    return pairs.select("left", "right", "a", "b").mapInArrow(run, "left long, right long, both long, n_left long, n_right long")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     """Those of the pairs (left, right) whose sets have num * union <= den * intersection."""
-    return shared_counts(pairs, sets).filter(_linked(threshold)).select("left", "right")
+    a = sets.select(F.col("id").alias("left"), F.col("items").alias("a"))
+    b = sets.select(F.col("id").alias("right"), F.col("items").alias("b"))
+    return shared_counts(pairs.join(a, "left").join(b, "right")).filter(_linked(threshold)).select("left", "right")
 
 
 def _linked(threshold: tuple[int, int]):
@@ -232,8 +247,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (8
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 
-def added_shingles(pairs: DataFrame, sets: DataFrame, lone: DataFrame) -> DataFrame:
-    """(pivot, id, h): the items of each class that its pivot lacks and some other class has."""
+def added_shingles(pairs: DataFrame) -> DataFrame:
+    """(pivot, id, h) of (left, right, a, b, lone): the items of each class that its pivot lacks and some other class has."""
 
     def run(batches):
         for batch in batches:
@@ -243,11 +258,9 @@ def added_shingles(pairs: DataFrame, sets: DataFrame, lone: DataFrame) -> DataFr
                 extra.append(np.setdiff1d(x, own.values.to_numpy().view(np.uint64), assume_unique=True) if own.is_valid else x)
             row = pa.array(np.repeat(np.arange(len(extra)), [len(x) for x in extra]))
             h = np.concatenate(extra) if extra else np.zeros(0, np.uint64)
-            yield pa.record_batch({"pivot": batch.column("pivot").take(row), "id": batch.column("id").take(row), "h": pa.array(h.view(np.int64))})
+            yield pa.record_batch({"pivot": batch.column("right").take(row), "id": batch.column("left").take(row), "h": pa.array(h.view(np.int64))})
 
-    own = sets.select("id", F.col("items").alias("a")).join(lone, "id", "left")
-    d = pairs.join(own, "id").join(sets.select(F.col("id").alias("pivot"), F.col("items").alias("b")), "pivot")
-    return d.select("pivot", "id", "a", "b", "lone").mapInArrow(run, "pivot long, id long, h long")
+    return pairs.select("right", "left", "a", "b", "lone").mapInArrow(run, "pivot long, id long, h long")
 
 
 def large_group_links(large: DataFrame, classes: DataFrame, sets: DataFrame, links: DataFrame, threshold: tuple[int, int], least_equal: int) -> DataFrame:
@@ -264,7 +277,7 @@ def large_group_links(large: DataFrame, classes: DataFrame, sets: DataFrame, lin
     pivots = written(pivots.select("key", F.col("id").alias("pivot"), F.col("q").alias("pq"), F.col("reach").alias("preach"), "_r"), "minhash-pivots")
     lead = pivots.filter("_r = 1").select("key", "pivot")
     first = members.join(lead, "key").filter("id != pivot").select(F.col("id").alias("left"), F.col("pivot").alias("right")).distinct()
-    first = written(shared_counts(first, sets), "minhash-first", ROWS)
+    first = written(shared_counts(with_sets(first, sets)), "minhash-first", ROWS)
     near = members.join(pivots.filter("_r > 1"), "key").filter("id != pivot and q <= preach and pq <= reach")
     near = near.select(F.least("id", "pivot").alias("left"), F.greatest("id", "pivot").alias("right"))
     star = confirmed(written(plausible(near, classes, threshold, least_equal), "minhash-star"), sets, threshold)
@@ -276,19 +289,23 @@ def large_group_links(large: DataFrame, classes: DataFrame, sets: DataFrame, lin
     apart = first.select(F.col("left").alias("id"), F.col("right").alias("pivot"), (F.col("n_left") - F.col("both")).alias("added"), (F.col("n_right") - F.col("both")).alias("removed"))
     m = of_pivot.join(apart, ["id", "pivot"], "left").na.fill(0, ["added", "removed"]).join(parts, "id", "left")
     m = m.withColumns({"comp": F.coalesce("component", "id"), "d": F.col("added") + F.col("removed")})
-    m = m.withColumns({"least": F.col("d") - c * F.col("n") - 1e-6, "most": F.col("d") - 2 * F.col("q") + c * F.col("n")}).drop("component")
+    m = m.withColumns({"least": F.col("d") - c * F.col("n") - 1e-6, "most": F.col("d") - 2 * F.col("q") + c * F.col("n"), "v": c * F.col("n") - F.col("added") + 1e-6}).drop("component")
     # per pivot the two components that reach furthest: a class is open if one outside its own reaches it
-    ends = m.groupBy("pivot", "comp").agg(F.max("most").alias("most"))
-    one = ends.groupBy("pivot").agg(F.max(F.struct("most", "comp")).alias("one"))
-    two = ends.join(one, "pivot").filter("comp != one.comp").groupBy("pivot", "one").agg(F.max("most").alias("two"))
-    opened = m.join(two, "pivot").filter(F.when(F.col("comp") == F.col("one.comp"), F.col("two")).otherwise(F.col("one.most")) >= F.col("least")).drop("one", "two")
+    ends = m.groupBy("pivot", "comp").agg(F.max("most").alias("most"), F.max("v").alias("v"))
+    two = ends.groupBy("pivot").agg(*[F.max(F.struct(x, "comp")).alias(f"one_{x}") for x in ("most", "v")])
+    second = lambda x: F.max(F.when(F.col("comp") != F.col(f"one_{x}.comp"), F.col(x))).alias(f"two_{x}")
+    two = ends.join(two, "pivot").groupBy("pivot", "one_most", "one_v").agg(second("most"), second("v")).filter("two_most is not null")
+    outside = lambda x: F.when(F.col("comp") == F.col(f"one_{x}.comp"), F.col(f"two_{x}")).otherwise(F.col(f"one_{x}.{x}"))
+    # next to the pivot, or such that a component outside holds one that is
+    opened = m.join(two, "pivot").filter(outside("most") >= F.col("least")).withColumn("next", F.col("v") + outside("v") >= 0).drop("one_most", "one_v", "two_most", "two_v")
     opened = written(opened, "minhash-open")
     told = ("id", "comp", "n", "d", "added", "removed", "least", "most")
     both = F.expr("comp != _comp and least <= _most and _least <= most")
     # shingles that both add to the pivot's: what both lack of it covers the smaller of the two lacks at most
     need = (F.col("d") + F.col("_d") - c * (F.col("n") + F.col("_n"))) / 2 - F.least("removed", "_removed") - 1e-6
-    few = _next_to_pivot(opened, c, told, both & (need <= 0))
-    h = added_shingles(opened.select("id", "pivot"), sets, clean.select("id", "lone"))
+    few = _next_to_pivot(opened, told, both & (need <= 0))
+    own = sets.join(clean.select("id", "lone"), "id", "left")
+    h = added_shingles(with_sets(opened.select(F.col("id").alias("left"), F.col("pivot").alias("right")), sets, own))
     h = written(_rarest(written(h, "minhash-added", ROWS), opened, threshold).select("pivot", "h", *told), "minhash-prefix")
     many = h.join(h.select("pivot", "h", *[F.col(x).alias(f"_{x}") for x in told]), ["pivot", "h"]).filter((F.col("id") < F.col("_id")) & both & (need > 0)).select("id", "_id")
     rest = few.union(many).select(F.col("id").alias("left"), F.col("_id").alias("right"))
@@ -296,14 +313,9 @@ def large_group_links(large: DataFrame, classes: DataFrame, sets: DataFrame, lin
     return star.union(rest)
 
 
-def _next_to_pivot(opened: DataFrame, c: float, told: tuple[str, ...], both: Column) -> DataFrame:
+def _next_to_pivot(opened: DataFrame, told: tuple[str, ...], both: Column) -> DataFrame:
     """(id, _id): the pairs that pass ``both`` of ``opened`` of one pivot that may need no common addition to it: c n - added of the two sums to 0 or more, so one of them is next to the pivot."""
-    m = opened.withColumn("v", c * F.col("n") - F.col("added") + 1e-6)
-    reach = m.groupBy("pivot", "comp").agg(F.max("v").alias("v"))
-    one = reach.groupBy("pivot").agg(F.max(F.struct("v", "comp")).alias("one"))
-    two = reach.join(one, "pivot").filter("comp != one.comp").groupBy("pivot", "one").agg(F.max("v").alias("two"))
-    m = m.join(two, "pivot").filter(F.col("v") + F.when(F.col("comp") == F.col("one.comp"), F.col("two")).otherwise(F.col("one.v")) >= 0)
-    m = written(m.select("pivot", *told, "v"), "minhash-next")
+    m = opened.filter("next")
     # the side next to the pivot meets the whole of the other; both are dealt by parts, so that no pivot is one task
     part, parts = F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int"), F.explode(F.array(*[F.lit(i) for i in range(PARTS)]))
     near = m.filter("v >= 0").select("pivot", part.alias("part"), *told)
