@@ -3,24 +3,27 @@
 Parsing. The rolling hash of every ``ANCHOR``-byte string is a trigger where it is the least of a window of
 ``length - ANCHOR + 1`` neighbours, so every ``length``-byte string holds a trigger that depends on its bytes alone:
 its first least one. Equal strings stand at equal distance from equal triggers, and each string belongs to one
-trigger. A trigger with the bytes around it that its strings can touch is a phrase; the corpus is a sequence of
-phrases, and a phrase that occurs twice needs no look inside.
+trigger. The strings of a trigger fall into ``CELLS`` cells by their distance to it; those of a cell, with all their
+bytes, are a phrase. The dictionary is the distinct phrases, told apart by a 128-bit BLAKE2 digest of their bytes;
+the parse is the list of a text's phrases. The suffixes of a phrase that are its strings are in no other phrase of
+the text, so the dictionary's suffixes and the parse's counts give the corpus's strings.
 
-Order. A trigger's strings fall into cells by their distance to it; the bytes that all strings of a cell share are
-its core. Sorting the phrases of the cells by (core, phrase) brings equal ones together: all strings of a phrase found
-twice repeat. Only phrases found once, with a core found twice, are opened: their strings, and those of one copy of
-each repeated phrase of the core, sort by content, and equal neighbours repeat. That is the order of the corpus's
-suffixes by their first ``length`` bytes, restricted to where repeats can be.
+Suffix order. All strings of a phrase that the parse has twice repeat. A phrase found once shares strings only with
+phrases of the same core, the bytes that all strings of its cell have. So the dictionary is dealt by core, the phrases
+found once with one copy of each other phrase of the core; in each part a suffix array sorts their suffixes by
+content, and equal neighbours (a common prefix of ``length`` bytes or more) repeat. The parts together are the
+corpus order of all suffixes that can repeat, compared byte by byte.
 
-Strings are told apart by 64-bit rolling hashes with a second 64-bit check, triggers' phrases likewise.
+A core with more than ``GROUP`` phrases is too large for a part: its phrases are cut to single strings first, which
+are dealt by their own digest.
 
 Defined results: a null text is empty (0 bytes, the hash of nothing); texts under ``length`` bytes keep all;
 rows are texts of their own even with equal doc_id, also null; repeated rows repeat each other; an empty table
 gives no row.
 
-Shuffled are triggers (one in about (length - ANCHOR) / 2 bytes), the opened strings, and only those texts that a
-fixed-size Bloom filter lets through; no group is collected, counts are pre-aggregated, and hot triggers and
-phrases are joined as rows, which adaptive skew splitting can part.
+Shuffled are digests of phrases whose trigger occurs twice (triggers are one in about (length - ANCHOR) / 2 bytes),
+the bytes of the phrases to sort, and only those texts that a fixed-size Bloom filter lets through. Equal rows share
+their spans, which are distinct and merged before a text's list is formed, so a list is no longer than its text.
 """
 
 from __future__ import annotations
@@ -39,7 +42,10 @@ ANCHOR = 48
 #: Distances to a trigger fall into so many cells.
 CELLS = 4
 BASE2 = 0xD6E8FEB86659FD93
-#: Texts in one Arrow batch.
+#: Phrases of one core that one task sorts at most, and about so many phrases in a suffix array.
+GROUP = 2000
+SORTED = 1000
+#: Texts or phrases in one Arrow batch.
 ROWS = 2000
 #: Bytes of text that are hashed at a time.
 SLICE = 1 << 18
@@ -115,32 +121,37 @@ class Phrases:
         return mixed(self.one.of(at, at + ANCHOR) ^ self.two.of(at, at + ANCHOR) * np.uint64(3))
 
     def table(self) -> dict[str, np.ndarray]:
-        """Per run: the trigger's hash, the hashes of the cell's core and of the run's bytes, its row, and its strings' first start in the row and number."""
+        """Per run: the trigger's hash, the hash of the cell's core, its row, and its strings' first start in the slice, number and first distance to the trigger."""
         first, last = self.runs()
         at, a, b = self.at[first], self.start[first], self.start[last]
         cell = (at - a) // self.step
         low = at - cell * self.step
         high = low - self.step + 1 + self.length
-        stop = b + self.length
         core = mixed(self.one.of(low, high) + mixed(self.two.of(low, high) + cell.astype(np.uint64)))
-        shape = ((at - a).astype(np.uint64) << np.uint64(32)) ^ (b - a).astype(np.uint64)
-        phrase = mixed(self.one.of(a, stop) + mixed(self.two.of(a, stop) + shape))
-        return {"trigger": self.triggers(), "core": core, "phrase": phrase, "row": self.row[first], "begin": a - self.offsets[self.row[first]], "n": b - a + 1}
+        return {"trigger": self.triggers(), "core": core, "row": self.row[first], "at": a, "n": b - a + 1, "far": at - a}
+
+
+def digests(data: np.ndarray, start: np.ndarray, stop: np.ndarray, label: np.ndarray) -> pa.Array:
+    """128-bit digests of the ranges of ``data``, each with the number ``label`` beside it."""
+    raw, hashed = data.tobytes(), hashlib.blake2b
+    out = b"".join([hashed(raw[a:b], digest_size=16, salt=c.to_bytes(8, "big")).digest() for a, b, c in zip(start.tolist(), stop.tolist(), label.tolist(), strict=True)])
+    return pa.Array.from_buffers(pa.binary(16), len(start), [None, pa.py_buffer(out)]).cast(pa.binary())
 
 
 def phrases(texts: DataFrame, length: int, twice: Bits) -> DataFrame:
-    """(core, phrase, key, begin, n) of the runs of (key, text) whose trigger ``twice`` lets through."""
+    """(core, phrase, key, begin, n, far) of the runs of (key, text) whose trigger ``twice`` lets through; the parse."""
 
     def run(batches):
         for rows, data, offsets in slices(batches, "text", SLICE):
             t = Phrases(data, offsets, length).table()
             keep = np.flatnonzero(twice.has(t["trigger"]))
+            t = {k: v[keep] for k, v in t.items()}
             yield pa.record_batch({
-                "core": pa.array(t["core"][keep].view(np.int64)), "phrase": pa.array(t["phrase"][keep].view(np.int64)), "key": rows.column("key").take(pa.array(t["row"][keep])),
-                "begin": pa.array(t["begin"][keep].astype("int32")), "n": pa.array(t["n"][keep].astype("int32")),
+                "core": pa.array(t["core"].view(np.int64)), "phrase": digests(data, t["at"], t["at"] + t["n"] - 1 + length, t["far"]), "key": rows.column("key").take(pa.array(t["row"])),
+                "begin": pa.array((t["at"] - offsets[t["row"]]).astype("int32")), "n": pa.array(t["n"].astype("int32")), "far": pa.array(t["far"].astype("int32")),
             })
 
-    return texts.select("key", "text").mapInArrow(run, "core long, phrase long, key long, begin int, n int")
+    return texts.select("key", "text").mapInArrow(run, "core long, phrase binary, key long, begin int, n int, far int")
 
 
 def trigger_counts(texts: DataFrame, length: int) -> DataFrame:
@@ -177,44 +188,125 @@ def key_bits(keys: DataFrame) -> Bits:
     return Bits(keys.select("key").mapInArrow(run, "h long"), "h")
 
 
-def opened_strings(texts: DataFrame, phrases: DataFrame, length: int) -> DataFrame:
-    """(string, key, start, copy) of every string of the given runs (key, begin, n, copy)."""
-    wanted = phrases.groupBy("key").agg(F.collect_list(F.struct("begin", "n", "copy")).alias("wanted"))  # as many as the text has triggers
+def with_bytes(texts: DataFrame, phrases: DataFrame, length: int) -> DataFrame:
+    """``phrases`` (core, key, begin, n, far, copy) with their bytes."""
+    columns = ["core", "begin", "n", "far", "copy"]
+    wanted = phrases.groupBy("key").agg(F.collect_list(F.struct(*columns)).alias("wanted"))  # as many as the text has triggers and cells
 
     def run(batches):
         for rows, data, offsets in slices(batches, "text", SLICE):
-            one, two = Rolling(data), Rolling(data, BASE2)
-            lists = rows.column("wanted")
+            lists, raw = rows.column("wanted"), data.tobytes()
             row = np.repeat(np.arange(len(rows)), np.diff(lists.offsets.to_numpy()))
             flat = lists.flatten()
-            begin, n, copy = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(3))
-            which = np.repeat(np.arange(len(n)), n)
-            start = begin[which] + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-            at = start + offsets[row[which]]
-            string = mixed(one.of(at, at + length) + mixed(two.of(at, at + length)))
-            yield pa.record_batch({"string": pa.array(string.view(np.int64)), "key": rows.column("key").take(pa.array(row[which])), "start": pa.array(start.astype("int32")), "copy": pa.array(copy[which])})
+            begin, n = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (1, 2))
+            at = begin + offsets[row]
+            made = {"key": rows.column("key").take(pa.array(row))} | {c: flat.field(i) for i, c in enumerate(columns)}
+            yield pa.record_batch(made | {"bytes": pa.array([raw[a:b] for a, b in zip(at.tolist(), (at + n - 1 + length).tolist(), strict=True)], pa.binary())})
 
     bits = key_bits(phrases)
     d = passing(texts.select("key", "text"), bits, True).join(wanted, "key")
-    return d.select("key", "text", "wanted").mapInArrow(run, "string long, key long, start int, copy boolean")
+    return d.select("key", "text", "wanted").mapInArrow(run, "key long, core long, begin int, n int, far int, copy boolean, bytes binary")
+
+
+def repeated_suffixes(data: bytes, at: np.ndarray, n: np.ndarray, group: np.ndarray, far: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(phrase, place, repeats) for each string of the phrases that begin at ``at`` in ``data`` with ``n`` strings each.
+
+    A suffix array of the phrases: the strings sort by (group, distance to the trigger, content) and equal neighbours repeat.
+    """
+    which = np.repeat(np.arange(len(n)), n)
+    place = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+    record = np.empty((len(which), length + 12), np.uint8)
+    record[:, :8] = group[which].astype(">i8").view(np.uint8).reshape(-1, 8)
+    record[:, 8:12] = (far[which] - place).astype(">i4").view(np.uint8).reshape(-1, 4)
+    record[:, 12:] = np.lib.stride_tricks.sliding_window_view(np.frombuffer(data, np.uint8), length)[at[which] + place]
+    order = np.argsort(record.view(f"V{length + 12}").ravel(), kind="stable")
+    same = (record[order[1:]] == record[order[:-1]]).all(1)
+    twice = np.zeros(len(which), bool)
+    twice[order[1:][same]] = True
+    twice[order[:-1][same]] = True
+    return which, place, twice
+
+
+def runs_of(twice: np.ndarray, which: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(phrase, first place, number) of the runs of consecutive repeated strings."""
+    hit = np.flatnonzero(twice)
+    new = np.ones(len(hit), bool)
+    new[1:] = (np.diff(hit) != 1) | (which[hit[1:]] != which[hit[:-1]])
+    first = np.flatnonzero(new)
+    return which[hit[first]], place[hit[first]], np.diff(np.concatenate([first, [len(hit)]]))
+
+
+def sorted_parts(opened: DataFrame, length: int) -> DataFrame:
+    """(key, begin, n): repeated strings of the phrases (core, key, begin, n, far, copy, bytes), by suffix arrays of whole cores."""
+
+    def judged(rows: pa.Table):
+        cols = {c: rows.column(c).combine_chunks() for c in rows.column_names}
+        n, far, core = (cols[c].to_numpy(zero_copy_only=False).astype(np.int64) for c in ("n", "far", "core"))
+        raw = cols["bytes"].to_pylist()
+        ends = np.cumsum([len(x) for x in raw])
+        which, place, twice = repeated_suffixes(b"".join(raw), np.concatenate([[0], ends[:-1]]), n, core, far, length)
+        twice &= ~cols["copy"].to_numpy(zero_copy_only=False).astype(bool)[which]
+        phrase, first, count = runs_of(twice, which, place)
+        begin = cols["begin"].to_numpy(zero_copy_only=False)[phrase] + first
+        return pa.record_batch({"key": cols["key"].take(pa.array(phrase)), "begin": pa.array(begin.astype("int32")), "n": pa.array(count.astype("int32"))})
+
+    def run(batches):
+        held, rows = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            rows += batch.num_rows
+            if rows < SORTED:
+                continue
+            table = pa.Table.from_batches(held)
+            core = table.column("core").to_numpy()
+            cut = int(np.searchsorted(core, core[-1], "left"))  # the last core may go on
+            if cut:
+                yield judged(table.slice(0, cut))
+                held, rows = table.slice(cut).to_batches(), len(core) - cut
+        if rows:
+            yield judged(pa.Table.from_batches(held))
+
+    parts = opened.repartition("core").sortWithinPartitions("core")
+    return parts.select("core", "key", "begin", "n", "far", "copy", "bytes").mapInArrow(run, "key long, begin int, n int")
+
+
+def single_strings(opened: DataFrame, length: int) -> DataFrame:
+    """(string, key, begin, copy) of every string of the phrases (core, key, begin, n, far, copy, bytes), with its digest."""
+
+    def run(batches):
+        for batch in batches:
+            n, far, begin = (batch.column(c).to_numpy().astype(np.int64) for c in ("n", "far", "begin"))
+            raw = batch.column("bytes").to_pylist()
+            ends = np.cumsum([len(x) for x in raw])
+            which = np.repeat(np.arange(len(n)), n)
+            place = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+            at = (ends - [len(x) for x in raw])[which] + place if len(which) else which
+            string = digests(np.frombuffer(b"".join(raw), np.uint8), at, at + length, far[which] - place)
+            yield pa.record_batch({"string": string, "key": batch.column("key").take(pa.array(which)), "begin": pa.array((begin[which] + place).astype("int32")), "copy": batch.column("copy").take(pa.array(which))})
+
+    return opened.select("key", "begin", "n", "far", "copy", "bytes").mapInArrow(run, "string binary, key long, begin int, copy boolean")
 
 
 def repeated_spans(texts: DataFrame, length: int = LENGTH) -> DataFrame:
     """(key, begin, n): strings of ``length`` bytes that start at begin, begin + 1, ..., n of them, and start elsewhere too; of (key, text)."""
     counts = trigger_counts(texts, length).groupBy("trigger").agg(F.sum("c").alias("c")).filter("c > 1").select("trigger")
-    found = written(phrases(texts, length, Bits(written(counts, "pfp-triggers"), "trigger")), "pfp-phrases", ROWS)
-    kinds = found.groupBy("core", "phrase").agg(F.count("*").alias("c"), F.min(F.struct("key", "begin", "n")).alias("f"))
-    kinds = written(kinds, "pfp-kinds")
-    again = kinds.filter("c > 1")
-    whole = found.join(again.select("core", "phrase"), ["core", "phrase"], "left_semi").select("key", "begin", "n")
+    parse = written(phrases(texts, length, Bits(written(counts, "pfp-triggers"), "trigger")), "pfp-parse", ROWS)
+    dictionary = parse.groupBy("core", "phrase").agg(F.count("*").alias("c"), F.min(F.struct("key", "begin", "n", "far")).alias("f"))
+    dictionary = written(dictionary, "pfp-dictionary")
+    whole = parse.join(dictionary.filter("c > 1").select("phrase"), "phrase", "left_semi").select("key", "begin", "n").distinct()
     # cores of two phrases or more, one of them found once
-    cores = kinds.groupBy("core").agg(F.count("*").alias("m"), F.min("c").alias("least")).filter("m > 1 and least = 1").select("core")
-    opened = kinds.join(cores, "core", "left_semi").select("f.*", (F.col("c") > 1).alias("copy"))
-    strings = opened_strings(texts, written(opened, "pfp-open"), length)
-    strings = written(strings, "pfp-strings", ROWS)
+    cores = dictionary.groupBy("core").agg(F.count("*").alias("m"), F.min("c").alias("least")).filter("m > 1 and least = 1").select("core", "m")
+    opened = dictionary.join(cores, "core").select("core", "m", "f.*", (F.col("c") > 1).alias("copy"))
+    opened = written(opened, "pfp-open")
+    with_text = written(with_bytes(texts, opened.drop("m"), length), "pfp-bytes", ROWS)
+    large = opened.filter(F.col("m") > GROUP).select("core").distinct()
+    part = sorted_parts(with_text.join(large, "core", "left_anti"), length)
+    strings = written(single_strings(with_text.join(large, "core", "left_semi"), length), "pfp-strings", ROWS)
     twice = strings.groupBy("string").agg(F.count("*").alias("c")).filter("c > 1").select("string")
-    part = strings.filter("not copy").join(twice, "string", "left_semi").select("key", F.col("start").alias("begin"), F.lit(1).alias("n"))
-    return whole.union(part)
+    single = strings.filter("not copy").join(twice, "string", "left_semi").select("key", "begin", F.lit(1).alias("n"))
+    return whole.union(part).union(single)
 
 
 def removed_runs(begin: np.ndarray, n: np.ndarray, length: int) -> list[tuple[int, int]]:
@@ -230,7 +322,7 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, keep: list[str] | None =
     """Columns ``keep`` of ``docs`` (doc_id by default) with n_bytes, n_removed, n_spans, kept_sha256 and, if ``texts``, kept (what stays, without characters cut in two)."""
     keep = ["doc_id"] if keep is None else keep
     rows = docs.withColumns({"key": F.xxhash64("doc_id", "text"), "text": F.coalesce("text", F.lit(""))})
-    spans = written(repeated_spans(rows, length), "pfp-spans")
+    spans = written(repeated_spans(rows, length), "pfp-spans", ROWS)
     spans = spans.groupBy("key").agg(F.collect_list(F.struct("begin", "n")).alias("spans"))  # as many as the text has strings
     bits = key_bits(spans)
 
@@ -262,4 +354,5 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, keep: list[str] | None =
         schema = schema.add(name, kind)
     clean = passing(d, bits, False).mapInArrow(run, schema)
     rest = passing(d, bits, True).join(spans, "key", "left").mapInArrow(run, schema)
-    return clean.union(rest)
+    out = clean.union(rest)
+    return out if texts else written(out, "pfp-cut", ROWS)

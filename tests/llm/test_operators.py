@@ -90,7 +90,7 @@ def test_minimum_cut():
         assert math.isclose(cost(html.minimum_cut(scores, edges)), min(map(cost, itertools.product([False, True], repeat=n))), abs_tol=1e-6)
 
 
-def test_suffix(spark, docs):
+def check_suffix(docs):
     rows = [(r.doc_id, (r.text or "").encode()) for r in docs.collect()]
     seen = Counter(b[j : j + 200] for _, b in rows for j in range(len(b) - 199))
     want = Counter()
@@ -102,9 +102,36 @@ def test_suffix(spark, docs):
         left = bytes(x for x, m in zip(b, mark, strict=True) if not m)
         want[i, len(b), sum(mark), len(re.findall(b"\1+", bytes(mark))), hashlib.sha256(left).hexdigest()] += 1
     assert Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.cut_repeats(docs).collect()) == want
+    return want
+
+
+def test_suffix(spark, docs):
+    check_suffix(docs)
     assert suffix.cut_repeats(empty(spark)).count() == 0
 
 
+@pytest.mark.parametrize(("group", "batch"), [(2000, 1000), (2000, 3), (2, 1000), (0, 1)])
+def test_suffix_arrays(spark, monkeypatch, group, batch):
+    """Passages of 190 to 320 bytes in many places of different texts, with changed bytes, beside 300 equal rows; both ways of sorting."""
+    import random
+
+    monkeypatch.setattr(suffix, "GROUP", group)
+    monkeypatch.setattr(suffix, "SORTED", batch)
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcdefgh \n") for _ in range(n))
+    passage = word(320)
+    rows = []
+    for i in range(40):
+        a, b = rng.choice([(0, 320), (0, 260), (40, 320), (30, 229), (30, 230), (30, 231)])
+        part = list(passage[a:b])
+        if i % 3 == 0:
+            part[rng.randrange(len(part))] = "Z"
+        rows.append((i, word(rng.randrange(200)) + "".join(part) + word(rng.randrange(200)), "x"))
+    rows += [(77, word(500) + passage[:150], "x")] * 300 + [(78, "ab" * 3000, "x"), (79, "c" * 199, "x"), (80, "c" * 200, "x"), (81, None, None), (None, "", None)]
+    want = check_suffix(spark.createDataFrame(rows, "doc_id long, text string, key string"))
+    assert sum(x[2] > 0 for x in want) > 20
+
+
 def test_language(spark, docs):
     got = langid.language_of(docs).collect()
     assert len(got) == docs.count()
