@@ -11,7 +11,7 @@ Defined results
 * an empty table gives no row; columns other than the four read are ignored
 
 The prefix keys are two 64-bit hashes, combined by xor over (place, role, text); only they are shuffled.
-The text moves once, for the conversations that stay. A rendered conversation is one row, so its turns meet
+The text moves once, and is gathered only for the conversations that stay. A rendered conversation is one row, so its turns meet
 in one task; nothing else collects a group.
 """
 
@@ -51,7 +51,9 @@ def render_chats(conversations: DataFrame, template: tuple[str, str] = TEMPLATE)
     kept = maximal_conversations(turns)
     head, tail = template
     before, after = head.split("{role}")
-    lines = turns.select(F.col("conv_id").alias("c"), F.struct("turn", "role", "text").alias("t"))
-    whole = lines.groupBy("c").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    # a struct is equal to itself even if the id in it is null, so join and grouping share one shuffle of the text
+    lines = turns.select(F.struct("conv_id").alias("c"), F.struct("turn", "role", "text").alias("t"))
+    lines = lines.join(kept.select(F.struct("conv_id").alias("c"), "n_turns", "n_copies"), "c")
+    whole = lines.groupBy("c").agg(F.first("n_turns").alias("n_turns"), F.first("n_copies").alias("n_copies"), F.sort_array(F.collect_list("t")).alias("turns"))
     text = F.array_join(F.transform("turns", lambda t: F.concat(F.lit(before), t["role"], F.lit(after), t["text"], F.lit(tail))), "")
-    return whole.join(kept, F.col("c").eqNullSafe(F.col("conv_id"))).select("conv_id", "n_turns", "n_copies", text.alias("text"))
+    return whole.select("c.conv_id", "n_turns", "n_copies", text.alias("text"))
