@@ -37,6 +37,9 @@ def test_chat(spark):
     assert got.keys() == {2, 4, 5, None}
     assert got[2][:2] == (3, 2)
     assert got[4][2] == "<|user|>\n\n<|end|>\n"
+    clash = spark.createDataFrame([(i, t, r, x, 5, "z") for i, t, r, x in rows], "conv_id long, turn long, role string, text string, n_turns int, c string")
+    assert {r.conv_id: (r.n_turns, r.n_copies, r.text) for r in chat.render_chats(clash).collect()} == got
+    assert got[None][2] == "<|user|>\nlone\n<|end|>\n"
     assert chat.render_chats(empty(spark, "conv_id long, turn long, role string, text string")).count() == 0
 
 
@@ -169,6 +172,35 @@ def test_mined_rules(spark):
     assert [r.url for r in hit.collect()] == ["u1"]
 
 
+def test_mined_rules_are_minimal_and_as_counted(spark):
+    """Against a count of all combinations: block rules by confidence and support, without those that hold a smaller one."""
+    import itertools
+    import random
+
+    rng = random.Random(4)
+    rows = [(t, (rng.random() < 0.1) != ({"a", "b"} <= set(t) or "c" in t)) for t in (sorted(rng.sample("abcdef", rng.randint(1, 5))) for _ in range(200))]
+    part, blocked = Counter(), Counter()
+    for t, bad in rows:
+        for n in range(1, 6):
+            for c in itertools.combinations(t, n):
+                part[c] += 1
+                blocked[c] += bad
+    good = {c for c in part if blocked[c] >= 10 and blocked[c] >= 0.7 * part[c]}
+    want = sorted(list(c) for c in good if not any(set(d) < set(c) for d in good))
+    got = urls.mine_rules(spark.createDataFrame(rows, "tokens array<string>, blocked boolean"), 0.05, 0.7)
+    assert want and sorted(r.antecedent for r in got.collect()) == want
+
+
+def test_urls_judged_by_rules_of_covered_ones(spark):
+    rows = [(i, f"http://x{i}.org/es/{i}") for i in range(20)] + [(50 + i, f"http://x{i}.net/de/{i}") for i in range(20)] + [(100, "http://new.org/fr/1"), (101, "http://new.net/fr/1"), (102, "http://new.info/fr/1")]
+    d = spark.createDataFrame([(i, u, "h", "r", "t") for i, u in rows], "page_id long, url string, host string, rule string, tokens string")
+    got = {r.page_id: r for r in urls.filter_urls(d).collect()}
+    assert len(got) == len(rows)
+    assert got[0].verdict == "block" and got[50].verdict == "allow"
+    assert got[100].verdict == "block" and got[100].mined == "h:org" and got[101].verdict == got[102].verdict == "allow"
+    assert urls.filter_urls(d.limit(0)).count() == 0
+
+
 def test_licenses(spark):
     rows = [(1, "x\nReleased under the MIT License.\nCC-BY cc by"), (2, None), (3, "Permission is hereby granted, free of charge, to any person obtaining copies of this software and associated documentation files"), (4, "the mit licenses"), (5, "GNU\tGeneral  Public-License")]
     got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
@@ -324,6 +356,53 @@ def test_tiling():
     assert decontam.tiles(np.zeros(50, np.uint64), np.zeros(20, np.uint64), 5) == 20
 
 
+def tiled(text, item, least):
+    """Greedy string tiling by its definition: the longest common free stretch first, then the earliest in item and text."""
+    least = max(1, min(least, len(item)))
+    used_t, used_p = [False] * len(text), [False] * len(item)
+    while True:
+        best = (0, 0, 0)
+        for i in range(len(item)):
+            for j in range(len(text)):
+                n = 0
+                while i + n < len(item) and j + n < len(text) and item[i + n] == text[j + n] and not used_p[i + n] and not used_t[j + n]:
+                    n += 1
+                if n > best[0]:
+                    best = (n, i, j)
+        n, i, j = best
+        if n < least or not n:
+            return sum(used_p)
+        used_p[i : i + n] = [True] * n
+        used_t[j : j + n] = [True] * n
+
+
+def test_tiling_against_its_definition():
+    import random
+
+    import numpy as np
+
+    rng = random.Random(6)
+    for _ in range(150):
+        words = rng.choice([2, 3, 8])
+        text, item = ([rng.randrange(words) for _ in range(rng.randint(0, 40))] for _ in range(2))
+        if item and rng.random() < 0.5:
+            at = rng.randrange(len(item))
+            text += item[at:] + item[:at]
+        assert decontam.tiles(np.array(text, np.uint64), np.array(item, np.uint64), 3) == tiled(text, item, 3)
+    same = np.zeros(4000, np.uint64)
+    assert decontam.tiles(same, same[:3000], 5) == 3000
+
+
+def test_short_items_and_odd_rows(spark):
+    """Items shorter than a seed match as a whole; empty and null rows match nothing; clashing names are ignored."""
+    bench = spark.createDataFrame([(1, "Quartz Zebra", 0), (2, "", 0), (3, None, 0), (4, "one", 0), (5, "a b c d e f g h", 0)], "item_id long, text string, words int")
+    rows = [(1, "the quartz, zebra ran"), (2, "zebra quartz"), (3, None), (4, ""), (5, "One"), (6, "f g h a b c d e"), (6, "f g h a b c d e"), (None, "x " * 9000 + "quartz zebra")]
+    d = spark.createDataFrame([(i, t, "k", 1) for i, t in rows], "doc_id long, text string, key string, n_words int")
+    got = sorted((r.doc_id or 0, r.item_id, r.covered, r.contaminated) for r in decontam.contaminated(d, bench).collect())
+    assert got == sorted([(1, 1, 2, True), (2, None, 0, False), (3, None, 0, False), (4, None, 0, False), (5, 4, 1, True), (6, 5, 5, False), (6, 5, 5, False), (0, 1, 2, True)], key=lambda x: x[0])
+    assert decontam.contaminated(d.limit(0), bench).count() == 0
+
+
 def test_decontamination(spark, docs):
     bench = spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
     first = bench.filter("length(text) > 120").orderBy("item_id").first()
