@@ -87,7 +87,7 @@ m as (select doc_id, text, len(w)::bigint as n_words, length(regexp_replace(text
     length(regexp_replace(text, '[^!]+', '', 'g')) as bang from w left join c using (r)),
 b as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from m)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  not (base_failed or 100 * n_symbols > 10 * n_words or 100 * n_dup_lines > 60 * n_lines or word_chars < 3 * n_words or word_chars > 12 * n_words
+  not (base_failed or 100 * n_symbols > 10 * n_words or 100 * n_dup_lines > 30 * n_lines or word_chars < 3 * n_words or word_chars > 12 * n_words
     or 100 * n_repeat_words > 30 * n_words or up > low or 10 * bang > n_words or 2 * (up + low) < word_chars) as kept from b
 """,
 }

@@ -60,9 +60,22 @@ def test_quality(spark, docs):
 
 
 def test_cascade_order(spark):
-    sample = spark.createDataFrame([(i,) for i in range(10)], "x int")
-    found = {"dear": (F.col("x") < 6, F.lit(100)), "cheap": (F.col("x") < 3, F.lit(1)), "never": (F.lit(False), F.lit(1))}
-    assert quality.cascade_order(sample, found) == ["cheap", "dear", "never"]
+    """The order follows rejection per cost; costs are taken by running each rule, shares exactly."""
+    assert quality.cascade_order({"dear": (0.6, 1.0), "cheap": (0.3, 0.1), "never": (0.0, 0.1), "same": (0.3, 0.11)}) == ["cheap", "same", "dear", "never"]
+    sample = spark.createDataFrame([(i, "word " * 20000) for i in range(10)], "x int, text string")
+    found = {"dear": (F.length(F.regexp_replace("text", "[^!]+", "")) > 0) | (F.col("x") < 6), "cheap": F.col("x") < 3}
+    got = quality.rejected_and_cost(sample, found)
+    assert got["dear"][0] == 0.6 and got["cheap"][0] == 0.3 and got["dear"][1] > got["cheap"][1]
+    assert quality.cascade_order(quality.rejected_and_cost(sample.limit(0), found)) == ["cheap", "dear"]
+
+
+def test_quality_rules_reject_and_keep(spark):
+    good = " ".join(f"word{i} other" for i in range(60)) + "."
+    bad = {"symbols": good + " ###" * 20, "duplicate_lines": good + "\nsame line here\nsame line here\nsame line here", "shouting": good.upper(), "exclamations": good + "!" * 30, "few_letters": " ".join(str(10000 + i) for i in range(100)), "word_length": " ".join("x" * 14 + f"{i}y" for i in range(100))}
+    d = spark.createDataFrame([(i, t, 7) for i, t in enumerate([good, *bad.values()])], "doc_id long, text string, n_words int")
+    got = {r.doc_id: (r.kept, r.failed_rule) for r in quality.quality_cascade(d).collect()}
+    assert got.pop(0) == (True, None)
+    assert not any(kept for kept, _ in got.values()) and {f for _, f in got.values()} == set(bad)
 
 
 def test_html():
