@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows of ``docs`` and returns a DataFrame; all but the last
 return the columns of ``documents``. ``run`` writes every stage to the shared folder and reads it back, so a lost
-executor costs one stage at most.
+executor costs one stage at most. Texts pass Python in Arrow batches of a few MB: stages lower the session's
+``spark.sql.execution.arrow.maxBytesPerBatch`` where it is higher.
 
 Every stage: an empty table gives an empty one; columns of ``docs`` beyond the five of ``documents`` are left out,
 whatever their names; repeated rows are rows of their own; null ids and sources stay null.
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sigmaloom.functions.work import written
+from sigmaloom.functions.work import bound_batches, written
 from sigmaloom.llm import decontam, langid, minhash, mixing, suffix
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -24,6 +25,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     Texts that are null or without a letter go; equal likelihoods take the first language in code point order.
     """
+    bound_batches(spark)
     model = langid.train(docs.filter(~langid.held_out()))
     kept = [c for c in COLUMNS if c != "text"]
 
@@ -52,6 +54,7 @@ def repeated_string_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
     Null texts become empty ones; a text that is repeated as a whole stays as an empty one.
     """
+    bound_batches(spark)
     cut = suffix.cut_repeats(docs, keep=["doc_id", "lang", "source", "n_chars", "text"])
     text = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.col("kept"))
     return cut.select("doc_id", text.alias("text"), "lang", "source", F.length(text).cast("long").alias("n_chars"))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 #: Bytes and, on request, rows of an Arrow batch while a work table is written.
 ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 _LOCK = threading.RLock()
 
 
@@ -42,6 +42,12 @@ def small_batches(spark: SparkSession, rows: int | None = None):
                 spark.conf.set(k, v)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds the bytes of Arrow batches for the session, for results that the caller writes; a lower setting stays."""
+    if int(spark.conf.get(ARROW_BYTES).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(ARROW_BYTES, str(BATCH_BYTES))
+
+
 def written(df: DataFrame, name: str, arrow_rows: int | None = None) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back: it cuts the lineage and survives lost executors.
 
