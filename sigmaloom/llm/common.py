@@ -49,7 +49,7 @@ class Bits:
         return out
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 19) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 18) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Pieces of the batches with about ``limit`` bytes of text each (one long text makes a piece of its own).
 
     Yields (rows, bytes of all texts of the piece in one array, offsets of the rows in it); a null text is empty.
