@@ -39,7 +39,7 @@ from .common import LOWER, NOT_SPACE, Bits, Rolling, mixed, slices, word_spans,
 
 SIDE, DEPTH = 8, 2
 SMALL = 16
-PIVOTS = 4
+PIVOTS = 2
 #: Parts among which the classes next to a pivot are dealt.
 PARTS = 8
 #: Partners of a pivot in a part.
