@@ -1,6 +1,6 @@
 """The driver's tables as a corpus of formulas, once for Spark and once as SQL for the oracle.
 
-A source is a chapter, a document a formula; its first words are its symbols. ``position`` is the rank in the chapter,
+A source is a chapter, a document a formula; the distinct words of its whole text are its symbols. ``position`` is the rank in the chapter,
 ``number`` pairs neighbours as 1a, 1b. The context cites an earlier equation and explains a word.
 """
 
@@ -9,26 +9,45 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.work import written
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+#: Ids in a bucket while rows are ranked.
+BUCKET = 20_000
+
+
+def ranked(rows: DataFrame, group: str, order: str) -> DataFrame:
+    """``rows`` with position: their rank from 0 in ``group`` by the whole number ``order``.
+
+    Rows are ranked within buckets of ids and offset by the counts of the buckets before, so a large group is many tasks.
+    """
+    rows = rows.withColumn("_bucket", F.floor(F.col(order) / BUCKET))
+    counts = rows.groupBy(group, "_bucket").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select(F.col(group).alias("_g"), F.col("_bucket").alias("_b"), F.coalesce(before, F.lit(0)).alias("_before"))
+    rank = F.row_number().over(Window.partitionBy(group, "_bucket").orderBy(order)) - 1
+    out = rows.withColumn("_rank", rank).join(counts, F.col(group).eqNullSafe(F.col("_g")) & F.col("_bucket").eqNullSafe(F.col("_b")))
+    return out.withColumn("position", (F.col("_rank") + F.col("_before")).cast("long")).drop("_bucket", "_rank", "_before", "_g", "_b")
+
+
 def corpus(spark: SparkSession, folder: str) -> DataFrame:
     """formulas(formula_id, raw_id, chapter_id, chapter, position, label, words, latex, context_text, conf, lang)."""
-    d = table(spark, folder, "documents").select("doc_id", "lang", "source", F.expr("array_distinct(slice(regexp_extract_all(lower(text), '[a-z]{3,}', 0), 1, 12))").alias("words"))
+    d = table(spark, folder, "documents").select("doc_id", "lang", "source", F.expr("array_distinct(regexp_extract_all(lower(text), '[a-z]{3,}', 0))").alias("words"))
     quality = table(spark, folder, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     d = d.join(quality, "doc_id", "left")
-    order = Window.partitionBy("source").orderBy("doc_id")
-    d = d.withColumns({"chapter": F.expr("cast(substring(source, 4) as int) + 1"), "position": (F.row_number().over(order) - 1).cast("long")})
+    d = ranked(d, "source", "doc_id").withColumn("chapter", F.expr("cast(substring(source, 4) as int) + 1"))
     number = lambda p: f"concat(chapter, '.', {p} div 2 + 1, case when {p} % 2 = 0 then 'a' else 'b' end)"
     d = d.withColumns({"raw_id": F.expr(number("position")), "cited": F.expr(number("(position div 2)"))})
-    return d.select(
+    d = d.select(
         F.concat(F.lit("formula_"), "raw_id").alias("formula_id"), "raw_id", F.concat(F.lit("chapter"), "chapter").alias("chapter_id"), "chapter", "position",
         F.concat(F.lit("Formula "), "raw_id").alias("label"), "words", F.concat_ws(" ", "words").alias("latex"),
         F.expr("concat('Equation ', cited, '. ', array_join(words, ' '), ' where ', coalesce(get(words, 1), 'x'), ' is ', coalesce(get(words, 2), 'y'), '.')").alias("context_text"),
         F.expr("case quality when 1 then 90 when 0 then 60 else 80 end").cast("long").alias("conf"), "lang", "doc_id",
     )
+    return written(d, "corpus")
 
 
 CORPUS = """
@@ -39,7 +58,7 @@ corpus as (
     cast(case quality when 1 then 90 when 0 then 60 else 80 end as bigint) as conf, lang, doc_id
   from (select *, chapter || '.' || (position // 2 + 1) || (case when position % 2 = 0 then 'a' else 'b' end) as raw_id from (
     select d.doc_id, lang, cast(substr(source, 4) as int) + 1 as chapter, row_number() over (partition by source order by d.doc_id) - 1 as position, quality,
-      (select list(w order by i) from (select w, min(i) as i from (select unnest(x) as w, generate_subscripts(x, 1) as i from (select list_slice(regexp_extract_all(lower(text), '[a-z]{3,}'), 1, 12) as x)) group by w)) as words
+      (select list(w order by i) from (select w, min(i) as i from (select unnest(x) as w, generate_subscripts(x, 1) as i from (select regexp_extract_all(lower(text), '[a-z]{3,}') as x)) group by w)) as words
     from documents d left join (select doc_id, max(quality) as quality from labels group by doc_id) l on l.doc_id = d.doc_id))),
 occ as (
   select formula_id, chapter_id, chapter, position, w as symbol, case when substr(w, length(w), 1) = 's' then substr(w, 1, length(w) - 1) else w end as canonical, substr(w, 1, 4) as family, i - 1 as ordinal, i = 1 as defines
