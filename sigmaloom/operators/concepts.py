@@ -6,6 +6,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Wordings of generated copy that must not be published.
+UNSAFE_COPY = [
+    "由当前支撑公式引入", "局部数学量", "当前公式涉及", "背景概念", "概念定义", "教材引入", "待审阅", "上下文线索", "由邻近段落支撑",
+    "(?i)local mathematical quantity", "(?i)supporting formula", "(?i)local formula context", "帮你把符号", "标记的是", "(?i)places the symbol back", "(?i)marks the object",
+]
+
+
 def teaching_move(texts: DataFrame, patterns: DataFrame) -> DataFrame:
     """(id, move, sentence): of texts(id, text) the first pattern(ordinal, pattern, move) that a sentence matches, at its first sentence; else none and the first sentence; up to 210 characters."""
     s = texts.select("id", F.posexplode(F.filter(F.transform(F.split("text", r"[.!?]\s+|\n"), F.trim), lambda x: x != "")).alias("pos", "sentence"))
@@ -61,7 +68,7 @@ def calibration_overlay(concepts: DataFrame, curated: DataFrame, available: Data
 def review_merge(concepts: DataFrame, reviewed: DataFrame) -> DataFrame:
     """concepts(key, concept_id, name, status) keeping name and status of reviewed rows with real work, by key, else by concept id."""
     r = reviewed.filter("status != 'unreviewed'")
-    by_key = r.select(F.col("key").alias("_k"), F.struct("name", "status").alias("a")).dropDuplicates(["_k"])
+    by_key = r.groupBy(F.col("key").alias("_k")).agg(F.min(F.struct("name", "status")).alias("a"))
     by_id = r.groupBy(F.col("concept_id").alias("_i")).agg(F.min(F.struct("key", "name", "status")).alias("b"))
     d = concepts.join(by_key, F.col("key") == F.col("_k"), "left").join(by_id, F.col("concept_id") == F.col("_i"), "left")
     return d.select("key", "concept_id", F.coalesce("a.name", "b.name", "name").alias("name"), F.coalesce("a.status", "b.status", "status").alias("status"))
@@ -97,7 +104,7 @@ def release_consistency(index: DataFrame, views: DataFrame, search: DataFrame) -
 
 def view_lint(views: DataFrame, generic: list[str]) -> DataFrame:
     """(id, violation), one row each, of views(id, name, definition)."""
-    checks = [("missing_name", F.trim(F.coalesce("name", F.lit(""))) == ""), ("generic_name", F.lower("name").isin(generic)), ("missing_definition", F.trim(F.coalesce("definition", F.lit(""))) == ""), ("unsafe_copy", F.coalesce(F.lower("definition").rlike("placeholder|todo|lorem"), F.lit(False)))]
+    checks = [("missing_name", F.trim(F.coalesce("name", F.lit(""))) == ""), ("generic_name", F.lower("name").isin(generic)), ("missing_definition", F.trim(F.coalesce("definition", F.lit(""))) == ""), ("unsafe_copy", F.coalesce(F.col("definition").rlike("|".join(f"(?:{x})" for x in UNSAFE_COPY)), F.lit(False)))]
     found = F.array_compact(F.array(*[F.when(bad, F.lit(name)) for name, bad in checks]))
     return views.select("id", F.explode(found).alias("violation"))
 

@@ -70,14 +70,25 @@ def earlier_chapter_candidates(uses: DataFrame, senses: DataFrame) -> DataFrame:
 
 def family_candidates(uses: DataFrame, senses: DataFrame, mode: str = "demote", min_targets: int = 3) -> DataFrame:
     """Earlier formulas of the chapter that define a symbol of the same family; ``review`` leaves out equal symbols. (formula_id, symbol, n_targets, last_target)."""
+    if mode == "demote":
+        return _earlier_in_family(uses, senses).filter(F.col("n_targets") >= min_targets)
     s = senses.select(F.col("chapter_id").alias("_ch"), F.col("family").alias("_f"), F.col("symbol").alias("_s"), F.col("canonical").alias("_c"), F.col("position").alias("_p"), F.col("formula_id").alias("target_id"))
-    on = (F.col("chapter_id") == F.col("_ch")) & (F.col("family") == F.col("_f")) & (F.col("_p") < F.col("position"))
-    if mode == "review":
-        on = on & (F.col("canonical") != F.col("_c"))
+    on = (F.col("chapter_id") == F.col("_ch")) & (F.col("family") == F.col("_f")) & (F.col("_p") < F.col("position")) & (F.col("canonical") != F.col("_c"))
     found = uses.join(s, on).groupBy("formula_id", "symbol").agg(F.countDistinct("target_id").alias("n_targets"), F.max_by("target_id", F.struct("_p", "target_id")).alias("last_target"))
     return found.filter(F.col("n_targets") >= min_targets)
 
 
+def _earlier_in_family(uses: DataFrame, senses: DataFrame) -> DataFrame:
+    """(formula_id, symbol, n_targets, last_target): running count and last of the formulas of a family by position, without pairs."""
+    none = F.lit(None).cast("string")
+    defs = senses.select("chapter_id", "family", "position", F.col("formula_id").alias("target_id"), none.alias("formula_id"), none.alias("symbol")).distinct()
+    asks = uses.select("chapter_id", "family", "position", none.alias("target_id"), "formula_id", "symbol").distinct()
+    past = Window.partitionBy("chapter_id", "family").orderBy("position").rangeBetween(Window.unboundedPreceding, -1)
+    last = F.max(F.when(F.col("target_id").isNotNull(), F.struct("position", "target_id"))).over(past)
+    rows = defs.union(asks).withColumns({"n_targets": F.count("target_id").over(past), "last": last})
+    return rows.filter("formula_id is not null").select("formula_id", "symbol", "n_targets", F.col("last.target_id").alias("last_target"))
+
+
 def group_key(raw_id: str = "raw_id"):
     """Equation number without its letter."""
     return F.regexp_extract(raw_id, r"^(A?\d+\.\d+)[a-z]?$", 1)
@@ -184,6 +195,15 @@ def symbol_edges(uses: DataFrame, senses: DataFrame, demote: bool = True) -> Dat
     return hits.select(F.col("formula_id").alias("dependent_id"), "target_id", F.col("symbol").alias("via_symbol"), F.when(exact, "exact_match").otherwise("canonical_match").alias("evidence"), F.when(exact, 92).otherwise(82).cast("long").alias("conf"), F.lit(2).alias("stage"), "ordinal")
 
 
+def found_edges(formulas: DataFrame, uses: DataFrame, senses: DataFrame, mode: str) -> DataFrame:
+    """Edges of J5, J4 and J1 before they are made distinct; cited ones come first, but in ``ocr`` those of the group."""
+    ocr = mode == "ocr"
+    found = explicit_reference_join(formulas, mode).union(equation_group_join(formulas, "prior" if ocr else "both")).union(symbol_edges(uses, senses, not ocr))
+    if ocr:
+        found = found.withColumn("stage", F.expr("case stage when 0 then 1 when 1 then 0 else stage end"))
+    return found.withColumn("definition", F.lit(None).cast("string"))
+
+
 def build_dependencies(formulas: DataFrame, uses: DataFrame, senses: DataFrame, mode: str = "conservative") -> tuple[DataFrame, DataFrame]:
     """(edges, ambiguous) of all formulas in one plan; no loop over chapters.
 
@@ -191,8 +211,7 @@ def build_dependencies(formulas: DataFrame, uses: DataFrame, senses: DataFrame,
     ``ocr``: group (earlier), explicit (earlier, own chapter), symbol; edges at unsure formulas are set aside.
     """
     ocr = mode == "ocr"
-    found = explicit_reference_join(formulas, mode).union(equation_group_join(formulas, "prior" if ocr else "both")).union(symbol_edges(uses, senses, not ocr))
-    found = found.withColumn("definition", F.lit(None).cast("string"))
+    found = found_edges(formulas, uses, senses, mode)
     text = text_definition_fallback(uses, found, text_defined_symbols(formulas), formulas, 78 if ocr else 55)
     edges = edge_attributes(edge_dedupe(found.unionByName(text), ("dependent_id", "target_id", "via_symbol") if ocr else ("dependent_id", "target_id")), formulas)
     if ocr:

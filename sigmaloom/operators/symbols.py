@@ -2,40 +2,75 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SCRIPTS = r"(?:_\{[^{}]*\}|_[A-Za-z0-9]+|\^\{[^{}]*\}|\^[A-Za-z0-9]+)*"
-#: Fixed value: a symbol is a macro or a letter with its scripts.
-TOKEN = rf"\\[A-Za-z]+{SCRIPTS}|[A-Za-z]{SCRIPTS}"
-#: Macros that stand for operators or layout, and letters that name operators before a parenthesis.
-OPERATORS = ["sum", "prod", "int", "frac", "sqrt", "log", "exp", "ln", "min", "max", "lim", "left", "right", "cdot", "times"]
-GREEK = ["alpha", "beta", "gamma", "delta", "epsilon", "theta", "lambda", "mu", "nu", "pi", "rho", "sigma", "tau", "phi", "chi", "psi", "omega", "Delta", "Sigma", "Omega"]
-STYLES = ["bar", "overline", "hat", "widehat", "tilde", "widetilde", "dot", "vec", "mathbf", "boldsymbol", "mathrm"]
+#: Styles that make one symbol with what they stand over or around.
+ACCENTS = ["bar", "overline", "hat", "widehat", "tilde", "widetilde", "dot", "vec", "mathbf", "boldsymbol"]
+#: Fixed value: a symbol is a styled group, a macro or a letter, with its scripts.
+TOKEN = rf"\\(?:{'|'.join(ACCENTS)})\{{[^{{}}]+\}}{SCRIPTS}|\\[A-Za-z]+{SCRIPTS}|[A-Za-z]{SCRIPTS}"
+#: Macros that name operators.
+OPERATORS = "Pr P E Var Cov cov corr det exp log ln max min".split()
+#: Macros of Greek letters.
+GREEK = (
+    "alpha beta gamma delta epsilon varepsilon zeta eta theta vartheta iota kappa lambda mu nu xi pi rho varrho sigma tau upsilon phi varphi chi psi omega "
+    "Gamma Delta Theta Lambda Xi Pi Sigma Upsilon Phi Psi Omega"
+).split()
+#: Macros of style.
+STYLES = "bar overline hat widehat tilde widetilde dot vec mathbf boldsymbol mathbb mathcal mathscr mathrm mathit mathsf operatorname".split()
+#: Macros of layout, sums, relations and dots.
+NO_SYMBOLS = (
+    "frac dfrac tfrac sqrt sum prod int iint iiint left right big Big bigg Bigg begin end limits nolimits binom choose cdot times pm mp le leq ge geq neq approx simeq sim propto "
+    "to rightarrow leftarrow leftrightarrow infty ldots cdots dots qquad quad lim mid text"
+).split()
+OPEN = r"\s*(?:\\left)?\s*[(\[]"
+#: A left side up to the first ``=`` outside braces, which nest up to four deep.
+LEFT = r"^((?:[^{}=\\]++|\\.|\{(?:[^{}]++|\{(?:[^{}]++|\{(?:[^{}]++|\{[^{}]*\})*\})*\})*\})*+)="
+OPERATOR_CALL = rf"^\s*(?:\\sigma{OPEN}.*,.*[)\]]\s*$|(?:E|\\?(?:Pr|Var|Cov|cov|corr|det|ln|log|exp)){OPEN})"
+
+
+def tokens(latex: Column) -> Column:
+    """Distinct symbols of a formula in order of first place, without operators, layout and letters that name operators before a parenthesis."""
+    clean = F.regexp_replace(F.regexp_replace(latex, r"\\(?:begin|end)\s*\{[^{}]*\}", " "), r"\\\\+", " ")
+    clean = F.regexp_replace(clean, r"\\(?:operatorname|mathrm|text)\s*\{[A-Za-z ]{2,}\}", " ")
+    clean = F.regexp_replace(clean, rf"(?<![A-Za-z\\])(?:E|P|Pr|Var|Cov)(?={OPEN})", " ")
+    none = F.array(*map(F.lit, [*OPERATORS, *NO_SYMBOLS, *STYLES]))
+    styled = rf"^\\(?:{'|'.join(ACCENTS)})\{{"
+    return F.filter(F.array_distinct(F.regexp_extract_all(clean, F.lit(TOKEN), F.lit(0))), lambda x: x.rlike(styled) | ~F.array_contains(none, F.regexp_extract(x, r"^\\([A-Za-z]+)", 1)))
 
 
 def symbol_occurrences(formulas: DataFrame) -> DataFrame:
     """(formula_id, symbol, ordinal) of formulas(formula_id, latex): distinct tokens in order of first place, without operators."""
-    clean = F.regexp_replace(F.regexp_replace("latex", r"\\(?:begin|end)\s*\{[^{}]*\}", " "), r"\\\\+", " ")
-    d = formulas.select("formula_id", F.posexplode(F.array_distinct(F.regexp_extract_all(clean, F.lit(TOKEN), F.lit(0)))).alias("ordinal", "symbol"))
-    macro = F.regexp_extract("symbol", r"^\\([A-Za-z]+)", 1)
-    return d.filter(~macro.isin(OPERATORS)).select("formula_id", "symbol", F.col("ordinal").cast("long").alias("ordinal"))
+    return formulas.select("formula_id", F.posexplode(tokens(F.col("latex"))).alias("ordinal", "symbol")).select("formula_id", "symbol", F.col("ordinal").cast("long").alias("ordinal"))
 
 
 def defined_symbols(formulas: DataFrame, occ: DataFrame) -> DataFrame:
-    """(formula_id, symbol, kind): symbols left of the first ``=`` are defined, the leftmost one if there is none; others are used."""
-    left = F.when(F.instr("latex", "=") > 0, F.substring_index("latex", "=", 1)).otherwise(F.lit(""))
-    lhs = F.regexp_extract_all(left, F.lit(TOKEN), F.lit(0))
-    d = occ.join(formulas.select("formula_id", lhs.alias("lhs")), "formula_id")
-    defined = F.when(F.size("lhs") > 0, F.array_contains("lhs", F.col("symbol"))).otherwise(F.col("ordinal") == 0)
+    """(formula_id, symbol, kind): symbols left of the first ``=`` outside braces are defined; without any there, the leftmost one.
+
+    A call of an operator on the left defines nothing, but for E(x) of one argument, which defines its symbols.
+    """
+    left = F.regexp_extract("latex", LEFT, 1)
+    call = left.rlike(OPERATOR_CALL)
+    inner = F.regexp_extract(left, rf"^\s*E{OPEN}(.*)(?:\\right)?[)\]]\s*$", 1)
+    one = call & (inner != "") & ~inner.rlike(r",|\||\\mid\b")
+    lhs = F.when(call & ~one, F.array().cast("array<string>")).otherwise(tokens(F.when(one, inner).otherwise(left)))
+    d = occ.join(formulas.select("formula_id", lhs.alias("lhs"), call.alias("call")), "formula_id")
+    defined = F.when((F.size("lhs") > 0) | F.col("call"), F.array_contains("lhs", F.col("symbol"))).otherwise(F.col("ordinal") == 0)
     return d.select("formula_id", "symbol", F.when(defined, "defined").otherwise("used").alias("kind"))
 
 
-def fragment_suppression(occ: DataFrame) -> DataFrame:
-    """Occurrences without symbols that are a piece (base or script) of a compound symbol of the same formula."""
-    compound = occ.filter(F.col("symbol").rlike(r"[_^]"))
-    pieces = compound.select("formula_id", F.explode(F.regexp_extract_all(F.regexp_replace("symbol", r"[{}]", " "), F.lit(r"\\[A-Za-z]+|[A-Za-z]+"), F.lit(0))).alias("symbol")).distinct()
-    return occ.join(pieces, ["formula_id", "symbol"], "left_anti")
+def fragment_suppression(occ: DataFrame, formulas: DataFrame | None = None) -> DataFrame:
+    """Occurrences without plain symbols that have an indexed form in the same formula; with ``formulas`` also without a bare sigma that is called on two arguments.
+
+    Tokens take their scripts along, so a piece of a compound symbol is listed only where it stands alone, and stays.
+    """
+    indexed = occ.filter(F.instr("symbol", "_") > 0).select("formula_id", F.substring_index("symbol", "_", 1).alias("symbol")).distinct()
+    out = occ.join(indexed, ["formula_id", "symbol"], "left_anti")
+    if formulas is None:
+        return out
+    called = formulas.filter(F.col("latex").rlike(rf"\\sigma{OPEN}[^()\[\]]*,")).select("formula_id", F.lit("\\sigma").alias("symbol"))
+    return out.join(called, ["formula_id", "symbol"], "left_anti")
 
 
 def symbol_keys(symbols: DataFrame) -> DataFrame:
@@ -66,7 +101,7 @@ def symbol_role(keys: DataFrame) -> DataFrame:
 
 def concept_symbols(formulas: DataFrame, occ: DataFrame) -> DataFrame:
     """(formula_id, symbol, role): whole symbols only, the first left of ``=`` as defined, the rest of the right side as used; a symbol on both sides is defined."""
-    whole = fragment_suppression(occ)
+    whole = fragment_suppression(occ, formulas)
     kinds = defined_symbols(formulas, occ).filter("kind = 'defined'").join(whole, ["formula_id", "symbol"])
     first = kinds.groupBy("formula_id").agg(F.min_by("symbol", "ordinal").alias("_first"))
     d = whole.join(first, "formula_id", "left")

@@ -9,17 +9,38 @@ from ..operators.components import connected_components
 from .adapter import table
 from .registry import query
 
-LATEX = r"""
-lx as (select distinct 'x_{' || l_linenumber || '} = \sigma_{' || (l_suppkey % 5) || '}^{2} + ' || chr(cast(97 + l_partkey % 26 as int)) || '_' || (l_partkey % 7) || ' + x' as latex from lineitem),
-occ1 as (select latex, s as symbol, min(i) - 1 as ordinal0 from (select latex, unnest(x) as s, generate_subscripts(x, 1) as i from (select latex, regexp_extract_all(latex, '\\[A-Za-z]+(?:_\{[^{}]*\}|_[A-Za-z0-9]+|\^\{[^{}]*\}|\^[A-Za-z0-9]+)*|[A-Za-z](?:_\{[^{}]*\}|_[A-Za-z0-9]+|\^\{[^{}]*\}|\^[A-Za-z0-9]+)*') as x from lx)) group by all),
-occ2 as (select latex as formula_id, symbol, row_number() over (partition by latex order by ordinal0) - 1 as ordinal from occ1)
+#: Eight shapes of formulas; {s} and {t} are numbers of the row. Beside each: its symbols in order, and how many of them it defines.
+SHAPES = [
+    (r"x_{{s}} = \sigma_{{t}}^{2} + y_{s} + x", [r"x_{{s}}", r"\sigma_{{t}}^{2}", "y_{s}", "x"], 1),
+    (r"\overline{W}_{{s}} = \dfrac{1}{n} \sum_{i=1}^{n} p_{s}", [r"\overline{W}_{{s}}", "n", "p_{s}"], 1),
+    (r"\sum_{i=1}^{n} x_{s} = y_{t}", ["x_{s}", "y_{t}"], 1),
+    (r"E(x_{s}) = \mu_{t}", ["x_{s}", r"\mu_{t}"], 1),
+    (r"\sigma(x_{s}, y_{t}) = r", [r"\sigma", "x_{s}", "y_{t}", "r"], 0),
+    (r"a^{b} + b = c_{s}", ["a^{b}", "b", "c_{s}"], 2),
+    (r"u_{s} + \xi", ["u_{s}", r"\xi"], 1),
+    (r"\hat{\beta}_{{s}} = \Var(z_{t})", [r"\hat{\beta}_{{s}}", "z_{t}"], 1),
+]
+
+
+def _sql(shape: str) -> str:
+    return "'" + shape.replace("{s}", "' || s || '").replace("{t}", "' || t || '") + "'"
+
+
+LATEX = f"""
+lx as (select distinct l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey as formula_id, (l_orderkey + l_linenumber) % 8 as k, cast(l_suppkey % 50 as varchar) as s, cast(l_partkey % 40 as varchar) as t from lineitem),
+toks as (select formula_id, k, case k {' '.join(f"when {i} then [{', '.join(map(_sql, found))}]" for i, (_, found, _n) in enumerate(SHAPES))} end as z from lx),
+occ3 as (select formula_id, k, unnest(z) as symbol, generate_subscripts(z, 1) - 1 as ordinal from toks),
+occ2 as (select formula_id, symbol, ordinal from occ3),
+kinds as (select *, ordinal < [{', '.join(str(n) for *_, n in SHAPES)}][k + 1] as defined from occ3)
 """
+WHOLE = r"not (k = 0 and symbol = 'x') and not (k = 4 and symbol = '\sigma')"
 
 
 def latex(spark, folder):
     d = table(spark, folder, "lineitem")
-    text = F.expr(r"concat('x_{', l_linenumber, r'} = \sigma_{', l_suppkey % 5, '}^{2} + ', char(97 + l_partkey % 26), '_', l_partkey % 7, ' + x')")
-    return d.select(text.alias("latex")).distinct().withColumn("formula_id", F.col("latex"))
+    shape = F.element_at(F.array(*[F.lit(x) for x, *_ in SHAPES]), ((F.col("l_orderkey") + F.col("l_linenumber")) % 8 + 1).cast("int"))
+    text = F.replace(F.replace(shape, F.lit("{s}"), (F.col("l_suppkey") % 50).cast("string")), F.lit("{t}"), (F.col("l_partkey") % 40).cast("string"))
+    return d.select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("formula_id"), text.alias("latex")).distinct()
 
 
 @query("x1_symbol_occurrences", f"with {LATEX} select * from occ2")
@@ -27,19 +48,20 @@ def _(spark, folder):
     return symbols.symbol_occurrences(latex(spark, folder))
 
 
-@query("x2_defined_symbols", f"with {LATEX} select formula_id, symbol, case when starts_with(symbol, 'x_{{') then 'defined' else 'used' end as kind from occ2")
+@query("x2_defined_symbols", f"with {LATEX} select formula_id, symbol, case when defined then 'defined' else 'used' end as kind from kinds")
 def _(spark, folder):
     f = latex(spark, folder)
     return symbols.defined_symbols(f, symbols.symbol_occurrences(f))
 
 
-@query("x3_fragment_suppression", f"with {LATEX} select formula_id, symbol, ordinal from occ2 where symbol <> 'x'")
+@query("x3_fragment_suppression", f"with {LATEX} select formula_id, symbol, ordinal from occ3 where {WHOLE}")
 def _(spark, folder):
-    return symbols.fragment_suppression(symbols.symbol_occurrences(latex(spark, folder)))
+    f = latex(spark, folder)
+    return symbols.fragment_suppression(symbols.symbol_occurrences(f), f)
 
 
 KEYS = r"""
-k4 as (select symbol, canonical, regexp_replace(canonical, '[_^](?:\\?[A-Za-z0-9]+)', '', 'g') as family, regexp_extract(canonical, '^([^_^]*)', 1) as base, regexp_extract(canonical, '_([^^]*)', 1) as subscript, regexp_extract(canonical, '\^(.*)$', 1) as superscript, '' as accent
+k4 as (select symbol, canonical, regexp_replace(regexp_replace(regexp_replace(canonical, '\\(?:overline|hat)', ''), '[_^](?:\\?[A-Za-z0-9]+)', '', 'g'), '[{}]', '', 'g') as family, regexp_extract(canonical, '^([^_^]*)', 1) as base, regexp_extract(canonical, '_([^^]*)', 1) as subscript, regexp_extract(canonical, '\^(.*)$', 1) as superscript, regexp_extract(canonical, '^\\(overline|hat)\{', 1) as accent
   from (select distinct symbol, regexp_replace(symbol, '([_^])\{([^{}]*)\}', '\1\2', 'g') as canonical from occ2))
 """
 
@@ -49,7 +71,7 @@ def _(spark, folder):
     return symbols.symbol_keys(symbols.symbol_occurrences(latex(spark, folder)))
 
 
-@query("x5_symbol_role", rf"with {LATEX}, {KEYS} select symbol, case when starts_with(canonical, '\sigma') then 'statistic_variance' when regexp_matches(canonical, '^[A-Za-z]+_[A-Za-z0-9]+$') then 'parameter' when length(canonical) = 1 then 'variable' else 'symbol' end as role, canonical in ('E', 'P') as is_operator from k4")
+@query("x5_symbol_role", rf"with {LATEX}, {KEYS} select symbol, case when starts_with(canonical, '\sigma_') then 'statistic_variance' when canonical in ('\sigma', '\xi') or length(canonical) = 1 then 'variable' when regexp_matches(canonical, '^[A-Za-z]+_[A-Za-z0-9]+$') then 'parameter' else 'symbol' end as role, false as is_operator from k4")
 def _(spark, folder):
     return symbols.symbol_role(symbols.symbol_keys(symbols.symbol_occurrences(latex(spark, folder)))).select("symbol", "role", "is_operator")
 

@@ -51,8 +51,8 @@ def _edges(mode: str) -> str:
     text = 78 if ocr else 55
     out = ",".join([CORPUS, J1, J3, J2, J4, J5, X6]) + f""",
 found as (
-  select dependent_id, target_id, '' as via_symbol, 'explicit_reference' as evidence, {c5} as conf, 0 as stage, ordinal, cast(null as varchar) as definition from {j5}
-  union all select dependent_id, target_id, '', 'compound_group', 86, 1, ordinal, null from j4b {prior}
+  select dependent_id, target_id, '' as via_symbol, 'explicit_reference' as evidence, {c5} as conf, {1 if ocr else 0} as stage, ordinal, cast(null as varchar) as definition from {j5}
+  union all select dependent_id, target_id, '', 'compound_group', 86, {0 if ocr else 1}, ordinal, null from j4b {prior}
   union all select j1.formula_id, j1.target_id, j1.symbol, case match_type when 'exact' then 'exact_match' else 'canonical_match' end, case match_type when 'exact' then 92 else 82 end, 2, ordinal, null from j1 join uses u on u.formula_id = j1.formula_id and u.symbol = j1.symbol {demote}),
 txt as (select u.formula_id as dependent_id, cast(null as varchar) as target_id, u.symbol as via_symbol, 'text_definition' as evidence, {text} as conf, 3 as stage, u.ordinal, x7.definition
   from uses u join x7 on x7.formula_id = u.formula_id and x7.symbol = u.symbol join x6 on x6.chapter_id = u.chapter_id and x6.key = u.symbol
@@ -179,7 +179,7 @@ def _(spark, folder):
 @query("e1_edge_attributes", f"with {OCR} select {_LIST} from attr")
 def _(spark, folder):
     formulas, _, senses, uses = vocabulary(spark, folder)
-    found = resolve.explicit_reference_join(formulas, "ocr").union(resolve.equation_group_join(formulas, "prior")).union(resolve.symbol_edges(uses, senses, False)).withColumn("definition", F.lit(None).cast("string"))
+    found = resolve.found_edges(formulas, uses, senses, "ocr")
     text = resolve.text_definition_fallback(uses, found, resolve.text_defined_symbols(formulas), formulas, 78)
     return resolve.edge_attributes(resolve.edge_dedupe(found.unionByName(text), ("dependent_id", "target_id", "via_symbol")), formulas).select(*COLUMNS)
 

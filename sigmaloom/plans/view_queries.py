@@ -116,16 +116,16 @@ def _(spark, folder):
     return c.release_consistency(index, f.filter("position % 10 != 2").select("formula_id", "chapter_id"), rank.search_index_build(f))
 
 
-@query("a6_view_lint", """select id, unnest(list_filter([case when trim(coalesce(name, '')) = '' then 'missing_name' end, case when lower(name) in ('small ring', 'red widget') then 'generic_name' end, case when p_type = 'ECONOMY' then 'missing_definition' end, case when contains(lower(d), 'todo') then 'unsafe_copy' end], lambda x: x is not null)) as violation
-  from (select p_partkey as id, p_name as name, p_type, case when p_type = 'ECONOMY' then '' when p_partkey % 7 = 0 then 'TODO ' || p_type else p_type end as d from part)""")
+@query("a6_view_lint", """select id, unnest(list_filter([case when trim(coalesce(name, '')) = '' then 'missing_name' end, case when lower(name) in ('small ring', 'red widget') then 'generic_name' end, case when p_type = 'ECONOMY' then 'missing_definition' end, case when contains(d, 'Supporting') then 'unsafe_copy' end], lambda x: x is not null)) as violation
+  from (select p_partkey as id, p_name as name, p_type, case when p_type = 'ECONOMY' then '' when p_partkey % 7 = 0 then 'Supporting Formula ' || p_type else p_type end as d from part)""")
 def _(spark, folder):
-    d = table(spark, folder, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.when(F.col("p_type") == "ECONOMY", "").when(F.col("p_partkey") % 7 == 0, F.concat(F.lit("TODO "), "p_type")).otherwise(F.col("p_type")).alias("definition"))
+    d = table(spark, folder, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.when(F.col("p_type") == "ECONOMY", "").when(F.col("p_partkey") % 7 == 0, F.concat(F.lit("Supporting Formula "), "p_type")).otherwise(F.col("p_type")).alias("definition"))
     return c.view_lint(d, ["small ring", "red widget"])
 
 
-@query("a7_internal_key_scan", "select event_id as id, 'review_status' as key from events where event_id % 3 = 0 union all select event_id, 'model' from events where event_id % 5 = 0")
+@query("a7_internal_key_scan", "select event_id as id, 'review_status' as key from events where event_id % 3 = 0 union all select event_id, 'extraction_model' from events where event_id % 5 = 0")
 def _(spark, folder):
-    inner = F.concat(F.lit('{"a": [{"k": 1'), F.when(F.col("event_id") % 3 == 0, ', "review_status": 2').otherwise(""), F.lit("}]"), F.when(F.col("event_id") % 5 == 0, ', "model": "m"').otherwise(""), F.lit("}"))
+    inner = F.concat(F.lit('{"a": [{"k": 1'), F.when(F.col("event_id") % 3 == 0, ', "review_status": 2').otherwise(""), F.lit("}]"), F.when(F.col("event_id") % 5 == 0, ', "extraction_model": "m"').otherwise(""), F.lit("}"))
     return c.internal_key_scan(table(spark, folder, "events").select(F.col("event_id").alias("id"), inner.alias("json")), files.INTERNAL)
 
 
@@ -167,12 +167,14 @@ def _(spark, folder):
     return spark.read.parquet(out).select("chapter_id", F.size("formulas").cast("long").alias("n_formulas"), F.size("dependencies").cast("long").alias("n_dependencies"))
 
 
-@query("s10_publish_sanitized", "select p_partkey as id, p_name as name, 'name,note' as inner_fields from part")
+@query("s10_publish_sanitized", """select p_partkey as id, p_name as name, '{"refs":[{"name":"' || p_name || '","deep":{"note":"y","list":[{"n":' || p_partkey || '}]}}],"tags":{"a":"1"}}' as rest from part""")
 def _(spark, folder):
     p = table(spark, folder, "part")
-    inner = F.array(F.struct(F.col("p_name").alias("name"), F.lit("x").alias("review_status"), F.lit("y").alias("note")))
-    d = files.sanitized(p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.lit("a").alias("review_note"), inner.alias("refs")))
-    return d.select("id", "name", F.lit(",".join(d.schema["refs"].dataType.elementType.names)).alias("inner_fields"))
+    deep = F.struct(F.lit("y").alias("note"), F.lit("m").alias("extraction_model"), F.array(F.struct(F.col("p_partkey").alias("n"), F.lit("s").alias("source_sentence"))).alias("list"))
+    inner = F.array(F.struct(F.col("p_name").alias("name"), F.lit("x").alias("review_status"), F.lit("t").alias("teaching_move"), deep.alias("deep")))
+    tags = F.create_map(F.lit("a"), F.lit("1"), F.lit("reviewed_by"), F.lit("b"))
+    d = files.sanitized(p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.lit("a").alias("review_notes"), F.array(F.lit(1)).alias("symbol_concepts"), inner.alias("refs"), tags.alias("tags")))
+    return d.select("id", "name", F.to_json(F.struct(*[c for c in d.columns if c not in ("id", "name")])).alias("rest"))
 
 
 @query("t1_page_intake", f"with {EVENTS} select book_id, kind, count(*) as n from events group by all")

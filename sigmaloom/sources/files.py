@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 OCR = "result struct<layoutParsingResults:array<struct<markdown:struct<text:string>>>>"
 BLOCKS = "id string, metadata struct<chapter:string,heading_path:array<string>,formula_references:array<string>>, blocks array<struct<type:string,content:string>>"
 #: Priority of the block types that the concept builder keeps.
 PRIORITY = {"definition": 6, "derivation": 5, "proposition": 4, "discussion": 3}
 #: Fields that never leave the house.
-INTERNAL = ["review_status", "review_flags", "review_note", "reviewer", "prompt", "model", "source_trace", "raw_response", "cache_key", "debug"]
+INTERNAL = ["review_status", "review_flags", "reviewed_by", "reviewed_at", "review_notes", "symbol_concepts", "source_sentence", "teaching_move", "teaching_move_zh", "extraction_model"]
 
 
 def read_ocr_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -55,19 +56,21 @@ def write_payloads(payloads: DataFrame, target: str) -> None:
     payloads.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("chapter_id").parquet(target)
 
 
-def _without(column: str, fields: list[str]):
-    return F.transform(column, lambda x: x.dropFields(*fields))
+def _public(value: Column, kind: DataType) -> Column:
+    """``value`` without internal fields in structs at any depth, through arrays and maps; structs left without fields become null."""
+    if isinstance(kind, StructType):
+        kept = [f for f in kind.fields if f.name not in INTERNAL]
+        return F.when(value.isNotNull(), F.struct(*[_public(value[f.name], f.dataType).alias(f.name) for f in kept])) if kept else F.lit(None)
+    if isinstance(kind, ArrayType):
+        return F.transform(value, lambda x: _public(x, kind.elementType))
+    if isinstance(kind, MapType):
+        return F.transform_values(F.map_filter(value, lambda k, _: ~k.cast("string").isin(INTERNAL)), lambda _, v: _public(v, kind.valueType))
+    return value
 
 
 def sanitized(views: DataFrame) -> DataFrame:
-    """Views without internal fields, at the top and inside arrays of structs."""
-    out = views.drop(*INTERNAL)
-    for f in out.schema.fields:
-        inner = getattr(getattr(f.dataType, "elementType", None), "names", [])
-        gone = [x for x in inner if x in INTERNAL]
-        if gone:
-            out = out.withColumn(f.name, _without(f.name, gone))
-    return out
+    """Views without internal fields, at the top and inside structs, arrays and maps at any depth."""
+    return views.select(*[_public(F.col(f.name), f.dataType).alias(f.name) for f in views.schema.fields if f.name not in INTERNAL])
 
 
 def read_formula_library(spark: SparkSession, path: str) -> DataFrame:

@@ -98,3 +98,42 @@ def test_components_of_chains_and_hubs(spark, monkeypatch, most):
     if most > 7:
         assert {r.id: r.component for r in components.connected_components(text).collect()} == {str(k): min(str(x) for x, w in want.items() if w == v) for k, v in want.items()}
     assert components.connected_components(rows.limit(0)).count() == 0
+
+
+def test_symbols_of_odd_formulas(spark):
+    """Styles, operators, nested equality signs, calls on the left and pieces that stand alone."""
+    from sigmaloom.operators import symbols
+
+    texts = [r"\overline{W} = \dfrac{1}{n}", r"E(x) = \mu", r"\sigma(x,y) = r", r"a^{b} + b = c", r"\sum_{i=1}^{n} x_i = y", r"\operatorname{Var}(z) = 2", r"E(x | y) = m", r"\frac{\sqrt{u}}{v_{\text{a=b}}} = w", "", None]
+    f = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "formula_id long, latex string")
+    occ = symbols.symbol_occurrences(f)
+    got, defined = {}, {}
+    for r in symbols.defined_symbols(f, occ).collect():
+        got.setdefault(r.formula_id, set()).add(r.symbol)
+        if r.kind == "defined":
+            defined.setdefault(r.formula_id, set()).add(r.symbol)
+    assert got == {0: {r"\overline{W}", "n"}, 1: {"x", r"\mu"}, 2: {r"\sigma", "x", "y", "r"}, 3: {"a^{b}", "b", "c"}, 4: {"x_i", "y"}, 5: {"z"}, 6: {"x", "y", "m"}, 7: {"u", "w"} | (got[7] - {"u", "w"})}
+    assert defined[0] == {r"\overline{W}"} and defined[1] == {"x"} and 2 not in defined and defined[3] == {"a^{b}", "b"} and defined[4] == {"x_i"} and 6 not in defined and "w" not in defined[7]
+    left = {(r.formula_id, r.symbol) for r in symbols.fragment_suppression(occ, f).collect()}
+    assert (2, r"\sigma") not in left and (3, "b") in left
+    keys = symbols.symbol_role(symbols.symbol_keys(spark.createDataFrame([(r"\xi",), (r"\varepsilon",), ("x_{i}",)], "symbol string"))).collect()
+    assert {r.symbol: r.role for r in keys} == {r"\xi": "variable", r"\varepsilon": "variable", "x_{i}": "parameter"}
+
+
+def test_group_edges_come_first_in_ocr_mode(spark):
+    """A formula that cites its own group's sibling gets the group edge in one mode, the cited one in the other."""
+    from sigmaloom.operators import resolve
+
+    f = spark.createDataFrame([("f1a", "1.1a", "c1", 1, 0, "", 90), ("f1b", "1.1b", "c1", 1, 1, "see Equation 1.1a", 90)], "formula_id string, raw_id string, chapter_id string, chapter int, position long, context_text string, conf long")
+    uses = spark.createDataFrame([], "formula_id string, chapter_id string, chapter int, position long, symbol string, canonical string, family string, ordinal long")
+    senses = spark.createDataFrame([], "sense_id string, symbol string, canonical string, family string, formula_id string, chapter_id string, chapter int, position long")
+    for mode, want in (("ocr", "compound_group"), ("conservative", "explicit_reference")):
+        edges = [r for r in resolve.build_dependencies(f, uses, senses, mode)[0].collect() if r.dependent_id == "f1b"]
+        assert [r.evidence for r in edges] == [want]
+
+
+def test_sanitized_at_any_depth(spark):
+    from sigmaloom.sources.files import sanitized
+
+    d = spark.sql("select 1 as id, 'x' as review_notes, named_struct('reviewed_at', 1, 'keep', array(named_struct('teaching_move', 1, 'n', 2))) as a, array(array(named_struct('source_sentence', 's', 'z', 3))) as b, cast(null as struct<reviewed_by:string,q:int>) as c")
+    assert sanitized(d).toJSON().collect() == ['{"id":1,"a":{"keep":[{"n":2}]},"b":[[{"z":3}]]}']
