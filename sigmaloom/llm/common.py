@@ -69,6 +69,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 1 << 18)
             stop = min(stop, len(text))
             yield batch.slice(start, stop - start), data[ends[start] : ends[stop]], ends[start : stop + 1] - ends[start]
             start = stop
+    pa.default_memory_pool().release_unused()  # the worker goes on to other tasks
 
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)

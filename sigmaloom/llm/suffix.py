@@ -169,13 +169,13 @@ def trigger_counts(texts: DataFrame, length: int) -> DataFrame:
     return texts.select("text").mapInArrow(run, "trigger long, c int")
 
 
-def passing(texts: DataFrame, bits: Bits, inside: bool) -> DataFrame:
-    """Rows of ``texts`` whose key the filter lets through, or the others."""
+def passing(texts: DataFrame, bits: Bits) -> DataFrame:
+    """Rows of ``texts`` whose key the filter lets through."""
 
     def run(batches):
         for batch in batches:
             key = batch.column("key").to_numpy(zero_copy_only=False).view(np.uint64)
-            yield batch.filter(pa.array(bits.has(mixed(key)) == inside))
+            yield batch.filter(pa.array(bits.has(mixed(key))))
 
     return texts.mapInArrow(run, texts.schema)
 
@@ -204,7 +204,7 @@ def with_bytes(texts: DataFrame, phrases: DataFrame, length: int) -> DataFrame:
             yield pa.record_batch(made | {"bytes": pa.array([raw[a:b] for a, b in zip(at.tolist(), (at + n - 1 + length).tolist(), strict=True)], pa.binary())})
 
     bits = key_bits(phrases)
-    d = passing(texts.select("key", "text"), bits, True).join(wanted, "key")
+    d = passing(texts.select("key", "text"), bits).join(wanted, "key")
     return d.select("key", "text", "wanted").mapInArrow(run, "key long, core long, begin int, n int, far int, copy boolean, bytes binary")
 
 
@@ -326,8 +326,11 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, keep: list[str] | None =
     spans = spans.groupBy("key").agg(F.collect_list(F.struct("begin", "n")).alias("spans"))  # as many as the text has strings
     bits = key_bits(spans)
 
+    def clear(batches):
+        yield from run(b.filter(pa.array(~bits.has(mixed(b.column("key").to_numpy(zero_copy_only=False).view(np.uint64))))) for b in batches)
+
     def run(batches):
-        for rows, data, offsets in slices(batches, "text"):
+        for rows, data, offsets in slices((b for b in batches if b.num_rows), "text"):
             out = []
             lists = rows.column("spans") if "spans" in rows.schema.names else None
             for i in range(len(rows)):
@@ -352,7 +355,7 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, keep: list[str] | None =
     schema = d.select(*keep).schema
     for name, kind in (("n_bytes", "long"), ("n_removed", "long"), ("n_spans", "long"), ("kept_sha256", "string"), ("kept", "string")):
         schema = schema.add(name, kind)
-    clean = passing(d, bits, False).mapInArrow(run, schema)
-    rest = passing(d, bits, True).join(spans, "key", "left").mapInArrow(run, schema)
+    clean = d.mapInArrow(clear, schema)
+    rest = passing(d, bits).join(spans, "key", "left").mapInArrow(run, schema)
     out = clean.union(rest)
     return out if texts else written(out, "pfp-cut", ROWS)
