@@ -100,14 +100,17 @@ def chapter_from_number(number):
 def attach_context(events: DataFrame, limit: int = 3) -> DataFrame:
     """Formula events with before_text and after_text: up to ``limit`` nearest text events each way, stopping at a formula.
 
-    Text events between two formulas form a gap; a formula takes the end of the gap before it and the start of the one after.
+    Text events between two formulas form a gap, of which only the ``limit`` at either end are gathered; a formula takes the end of the gap before it and the start of the one after.
     """
     place = ["page_index", "line_index", "seq"]
     book = Window.partitionBy("book_id").orderBy(*place)
     d = events.withColumn("gap", F.sum((F.col("kind") == "formula").cast("int")).over(book))
-    texts = d.filter("kind = 'text'").groupBy("book_id", "gap").agg(F.array_sort(F.collect_list(F.struct(*place, "text"))).alias("t"))
+    gap = Window.partitionBy("book_id", "gap")
+    ends = {"_first": F.row_number().over(gap.orderBy(*place)), "_last": F.row_number().over(gap.orderBy(*[F.desc(c) for c in place]))}
+    near = d.filter("kind = 'text'").withColumns(ends).filter((F.col("_first") <= limit) | (F.col("_last") <= limit))
+    some = lambda c: F.array_sort(F.collect_list(F.when(F.col(c) <= limit, F.struct(*place, "text"))))
     joined = lambda a: F.array_join(F.transform(a, lambda x: x["text"]), " ")
-    texts = texts.select("book_id", "gap", joined(F.slice("t", 1, limit)).alias("head"), joined(F.slice("t", F.greatest(F.lit(1), F.size("t") - limit + 1), F.lit(limit))).alias("tail"))
+    texts = near.groupBy("book_id", "gap").agg(joined(some("_first")).alias("head"), joined(some("_last")).alias("tail"))
     f = d.filter("kind = 'formula'")
     before = texts.select("book_id", (F.col("gap") + 1).alias("gap"), F.col("tail").alias("before_text"))
     after = texts.select("book_id", "gap", F.col("head").alias("after_text"))

@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import segment
-from .adapter import CORPUS, corpus, table
+from .adapter import CORPUS, corpus, ranked, table
 from .registry import query
 
 
 def pages(spark, folder):
     d = table(spark, folder, "documents")
     head = F.expr("concat('# Chapter ', cast(substring(source, 4) as int) + 1, ': ', source, chr(10))")
-    index = (F.row_number().over(Window.partitionBy("source", "lang").orderBy("doc_id")) - 1).cast("long")
-    return d.select(F.concat("source", F.lit("_"), "lang").alias("book_id"), index.alias("page_index"), F.concat(head, "text").alias("text"))
+    d = d.select("doc_id", F.concat("source", F.lit("_"), "lang").alias("book_id"), F.concat(head, "text").alias("text"))
+    return ranked(d, "book_id", "doc_id").select("book_id", F.col("position").alias("page_index"), "text")
 
 
 EVENTS = r"""

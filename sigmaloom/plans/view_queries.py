@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.work import shared_dir
 from ..operators import concepts as c
-from ..operators import graph, rank
+from ..operators import graph, rank, segment
 from ..sources import files
 from ..streaming import intake
 from .adapter import CORPUS, corpus, table
@@ -167,6 +167,17 @@ def _(spark, folder):
     return spark.read.parquet(out).select("chapter_id", F.size("formulas").cast("long").alias("n_formulas"), F.size("dependencies").cast("long").alias("n_dependencies"))
 
 
+@query("s7_write_normalized", f"""with {EVENTS} select 'pages' as part, book_id, count(*) as n, cast(sum(length(text)) as bigint) as chars, count(distinct page_index) as pages from pg group by all
+  union all select case kind when 'formula' then 'formula_records' else 'blocks' end, book_id, count(*), cast(sum(length(text)) as bigint), count(distinct page_index) from events group by all""")
+def _(spark, folder):
+    target = _fresh(spark, "normalized")
+    p = pages(spark, folder)
+    events = segment.segment_events(p)
+    files.write_normalized(target, pages=p, blocks=events.filter("kind != 'formula'"), formula_records=events.filter("kind = 'formula'"))
+    one = lambda part: spark.read.parquet(f"{target}/{part}").groupBy("book_id").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"), F.countDistinct("page_index").alias("pages")).select(F.lit(part).alias("part"), "book_id", "n", "chars", "pages")
+    return one("pages").union(one("blocks")).union(one("formula_records"))
+
+
 @query("s10_publish_sanitized", """select p_partkey as id, p_name as name, '{"refs":[{"name":"' || p_name || '","deep":{"note":"y","list":[{"n":' || p_partkey || '}]}}],"tags":{"a":"1"}}' as rest from part""")
 def _(spark, folder):
     p = table(spark, folder, "part")
@@ -189,7 +200,7 @@ def _(spark, folder):
 @query("t2_learned_state", f"with {LEARNED} select user_id, chapter_id, formula_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') as first_ts from learned group by all")
 def _(spark, folder):
     source = _fresh(spark, "learned")
-    learned_of(spark, folder).select("user_id", "chapter_id", "formula_id", F.col("ts").cast("timestamp").alias("ts")).orderBy("ts").coalesce(1).write.parquet(source)
+    learned_of(spark, folder).select("user_id", "chapter_id", "formula_id", F.col("ts").cast("timestamp").alias("ts")).write.parquet(source)
     stream = spark.readStream.schema(spark.read.parquet(source).schema).parquet(source)
     out = intake.stream_learned_state(spark, stream, _fresh(spark, "seen"), _fresh(spark, "checkpoint"), "3650 days")
     return out.select("user_id", "chapter_id", "formula_id", F.date_format("first_ts", "yyyy-MM-dd HH:mm:ss").alias("first_ts"))

@@ -56,6 +56,12 @@ def write_payloads(payloads: DataFrame, target: str) -> None:
     payloads.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("chapter_id").parquet(target)
 
 
+def write_normalized(target: str, **tables: DataFrame) -> None:
+    """Each table (pages, blocks, formula_records) as Parquet by book under ``target``; books written before and not in a table stay."""
+    for name, rows in tables.items():
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("book_id").parquet(f"{target}/{name}")
+
+
 def _public(value: Column, kind: DataType) -> Column:
     """``value`` without internal fields in structs at any depth, through arrays and maps; structs left without fields become null."""
     if isinstance(kind, StructType):
