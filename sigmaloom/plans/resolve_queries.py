@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.work import written
 from ..operators import audit, resolve
 from .adapter import CORPUS, corpus, occurrences, vocabulary
 from .registry import query
@@ -87,7 +88,7 @@ def built(spark, folder, mode="conservative"):
     """(formulas, edges, ambiguous) of the corpus."""
     formulas, _, senses, uses = vocabulary(spark, folder)
     edges, ambiguous = resolve.build_dependencies(formulas, uses, senses, mode)
-    return formulas, edges, ambiguous
+    return formulas, written(edges, "edges"), written(ambiguous, "ambiguous")
 
 
 @query("n10_formula_list", f"with {CORPUS} select formula_id, raw_id, chapter_id, chapter, position, label, latex, context_text, conf from corpus")
