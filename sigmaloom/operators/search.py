@@ -6,10 +6,60 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Words of a query, the English terms they stand for, and words beside which they do not count.
+RULES = [
+    ("群体遗传|群体遗传学", ["population genetics"], None),
+    ("有效群体|有效种群|有效大小", ["effective population size", "genetic effective size", "effective size"], None),
+    ("群体大小|种群大小", ["population size"], "有效群体|有效种群|有效大小"),
+    ("中性演化|中性进化|中性", ["neutral evolution", "neutrality", "neutral"], None),
+    ("遗传漂变|漂变", ["genetic drift", "drift"], None),
+    ("选择强度", ["selection intensity", "intensity"], None),
+    ("自然选择|选择", ["selection", "selective", "Price's theorem", "fitness"], "选择强度|截断选择|稳定选择"),
+    ("截断选择", ["truncation selection", "selection intensity"], None),
+    ("稳定选择", ["stabilizing selection", "normalizing selection"], None),
+    ("适合度|适应度", ["fitness", "mean fitness"], None),
+    ("突变", ["mutation"], None),
+    ("重组", ["recombination"], None),
+    ("迁移|基因流", ["migration", "gene flow"], None),
+    ("连锁不平衡", ["linkage disequilibrium", "LD"], None),
+    ("连锁", ["linkage"], "连锁不平衡"),
+    ("近交系数", ["inbreeding coefficient"], None),
+    ("近交", ["inbreeding"], None),
+    ("杂合度|杂合性", ["heterozygosity", "heterozygote"], None),
+    ("等位基因", ["allele", "allelic"], None),
+    ("固定概率|固定", ["fixation", "probability of fixation", "fixed"], None),
+    ("丢失|损失", ["loss", "lost"], None),
+    ("频率", ["frequency", "allele frequency"], None),
+    ("方差", ["variance"], None),
+    ("协方差", ["covariance"], None),
+    ("遗传力|遗传率", ["heritability"], None),
+    ("育种|育种家", ["breeder", "breeder's equation"], None),
+    ("数量遗传", ["quantitative genetics", "quantitative trait"], None),
+    ("表型", ["phenotype", "phenotypic"], None),
+    ("基因型", ["genotype", "genotypic"], None),
+    ("共祖|溯祖", ["coalescent", "coalescence"], None),
+    ("扩散", ["diffusion"], None),
+    ("单倍型", ["haplotype"], None),
+    ("贝叶斯", ["Bayesian", "Bayes"], None),
+    ("矩阵", ["matrix"], None),
+    ("特征值", ["eigenvalue"], None),
+    ("微分|导数", ["differential", "derivative"], None),
+    ("积分", ["integral", "integration"], None),
+    ("^ld$", ["linkage disequilibrium"], None),
+    ("^ne$", ["effective population size", "genetic effective size", "N Sub E"], None),
+]
+#: Where a query names a formula or a chapter, and the forms under which those are looked up.
+NUMBER = r"(?:^|[\s(（]|公式\s*|formula\s*|式\s*)([a-z]?\d+(?:\.(?:\d+[a-z]?)?)?)"
+CHAPTER = [r"^(?:chapter|chap|ch|c)\s*([a-z]?\d+)$", r"^第\s*([a-z]?\d+)\s*章$", r"^([a-z]?\d+)\s*章$", r"^([a-z]?\d+)$"]
+NUMBER_FORMS = ["%s", "formula %s", "formula%s", "公式 %s", "公式%s"]
+CHAPTER_FORMS = ["%s", "chapter %s", "chapter%s", "chap %s", "ch %s", "c%s", "第%s章"]
+QUOTES = ("’‘`“”‐‑‒–—−", "'''\"\"------")
+
+
 def normal(text: Column) -> Column:
     """Lower case, ``1,2`` as ``1.2``, plain quotes and dashes, single spaces."""
     s = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"(\d),(\d)", "$1.$2")
-    return F.trim(F.regexp_replace(F.translate(s, "‘’“”–—", "''\"\"--"), r"\s+", " "))
+    return F.trim(F.regexp_replace(F.translate(s, *QUOTES), r"\s+", " "))
 
 
 def loose(text: Column) -> Column:
@@ -18,29 +68,48 @@ def loose(text: Column) -> Column:
 
 
 def search_documents(formulas: DataFrame) -> DataFrame:
-    """Q1: (id, number, norm, compact, loose) of formulas."""
+    """Q1: (id, number, label, latex, norm, compact, loose) of formulas."""
     n = normal(F.concat_ws(" ", "label", "context_text"))
-    return formulas.select(F.col("formula_id").alias("id"), F.col("raw_id").alias("number"), n.alias("norm"), F.replace(n, F.lit(" "), F.lit("")).alias("compact"), loose(F.concat_ws(" ", "label", "context_text")).alias("loose"))
+    return formulas.select(F.col("formula_id").alias("id"), F.col("raw_id").alias("number"), normal(F.col("label")).alias("label"), normal(F.col("latex")).alias("latex"), n.alias("norm"), F.replace(n, F.lit(" "), F.lit("")).alias("compact"), loose(F.concat_ws(" ", "label", "context_text")).alias("loose"))
 
 
-def query_plan(queries: DataFrame, rules: DataFrame) -> DataFrame:
-    """Q2: (query_id, variant): the normal form, the formula number, and what rules(pattern, alias) add for a table of queries(query_id, text)."""
-    q = queries.select("query_id", normal(F.col("text")).alias("n"))
-    number = F.regexp_extract("n", r"(a?\d+(?:\.\d+)+[a-z]?)", 1)
-    alias = q.join(F.broadcast(rules), F.expr("n rlike pattern")).select("query_id", F.col("alias").alias("variant"))
-    return q.select("query_id", F.col("n").alias("variant")).union(q.select("query_id", number)).union(alias).filter("variant != ''").distinct()
+def query_plan(queries: DataFrame, rules: list[tuple[str, list[str], str | None]] = RULES) -> DataFrame:
+    """Q2: (query_id, variant, number) of queries(query_id, text): the normal form, forms of a formula's or chapter's number, and the terms of each rule(pattern, terms, skip) that fits; number is empty where none is named."""
+    n = F.col("n")
+    q = queries.select("query_id", normal(F.col("text")).alias("n")).withColumn("number", F.regexp_extract("n", NUMBER, 1))
+    chapter = F.coalesce(*[F.nullif(F.regexp_extract("n", p, 1), F.lit("")) for p in CHAPTER])
+    one = [n, *[F.when(F.col("number") != "", F.format_string(x, "number")) for x in NUMBER_FORMS], *[F.when(chapter.isNotNull(), F.format_string(x, chapter)) for x in CHAPTER_FORMS]]
+    fits = lambda pattern, skip: n.rlike(pattern) & ~n.rlike(skip) if skip else n.rlike(pattern)
+    terms = [F.when(fits(pattern, skip), F.lit(term.lower())) for pattern, found, skip in rules for term in found]
+    return q.select("query_id", F.explode(F.array_distinct(F.array_compact(F.array(*one, *terms)))).alias("variant"), "number").filter("variant != ''").distinct()
 
 
 def score_formulas(plan: DataFrame, docs: DataFrame) -> DataFrame:
-    """Q3: (query_id, id, score): 1000 number, 920 number prefix, 780 label, 500 context; the best over all variants.
+    """Q3: (query_id, id, score), the best of: 1000 equal number, 920 begins with a chapter's number, 830 with another, 900 equal id where no number is named; 780 label, 730 LaTeX, 500 context hold a variant.
 
-    Variants of a word or number join the documents' tokens; a phrase is looked up by its first word, then checked.
+    Numbers are met by their prefixes. A variant's words must all be words of the document; the rarest of them finds the
+    candidates, so frequent words join nothing. Variants of one or two letters are whole words of a field.
     """
-    tokens = docs.select("id", "number", "norm", F.explode(F.array_distinct(F.split("norm", r"[^a-z0-9.]+"))).alias("t")).filter("t != ''")
-    p = plan.withColumn("t", F.regexp_extract("variant", r"^([a-z0-9.]*[a-z0-9])", 1)).filter("t != ''")
-    hit = p.join(tokens, "t").filter(F.expr("contains(norm, variant)"))
-    score = F.when(F.col("variant") == F.col("number"), 1000).when(F.col("number").startswith(F.col("variant")), 920).when(F.col("norm").startswith(F.col("variant")), 780).otherwise(500)
-    return hit.groupBy("query_id", "id").agg(F.max(score).cast("long").alias("score"))
+    q = plan.filter("number != ''").select("query_id", F.col("number").alias("q")).distinct()
+    q = q.withColumn("key", F.when(F.col("q").rlike(r"^[a-z]?\d+$"), F.concat("q", F.lit("."))).otherwise(F.col("q")))
+    begin = docs.select("id", "number", F.explode(F.expr("transform(sequence(1, length(number) + 1), i -> substring(concat(number, '.'), 1, i))")).alias("key"))
+    numbered = q.join(begin, "key").filter(F.expr("number = q or startswith(number, key)"))
+    tier = F.when(F.col("number") == F.col("q"), 1000).when(F.col("q").rlike(r"^[a-z]?\d+\.?$"), 920).otherwise(830)
+    named = plan.filter("number = ''").join(docs.select("id"), F.col("variant") == F.col("id"))
+
+    words = lambda c: F.filter(F.array_distinct(F.split(c, r"[^a-z0-9.]+")), lambda t: t != "")
+    p = plan.select("query_id", "variant").distinct().withColumn("words", words(F.col("variant"))).filter("size(words) > 0")
+    each = p.select("variant", F.explode("words").alias("t")).distinct()
+    tokens = docs.select("id", F.explode(words(F.col("norm"))).alias("t")).join(each.select("t").distinct(), "t", "left_semi")
+    often = tokens.groupBy("t").agg(F.count("*").alias("n"))
+    rare = each.join(often, "t", "left").groupBy("variant").agg(F.min_by("t", F.struct(F.coalesce("n", F.lit(0)), "t")).alias("t"))
+    near = p.join(rare, "variant").join(tokens, "t").join(docs.select("id", "label", "latex", "norm"), "id")
+    near = near.filter(F.size(F.array_except("words", words(F.col("norm")))) == 0)
+    short = F.col("variant").rlike("^[a-z0-9]{1,2}$")
+    holds = lambda c: F.when(short, F.array_contains(F.split(c, "[^a-z0-9]+"), F.col("variant"))).otherwise(F.contains(F.col(c), F.col("variant")))
+    held = F.when(holds("label"), 780).when(holds("latex"), 730).when((F.length("variant") >= 3) & holds("norm"), 500)
+    hits = numbered.select("query_id", "id", tier.alias("score")).union(named.select("query_id", "id", F.lit(900))).union(near.select("query_id", "id", held))
+    return hits.filter("score is not null").groupBy("query_id", "id").agg(F.max("score").cast("long").alias("score"))
 
 
 def fuzzy_match(plan: DataFrame, words: DataFrame, threshold: float = 0.32, limit: int = 16) -> DataFrame:

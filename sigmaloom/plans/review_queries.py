@@ -84,21 +84,48 @@ def _(spark, folder):
     return review.generated_copy_filter(table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text"))
 
 
-SEARCH = r"""
-sd as (select formula_id as id, raw_id as number, trim(regexp_replace(regexp_replace(lower(label || ' ' || context_text), '(\d),(\d)', '\1.\2', 'g'), '\s+', ' ', 'g')) as norm from corpus),
-qs as (select item_id as query_id, trim(regexp_replace(lower(array_to_string(list_slice(string_split_regex(text, '\s+'), 1, 1), ' ') || case when item_id % 2 = 0 then '' else ' ' || (item_id % 20 + 1) || '.1a' end), '\s+', ' ', 'g')) as n from benchmark),
-qp as (select distinct query_id, variant from (select query_id, n as variant from qs union all select query_id, regexp_extract(n, '(a?\d+(?:\.\d+)+[a-z]?)', 1) from qs union all select query_id, 'formula ' || regexp_extract(n, '(a?\d+(?:\.\d+)+[a-z]?)', 1) from qs where false) where variant <> ''),
-hits as (select query_id, id, cast(max(case when variant = number then 1000 when starts_with(number, variant) then 920 when starts_with(norm, variant) then 780 else 500 end) as bigint) as score from (select *, regexp_extract(variant, '^([a-z0-9.]*[a-z0-9])', 1) as t from qp) p
-  join (select *, unnest(list_distinct(string_split_regex(norm, '[^a-z0-9.]+'))) as t from sd) d on d.t = p.t and p.t <> '' and contains(norm, variant) group by all)
+#: Queries without Latin words, chosen by the item's number.
+ASKED = ["有效群体大小", "自然选择", "选择强度", "连锁不平衡", "LD", "Ne", "第3章", "chapter 2", "公式 4.1", "群体大小"]
+
+
+def _norm(text: str) -> str:
+    plain = f"translate(regexp_replace(lower({text}), '(\\d),(\\d)', '\\1.\\2', 'g'), '{search.QUOTES[0]}', '{search.QUOTES[1].replace(chr(39), chr(39) * 2)}')"
+    return f"trim(regexp_replace({plain}, '\\s+', ' ', 'g'))"
+
+
+def _text(x: str | None) -> str:
+    return "null" if x is None else "'" + x.replace("'", "''") + "'"
+
+
+_RULES = ", ".join(f"({_text(p)}, {_text(t.lower())}, {_text(skip)})" for p, terms, skip in search.RULES for t in terms)
+_FORMS = lambda value, forms: f"unnest([{', '.join(chr(39) + f.replace('%s', chr(39) + ' || ' + value + ' || ' + chr(39)) + chr(39) for f in forms)}])"
+_CHAPTER = "coalesce(" + ", ".join(f"nullif(regexp_extract(n, '{p}', 1), '')" for p in search.CHAPTER) + ")"
+
+SEARCH = rf"""
+sd as (select formula_id as id, raw_id as number, {_norm("label")} as label, {_norm("latex")} as latex, {_norm("label || ' ' || context_text")} as norm from corpus),
+qs as (select *, regexp_extract(n, '{search.NUMBER}', 1) as number from (select item_id as query_id, {_norm(f"case item_id % 4 when 0 then text when 1 then string_split_regex(text, '[ ]+')[1] || ' ' || (item_id % 20 + 1) || '.1a' when 2 then [{', '.join(map(_text, ASKED))}][item_id // 4 % {len(ASKED)} + 1] else string_split_regex(text, '[ ]+')[1] end")} as n from benchmark)),
+rules(pattern, term, skip) as (values {_RULES}),
+qp as (select distinct query_id, variant, number from (select query_id, n as variant, number from qs union all select query_id, {_FORMS("number", search.NUMBER_FORMS)}, number from qs where number <> ''
+  union all select query_id, {_FORMS("c", search.CHAPTER_FORMS)}, number from (select *, {_CHAPTER} as c from qs) where c is not null
+  union all select query_id, term, number from qs join rules on regexp_matches(n, pattern) and (skip is null or not regexp_matches(n, skip))) where variant <> ''),
+pw as (select distinct query_id, variant, list_filter(string_split_regex(variant, '[^a-z0-9.]+'), lambda x: x <> '') as words from qp),
+dw as (select *, string_split_regex(norm, '[^a-z0-9.]+') as words from sd),
+near as (select query_id, id, variant, label, latex, norm, regexp_matches(variant, '^[a-z0-9]{{1,2}}$') as short from pw join (select *, unnest(list_distinct(words)) as t from dw) d on d.t = pw.words[1] and list_has_all(d.words, pw.words)),
+hits as (select query_id, id, cast(max(s) as bigint) as score from (
+  select query_id, id, case when case when short then list_contains(string_split_regex(label, '[^a-z0-9]+'), variant) else contains(label, variant) end then 780 when case when short then list_contains(string_split_regex(latex, '[^a-z0-9]+'), variant) else contains(latex, variant) end then 730 when length(variant) >= 3 and contains(norm, variant) then 500 end as s from near
+  union all select query_id, id, 900 from qp join sd on id = variant where qp.number = ''
+  union all select query_id, id, case when sd.number = q then 1000 when regexp_matches(q, '^[a-z]?\d+\.?$') then 920 else 830 end from (select distinct query_id, number as q from qp where number <> '') join sd on sd.number = q or starts_with(sd.number, case when regexp_matches(q, '^[a-z]?\d+$') then q || '.' else q end)) where s is not null group by all)
 """
 
 
 def _plan(spark, folder):
-    q = table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.get(F.split("text", r"\s+"), F.lit(0)), F.when(F.col("item_id") % 2 == 0, "").otherwise(F.concat(F.lit(" "), F.col("item_id") % 20 + 1, F.lit(".1a")))).alias("text"))
-    return search.query_plan(q, spark.createDataFrame([], "pattern string, alias string"))
+    i, first = F.col("item_id"), F.get(F.split("text", "[ ]+"), F.lit(0))
+    asked = F.get(F.array(*map(F.lit, ASKED)), (F.floor(i / 4) % len(ASKED)).cast("int"))
+    text = F.when(i % 4 == 0, F.col("text")).when(i % 4 == 1, F.concat(first, F.lit(" "), i % 20 + 1, F.lit(".1a"))).when(i % 4 == 2, asked).otherwise(first)
+    return search.query_plan(table(spark, folder, "benchmark").select(i.alias("query_id"), text.alias("text")))
 
 
-@query("q1_search_documents", rf"with {CORPUS}, {SEARCH} select id, number, norm, replace(norm, ' ', '') as compact, regexp_replace(norm, '[^a-z0-9一-鿿]+', '', 'g') as loose from sd")
+@query("q1_search_documents", rf"with {CORPUS}, {SEARCH} select id, number, label, latex, norm, replace(norm, ' ', '') as compact, regexp_replace(norm, '[^a-z0-9一-鿿]+', '', 'g') as loose from sd")
 def _(spark, folder):
     return search.search_documents(corpus(spark, folder))
 
@@ -113,7 +140,7 @@ def _(spark, folder):
     return search.score_formulas(_plan(spark, folder), search.search_documents(corpus(spark, folder)))
 
 
-@query("q6_fuzzy_match", f"""with {CORPUS}, {SEARCH}, wd as (select distinct symbol as word from occ), pr as (select query_id, variant, word, levenshtein(variant, word) / greatest(length(variant), length(word)) as share from qp, wd where regexp_matches(variant, '^[a-z.,]+$')
+@query("q6_fuzzy_match", f"""with {CORPUS}, {SEARCH}, wd as (select distinct symbol as word from occ), pr as (select query_id, variant, word, levenshtein(variant, word) / greatest(length(variant), length(word)) as share from (select distinct query_id, variant from qp) p, wd where regexp_matches(variant, '^[a-z.,]+$')
     and len(list_intersect(list_transform(generate_series(1, greatest(length(variant) - 2, 1)), lambda i: substr(variant, i, 3)), list_transform(generate_series(1, greatest(length(word) - 2, 1)), lambda i: substr(word, i, 3)))) > 0),
   sc as (select query_id, variant, word, cast(round(420 - 420 * share) as bigint) as score from pr where share <= 0.32) select * from sc qualify row_number() over (partition by query_id, variant order by score desc, word) <= 16""")
 def _(spark, folder):
