@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -115,13 +115,48 @@ def internal_key_scan(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.select("id", F.explode(F.array_intersect(found, F.array(*map(F.lit, keys)))).alias("key"))
 
 
-def concept_entry_ranking(views: DataFrame, generic: list[str], k: int = 5) -> DataFrame:
-    """(chapter_id, rank, title, score): views(chapter_id, title, symbol, tier, length) grouped by title and symbol: 80 backbone or 55 representative, 18 with a symbol, length / 18 up to 24, 3 for each occurrence up to 24, less 85 for a generic title; ``k`` a chapter."""
-    g = views.groupBy("chapter_id", F.lower("title").alias("title"), F.lower("symbol").alias("symbol")).agg(F.min("tier").alias("tier"), F.max("length").alias("length"), F.count("*").alias("n"))
-    score = F.when(F.col("tier") == 0, 80).when(F.col("tier") == 1, 55).otherwise(0) + F.when(F.col("symbol") != "", 18).otherwise(0) + F.least(F.lit(24), F.floor(F.col("length") / 18)) + F.least(F.lit(24), 3 * F.col("n")) - F.when(F.col("title").isin(generic), 85).otherwise(0)
-    g = g.withColumn("score", score.cast("long"))
-    r = F.row_number().over(Window.partitionBy("chapter_id").orderBy(F.desc("score"), "title", "symbol"))
-    return g.withColumn("rank", r.cast("long")).filter(F.col("rank") <= k).select("chapter_id", "rank", "title", "score")
+#: Titles and symbols that say too little, general aliases, and words of a title that outweigh those.
+GENERIC_TITLES = [
+    r"^formula\s+\S+\s+result$", r"\bformula\b.*\bconcept\b", r"^(?:int|sum|frac|left|right|power|sub|sup|is clearly|where|if |then |[a-z] (?:sub|power))",
+    r"(?:sub|power|simeq|frac|left|right).*(?:sub|power|simeq|frac|left|right)", r"\b(?:being considered|clearly too restrictive|relationship)\b",
+]
+GENERIC_SYMBOLS = r"\\int|\\sum|\\frac"
+GENERAL_ALIASES = r"(?i)\b(?:quantity_concept|theorem_or_principle)\b"
+TELLING_TITLES = "(?i)hka|mcdonald|kreitman|likelihood|probability density|fitness|adaptive|substitution|neutrality|order term"
+
+
+def generic_concept() -> Column:
+    """Whether a row (concept_id, title, symbol, aliases) says too little to stand for its chapter; nulls count as empty."""
+    concept_id, title, symbol, aliases = (F.coalesce(x, F.lit("")) for x in ("concept_id", "title", "symbol", "aliases"))
+    title = F.trim(title)
+    wordy = F.regexp_count(title, F.lit(r"\S+")) > 4
+    odd_symbol = (F.length(F.trim(symbol)) > 26) | symbol.rlike(GENERIC_SYMBOLS)
+    general = aliases.rlike(GENERAL_ALIASES) & ~title.rlike(TELLING_TITLES)
+    return F.lower(concept_id).endswith("_statement") | F.lower(title).rlike("|".join(f"(?:{x})" for x in GENERIC_TITLES)) | wordy | odd_symbol | general
+
+
+def concept_entry_ranking(views: DataFrame, spine: DataFrame) -> DataFrame:
+    """(chapter_id, rank, title, score): the entries of each chapter, scores in hundredths.
+
+    views(chapter_id, concept_id, title, symbol, aliases, context, backbone, representative, in_section): 80 on the
+    backbone, 55 as a representative, 18 with a symbol, an 18th of the context's length up to 24, 8 with aliases, 6 in
+    the hinted section, less 85 if generic. Equal titles and symbols are one entry with its best view's score and 3 a
+    view up to 24. Generic entries stand only where a chapter has no other. 3 for each 4 formulas of
+    spine(chapter_id, n_backbone), at least 5 and at most 10.
+    """
+    on = lambda c, points: F.when(c, points).otherwise(0)
+    text = lambda c: F.lower(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " ")))
+    context = F.least(F.lit(2400), F.floor(100 * F.length(F.coalesce("context", F.lit(""))) / 18))
+    score = on(F.col("backbone"), 8000) + on(F.col("representative"), 5500) + on(F.coalesce("symbol", F.lit("")) != "", 1800) + context
+    score = score + on(F.coalesce("aliases", F.lit("")) != "", 800) + on(F.col("in_section"), 600) - on(F.col("generic"), 8500)
+    d = views.withColumn("generic", generic_concept()).withColumns({"score": score, "title": text("title"), "symbol": text("symbol")})
+    best = F.max(F.struct("score", F.expr("not generic").alias("plain"))).alias("best")
+    g = d.groupBy("chapter_id", "title", "symbol").agg(best, F.count("*").alias("n")).join(spine, "chapter_id", "left")
+    g = g.select("chapter_id", "title", "symbol", (F.col("best.score") + F.least(F.lit(2400), 300 * F.col("n"))).cast("long").alias("score"), "best.plain", F.greatest(F.lit(5), F.least(F.lit(10), F.ceil(F.coalesce("n_backbone", F.lit(0)) * 3 / 4))).alias("k"))
+    # plain entries come first; where there is one, generic ones fall out
+    w = Window.partitionBy("chapter_id").orderBy(F.desc("plain"), F.desc("score"), "title", "symbol")
+    g = g.withColumns({"rank": F.row_number().over(w).cast("long"), "first": F.first("plain").over(w)})
+    return g.filter("plain = first and rank <= k").select("chapter_id", "rank", "title", "score")
 
 
 def evidence_ranking(concepts: DataFrame, blocks: DataFrame) -> DataFrame:

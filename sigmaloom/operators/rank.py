@@ -71,7 +71,7 @@ def learning_paths(seeds: DataFrame, formulas: DataFrame) -> DataFrame:
 
 def storyline_blueprint(formulas: DataFrame, occ: DataFrame, blueprints: DataFrame, limit: int = 6) -> DataFrame:
     """(story_id, formula_id, score): per blueprint(story_id, low, high, symbol) 10 for each used match, 8 for each defined one; at most two of a chapter, ``limit`` in all, stories of two or more."""
-    hit = occ.join(F.broadcast(blueprints), "symbol").filter("chapter between low and high")
+    hit = occ.join(blueprints, "symbol").filter("chapter between low and high")
     s = hit.groupBy("story_id", "formula_id", "chapter", "position").agg(F.sum(F.when(F.col("defines"), 8).otherwise(10)).alias("score"))
     order = ["score", "chapter", "position"]
     by = [F.desc(order[0]), *order[1:], "formula_id"]

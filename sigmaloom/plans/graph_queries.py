@@ -63,12 +63,12 @@ for _d, _s in (("prerequisites", "dependent_id as formula_id, target_id as neigh
     query(f"g1_neighbours_{_d}", f"with {GRAPH} select {_s} from ge")(lambda spark, folder, d=_d: graph.neighbours(edges_of(spark, folder)[3], d))
 
 
-@query("g2_expand_step", f"""with {GRAPH} select dependent_id as formula_id, target_id as next_id, 'prerequisite' as side from ge join corpus c on c.formula_id = dependent_id where c.position % 10 = 0
+@query("g2_expand_step", f"""with {GRAPH} select dependent_id as formula_id, target_id as next_id, 'prerequisite' as side from ge join corpus c on c.formula_id = dependent_id
   union all select formula_id, next_id, 'dependent' from (select t.formula_id, d.formula_id as next_id, row_number() over (partition by t.formula_id order by d.position, d.formula_id) as r
-    from ge join corpus t on t.formula_id = target_id join corpus d on d.formula_id = dependent_id and d.chapter_id = t.chapter_id where t.position % 10 = 0) where r <= 5""")
+    from ge join corpus t on t.formula_id = target_id join corpus d on d.formula_id = dependent_id and d.chapter_id = t.chapter_id) where r <= 5""")
 def _(spark, folder):
     formulas, _, _, edges = edges_of(spark, folder)
-    return graph.expand_step(formulas.filter("position % 10 = 0"), edges, formulas)
+    return graph.expand_step(formulas, edges, formulas)
 
 
 @query("g3_starter_formulas", f"with {GRAPH} select formula_id, chapter_id from corpus where formula_id not in (select dependent_id from ge)")
@@ -162,7 +162,7 @@ def _(spark, folder):
     return rank.learning_paths(seeds, corpus(spark, folder))
 
 
-STORY = "bp as (select item_id as story_id, 1 as low, 10 as high, unnest(list_distinct(list_slice(regexp_extract_all(lower(text), '[a-z]{3,}'), 1, 5))) as symbol from benchmark)"
+STORY = "bp as (select item_id as story_id, 1 as low, 10 as high, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{3,}'))) as symbol from benchmark)"
 
 
 @query("r7_storyline_blueprint", f"""with {CORPUS}, {STORY}, s as (select story_id, formula_id, chapter, position, sum(case when defines then 8 else 10 end) as score from occ join bp on bp.symbol = occ.symbol and chapter between low and high group by all),
@@ -170,7 +170,7 @@ STORY = "bp as (select item_id as story_id, 1 as low, 10 as high, unnest(list_di
   select story_id, formula_id, cast(score as bigint) as score from b qualify count(*) over (partition by story_id) >= 2""")
 def _(spark, folder):
     formulas, occ, _, _ = vocabulary(spark, folder)
-    words = F.array_distinct(F.slice(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0)), 1, 5))
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0)))
     blueprints = table(spark, folder, "benchmark").select(F.col("item_id").alias("story_id"), F.lit(1).alias("low"), F.lit(10).alias("high"), F.explode(words).alias("symbol"))
     return rank.storyline_blueprint(formulas, occ, blueprints)
 

@@ -132,6 +132,22 @@ def test_group_edges_come_first_in_ocr_mode(spark):
         assert [r.evidence for r in edges] == [want]
 
 
+def test_query_plan_and_scores(spark):
+    """Rules with their skips, numbers by prefix, ids, and words that are no prefix of another number."""
+    from sigmaloom.operators import search
+
+    plan = search.query_plan(spark.createDataFrame([(1, "有效群体大小"), (2, "公式 2.1"), (4, "formula_2.1a"), (5, "2"), (6, None)], "query_id long, text string"))
+    rows = plan.collect()
+    of = lambda i: {r.variant for r in rows if r.query_id == i}
+    assert of(1) == {"有效群体大小", "effective population size", "genetic effective size", "effective size"}
+    assert of(2) == {"公式 2.1", "2.1", "formula 2.1", "formula2.1", "公式2.1"} and of(4) == {"formula_2.1a"} and of(6) == set()
+    assert {"chapter 2", "c2", "第2章", "formula 2"} <= of(5) and {r.number for r in rows if r.query_id == 5} == {"2"}
+    f = [("formula_2.1a", "2.1a", "Formula 2.1a", "x y", "the effective population size"), ("formula_2.1", "2.1", "Formula 2.1", "z", "alpha"), ("formula_21.1a", "21.1a", "Formula 21.1a", "w", "drift")]
+    docs = search.search_documents(spark.createDataFrame(f, "formula_id string, raw_id string, label string, latex string, context_text string"))
+    got = {(r.query_id, r.id): r.score for r in search.score_formulas(plan, docs).collect()}
+    assert got == {(1, "formula_2.1a"): 500, (2, "formula_2.1"): 1000, (2, "formula_2.1a"): 830, (4, "formula_2.1a"): 900, (5, "formula_2.1"): 920, (5, "formula_2.1a"): 920}
+
+
 def test_sanitized_at_any_depth(spark):
     from sigmaloom.sources.files import sanitized
 
