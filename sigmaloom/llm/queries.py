@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.work import bound_batches
-from . import chat, decontam, html, langid, licenses, minhash, mixing, quality, suffix, urls
+from . import chat, decontam, html, langid, licenses, minhash, mixing, quality, resample, runs, simhash, suffix, urls
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -55,6 +55,47 @@ def op10_decontamination(spark, folder):
     return found.select("doc_id", "n_words", "item_id", "n_item", "covered", F.round("coverage", 6).alias("coverage"), "contaminated")
 
 
+def op11_simhash_dedup(spark, folder):
+    return simhash.near_fingerprints(_table(spark, folder, "documents"))
+
+
+def op12_importance_resampling(spark, folder):
+    return resample.resample(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
+
+
+#: The contract's planted repeats: the words of every tenth document, by a hash of its id, repeat from word a on with period p.
+PLANTED = {
+    "w": r"array_remove(split(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), '')",
+    "h": "crc32(cast(cast(doc_id as string) as binary))",
+    "n": "size(w)",
+    "a": "cast(pmod(h div 10, n) as int)",
+    "p": "cast(1 + (n - a) div (3 + pmod(h div 10, 8)) as int)",
+    "text": "case when h % 10 = 0 and n > 0 then array_join(transform(sequence(0, n - 1), i -> get(w, if(i < a, i, a + (i - a) % p))), ' ') else text end",
+}
+
+
+def with_planted_repeats(docs: DataFrame) -> DataFrame:
+    d = docs.select("doc_id", "text")
+    planted = F.expr("pmod(crc32(cast(cast(doc_id as string) as binary)), 10) = 0")
+    some = d.filter(planted)
+    for name, value in PLANTED.items():
+        some = some.withColumn(name, F.expr(value))
+    return some.select("doc_id", "text").union(d.filter(~F.coalesce(planted, F.lit(False))))
+
+
+def op13_periodic_runs(spark, folder):
+    found = runs.periodic_runs(with_planted_repeats(_table(spark, folder, "documents")))
+    # greatest exponent first: lengths and periods are compared crosswise, so equal ratios tie exactly
+    best = F.expr("""aggregate(slice(runs, 2, size(runs)), get(runs, 0), (b, r) -> if(r.length * b.period > b.length * r.period
+        or (r.length * b.period = b.length * r.period and (r.start, r.period) < (b.start, b.period)), r, b))""")
+    lines = F.expr("array_join(transform(runs, r -> concat(r.start, ',', r.length, ',', r.period, '\n')), '')")
+    return found.withColumn("best", F.when(F.size("runs") > 0, best)).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def pipeline(spark, folder):
     import corpus_pipeline
 
@@ -95,5 +136,25 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 }
 
 
+SQL["op12_importance_resampling"] = r"""
+with tab as (select list(list_reduce([i, 0, 1, 2, 3, 4, 5, 6, 7], lambda c, x: xor(c >> 1, 3988292384 * (c & 1))) order by i) as t from (select unnest(generate_series(0, 255))::bigint as i)),
+d as (select row_number() over () as r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+w as (select r, unnest(w) as w from d),
+m as (select unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) as w from benchmark),
+v as (select w, hex(encode(w)) as x from (select w from w union select w from m)),
+b as (select w, xor(list_reduce(list_prepend(4294967295::bigint, list_transform(generate_series(1, length(x), 2), lambda i: ('0x' || substr(x, i, 2))::bigint)),
+    lambda c, y: xor(c >> 8, t[(xor(c, y) & 255) + 1])), 4294967295) % 10000 as bucket from v, tab),
+s as (select bucket, count(*) as s from w join b using (w) group by all), t as (select bucket, count(*) as t from m join b using (w) group by all),
+g as (select bucket, floor(1000 * ln((coalesce(t, 0) + 1)::double * ((select count(*) from w) + 10000) / ((coalesce(s, 0) + 1)::double * ((select count(*) from m) + 10000))))::bigint as gain
+    from (select distinct bucket from b) left join s using (bucket) left join t using (bucket)),
+f as (select r, sum(gain)::bigint as weight from w join b using (w) join g using (bucket) group by r),
+x as (select r, doc_id, len(w)::bigint as n_features, coalesce(weight, 0) as weight,
+    coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::bigint + 0.5::double) / 4294967296::double)))::bigint as score from d left join f using (r)),
+k as (select r, row_number() over (order by score desc, doc_id) as rank from x where n_features >= 20 and score is not null),
+n as (select 10 * count(*) // 100 as n from k)
+select doc_id, n_features, weight, score, case when rank <= n then rank end as rank from x left join k using (r), n
+"""
+
+
 def oracle_sql() -> dict:
     return dict(SQL)
