@@ -68,7 +68,7 @@ PLANTED = {
     "w": r"array_remove(split(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), '')",
     "h": "crc32(cast(cast(doc_id as string) as binary))",
     "n": "size(w)",
-    "a": "cast(pmod(h div 10, n) as int)",
+    "a": "cast(pmod(h div 10, greatest(n, 1)) as int)",
     "p": "cast(1 + (n - a) div (3 + pmod(h div 10, 8)) as int)",
     "text": "case when h % 10 = 0 and n > 0 then array_join(transform(sequence(0, n - 1), i -> get(w, if(i < a, i, a + (i - a) % p))), ' ') else text end",
 }

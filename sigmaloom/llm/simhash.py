@@ -7,14 +7,14 @@ are one leaf; leaves at ``distance`` or fewer differing bits are linked.
   segments gives a table whose top nodes share the bits of both. The other bits, in a row, are read as a Gray code.
 * Each table is sorted by (top node, Gray rank) and dealt by range, so a top node of any size falls into parts. Gray
   neighbours differ in few bits, so a run of consecutive leaves shares many: such a group is a node, the bits that all its
-  leaves share and their values. Groups of LEAVES leaves make blocks of BLOCK, BLOCKS blocks make an upper node.
+  leaves share and their values. Groups make blocks, blocks make upper nodes (Sizes).
 * Differences add up on the way down: the bits that two nodes share, and differ in, bound all pairs below them. A pair of
   nodes beyond the distance is dropped with everything below; a pair of groups whose other bits cannot reach beyond the
   distance is linked as a whole, without looking at its leaves.
 * Every block and every pair of blocks sends on a spanning forest of its links, so a dense group costs a link a leaf.
-  Top nodes up to SMALL leaves, nearly all of them, are compared in one pass over the sorted rows.
+  Top nodes up to ``small`` leaves, nearly all of them, are compared in one pass over the sorted rows.
 
-So no link is missed at any size, and nothing is capped: a top node of n leaves costs (n / BLOCK) ^ 2 pairs of blocks at
+So no link is missed at any size, and nothing is capped: a top node of n leaves costs (n / block) ^ 2 pairs of blocks at
 most, dealt as rows of a join.
 
 Defined results: A-Z are lower-cased, words split at ASCII white space; a text with fewer words than a shingle is one
@@ -26,6 +26,7 @@ an empty table gives no row; columns beyond doc_id and text are left out.
 from __future__ import annotations
 
 from itertools import accumulate, combinations
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +37,16 @@ from pyspark.sql import functions as F
 from ..operators.components import connected_components
 from .common import slices, written
 
-LEAVES, BLOCK, BLOCKS = 16, 1024, 32
-#: Leaves of a top node that are compared without an index.
-SMALL = 16
+
+class Sizes(NamedTuple):
+    """Leaves of a group, leaves of a block, blocks of an upper node, and leaves of a top node that are compared without an index."""
+
+    leaves: int = 16
+    block: int = 1024
+    blocks: int = 32
+    small: int = 16
+
+
 #: Shingle hashes whose bits are counted at a time.
 CHUNK = 1 << 15
 
@@ -123,18 +131,18 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         label = new
 
 
-def nodes(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(bits that all leaves share, their values) of each group of LEAVES consecutive fingerprints."""
-    at = np.arange(0, len(fp), LEAVES)
+def nodes(fp: np.ndarray, leaves: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bits that all leaves share, their values) of each group of ``leaves`` consecutive fingerprints."""
+    at = np.arange(0, len(fp), leaves)
     low = np.bitwise_and.reduceat(fp, at)
     shared = ~(np.bitwise_or.reduceat(fp, at) ^ low)
     return shared, low & shared
 
 
-def block_links(one: np.ndarray, two: np.ndarray | None, distance: int) -> tuple[np.ndarray, np.ndarray]:
+def block_links(one: np.ndarray, two: np.ndarray | None, distance: int, leaves: int) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links between two blocks of Gray-sorted fingerprints, or within ``one``."""
     other = one if two is None else two
-    (m1, p1), (m2, p2) = nodes(one), nodes(other)
+    (m1, p1), (m2, p2) = nodes(one, leaves), nodes(other, leaves)
     both = m1[:, None] & m2[None, :]
     differ = np.bitwise_count((p1[:, None] ^ p2[None, :]) & both)
     near = differ <= distance
@@ -143,13 +151,13 @@ def block_links(one: np.ndarray, two: np.ndarray | None, distance: int) -> tuple
     whole = near & (differ.astype(np.int64) + np.bitwise_count(~both) <= distance)
     left, right = [], []
     for x, y in zip(*np.nonzero(whole), strict=True):
-        members = np.concatenate([one[x * LEAVES : (x + 1) * LEAVES], other[y * LEAVES : (y + 1) * LEAVES]])
+        members = np.concatenate([one[x * leaves : (x + 1) * leaves], other[y * leaves : (y + 1) * leaves]])
         left.append(members[1:])
         right.append(np.full(len(members) - 1, members[0]))
     x, y = np.nonzero(near & ~whole)
     for at in range(0, len(x), 2048):  # a bound on memory: the leaves of so many pairs of nodes at a time
-        i = (x[at : at + 2048, None] * LEAVES + np.arange(LEAVES))[:, :, None]
-        j = (y[at : at + 2048, None] * LEAVES + np.arange(LEAVES))[:, None, :]
+        i = (x[at : at + 2048, None] * leaves + np.arange(leaves))[:, :, None]
+        j = (y[at : at + 2048, None] * leaves + np.arange(leaves))[:, None, :]
         inside = (i < len(one)) & (j < len(other))
         u, v = one[np.minimum(i, len(one) - 1)], other[np.minimum(j, len(other) - 1)]
         hit = inside & (np.bitwise_count(u ^ v) <= distance) & (u != v)
@@ -164,7 +172,7 @@ def block_links(one: np.ndarray, two: np.ndarray | None, distance: int) -> tuple
 LINKED = "left long, right long, top long, upper long, block long, shared long, value long, leaves binary"
 
 
-def index(leaves: DataFrame, distance: int) -> DataFrame:
+def index(leaves: DataFrame, distance: int, sizes: Sizes) -> DataFrame:
     """Links found inside blocks (left, right), and the blocks of top nodes that hold several, in one written table."""
 
     def deal(batches):
@@ -193,12 +201,12 @@ def index(leaves: DataFrame, distance: int) -> DataFrame:
         def close(top, rank, fp, whole):
             """A block is complete; the top node ends with it (``whole``) if no further rows of it can come."""
             nonlocal made, upper
-            if made % BLOCKS == 0:
+            if made % sizes.blocks == 0:
                 upper = rank[0]
             alone = whole and made == 0
             made += 1
             if len(fp) > 1:
-                yield links_row(*block_links(fp, None, distance))
+                yield links_row(*block_links(fp, None, distance, sizes.leaves))
             if not alone:
                 yield block_row(top, upper, rank[0], fp)
 
@@ -207,13 +215,13 @@ def index(leaves: DataFrame, distance: int) -> DataFrame:
             cuts = np.flatnonzero(top[1:] != top[:-1]) + 1
             starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(top)]])
             size = ends - starts
-            # small top nodes inside the partition: all pairs at a distance of up to SMALL rows
-            plain = size <= SMALL
+            # small top nodes inside the partition: all pairs at a distance of up to ``small`` rows
+            plain = size <= sizes.small
             plain[0] &= not (first or made)
             plain[-1] = False
             row = np.repeat(plain, size)
             at = np.flatnonzero(row)
-            for s in range(1, SMALL):
+            for s in range(1, sizes.small):
                 x = at[at + s < len(top)]
                 x = x[(top[x] == top[x + s])]
                 if not len(x):
@@ -226,9 +234,9 @@ def index(leaves: DataFrame, distance: int) -> DataFrame:
                 edge = first and g == 0 or last and final  # its other rows may be in the partition before or after
                 if open_top != top[starts[g]]:
                     made, open_top = 0, top[starts[g]]
-                for a in range(starts[g], ends[g], BLOCK):
-                    b = min(a + BLOCK, ends[g])
-                    if last and not final and b - a < BLOCK:
+                for a in range(starts[g], ends[g], sizes.block):
+                    b = min(a + sizes.block, ends[g])
+                    if last and not final and b - a < sizes.block:
                         rest[:] = [v[a:b] for v in (top, rank, fp)]
                         break
                     yield from close(top[a], rank[a:b], fp[a:b], b == ends[g] and not edge and not (last and not final))
@@ -252,7 +260,7 @@ def index(leaves: DataFrame, distance: int) -> DataFrame:
     return written(dealt.mapInArrow(grow, LINKED), "simhash-index")
 
 
-def links_between(blocks: DataFrame, distance: int) -> DataFrame:
+def links_between(blocks: DataFrame, distance: int, sizes: Sizes) -> DataFrame:
     """(left, right): links between different blocks of one top node, down from pairs of upper nodes."""
     near = lambda a, b: f"bit_count(({a}value ^ {b}value) & {a}shared & {b}shared) <= {distance}"
     nodes_ = blocks.select("top", "upper", "block", "shared", "value")
@@ -268,19 +276,24 @@ def links_between(blocks: DataFrame, distance: int) -> DataFrame:
     def run(batches):
         for batch in batches:
             for x, y in zip(batch.column("l_leaves").to_pylist(), batch.column("r_leaves").to_pylist(), strict=True):
-                a, b = block_links(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), distance)
+                a, b = block_links(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), distance, sizes.leaves)
                 yield pa.record_batch({"left": pa.array(a.view(np.int64)), "right": pa.array(b.view(np.int64))})
 
     return pairs.select("l_leaves", "r_leaves").mapInArrow(run, "left long, right long")
 
 
+def fingerprint_links(leaves: DataFrame, distance: int, sizes: Sizes = Sizes()) -> DataFrame:
+    """(left, right): links that connect all fingerprints of (fp) within ``distance``, directly or through each other."""
+    found = index(leaves, distance, sizes)
+    inside = found.filter("left is not null").select("left", "right")
+    return inside.union(links_between(found.filter("block is not null"), distance, sizes))
+
+
 def near_fingerprints(docs: DataFrame, k: int = 4, seed: int = 42, distance: int = 4) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row."""
     rows = written(fingerprints(docs, k, seed), "simhash")
     leaves = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-leaves")
-    found = index(leaves, distance)
-    links = found.filter("left is not null").select("left", "right")
-    links = links.union(links_between(found.filter("block is not null"), distance))
+    links = fingerprint_links(leaves, distance)
     ids = rows.filter("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("left"), F.max("fp").alias("_m")).filter("left != _m")
     links = links.union(rows.join(ids, "doc_id").filter("fp != left").select("left", F.col("fp").alias("right")))
     parts = connected_components(links).withColumnRenamed("id", "fp")
