@@ -8,6 +8,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.work import written
+from .symbols import GREEK
+
 EDGE = ["dependent_id", "target_id", "via_symbol", "evidence", "conf", "stage", "ordinal"]
 #: Status and weight (hundredths) by evidence.
 STATUS = {"exact_match": "accepted", "canonical_match": "accepted", "explicit_reference": "accepted", "compound_group": "accepted", "text_definition": "accepted", "llm_reasoned": "candidate", "family_candidate": "candidate"}
@@ -36,57 +39,144 @@ def symbol_index(senses: DataFrame, scope: str = "chapter") -> DataFrame:
     return rows.groupBy(*group).agg(F.array_join(F.transform(ids, lambda x: x["sense_id"]), ",").alias("sense_ids"))
 
 
-def asof_definition(uses: DataFrame, senses: DataFrame) -> DataFrame:
-    """For each use the last earlier sense of its chapter with the same symbol, else with the same canonical form.
+#: Positions in a bucket of the carried lookups.
+BUCKET = 4096
+
+
+def carried(defs: DataFrame, asks: DataFrame, keys: tuple[str, ...], bucket: int = BUCKET) -> DataFrame:
+    """``asks`` (keys, position, ask) with n and last: number of the ``defs`` (keys, position, value) at earlier positions and the value of the last.
 
-    Definitions and uses of one key are merged by position; the last definition before a use is carried forward.
-    One shuffle a key kind, no pairs of uses and definitions.
+    Two levels: the last value and the count of each bucket of positions are carried over the buckets of a key, and
+    within a bucket a window adds its own. So a key of any size is many tasks, and no ask meets a definition in a pair.
     """
+    none = lambda d, c: F.lit(None).cast(d.schema[c].dataType).alias(c)
+    rows = defs.select(*keys, "position", "value", none(asks, "ask")).union(asks.select(*keys, "position", none(defs, "value"), "ask"))
+    rows = rows.withColumn("_b", F.floor(F.col("position") / bucket))
+    here = F.max(F.when(F.col("value").isNotNull(), F.struct("position", "value")))
+    sums = rows.groupBy(*keys, "_b").agg(F.count("value").alias("_n"), here.alias("_last"))
+    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    carry = sums.select(*keys, "_b", F.sum("_n").over(before).alias("_n"), F.last("_last.value", True).over(before).alias("_last"))
+    past = Window.partitionBy(*keys, "_b").orderBy("position").rangeBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumns({"_own": F.count("value").over(past), "_near": F.last("value", True).over(past)}).filter("ask is not null")
+    out = rows.join(carry, [*keys, "_b"], "left")
+    return out.select(*keys, "position", "ask", (F.col("_own") + F.coalesce("_n", F.lit(0))).alias("n"), F.coalesce("_near", "_last").alias("last"))
+
+
+def _lookups(uses: DataFrame, senses: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
+    """(ask, kind, n, last): for each use and key kind the earlier formulas of its chapter that define the key: how many, and the last one's (formula_id, sense_id)."""
+    kind = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("key")) for k in kinds])).alias("k")
+    defs = senses.select("chapter_id", "position", kind, F.struct("formula_id", "sense_id").alias("value")).select("chapter_id", "k.*", "position", "value")
+    defs = defs.groupBy("chapter_id", "kind", "key", "position").agg(F.min("value").alias("value"))
+    asks = uses.select("chapter_id", "position", kind, F.struct(*uses.columns).alias("ask")).select("chapter_id", "k.*", "position", "ask")
+    return carried(defs, asks, ("chapter_id", "kind", "key"))
+
+
+def resolved_uses(uses: DataFrame, senses: DataFrame) -> DataFrame:
+    """Each use with target_id, sense_id and match_type of J1 (null without a hit), and n_family, last_family: the earlier formulas of its chapter that define its family."""
+    of = lambda k, c: F.max(F.when(F.col("kind") == k, F.col(c)))
+    found = _lookups(uses, senses, ("symbol", "canonical", "family")).groupBy("ask.formula_id", "ask.symbol")
+    found = found.agg(F.first("ask").alias("ask"), of("symbol", "last").alias("e"), of("canonical", "last").alias("c"), of("family", "n").alias("n_family"), of("family", "last").alias("f"))
+    hit = F.coalesce("e", "c")
+    kind = F.when(F.col("e").isNotNull(), "exact").when(F.col("c").isNotNull(), "canonical")
+    return found.select("ask.*", hit["formula_id"].alias("target_id"), hit["sense_id"].alias("sense_id"), kind.alias("match_type"), "n_family", F.col("f.formula_id").alias("last_family"))
+
+
+def asof_definition(uses: DataFrame, senses: DataFrame) -> DataFrame:
+    """For each use the last earlier sense of its chapter with the same symbol, else with the same canonical form."""
+    found = _lookups(uses.select("formula_id", "chapter_id", "position", "symbol", "canonical"), senses, ("symbol", "canonical")).filter("last is not null")
+    first = F.min_by(F.struct(F.col("last.formula_id").alias("target_id"), "last.sense_id", F.when(F.col("kind") == "symbol", "exact").otherwise("canonical").alias("match_type")), F.when(F.col("kind") == "symbol", 0).otherwise(1))
+    return found.groupBy("ask.formula_id", "ask.symbol").agg(first.alias("m")).select("formula_id", "symbol", "m.*")
+
 
-    def last_before(key: str) -> DataFrame:
-        defs = senses.groupBy("chapter_id", F.col(key).alias("key"), "position").agg(F.min(F.struct("formula_id", "sense_id")).alias("sense"))
-        defs = defs.select("chapter_id", "key", "position", "sense", F.lit(None).cast("string").alias("formula_id"), F.lit(None).cast("string").alias("symbol"))
-        asks = uses.select("chapter_id", F.col(key).alias("key"), "position", F.lit(None).cast(defs.schema["sense"].dataType).alias("sense"), "formula_id", "symbol")
-        past = Window.partitionBy("chapter_id", "key").orderBy("position").rangeBetween(Window.unboundedPreceding, -1)
-        found = defs.union(asks).withColumn("hit", F.last("sense", True).over(past)).filter("formula_id is not null and hit is not null")
-        return found.select("formula_id", "symbol", F.col("hit.formula_id").alias("target_id"), F.col("hit.sense_id").alias("sense_id"))
+def candidate_lists(senses: DataFrame) -> DataFrame:
+    """(kind, key, chapter_id, chapter, position, target_id, via_symbol): the senses of each canonical form and family by chapter, once each.
 
-    exact = last_before("symbol").withColumn("match_type", F.lit("exact"))
-    near = last_before("canonical").withColumn("match_type", F.lit("canonical"))
-    first = F.min_by(F.struct("target_id", "sense_id", "match_type"), F.when(F.col("match_type") == "exact", 0).otherwise(1))
-    return exact.union(near).groupBy("formula_id", "symbol").agg(first.alias("m")).select("formula_id", "symbol", "m.*")
+    A candidate entry points to all lists of its keys in earlier chapters, or to the start of one list of its own chapter.
+    """
+    kind = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("key")) for k in ("canonical", "family")])).alias("k")
+    return senses.select("chapter_id", "chapter", "position", F.col("formula_id").alias("target_id"), F.col("symbol").alias("via_symbol"), kind).select("k.*", "chapter_id", "chapter", "position", "target_id", "via_symbol").distinct()
 
 
 def earlier_chapter_candidates(uses: DataFrame, senses: DataFrame) -> DataFrame:
-    """Senses of earlier chapters, exact or canonical (conf max(40, 78-3d)) and family where the symbol differs (max(30, 62-4d)); best per target and kind."""
-    s = senses.select(F.col("symbol").alias("via_symbol"), F.col("canonical").alias("_c"), F.col("family").alias("_f"), F.col("formula_id").alias("target_id"), F.col("chapter").alias("_ch"))
+    """J2, factorised: each use with n_exact and n_kin, the formulas of earlier chapters that define its symbol or canonical form, or its family by another symbol.
+
+    Counts per key and chapter are summed over the chapters before; no use meets a sense. A formula that defines a
+    family by one symbol alone is no kin of that symbol, so such formulas are counted and taken off.
+    """
+    kinds = {"canonical": ("canonical", F.lit("")), "family": ("family", F.lit("")), "own": ("family", F.col("symbol"))}
+    rows = senses.select("canonical", "family", "symbol", "formula_id", "chapter").distinct()
+    lone = rows.groupBy("family", "formula_id", "chapter").agg(F.min("symbol").alias("symbol"), F.max("symbol").alias("_m")).filter("symbol = _m")
+    tally = lambda d, k: d.select(F.lit(k).alias("kind"), F.col(kinds[k][0]).alias("key"), kinds[k][1].alias("part"), "chapter", "formula_id").distinct()
+    counts = tally(rows, "canonical").union(tally(rows, "family")).union(tally(lone, "own")).groupBy("kind", "key", "part", "chapter").agg(F.count("*").alias("_n"))
+    kind = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(key).alias("key"), part.alias("part")) for k, (key, part) in kinds.items()])).alias("k")
+    asks = uses.select("formula_id", "symbol", "chapter", kind).select("formula_id", "symbol", "chapter", "k.*")
+    # one row a key and chapter, asked for or counted: as many in a window as a key has chapters
+    points = counts.union(asks.select("kind", "key", "part", "chapter", F.lit(0).alias("_n")).distinct()).groupBy("kind", "key", "part", "chapter").agg(F.sum("_n").alias("_n"))
+    before = Window.partitionBy("kind", "key", "part").orderBy("chapter").rowsBetween(Window.unboundedPreceding, -1)
+    sums = points.withColumn("n", F.sum("_n").over(before)).filter("n > 0").drop("_n")
+    of = lambda k: F.coalesce(F.max(F.when(F.col("kind") == k, F.col("n"))), F.lit(0))
+    found = asks.join(sums, ["kind", "key", "part", "chapter"]).groupBy("formula_id", "symbol").agg(of("canonical").alias("n_exact"), (of("family") - of("own")).alias("n_kin"))
+    return found.filter("n_exact + n_kin > 0")
+
+
+def opened_candidates(entries: DataFrame, senses: DataFrame, least: int = 3) -> DataFrame:
+    """The candidates of some ``entries`` of E4: (dependent_id, family, symbol, place, target_id, chapter_id, via_symbol, match_type, conf).
+
+    The whole lists of the entries that a reader opens, in the order of a reader; it grows with them, so open few.
+    Earlier chapters: max(40, 78 - 3 d) for the same symbol or canonical form, max(30, 62 - 4 d) for its kin, d chapters away.
+    """
+    lists = candidate_lists(senses).withColumnsRenamed({"chapter_id": "_id", "chapter": "_ch", "position": "_p"})
+    e = entries.select("dependent_id", "chapter_id", "chapter", "position", "family", "symbol", "canonical", "scope")
+    near = e.filter("scope = 'chapter'").join(lists.filter("kind = 'family'"), F.expr("family = key and chapter_id = _id and _p < position"))
+    near = near.withColumns({"match_type": F.lit("family_candidate"), "conf": F.lit(45)})
+    far = e.filter("scope = 'earlier'").withColumn("k", F.explode(F.array(F.struct(F.lit("canonical").alias("kind"), F.col("canonical").alias("key")), F.struct(F.lit("family").alias("kind"), F.col("family").alias("key")))))
+    far = far.select("*", "k.*").drop("k").join(lists, ["kind", "key"]).filter("_ch < chapter and (kind = 'canonical' or symbol != via_symbol)")
     d = F.col("chapter") - F.col("_ch")
-    exact = uses.join(s, (F.col("canonical") == F.col("_c")) & (F.col("_ch") < F.col("chapter"))).withColumns({"match_type": F.when(F.col("symbol") == F.col("via_symbol"), "exact").otherwise("canonical"), "conf": F.greatest(F.lit(40), 78 - 3 * d)})
-    kin = uses.join(s, (F.col("family") == F.col("_f")) & (F.col("_ch") < F.col("chapter")) & (F.col("canonical") != F.col("_c"))).withColumns({"match_type": F.lit("family"), "conf": F.greatest(F.lit(30), 62 - 4 * d)})
-    rows = exact.union(kin).select("formula_id", "symbol", "family", "target_id", "via_symbol", "match_type", F.col("conf").cast("long").alias("conf"))
-    best = F.max_by(F.struct("via_symbol", "conf"), F.struct("conf", "via_symbol"))
-    return rows.groupBy("formula_id", "symbol", "family", "target_id", "match_type").agg(best.alias("b")).select("formula_id", "symbol", "family", "target_id", "match_type", "b.*")
+    far = far.withColumns({"match_type": F.when(F.col("kind") == "canonical", "exact").otherwise("family"), "conf": F.when(F.col("kind") == "canonical", F.greatest(F.lit(40), 78 - 3 * d)).otherwise(F.greatest(F.lit(30), 62 - 4 * d))})
+    key = ["dependent_id", "family", "symbol", "scope", "target_id", "_id", "match_type", "conf"]
+    same = F.min_by("via_symbol", F.struct(F.col("via_symbol") != F.col("symbol"), "via_symbol")).alias("via_symbol")
+    both = near.select(*key, "via_symbol").union(far.select(*key, "via_symbol")).groupBy(*key).agg(same)
+    order = Window.partitionBy("dependent_id", "family", "symbol").orderBy(F.when(F.col("scope") == "earlier", -F.col("conf")), F.when(F.col("scope") == "earlier", F.col("_id")), "target_id", "match_type")
+    return both.withColumn("place", F.row_number().over(order)).select("dependent_id", "family", "symbol", "place", "target_id", F.col("_id").alias("chapter_id"), "via_symbol", "match_type", F.col("conf").cast("long").alias("conf"))
 
 
 def family_candidates(uses: DataFrame, senses: DataFrame, mode: str = "demote", min_targets: int = 3) -> DataFrame:
-    """Earlier formulas of the chapter that define a symbol of the same family; ``review`` leaves out equal symbols. (formula_id, symbol, n_targets, last_target)."""
-    if mode == "demote":
-        return _earlier_in_family(uses, senses).filter(F.col("n_targets") >= min_targets)
-    s = senses.select(F.col("chapter_id").alias("_ch"), F.col("family").alias("_f"), F.col("symbol").alias("_s"), F.col("canonical").alias("_c"), F.col("position").alias("_p"), F.col("formula_id").alias("target_id"))
-    on = (F.col("chapter_id") == F.col("_ch")) & (F.col("family") == F.col("_f")) & (F.col("_p") < F.col("position")) & (F.col("canonical") != F.col("_c"))
-    found = uses.join(s, on).groupBy("formula_id", "symbol").agg(F.countDistinct("target_id").alias("n_targets"), F.max_by("target_id", F.struct("_p", "target_id")).alias("last_target"))
-    return found.filter(F.col("n_targets") >= min_targets)
-
+    """(formula_id, symbol, n_targets, last_target): earlier formulas of the chapter that define a symbol of the same family.
 
-def _earlier_in_family(uses: DataFrame, senses: DataFrame) -> DataFrame:
-    """(formula_id, symbol, n_targets, last_target): running count and last of the formulas of a family by position, without pairs."""
-    none = F.lit(None).cast("string")
-    defs = senses.select("chapter_id", "family", "position", F.col("formula_id").alias("target_id"), none.alias("formula_id"), none.alias("symbol")).distinct()
-    asks = uses.select("chapter_id", "family", "position", none.alias("target_id"), "formula_id", "symbol").distinct()
-    past = Window.partitionBy("chapter_id", "family").orderBy("position").rangeBetween(Window.unboundedPreceding, -1)
-    last = F.max(F.when(F.col("target_id").isNotNull(), F.struct("position", "target_id"))).over(past)
-    rows = defs.union(asks).withColumns({"n_targets": F.count("target_id").over(past), "last": last})
-    return rows.filter("formula_id is not null").select("formula_id", "symbol", "n_targets", F.col("last.target_id").alias("last_target"))
+    ``review`` leaves out the use's own canonical form: formulas that define the family by it alone are counted per
+    (family, canonical) and taken off, and the last target is the last that defines another form.
+    """
+    if mode == "demote":
+        u = uses.select("formula_id", "chapter_id", "position", "symbol", "family")
+        found = _lookups(u, senses, ("family",)).select("ask.formula_id", "ask.symbol", F.col("n").alias("n_targets"), F.col("last.formula_id").alias("last_target"))
+        return found.filter(F.col("n_targets") >= min_targets)
+    per = senses.groupBy("chapter_id", "family", "position", "formula_id").agg(F.min("canonical").alias("low"), F.max("canonical").alias("high"))
+    asks = uses.select("chapter_id", "family", "position", "canonical", F.struct("formula_id", "symbol").alias("ask"))
+    defs = per.select("chapter_id", "family", "position", F.struct("formula_id", "low", "high").alias("value"))
+    every = carried(defs, asks.drop("canonical"), ("chapter_id", "family"))
+    pure = per.filter("low = high").select("chapter_id", "family", F.col("low").alias("canonical"), "position", F.struct("formula_id").alias("value"))
+    own = carried(pure, asks, ("chapter_id", "family", "canonical")).select("ask", F.col("n").alias("own"))
+    d = every.join(own, "ask").withColumn("n_targets", F.col("n") - F.col("own")).filter(F.col("n_targets") >= min_targets)
+    return d.join(_last_other(per, uses), ["ask"], "left").select("ask.formula_id", "ask.symbol", "n_targets", "last_target")
+
+
+def _last_other(per: DataFrame, uses: DataFrame) -> DataFrame:
+    """(ask, last_target): the last earlier formula of the family that does not define it by the use's canonical form alone.
+
+    Consecutive formulas that define one form alone are one stretch; what ended before the stretch is another form's.
+    """
+    value = F.struct("formula_id", "low", "high")
+    pure = F.when(F.col("low") == F.col("high"), F.col("low"))
+    steps = carried(per.select("chapter_id", "family", "position", value.alias("value")), per.select("chapter_id", "family", "position", value.alias("ask")), ("chapter_id", "family"))
+    before = F.when(F.col("last.low") == F.col("last.high"), F.col("last.low"))
+    form = F.when(F.col("ask.low") == F.col("ask.high"), F.col("ask.low"))
+    # where a stretch begins, the formula before it is the last of another form (or of several) for all of the stretch
+    begins = steps.filter(F.col("last").isNotNull() & ~(form.eqNullSafe(before) & form.isNotNull())).select("chapter_id", "family", "position", F.struct(F.col("last.formula_id").alias("formula_id")).alias("value"))
+    asks = uses.select("chapter_id", "family", "position", "canonical", F.struct("formula_id", "symbol").alias("ask"))
+    last = carried(per.withColumn("value", F.struct("formula_id", pure.alias("form"))).select("chapter_id", "family", "position", "value"), asks.select("chapter_id", "family", "position", F.struct("ask", "canonical").alias("ask")), ("chapter_id", "family"))
+    prior = carried(begins, asks.select("chapter_id", "family", "position", "ask"), ("chapter_id", "family")).select("ask", F.col("last.formula_id").alias("_prior"))
+    d = last.select("ask.ask", "ask.canonical", F.col("last.formula_id").alias("_last"), F.col("last.form").alias("_form")).join(prior, "ask", "left")
+    return d.select("ask", F.when(F.col("_form") == F.col("canonical"), F.col("_prior")).otherwise(F.col("_last")).alias("last_target"))
 
 
 def group_key(raw_id: str = "raw_id"):
@@ -122,28 +212,55 @@ def text_defined_symbols(formulas: DataFrame) -> DataFrame:
     return formulas.select("chapter_id", F.explode(found).alias("s")).select("chapter_id", F.lower(F.ltrim(F.col("s"), F.lit("\\"))).alias("key")).distinct()
 
 
-def text_definition(uses: DataFrame, formulas: DataFrame) -> DataFrame:
-    """(formula_id, symbol, definition): what the formula's context says the symbol is, up to 220 characters."""
-    ctx = formulas.select("formula_id", "context_text")
-    pattern = F.concat(F.lit(r"(?i)\bwhere\s+\Q"), "symbol", F.lit(r"\E\s+(?:is|are|denotes?|represents?)\s+([^.;]+)"))
-    d = uses.select("formula_id", "symbol").distinct().join(ctx, "formula_id").withColumn("definition", F.substring(F.trim(F.call_function("regexp_extract", F.col("context_text"), pattern, F.lit(1))), 1, 220))
-    return d.filter("definition != ''").select("formula_id", "symbol", "definition")
+#: Phrases that say what a symbol is, by mode: the symbol after what precedes it, and what follows up to the end of the clause.
+DEFINING = {"conservative": (r"where\s+([^\s.;]+)", r"\s+(?:is|are|denotes?|represents?)\s+([^.;]+)"), "ocr": (r"\b([\w']+)", r"\s+(?:is|denotes|represents|means)\s+([^.;]+)")}
+
+
+def text_definition(uses: DataFrame, formulas: DataFrame, mode: str = "conservative") -> DataFrame:
+    """(formula_id, symbol, definition): what the formula's context says the symbol is, up to 220 characters.
+
+    ``conservative``: after ``where``; ``ocr``: after the symbol itself, with symbol and verb. One pass over each context
+    finds all its phrases, which are then joined with the symbols; the first phrase of a symbol counts.
+    """
+    head, tail = DEFINING[mode]
+    # what follows the symbol is looked at, not taken, so that it can hold further phrases
+    pattern = F.lit(f"(?i){head}(?={tail})")
+    text = F.coalesce("context_text", F.lit(""))
+    found = F.arrays_zip(F.regexp_extract_all(text, pattern, F.lit(1)).alias("s"), F.regexp_extract_all(text, pattern, F.lit(2)).alias("d"))
+    phrases = formulas.select("formula_id", F.posexplode(found).alias("o", "p")).select("formula_id", "o", F.lower("p.s").alias("_s"), F.col("p.d").alias("d"))
+    phrases = phrases.groupBy("formula_id", "_s").agg(F.min_by("d", "o").alias("d"))
+    plain = F.col("symbol") if mode == "conservative" else F.regexp_replace("symbol", r"[\\\\{}]", "")
+    d = uses.select("formula_id", "symbol").distinct().withColumn("_s", F.lower(plain)).join(phrases, ["formula_id", "_s"])
+    return d.select("formula_id", "symbol", F.substring(F.trim("d"), 1, 220).alias("definition")).filter("definition != ''")
+
+
+#: Symbols that are never explained.
+NON_TEACHING = ["\\pi", "\\infty"]
+
 
+def text_definition_fallback(unresolved: DataFrame, text_defined: DataFrame, formulas: DataFrame, mode: str = "conservative") -> DataFrame:
+    """Variable definitions for used symbols without a hit of J1, from the formula's own context.
 
-def text_definition_fallback(uses: DataFrame, edges: DataFrame, text_defined: DataFrame, formulas: DataFrame, conf: int = 55) -> DataFrame:
-    """Variable definitions for used symbols without an edge, if the chapter's prose defines them."""
-    done = edges.select(F.col("dependent_id").alias("_d"), F.col("via_symbol").alias("_v")).distinct()
-    left = uses.join(done, (F.col("formula_id") == F.col("_d")) & (F.col("symbol") == F.col("_v")), "left_anti")
-    keys = text_defined.select(F.col("chapter_id").alias("_c"), F.col("key").alias("_k"))
-    left = left.join(keys, (F.col("chapter_id") == F.col("_c")) & (F.col("symbol") == F.col("_k")), "left_semi")
-    found = text_definition(left, formulas).join(left.select("formula_id", "symbol", "ordinal"), ["formula_id", "symbol"])
+    ``conservative``: a symbol of one letter or one Greek macro only where the chapter's prose defines it; conf 55.
+    ``ocr``: every symbol, conf 78.
+    """
+    left = unresolved
+    if mode == "conservative":
+        macro = F.regexp_extract(F.col("symbol"), r"^\\([A-Za-z]+)$", 1)
+        atomic = F.col("symbol").rlike("^[A-Za-z]$") | macro.isin(GREEK)
+        keys = text_defined.select(F.col("chapter_id").alias("_c"), F.col("key").alias("_k"))
+        told = (F.col("chapter_id") == F.col("_c")) & (F.lower(F.ltrim(F.col("symbol"), F.lit("\\"))) == F.col("_k"))
+        left = left.filter(~F.col("symbol").isin(NON_TEACHING))
+        left = left.filter(~atomic).union(left.filter(atomic).join(keys, told, "left_semi"))
+    found = text_definition(left, formulas, mode).join(left.select("formula_id", "symbol", "ordinal"), ["formula_id", "symbol"])
+    conf = 55 if mode == "conservative" else 78
     return found.select(F.col("formula_id").alias("dependent_id"), F.lit(None).cast("string").alias("target_id"), F.col("symbol").alias("via_symbol"), F.lit("text_definition").alias("evidence"), F.lit(conf).cast("long").alias("conf"), F.lit(3).alias("stage"), "ordinal", "definition")
 
 
-def edge_attributes(edges: DataFrame, formulas: DataFrame | None = None) -> DataFrame:
-    """Type, edge_status and edge_weight by evidence; with ``formulas`` also cross_chapter."""
+def edge_attributes(edges: DataFrame, formulas: DataFrame | None = None, mode: str = "conservative") -> DataFrame:
+    """Type, edge_status and edge_weight by evidence; with ``formulas`` also cross_chapter. In ``ocr`` definitions weigh as canonical matches."""
     by = lambda table, rest: F.coalesce(F.create_map(*[F.lit(x) for kv in table.items() for x in kv])[F.col("evidence")], F.lit(rest))
-    out = edges.withColumns({"type": F.when(F.col("target_id").isNull(), "variable_definition").otherwise("formula"), "edge_status": by(STATUS, "ambiguous"), "edge_weight": by(WEIGHT, 45).cast("long")})
+    out = edges.withColumns({"type": F.when(F.col("target_id").isNull(), "variable_definition").otherwise("formula"), "edge_status": by(STATUS, "ambiguous"), "edge_weight": by(WEIGHT | ({"text_definition": 82} if mode == "ocr" else {}), 45).cast("long")})
     if formulas is None:
         return out
     chapter = lambda side: formulas.select(F.col("formula_id").alias(side), F.col("chapter_id").alias(f"{side}_chapter"))
@@ -158,11 +275,12 @@ def edge_dedupe(edges: DataFrame, keys: tuple[str, ...] = ("dependent_id", "targ
 
 
 def edge_prune(edges: DataFrame, max_cross: int = 5, max_variable: int = 3) -> DataFrame:
-    """Accepted edges; of each formula at most ``max_cross`` symbol edges across chapters and ``max_variable`` definitions, by confidence and length of the definition."""
+    """Accepted edges; of each formula at most ``max_cross`` symbol edges across chapters by confidence and target, and ``max_variable`` definitions, by confidence, length and place."""
     kind = F.when(F.col("type") == "variable_definition", "v").when(F.col("cross_chapter") & (F.col("via_symbol") != ""), "c").otherwise("f")
     length = F.length(F.coalesce("definition", F.lit("")))
-    order = Window.partitionBy("dependent_id", "kind").orderBy(F.desc("conf"), F.desc("_n"), "via_symbol", "target_id")
-    d = edges.filter("edge_status = 'accepted'").withColumns({"kind": kind, "_n": length}).withColumn("_r", F.row_number().over(order))
+    cross = F.when(F.col("kind") == "c", F.col("target_id"))
+    order = Window.partitionBy("dependent_id", "kind").orderBy(F.desc("conf"), cross, F.desc("_n"), "ordinal", "via_symbol")
+    d = edges.filter("edge_status = 'accepted'").withColumns({"kind": kind, "_n": F.when(kind == "v", length)}).withColumn("_r", F.row_number().over(order))
     return d.filter((F.col("kind") == "f") | (F.col("_r") <= F.when(F.col("kind") == "v", max_variable).otherwise(max_cross))).drop("kind", "_n", "_r")
 
 
@@ -175,47 +293,75 @@ def low_confidence_quarantine(edges: DataFrame, formulas: DataFrame, least: int
     return good, d.filter(low < least).withColumns({"conf": F.least(low, F.lit(cap)), "edge_status": F.lit("ambiguous")}).drop("_dependent_id", "_target_id")
 
 
-def ambiguous_assembly(candidates: DataFrame) -> DataFrame:
-    """One row per formula and family, of the first stage that has candidates: (dependent_id, family, symbol, n_candidates, candidates)."""
-    first = candidates.groupBy("formula_id", "family").agg(F.min(F.struct("stage", "symbol")).alias("f"))
-    d = candidates.join(first, ["formula_id", "family"]).filter((F.col("stage") == F.col("f.stage")) & (F.col("symbol") == F.col("f.symbol")))
-    rows = F.array_sort(F.collect_set(F.struct((-F.col("conf")).alias("o"), "target_id", "conf")))
-    text = F.array_join(F.transform(rows, lambda x: F.concat(x["target_id"], F.lit(":"), x["conf"])), ",")
-    return d.groupBy(F.col("formula_id").alias("dependent_id"), "family", "symbol").agg(F.size(rows).cast("long").alias("n_candidates"), text.alias("candidates"))
-
+def ambiguous_assembly(resolved: DataFrame, earlier: DataFrame, min_targets: int = 3) -> DataFrame:
+    """One entry per formula and family, of the first use and stage that has candidates.
 
-def symbol_edges(uses: DataFrame, senses: DataFrame, demote: bool = True) -> DataFrame:
-    """Edges from J1; with ``demote`` an exact match with three or more earlier targets of its family is left out."""
-    hits = asof_definition(uses, senses)
-    if demote:
-        crowd = family_candidates(uses, senses, "demote", 3).select("formula_id", "symbol")
-        hits = hits.join(crowd, ["formula_id", "symbol"], "left_anti")
-    hits = hits.join(uses.select("formula_id", "symbol", "ordinal"), ["formula_id", "symbol"])
+    (dependent_id, chapter_id, chapter, position, family, symbol, canonical, scope, evidence, n_candidates). ``scope`` and the
+    keys point to the candidates, which ``opened_candidates`` lists: ``chapter``: the family's senses before the formula
+    (J3: three or more formulas for a use that J1 resolves, one or more for one that it does not); ``earlier``: the
+    senses of earlier chapters (J2, for uses without a hit in chapters proper).
+    """
+    keys = ["chapter_id", "chapter", "position", "family", "symbol", "canonical"]
+    own = resolved.filter(F.col("n_family") >= F.when(F.col("target_id").isNotNull(), min_targets).otherwise(1))
+    own = own.select("formula_id", *keys, "ordinal", F.lit(0).alias("stage"), F.lit("chapter").alias("scope"), F.lit("family_candidate").alias("evidence"), F.col("n_family").alias("n"))
+    far = resolved.filter(F.col("target_id").isNull() & F.col("chapter_id").rlike(r"(?i)^chapter\d+$")).join(earlier, ["formula_id", "symbol"])
+    exact = F.when(F.col("n_exact") > 0, "exact_match").otherwise("family_candidate")
+    far = far.select("formula_id", *keys, "ordinal", F.lit(1).alias("stage"), F.lit("earlier").alias("scope"), exact.alias("evidence"), (F.col("n_exact") + F.col("n_kin")).alias("n"))
+    first = F.min(F.struct("ordinal", "stage", "symbol", "canonical", "chapter_id", "chapter", "position", "scope", "evidence", "n")).alias("f")
+    d = own.union(far).groupBy("formula_id", "family").agg(first)
+    return d.select(F.col("formula_id").alias("dependent_id"), *[F.col("family") if c == "family" else F.col(f"f.{c}") for c in keys], "f.scope", "f.evidence", F.col("f.n").cast("long").alias("n_candidates"))
+
+
+def symbol_edges(resolved: DataFrame, mode: str = "conservative", min_targets: int = 3) -> DataFrame:
+    """Edges from J1; ``conservative`` leaves out matches with three or more earlier formulas of their family."""
+    hits = resolved.filter("target_id is not null")
+    if mode == "conservative":
+        hits = hits.filter(F.col("n_family") < min_targets)
     exact = F.col("match_type") == "exact"
-    return hits.select(F.col("formula_id").alias("dependent_id"), "target_id", F.col("symbol").alias("via_symbol"), F.when(exact, "exact_match").otherwise("canonical_match").alias("evidence"), F.when(exact, 92).otherwise(82).cast("long").alias("conf"), F.lit(2).alias("stage"), "ordinal")
+    conf = F.when(exact, 90).otherwise(82) if mode == "ocr" else F.lit(84)
+    return hits.select(F.col("formula_id").alias("dependent_id"), "target_id", F.col("symbol").alias("via_symbol"), F.when(exact, "exact_match").otherwise("canonical_match").alias("evidence"), conf.cast("long").alias("conf"), F.lit(2).alias("stage"), "ordinal")
 
 
-def found_edges(formulas: DataFrame, uses: DataFrame, senses: DataFrame, mode: str) -> DataFrame:
+def found_edges(formulas: DataFrame, resolved: DataFrame, mode: str) -> DataFrame:
     """Edges of J5, J4 and J1 before they are made distinct; cited ones come first, but in ``ocr`` those of the group."""
     ocr = mode == "ocr"
-    found = explicit_reference_join(formulas, mode).union(equation_group_join(formulas, "prior" if ocr else "both")).union(symbol_edges(uses, senses, not ocr))
+    found = explicit_reference_join(formulas, mode).union(equation_group_join(formulas, "prior" if ocr else "both")).union(symbol_edges(resolved, mode))
     if ocr:
         found = found.withColumn("stage", F.expr("case stage when 0 then 1 when 1 then 0 else stage end"))
     return found.withColumn("definition", F.lit(None).cast("string"))
 
 
+#: What tells edges of one formula apart, by mode.
+EDGE_KEYS = {"conservative": ("dependent_id", "target_id"), "ocr": ("dependent_id", "target_id", "via_symbol")}
+
+
 def build_dependencies(formulas: DataFrame, uses: DataFrame, senses: DataFrame, mode: str = "conservative") -> tuple[DataFrame, DataFrame]:
-    """(edges, ambiguous) of all formulas in one plan; no loop over chapters.
+    """(edges, ambiguous) of all formulas in one plan; no loop over chapters. ``with_all_formulas`` adds those without edges.
 
-    ``conservative``: explicit, group (both ways), symbol with demotion, text; earlier chapters only give candidates.
-    ``ocr``: group (earlier), explicit (earlier, own chapter), symbol; edges at unsure formulas are set aside.
+    ``conservative``: cited, group (both ways), then each use: a hit in the chapter gives an edge, or an entry where its
+    family is crowded; without a hit, entries of the family or of earlier chapters, and the text's definition.
+    ``ocr``: group (earlier), cited (earlier, own chapter), symbol, text, and the last of the family as a candidate; what
+    concerns an unsure formula is set aside before edges are made distinct. (dependent_id, target_id, symbol, evidence, conf).
     """
-    ocr = mode == "ocr"
-    found = found_edges(formulas, uses, senses, mode)
-    text = text_definition_fallback(uses, found, text_defined_symbols(formulas), formulas, 78 if ocr else 55)
-    edges = edge_attributes(edge_dedupe(found.unionByName(text), ("dependent_id", "target_id", "via_symbol") if ocr else ("dependent_id", "target_id")), formulas)
-    if ocr:
-        return low_confidence_quarantine(edges, formulas)
-    crowd = family_candidates(uses, senses, "demote", 3).join(uses, ["formula_id", "symbol"]).select("formula_id", "symbol", "family", F.col("last_target").alias("target_id"), F.lit(45).cast("long").alias("conf"), F.lit(0).alias("stage"))
-    far = earlier_chapter_candidates(uses, senses).select("formula_id", "symbol", "family", "target_id", "conf", F.lit(2).alias("stage"))
-    return edge_prune(edges), ambiguous_assembly(crowd.union(far))
+    resolved = written(resolved_uses(uses, senses), "resolved")
+    found, unresolved = found_edges(formulas, resolved, mode), resolved.filter("target_id is null")
+    text = text_definition_fallback(unresolved, text_defined_symbols(formulas), formulas, mode)
+    if mode == "ocr":
+        return _ocr_dependencies(formulas, resolved, found, text)
+    edges = edge_attributes(edge_dedupe(found.unionByName(text), EDGE_KEYS[mode]), formulas)
+    return edge_prune(edges), ambiguous_assembly(resolved, earlier_chapter_candidates(unresolved, senses))
+
+
+def _ocr_dependencies(formulas: DataFrame, resolved: DataFrame, found: DataFrame, text: DataFrame, least: int = 75) -> tuple[DataFrame, DataFrame]:
+    sure, unsure = low_confidence_quarantine(found.withColumn("edge_status", F.lit("accepted")), formulas, least)
+    text = text.join(formulas.filter(F.col("conf") >= least).select(F.col("formula_id").alias("dependent_id")), "dependent_id", "left_semi")
+    edges = edge_attributes(edge_dedupe(sure.drop("edge_status").unionByName(text), EDGE_KEYS["ocr"]), formulas, "ocr")
+    said = text.select(F.col("dependent_id").alias("formula_id"), F.col("via_symbol").alias("symbol"))
+    kin = resolved.filter("target_id is null and n_family > 0").join(said, ["formula_id", "symbol"], "left_anti")
+    kin = kin.select(F.col("formula_id").alias("dependent_id"), F.col("last_family").alias("target_id"), "symbol", F.lit("family_candidate").alias("evidence"), F.lit(45).cast("long").alias("conf"))
+    return edges, unsure.select("dependent_id", "target_id", F.col("via_symbol").alias("symbol"), F.lit("low_confidence_ocr").alias("evidence"), F.col("conf").cast("long").alias("conf")).union(kin)
+
+
+def with_all_formulas(formulas: DataFrame, edges: DataFrame) -> DataFrame:
+    """``edges``, and one row of nulls for each formula without any."""
+    return formulas.select(F.col("formula_id").alias("dependent_id")).join(edges, "dependent_id", "left")

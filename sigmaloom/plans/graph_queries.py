@@ -36,7 +36,7 @@ bb as (select chapter_id, row_number() over (partition by chapter_id order by fi
 def edges_of(spark, folder):
     """(formulas, occ, uses, edges)."""
     formulas, occ, senses, uses = vocabulary(spark, folder)
-    found = resolve.explicit_reference_join(formulas, "ocr").union(resolve.equation_group_join(formulas, "prior")).union(resolve.symbol_edges(uses, senses, False))
+    found = resolve.explicit_reference_join(formulas, "ocr").union(resolve.equation_group_join(formulas, "prior")).union(resolve.symbol_edges(resolve.resolved_uses(uses, senses), "ocr"))
     return formulas, occ, uses, resolve.edge_dedupe(found)
 
 

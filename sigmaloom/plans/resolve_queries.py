@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.work import written
 from ..operators import audit, resolve
-from .adapter import CORPUS, corpus, occurrences, vocabulary
+from .adapter import CORPUS, STOP, corpus, occurrences, vocabulary
 from .registry import query
 
 J1 = """
@@ -17,15 +17,35 @@ j1 as (
     asof left join senses y on u.chapter_id = y.chapter_id and u.canonical = y.canonical and u.position > y.position)
   where a is not null or b is not null)
 """
-J3 = """
-j3 as (select u.formula_id, u.symbol, u.family, count(distinct s.formula_id) as n_targets, max_by(s.formula_id, s.position) as last_target from uses u join senses s
-  on u.chapter_id = s.chapter_id and u.family = s.family and s.position < u.position group by all having count(distinct s.formula_id) >= 3)
+#: Every use with its hit, and the earlier formulas of its chapter that define its family.
+RES = """
+kin as (select u.formula_id, u.symbol, count(distinct s.formula_id) as n_family, max_by(s.formula_id, s.position) as last_family
+  from uses u join senses s on s.chapter_id = u.chapter_id and s.family = u.family and s.position < u.position group by all),
+res as (select u.*, j1.target_id, j1.match_type, coalesce(n_family, 0) as n_family, last_family from uses u left join j1 using (formula_id, symbol) left join kin using (formula_id, symbol))
 """
+#: All pairs of uses and senses of earlier chapters, as candidates of each kind.
 J2 = """
-j2r as (select u.formula_id, u.symbol, u.family, s.formula_id as target_id, s.symbol as via_symbol, case when u.symbol = s.symbol then 'exact' else 'canonical' end as match_type, greatest(40, 78 - 3 * (u.chapter - s.chapter)) as conf
-    from uses u join senses s on u.canonical = s.canonical and s.chapter < u.chapter
-  union all select u.formula_id, u.symbol, u.family, s.formula_id, s.symbol, 'family', greatest(30, 62 - 4 * (u.chapter - s.chapter)) from uses u join senses s on u.family = s.family and u.canonical <> s.canonical and s.chapter < u.chapter),
-j2 as (select formula_id, symbol, family, target_id, match_type, via_symbol, cast(conf as bigint) as conf from (select *, row_number() over (partition by formula_id, symbol, family, target_id, match_type order by conf desc, via_symbol desc) as r from j2r) where r = 1)
+j2p as (select u.formula_id, u.symbol, u.family, s.formula_id as target_id, s.chapter_id, 'exact' as match_type, greatest(40, 78 - 3 * (u.chapter - s.chapter)) as conf, min_by(s.symbol, {'d': s.symbol <> u.symbol, 's': s.symbol}) as via_symbol
+    from uses u join senses s on (s.symbol = u.symbol or s.canonical = u.canonical) and s.chapter < u.chapter group by all
+  union all select u.formula_id, u.symbol, u.family, s.formula_id, s.chapter_id, 'family', greatest(30, 62 - 4 * (u.chapter - s.chapter)), min(s.symbol)
+    from uses u join senses s on s.family = u.family and s.symbol <> u.symbol and s.chapter < u.chapter group by all),
+j2 as (select formula_id, symbol, count(*) filter (match_type = 'exact') as n_exact, count(*) filter (match_type = 'family') as n_kin from j2p group by all)
+"""
+#: The first entry of each formula and family: in order of the uses, those of the own chapter before those of earlier ones.
+ENTRIES = """
+offers as (select *, 0 as stage, 'chapter' as scope, 'family_candidate' as evidence, n_family as n from res where n_family >= case when target_id is null then 1 else 3 end
+  union all select res.*, 1, 'earlier', case when n_exact > 0 then 'exact_match' else 'family_candidate' end, n_exact + n_kin from res join j2 using (formula_id, symbol) where target_id is null and regexp_full_match(chapter_id, 'chapter[0-9]+')),
+ambiguous as (select formula_id as dependent_id, chapter_id, chapter, position, family, symbol, canonical, scope, evidence, n::bigint as n_candidates
+  from offers qualify row_number() over (partition by formula_id, family order by ordinal, stage) = 1)
+"""
+#: What the entries list, for the formulas of ``asked``.
+OPENED = """
+cands as (select e.dependent_id, e.family, e.symbol, e.scope, s.formula_id as target_id, s.chapter_id, min_by(s.symbol, {'d': s.symbol <> e.symbol, 's': s.symbol}) as via_symbol, 'family_candidate' as match_type, 45 as conf
+    from ambiguous e join asked on asked.formula_id = e.dependent_id join senses s on e.scope = 'chapter' and s.chapter_id = e.chapter_id and s.family = e.family and s.position < e.position group by all
+  union all select e.dependent_id, e.family, e.symbol, e.scope, p.target_id, p.chapter_id, p.via_symbol, p.match_type, p.conf
+    from ambiguous e join asked on asked.formula_id = e.dependent_id join j2p p on e.scope = 'earlier' and p.formula_id = e.dependent_id and p.symbol = e.symbol),
+opened as (select dependent_id, family, symbol, row_number() over (partition by dependent_id, family, symbol order by case scope when 'earlier' then -conf end, case scope when 'earlier' then chapter_id end, target_id, match_type) as place,
+    target_id, chapter_id, via_symbol, match_type, cast(conf as bigint) as conf from cands)
 """
 J4 = """
 grp as (select *, regexp_extract(raw_id, '^(A?[0-9]+\\.[0-9]+)[a-z]?$', 1) as g from corpus),
@@ -43,50 +63,52 @@ x7 as (select u.formula_id, u.symbol, substr(trim(regexp_extract(c.context_text,
 """
 
 
-def _edges(mode: str) -> str:
-    """CTEs of the builder in one mode, ending in ``edges`` (and ``ambiguous_edges`` for ocr)."""
-    ocr = mode == "ocr"
-    j5, c5, prior = ("j5o", 94, "where prior") if ocr else ("j5c", 98, "")
-    demote = "" if ocr else "where (j1.formula_id, j1.symbol) not in (select (formula_id, symbol) from j3)"
-    via = ", via_symbol" if ocr else ""
-    text = 78 if ocr else 55
-    out = ",".join([CORPUS, J1, J3, J2, J4, J5, X6]) + f""",
-found as (
-  select dependent_id, target_id, '' as via_symbol, 'explicit_reference' as evidence, {c5} as conf, {1 if ocr else 0} as stage, ordinal, cast(null as varchar) as definition from {j5}
-  union all select dependent_id, target_id, '', 'compound_group', 86, {0 if ocr else 1}, ordinal, null from j4b {prior}
-  union all select j1.formula_id, j1.target_id, j1.symbol, case match_type when 'exact' then 'exact_match' else 'canonical_match' end, case match_type when 'exact' then 92 else 82 end, 2, ordinal, null from j1 join uses u on u.formula_id = j1.formula_id and u.symbol = j1.symbol {demote}),
-txt as (select u.formula_id as dependent_id, cast(null as varchar) as target_id, u.symbol as via_symbol, 'text_definition' as evidence, {text} as conf, 3 as stage, u.ordinal, x7.definition
-  from uses u join x7 on x7.formula_id = u.formula_id and x7.symbol = u.symbol join x6 on x6.chapter_id = u.chapter_id and x6.key = u.symbol
-  where x7.definition <> '' and not exists (select 1 from found f where f.dependent_id = u.formula_id and f.via_symbol = u.symbol)),
-dedup as (select * from (select *, row_number() over (partition by dependent_id, target_id{via}, case when target_id is null then via_symbol end order by stage, ordinal, via_symbol) as r from (select * from found union all select * from txt)) where r = 1),
-attr as (select dependent_id, target_id, via_symbol, evidence, conf, definition, case when target_id is null then 'variable_definition' else 'formula' end as type, 'accepted' as edge_status,
-  case evidence when 'canonical_match' then 82 when 'text_definition' then 65 else 100 end as edge_weight, coalesce(d.chapter_id <> t.chapter_id, false) as cross_chapter, d.conf as dconf, t.conf as tconf
-  from (select * rename (dependent_id as did) from dedup) e join (select formula_id as dependent_id, chapter_id, conf from corpus) d on d.dependent_id = e.did left join (select formula_id as tid, chapter_id, conf from corpus) t on t.tid = e.target_id)
+X7O = """
+x7o as (select u.formula_id, u.symbol, substr(trim(regexp_extract(c.context_text, '(?i)\\b' || u.symbol || '\\s+(?:is|denotes|represents|means)\\s+([^.;]+)', 1)), 1, 220) as definition
+  from res u join corpus c on c.formula_id = u.formula_id where u.target_id is null)
 """
-    out = out.replace("select dependent_id, target_id, via_symbol, evidence, conf, definition, case", "select did as dependent_id, target_id, via_symbol, evidence, e.conf, definition, case")
-    if ocr:
-        return out + """,
-edges as (select dependent_id, target_id, via_symbol, evidence, conf, type, edge_status, edge_weight, cross_chapter from attr where least(dconf, coalesce(tconf, 100)) >= 75),
-ambiguous_edges as (select dependent_id, target_id, via_symbol, evidence, least(dconf, coalesce(tconf, 100), 55) as conf, type, 'ambiguous' as edge_status, edge_weight, cross_chapter from attr where least(dconf, coalesce(tconf, 100)) < 75)
+CONSERVATIVE = ",".join([CORPUS, J1, RES, J2, ENTRIES, J4, J5, X6]) + """,
+found as (
+  select dependent_id, target_id, '' as via_symbol, 'explicit_reference' as evidence, 98 as conf, 0 as stage, ordinal, cast(null as varchar) as definition from j5c
+  union all select dependent_id, target_id, '', 'compound_group', 86, 1, ordinal, null from j4b
+  union all select formula_id, target_id, symbol, match_type || '_match', 84, 2, ordinal, null from res where target_id is not null and n_family < 3),
+txt as (select u.formula_id as dependent_id, cast(null as varchar) as target_id, u.symbol as via_symbol, 'text_definition' as evidence, 55 as conf, 3 as stage, u.ordinal, x7.definition
+  from res u join x7 using (formula_id, symbol) where x7.definition <> '' and u.target_id is null and (length(u.symbol) > 1 or exists (select 1 from x6 where x6.chapter_id = u.chapter_id and x6.key = u.symbol))),
+dedup as (select * from (select * from found union all select * from txt) qualify row_number() over (partition by dependent_id, target_id, case when target_id is null then via_symbol end order by stage, ordinal, via_symbol) = 1),
+attr as (select e.dependent_id, e.target_id, e.via_symbol, e.evidence, e.conf, e.definition, e.ordinal, case when e.target_id is null then 'variable_definition' else 'formula' end as type, 'accepted' as edge_status,
+  case e.evidence when 'canonical_match' then 82 when 'text_definition' then 65 else 100 end as edge_weight, coalesce(d.chapter_id <> t.chapter_id, false) as cross_chapter
+  from dedup e join corpus d on d.formula_id = e.dependent_id left join corpus t on t.formula_id = e.target_id),
+edges as (select * from attr qualify type = 'formula' or row_number() over (partition by dependent_id, type order by conf desc, length(coalesce(definition, '')) desc, ordinal) <= 3)
 """
-    return out + """,
-ranked as (select *, row_number() over (partition by dependent_id, kind order by conf desc, length(coalesce(definition, '')) desc, via_symbol, target_id) as r from (select *, case when target_id is null then 'v' when cross_chapter and via_symbol <> '' then 'c' else 'f' end as kind from attr)),
-edges as (select dependent_id, target_id, via_symbol, evidence, conf, type, edge_status, edge_weight, cross_chapter, definition from ranked where kind = 'f' or r <= case kind when 'v' then 3 else 5 end),
-cand as (select formula_id, symbol, family, last_target as target_id, 45 as conf, 0 as stage from j3 union all select formula_id, symbol, family, target_id, conf, 2 from j2),
-firsts as (select formula_id, family, min({'stage': stage, 'symbol': symbol}) as f from cand group by all),
-ambiguous as (select dependent_id, family, symbol, count(*) as n_candidates, string_agg(target_id || ':' || conf, ',' order by -conf, target_id) as candidates
-  from (select distinct c.formula_id as dependent_id, c.family, c.symbol, target_id, conf from cand c join firsts f on f.formula_id = c.formula_id and f.family = c.family and c.stage = f.f.stage and c.symbol = f.f.symbol) group by all)
+#: In this mode no symbol is stop-listed.
+OCR = ",".join([CORPUS.replace(" and symbol not in ('the', 'and', 'that', 'with', 'for')", ""), J1, RES, J4, J5, X7O]) + """,
+hits as (
+  select dependent_id, target_id, '' as via_symbol, 'compound_group' as evidence, 86 as conf, 0 as stage, ordinal, cast(null as varchar) as definition from j4b where prior
+  union all select dependent_id, target_id, '', 'explicit_reference', 94, 1, ordinal, null from j5o
+  union all select formula_id, target_id, symbol, match_type || '_match', case match_type when 'exact' then 90 else 82 end, 2, ordinal, null from res where target_id is not null),
+judged as (select h.*, least(d.conf, t.conf) as least_conf from hits h join corpus d on d.formula_id = h.dependent_id join corpus t on t.formula_id = h.target_id),
+txt as (select x.formula_id as dependent_id, cast(null as varchar) as target_id, x.symbol as via_symbol, 'text_definition' as evidence, 78 as conf, 3 as stage, u.ordinal, x.definition
+  from x7o x join res u using (formula_id, symbol) join corpus c on c.formula_id = x.formula_id where x.definition <> '' and c.conf >= 75),
+dedup as (select * from (select * exclude (least_conf) from judged where least_conf >= 75 union all select * from txt) qualify row_number() over (partition by dependent_id, target_id, via_symbol order by stage, ordinal) = 1),
+edges as (select dependent_id, target_id, via_symbol, evidence, conf, case when target_id is null then 'variable_definition' else 'formula' end as type, 'accepted' as edge_status,
+  case evidence when 'canonical_match' then 82 when 'text_definition' then 82 else 100 end as edge_weight, false as cross_chapter, definition from dedup),
+ambiguous as (select dependent_id, target_id, via_symbol as symbol, 'low_confidence_ocr' as evidence, cast(least(least_conf, 55) as bigint) as conf from judged where least_conf < 75
+  union all select formula_id, last_family, symbol, 'family_candidate', 45 from res where target_id is null and n_family > 0 and (formula_id, symbol) not in (select (dependent_id, via_symbol) from txt))
 """
-
-
-CONSERVATIVE, OCR = _edges("conservative"), _edges("ocr")
 COLUMNS = ["dependent_id", "target_id", "via_symbol", "evidence", "conf", "type", "edge_status", "edge_weight", "cross_chapter"]
 _LIST = ", ".join(COLUMNS)
 
 
+def inputs(spark, folder, mode="conservative"):
+    """(formulas, uses, senses) of the corpus, each written once; in ``ocr`` mode no symbol is stop-listed."""
+    formulas = corpus(spark, folder)
+    occ = occurrences(formulas)
+    return formulas, written(resolve.use_filter(occ, [] if mode == "ocr" else STOP), "uses"), written(resolve.sense_registry(occ), "senses")
+
+
 def built(spark, folder, mode="conservative"):
     """(formulas, edges, ambiguous) of the corpus."""
-    formulas, _, senses, uses = vocabulary(spark, folder)
+    formulas, uses, senses = inputs(spark, folder, mode)
     edges, ambiguous = resolve.build_dependencies(formulas, uses, senses, mode)
     return formulas, written(edges, "edges"), written(ambiguous, "ambiguous")
 
@@ -121,7 +143,13 @@ def _(spark, folder):
     return resolve.earlier_chapter_candidates(uses, senses)
 
 
-@query("j3_family_demotion", f"with {CORPUS}, {J3} select formula_id, symbol, n_targets, last_target from j3")
+@query("j2_candidate_lists", f"""with {CORPUS} select distinct kind, key, chapter_id, chapter, position, formula_id as target_id, symbol as via_symbol
+  from (select *, 'canonical' as kind, canonical as key from senses union all select *, 'family', family from senses)""")
+def _(spark, folder):
+    return resolve.candidate_lists(vocabulary(spark, folder)[2])
+
+
+@query("j3_family_demotion", f"with {CORPUS}, {J1}, {RES} select formula_id, symbol, n_family as n_targets, last_family as last_target from res where n_family >= 3")
 def _(spark, folder):
     _, _, senses, uses = vocabulary(spark, folder)
     return resolve.family_candidates(uses, senses)
@@ -168,8 +196,8 @@ def _(spark, folder):
 @query("j6_text_fallback", f"with {CONSERVATIVE} select dependent_id, via_symbol, cast(conf as bigint) as conf, definition from txt")
 def _(spark, folder):
     formulas, _, senses, uses = vocabulary(spark, folder)
-    found = resolve.explicit_reference_join(formulas).union(resolve.equation_group_join(formulas)).union(resolve.symbol_edges(uses, senses))
-    return resolve.text_definition_fallback(uses, found, resolve.text_defined_symbols(formulas), formulas).select("dependent_id", "via_symbol", "conf", "definition")
+    left = resolve.resolved_uses(uses, senses).filter("target_id is null")
+    return resolve.text_definition_fallback(left, resolve.text_defined_symbols(formulas), formulas).select("dependent_id", "via_symbol", "conf", "definition")
 
 
 @query("j7_use_filter", f"with {CORPUS} select formula_id, symbol, ordinal from uses")
@@ -177,24 +205,26 @@ def _(spark, folder):
     return vocabulary(spark, folder)[3].select("formula_id", "symbol", "ordinal")
 
 
-@query("e1_edge_attributes", f"with {OCR} select {_LIST} from attr")
+def _found(spark, folder, mode="conservative"):
+    """(formulas, edges that are distinct) of the corpus, without definitions."""
+    formulas, uses, senses = inputs(spark, folder, mode)
+    return formulas, resolve.edge_dedupe(resolve.found_edges(formulas, resolve.resolved_uses(uses, senses), mode), resolve.EDGE_KEYS[mode])
+
+
+@query("e1_edge_attributes", f"with {CONSERVATIVE} select {_LIST} from attr where target_id is not null")
 def _(spark, folder):
-    formulas, _, senses, uses = vocabulary(spark, folder)
-    found = resolve.found_edges(formulas, uses, senses, "ocr")
-    text = resolve.text_definition_fallback(uses, found, resolve.text_defined_symbols(formulas), formulas, 78)
-    return resolve.edge_attributes(resolve.edge_dedupe(found.unionByName(text), ("dependent_id", "target_id", "via_symbol")), formulas).select(*COLUMNS)
+    formulas, found = _found(spark, folder)
+    return resolve.edge_attributes(found, formulas).select(*COLUMNS)
 
 
 @query("e2_edge_dedupe", f"with {CONSERVATIVE} select dependent_id, target_id, via_symbol, evidence, cast(conf as bigint) as conf from dedup where stage < 3")
 def _(spark, folder):
-    formulas, _, senses, uses = vocabulary(spark, folder)
-    found = resolve.explicit_reference_join(formulas).union(resolve.equation_group_join(formulas)).union(resolve.symbol_edges(uses, senses))
-    return resolve.edge_dedupe(found).select("dependent_id", "target_id", "via_symbol", "evidence", "conf")
+    return _found(spark, folder)[1].select("dependent_id", "target_id", "via_symbol", "evidence", "conf")
 
 
-@query("e3_edge_prune", f"with {CONSERVATIVE} select dependent_id, type, count(*) as n from edges group by all")
+@query("e3_edge_prune", f"with {CONSERVATIVE} select dependent_id, target_id, via_symbol, evidence, definition from edges")
 def _(spark, folder):
-    return built(spark, folder)[1].groupBy("dependent_id", "type").agg(F.count("*").alias("n"))
+    return built(spark, folder)[1].select("dependent_id", "target_id", "via_symbol", "evidence", "definition")
 
 
 @query("e4_ambiguous_assembly", f"with {CONSERVATIVE} select * from ambiguous")
@@ -202,19 +232,24 @@ def _(spark, folder):
     return built(spark, folder)[2]
 
 
-@query("e5_quarantine", f"with {OCR} select {_LIST} from ambiguous_edges")
+@query("e4_opened_candidates", f"""with {CONSERVATIVE}, asked as (select formula_id from corpus qualify row_number() over (partition by chapter_id order by position desc) = 1), {OPENED} select * from opened""")
 def _(spark, folder):
-    return built(spark, folder, "ocr")[2].select(*COLUMNS)
+    """What a reader at the end of each chapter finds open: the candidates of the chapter's last formula."""
+    formulas, uses, senses = inputs(spark, folder)
+    entries = resolve.build_dependencies(formulas, uses, senses)[1]
+    last = formulas.groupBy("chapter_id").agg(F.max_by("formula_id", "position").alias("dependent_id")).select("dependent_id")
+    return resolve.opened_candidates(entries.join(last, "dependent_id", "left_semi"), senses)
 
 
-@query("e6_dependencies_conservative", f"with {CONSERVATIVE} select {_LIST} from edges")
+@query("e5_quarantine", f"with {OCR} select * from ambiguous")
 def _(spark, folder):
-    return built(spark, folder)[1].select(*COLUMNS)
+    return built(spark, folder, "ocr")[2]
 
 
-@query("e6_dependencies_ocr", f"with {OCR} select {_LIST} from edges")
-def _(spark, folder):
-    return built(spark, folder, "ocr")[1].select(*COLUMNS)
+for _mode, _sql in (("conservative", CONSERVATIVE), ("ocr", OCR)):
+    query(f"e6_dependencies_{_mode}", f"with {_sql} select {_LIST.replace('dependent_id', 'c.formula_id as dependent_id')} from (select formula_id from corpus) c left join edges e on e.dependent_id = c.formula_id")(
+        lambda spark, folder, mode=_mode: resolve.with_all_formulas(*built(spark, folder, mode)[:2]).select(*COLUMNS)
+    )
 
 
 A1 = """
@@ -224,7 +259,7 @@ a1 as (select c.chapter_id, c.formulas, coalesce(e.edges, 0) as edges, coalesce(
   left join (select f.chapter_id, count(*) as edges, count(*) filter (edge_status = 'accepted') as accepted, count(*) filter (evidence = 'exact_match') as exact_edges, count(*) filter (evidence = 'explicit_reference') as explicit_edges,
       count(*) filter (evidence = 'compound_group') as group_edges, count(*) filter (evidence = 'text_definition') as fallback_definitions, count(*) filter (evidence = 'family_candidate') as family_edges
     from edges e join corpus f on f.formula_id = e.dependent_id group by all) e on e.chapter_id = c.chapter_id
-  left join (select f.chapter_id, count(*) as ambiguous from ambiguous a join corpus f on f.formula_id = a.dependent_id group by all) a on a.chapter_id = c.chapter_id)
+  left join (select chapter_id, count(*) as ambiguous from ambiguous group by all) a on a.chapter_id = c.chapter_id)
 """
 
 
