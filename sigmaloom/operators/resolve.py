@@ -63,11 +63,16 @@ def carried(defs: DataFrame, asks: DataFrame, keys: tuple[str, ...], bucket: int
 
 
 def _lookups(uses: DataFrame, senses: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
-    """(ask, kind, n, last): for each use and key kind the earlier formulas of its chapter that define the key: how many, and the last one's (formula_id, sense_id)."""
+    """(ask, kind, n, last): for each use and key kind with any, the earlier formulas of its chapter that define the key: how many, and the last one's (formula_id, sense_id).
+
+    Uses at or before a key's first definition are left out ahead of the sort: most keys are never defined.
+    """
     kind = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("key")) for k in kinds])).alias("k")
     defs = senses.select("chapter_id", "position", kind, F.struct("formula_id", "sense_id").alias("value")).select("chapter_id", "k.*", "position", "value")
     defs = defs.groupBy("chapter_id", "kind", "key", "position").agg(F.min("value").alias("value"))
-    asks = uses.select("chapter_id", "position", kind, F.struct(*uses.columns).alias("ask")).select("chapter_id", "k.*", "position", "ask")
+    firsts = defs.groupBy("chapter_id", "kind", "key").agg(F.min("position").alias("_first"))
+    asks = uses.select("chapter_id", "position", kind, F.struct("formula_id", "symbol").alias("ask")).select("chapter_id", "k.*", "position", "ask")
+    asks = asks.join(firsts, ["chapter_id", "kind", "key"]).filter("position > _first").drop("_first")
     return carried(defs, asks, ("chapter_id", "kind", "key"))
 
 
@@ -75,10 +80,11 @@ def resolved_uses(uses: DataFrame, senses: DataFrame) -> DataFrame:
     """Each use with target_id, sense_id and match_type of J1 (null without a hit), and n_family, last_family: the earlier formulas of its chapter that define its family."""
     of = lambda k, c: F.max(F.when(F.col("kind") == k, F.col(c)))
     found = _lookups(uses, senses, ("symbol", "canonical", "family")).groupBy("ask.formula_id", "ask.symbol")
-    found = found.agg(F.first("ask").alias("ask"), of("symbol", "last").alias("e"), of("canonical", "last").alias("c"), of("family", "n").alias("n_family"), of("family", "last").alias("f"))
+    found = found.agg(of("symbol", "last").alias("e"), of("canonical", "last").alias("c"), of("family", "n").alias("n_family"), of("family", "last").alias("f"))
     hit = F.coalesce("e", "c")
     kind = F.when(F.col("e").isNotNull(), "exact").when(F.col("c").isNotNull(), "canonical")
-    return found.select("ask.*", hit["formula_id"].alias("target_id"), hit["sense_id"].alias("sense_id"), kind.alias("match_type"), "n_family", F.col("f.formula_id").alias("last_family"))
+    out = uses.join(found, ["formula_id", "symbol"], "left")
+    return out.select(*uses.columns, hit["formula_id"].alias("target_id"), hit["sense_id"].alias("sense_id"), kind.alias("match_type"), F.coalesce("n_family", F.lit(0)).alias("n_family"), F.col("f.formula_id").alias("last_family"))
 
 
 def asof_definition(uses: DataFrame, senses: DataFrame) -> DataFrame:
@@ -103,20 +109,22 @@ def earlier_chapter_candidates(uses: DataFrame, senses: DataFrame) -> DataFrame:
     Counts per key and chapter are summed over the chapters before; no use meets a sense. A formula that defines a
     family by one symbol alone is no kin of that symbol, so such formulas are counted and taken off.
     """
-    kinds = {"canonical": ("canonical", F.lit("")), "family": ("family", F.lit("")), "own": ("family", F.col("symbol"))}
     rows = senses.select("canonical", "family", "symbol", "formula_id", "chapter").distinct()
     lone = rows.groupBy("family", "formula_id", "chapter").agg(F.min("symbol").alias("symbol"), F.max("symbol").alias("_m")).filter("symbol = _m")
-    tally = lambda d, k: d.select(F.lit(k).alias("kind"), F.col(kinds[k][0]).alias("key"), kinds[k][1].alias("part"), "chapter", "formula_id").distinct()
-    counts = tally(rows, "canonical").union(tally(rows, "family")).union(tally(lone, "own")).groupBy("kind", "key", "part", "chapter").agg(F.count("*").alias("_n"))
-    kind = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(key).alias("key"), part.alias("part")) for k, (key, part) in kinds.items()])).alias("k")
-    asks = uses.select("formula_id", "symbol", "chapter", kind).select("formula_id", "symbol", "chapter", "k.*")
-    # one row a key and chapter, asked for or counted: as many in a window as a key has chapters
-    points = counts.union(asks.select("kind", "key", "part", "chapter", F.lit(0).alias("_n")).distinct()).groupBy("kind", "key", "part", "chapter").agg(F.sum("_n").alias("_n"))
-    before = Window.partitionBy("kind", "key", "part").orderBy("chapter").rowsBetween(Window.unboundedPreceding, -1)
-    sums = points.withColumn("n", F.sum("_n").over(before)).filter("n > 0").drop("_n")
-    of = lambda k: F.coalesce(F.max(F.when(F.col("kind") == k, F.col("n"))), F.lit(0))
-    found = asks.join(sums, ["kind", "key", "part", "chapter"]).groupBy("formula_id", "symbol").agg(of("canonical").alias("n_exact"), (of("family") - of("own")).alias("n_kin"))
-    return found.filter("n_exact + n_kin > 0")
+
+    def per_chapter(d: DataFrame, *key: str) -> DataFrame:
+        """The counts of a key as an array, one element a chapter."""
+        d = d.select(*key, "chapter", "formula_id").distinct().groupBy(*key, "chapter").agg(F.count("*").alias("n"))
+        return d.groupBy(*key).agg(F.collect_list(F.struct("chapter", "n")).alias("_counts"))
+
+    def counted(d: DataFrame, counts: DataFrame, name: str) -> DataFrame:
+        keys = [c for c in counts.columns if c != "_counts"]
+        before = F.aggregate("_counts", F.lit(0).cast("long"), lambda n, x: n + F.when(x["chapter"] < F.col("chapter"), x["n"]).otherwise(0))
+        return d.join(counts, keys, "left").withColumn(name, F.coalesce(before, F.lit(0))).drop("_counts")
+
+    d = counted(uses.select("formula_id", "symbol", "canonical", "family", "chapter"), per_chapter(rows, "canonical"), "n_exact")
+    d = counted(counted(d, per_chapter(rows, "family"), "n_kin"), per_chapter(lone, "family", "symbol"), "_own")
+    return d.select("formula_id", "symbol", "n_exact", (F.col("n_kin") - F.col("_own")).alias("n_kin")).filter("n_exact + n_kin > 0")
 
 
 def opened_candidates(entries: DataFrame, senses: DataFrame, least: int = 3) -> DataFrame:
@@ -148,7 +156,7 @@ def family_candidates(uses: DataFrame, senses: DataFrame, mode: str = "demote",
     """
     if mode == "demote":
         u = uses.select("formula_id", "chapter_id", "position", "symbol", "family")
-        found = _lookups(u, senses, ("family",)).select("ask.formula_id", "ask.symbol", F.col("n").alias("n_targets"), F.col("last.formula_id").alias("last_target"))
+        found = _lookups(u, senses, ("family",)).select("ask.*", F.col("n").alias("n_targets"), F.col("last.formula_id").alias("last_target"))
         return found.filter(F.col("n_targets") >= min_targets)
     per = senses.groupBy("chapter_id", "family", "position", "formula_id").agg(F.min("canonical").alias("low"), F.max("canonical").alias("high"))
     asks = uses.select("chapter_id", "family", "position", "canonical", F.struct("formula_id", "symbol").alias("ask"))
@@ -216,12 +224,8 @@ def text_defined_symbols(formulas: DataFrame) -> DataFrame:
 DEFINING = {"conservative": (r"where\s+([^\s.;]+)", r"\s+(?:is|are|denotes?|represents?)\s+([^.;]+)"), "ocr": (r"\b([\w']+)", r"\s+(?:is|denotes|represents|means)\s+([^.;]+)")}
 
 
-def text_definition(uses: DataFrame, formulas: DataFrame, mode: str = "conservative") -> DataFrame:
-    """(formula_id, symbol, definition): what the formula's context says the symbol is, up to 220 characters.
-
-    ``conservative``: after ``where``; ``ocr``: after the symbol itself, with symbol and verb. One pass over each context
-    finds all its phrases, which are then joined with the symbols; the first phrase of a symbol counts.
-    """
+def _with_definitions(uses: DataFrame, formulas: DataFrame, mode: str) -> DataFrame:
+    """Those ``uses`` that their formula's context explains, with the definition; the first phrase of a symbol counts."""
     head, tail = DEFINING[mode]
     # what follows the symbol is looked at, not taken, so that it can hold further phrases
     pattern = F.lit(f"(?i){head}(?={tail})")
@@ -229,9 +233,18 @@ def text_definition(uses: DataFrame, formulas: DataFrame, mode: str = "conservat
     found = F.arrays_zip(F.regexp_extract_all(text, pattern, F.lit(1)).alias("s"), F.regexp_extract_all(text, pattern, F.lit(2)).alias("d"))
     phrases = formulas.select("formula_id", F.posexplode(found).alias("o", "p")).select("formula_id", "o", F.lower("p.s").alias("_s"), F.col("p.d").alias("d"))
     phrases = phrases.groupBy("formula_id", "_s").agg(F.min_by("d", "o").alias("d"))
-    plain = F.col("symbol") if mode == "conservative" else F.regexp_replace("symbol", r"[\\\\{}]", "")
-    d = uses.select("formula_id", "symbol").distinct().withColumn("_s", F.lower(plain)).join(phrases, ["formula_id", "_s"])
-    return d.select("formula_id", "symbol", F.substring(F.trim("d"), 1, 220).alias("definition")).filter("definition != ''")
+    plain = F.col("symbol") if mode == "conservative" else F.regexp_replace("symbol", r"[\\{}]", "")
+    d = uses.withColumn("_s", F.lower(plain)).join(phrases, ["formula_id", "_s"])
+    return d.withColumn("definition", F.substring(F.trim("d"), 1, 220)).filter("definition != ''").drop("_s", "d")
+
+
+def text_definition(uses: DataFrame, formulas: DataFrame, mode: str = "conservative") -> DataFrame:
+    """(formula_id, symbol, definition): what the formula's context says the symbol is, up to 220 characters.
+
+    ``conservative``: after ``where``; ``ocr``: after the symbol itself. One pass over each context finds all its
+    phrases, which are then joined with the symbols.
+    """
+    return _with_definitions(uses, formulas, mode).select("formula_id", "symbol", "definition").distinct()
 
 
 #: Symbols that are never explained.
@@ -252,7 +265,7 @@ def text_definition_fallback(unresolved: DataFrame, text_defined: DataFrame, for
         told = (F.col("chapter_id") == F.col("_c")) & (F.lower(F.ltrim(F.col("symbol"), F.lit("\\"))) == F.col("_k"))
         left = left.filter(~F.col("symbol").isin(NON_TEACHING))
         left = left.filter(~atomic).union(left.filter(atomic).join(keys, told, "left_semi"))
-    found = text_definition(left, formulas, mode).join(left.select("formula_id", "symbol", "ordinal"), ["formula_id", "symbol"])
+    found = _with_definitions(left.select("formula_id", "symbol", "ordinal"), formulas, mode)
     conf = 55 if mode == "conservative" else 78
     return found.select(F.col("formula_id").alias("dependent_id"), F.lit(None).cast("string").alias("target_id"), F.col("symbol").alias("via_symbol"), F.lit("text_definition").alias("evidence"), F.lit(conf).cast("long").alias("conf"), F.lit(3).alias("stage"), "ordinal", "definition")
 

@@ -107,10 +107,9 @@ def inputs(spark, folder, mode="conservative"):
 
 
 def built(spark, folder, mode="conservative"):
-    """(formulas, edges, ambiguous) of the corpus."""
+    """(formulas, edges, ambiguous) of the corpus; neither is computed before it is read."""
     formulas, uses, senses = inputs(spark, folder, mode)
-    edges, ambiguous = resolve.build_dependencies(formulas, uses, senses, mode)
-    return formulas, written(edges, "edges"), written(ambiguous, "ambiguous")
+    return formulas, *resolve.build_dependencies(formulas, uses, senses, mode)
 
 
 @query("n10_formula_list", f"with {CORPUS} select formula_id, raw_id, chapter_id, chapter, position, label, latex, context_text, conf from corpus")
@@ -280,7 +279,7 @@ def _(spark, folder):
   select formula_id, case when top_rank <= 8 then 'top' when n_out = 0 and zero_rank <= 8 then 'zero' else 'every' end as reason from picks where top_rank <= 8 or (n_out = 0 and zero_rank <= 8) or place % 100 = 0""")
 def _(spark, folder):
     formulas, edges, _ = built(spark, folder)
-    return audit.review_bundle(formulas, edges)
+    return audit.review_bundle(formulas, written(edges, "edges"))
 
 
 @query("a4_quality_report", f"""with {OCR} select 'duplicate_id' as issue, count(*) as n from (select formula_id from corpus group by all having count(*) > 1)
@@ -289,4 +288,4 @@ def _(spark, folder):
   union all select 'low_confidence_formula', count(*) from corpus where conf < 75""")
 def _(spark, folder):
     formulas, edges, _ = built(spark, folder, "ocr")
-    return audit.quality_report(formulas, edges)
+    return audit.quality_report(formulas, written(edges, "edges"))
