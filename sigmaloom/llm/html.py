@@ -50,15 +50,18 @@ WEAK_NAMES = set("banner notice notices header head masthead foot copyright sear
 FORMS = set("has with no without".split())
 INSIDE = {"article", "main"}
 INSIDE_NAMES = set("article content entry post story main body text".split())
-NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-HIDDEN = re.compile(r"""\bhidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+#: Attributes that name an element.
+NAMING = {"class", "id", "role"}
+#: An attribute of a tag: name and value.
+ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+UNSEEN = re.compile(r"display\s*:\s*none", re.I)
 SPLIT = re.compile(r"[^a-z]+")
 SPACE = re.compile(r"\s+")
 
 #: Weights of the classifier of a block's text, in units of the cut's capacity.
 WEIGHTS = {"bias": -1.0, "named": 1.5, "heading": 0.4, "item": -0.8, "link": -3.0, "words": 0.12, "sentence": 0.8}
-#: Ties of the DOM: to an article; to menus and the like, names that say so, names that end so, names that articles have too.
-INSIDE_TIE, OUTSIDE_TIE, TOKEN_TIE, COMPOUND_TIE, WEAK_TIE = 4.4, 12.0, 10.0, 5.0, 2.0
+#: Ties of the DOM: to an article; to menus and the like, names that say so, what is not shown, names that end so, names that articles have too.
+INSIDE_TIE, OUTSIDE_TIE, TOKEN_TIE, HIDDEN_TIE, COMPOUND_TIE, WEAK_TIE = 4.4, 12.0, 10.0, 10.0, 5.0, 2.0
 #: Capacity between neighbours: under one parent, and across parents.
 NEAR, FAR = 1.0, 0.15
 
@@ -141,13 +144,17 @@ def blocks_of(html: str) -> list[tuple[str, float, float, float, int, int]]:
         attrs = m[4]
         tokens, names = set(), set()
         if attrs:
-            for found in NAMES.finditer(attrs):
-                tokens.update((found[1] or found[2] or found[3] or "").lower().split())
+            for found in ATTRIBUTE.finditer(attrs):
+                name, value = found[1].lower(), found[2] or found[3] or found[4] or ""
+                if name in NAMING:
+                    tokens.update(value.lower().split())
+                elif name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and UNSEEN.search(value):
+                    outside = max(outside, HIDDEN_TIE)
             names.update(*(SPLIT.split(t) for t in tokens))
-            if HIDDEN.search(attrs):
-                lasting = OUTSIDE_TIE
         if tag in INSIDE:
             outside = 0.0
+        elif tag == "header" and inside:
+            outside = max(outside, WEAK_TIE)  # an article's own head holds its title
         elif tag in OUTSIDE:
             outside = OUTSIDE_TIE
             lasting = outside if tag in ("nav", "aside", "footer") else lasting

@@ -189,7 +189,7 @@ def key_bits(keys: DataFrame) -> Bits:
 
 
 def with_bytes(texts: DataFrame, phrases: DataFrame, length: int) -> DataFrame:
-    """``phrases`` (core, key, begin, n, far, copy) with their bytes."""
+    """``phrases`` (core, key, begin, n, far, copy) with their bytes; rows with one key hold one text, which is opened once."""
     columns = ["core", "begin", "n", "far", "copy"]
     wanted = phrases.groupBy("key").agg(F.collect_list(F.struct(*columns)).alias("wanted"))  # as many as the text has triggers and cells
 
@@ -204,7 +204,7 @@ def with_bytes(texts: DataFrame, phrases: DataFrame, length: int) -> DataFrame:
             yield pa.record_batch(made | {"bytes": pa.array([raw[a:b] for a, b in zip(at.tolist(), (at + n - 1 + length).tolist(), strict=True)], pa.binary())})
 
     bits = key_bits(phrases)
-    d = passing(texts.select("key", "text"), bits).join(wanted, "key")
+    d = passing(texts.select("key", "text"), bits).join(wanted, "key").dropDuplicates(["key"])
     return d.select("key", "text", "wanted").mapInArrow(run, "key long, core long, begin int, n int, far int, copy boolean, bytes binary")
 
 
