@@ -1,15 +1,16 @@
-"""Operator 7, license scans: exact set-similarity search of license templates in text blocks.
-
-A block is a line, or any run of consecutive words of the whole text, across lines, as long as the template's words
-divided by ``containment``. A template is found in a block if the block holds at least ``containment`` of the
-template's distinct words and, as consecutive words, one of the names that tell it from other licenses (NAMES).
-The templates' words are ordered by how many lines of the corpus hold them, rarest first:
-* prefix: a block that reaches the overlap o of an m-word template holds one of its first m-o+1 words
-* length: it has at least o distinct words of the templates
-* position: if the first shared word is the template's i-th and the text's j-th of its n template words in that order,
-  at most min(m-i, n-j) words can be shared
-Texts that pass are compared exactly, in all blocks around each name, so none is missed. The base phrases are found as
-consecutive words. CC BY-NC-SA has both terms, so it gets both labels.
+"""Operator 7, license scans: exact set-similarity join of license templates with text blocks.
+
+A block is any run of consecutive words of the whole text, across lines, as long as the template's words divided by
+``containment``. A template is found in a block that holds at least ``containment`` of the template's distinct words: all
+such blocks of all texts are found. The templates' words are ordered by how many lines of the corpus hold them, rarest
+first. For an m-word template and an overlap of o words:
+* prefix: a block that reaches o holds one of the template's first m-o+1 words
+* length: at least o of the words around such a word are words of the template
+* position: if the block's first shared word is the template's i-th, o of the template's words from the i-th on are around it
+What passes is counted exactly, window by window. The base phrases are found as consecutive words.
+
+A template gives way, in the blocks that they share, to one of a license whose notices hold its own wording and more
+(GIVES_WAY): a notice of the LGPL is none of the GPL. It stays where it stands alone. Base labels always stay.
 
 Defined results: a null or empty text has no words and no labels; repeated rows are judged alike; an empty
 table gives no row; ties do not matter, as labels are sets.
@@ -36,76 +37,66 @@ PHRASES = {
     "cc by": "cc-by",
     "mit license": "mit",
 }
-#: Wording of common license notices, by label.
+#: Wording of common license notices, by label. Up to four words have to be there in full.
 TEMPLATES = [
-    ("apache", "licensed under the apache license version 2 0"),
+    ("apache", "apache license 2 0"),
     ("apache", "you may not use this file except in compliance with the license"),
-    ("mit", "released under the mit license"),
+    ("mit", "under the mit license"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
     ("gpl", "this work is licensed under the gnu general public license version 3"),
     ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
-    ("lgpl", "licensed under the gnu lesser general public license"),
+    ("lgpl", "lesser general public license"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
     ("mpl", "this source code form is subject to the terms of the mozilla public license"),
-    ("cc-by-nc", "licensed under cc by nc 4 0"),
-    ("cc-by-sa", "licensed under cc by sa 4 0"),
-    ("cc0", "this work is dedicated to the public domain under cc0"),
-    ("agpl", "licensed under the gnu affero general public license"),
+    ("cc-by-nc", "cc by nc"),
+    ("cc-by-sa", "cc by sa"),
+    ("cc0", "dedicated to the public domain under cc0"),
+    ("agpl", "affero general public license"),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
     ("unlicense", "this is free and unencumbered software released into the public domain"),
-    ("boost", "distributed under the boost software license version 1 0"),
-    ("epl", "made available under the terms of the eclipse public license"),
+    ("boost", "boost software license"),
+    ("epl", "eclipse public license"),
     ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable"),
-    ("cc-by-nd", "licensed under cc by nd 4 0"),
+    ("cc-by-nd", "cc by nd"),
 ]
-#: By template, the names one of which a block must hold.
-NAMES = {
-    "licensed under the apache license version 2 0": ["apache license"],
-    "you may not use this file except in compliance with the license": ["except in compliance with"],
-    "released under the mit license": ["mit license"],
-    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files": ["associated documentation"],
-    "this work is licensed under the gnu general public license version 3": ["gnu general public license"],
-    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license": ["gnu general public license"],
-    "licensed under the gnu lesser general public license": ["lesser general public license"],
-    "redistribution and use in source and binary forms with or without modification are permitted": ["source and binary forms"],
-    "this source code form is subject to the terms of the mozilla public license": ["mozilla public license"],
-    "licensed under cc by nc 4 0": ["cc by nc"],
-    "licensed under cc by sa 4 0": ["cc by sa", "cc by nc sa"],
-    "this work is dedicated to the public domain under cc0": ["cc0"],
-    "licensed under the gnu affero general public license": ["affero general public license"],
-    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted": ["with or without fee"],
-    "this is free and unencumbered software released into the public domain": ["unencumbered software"],
-    "distributed under the boost software license version 1 0": ["boost software license"],
-    "made available under the terms of the eclipse public license": ["eclipse public license"],
-    "this software is provided as is without any express or implied warranty in no event will the authors be held liable": ["any express or implied warranty"],
-    "licensed under cc by nd 4 0": ["cc by nd", "cc by nc nd"],
-}
+#: Labels whose wording is part of others' notices.
+GIVES_WAY = {"gpl": {"lgpl", "agpl"}}
 CONTAINMENT = 0.8
 SEPARATOR = rb"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WORDS = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+class Vocabulary:
+    """Words by their hashes."""
+
+    def __init__(self, words: list[str]):
+        raw = [x.encode() for x in words]
+        ends = np.cumsum([0, *map(len, raw)])
+        hashes = Rolling(np.frombuffer(b"".join(raw), np.uint8)).of(ends[:-1], ends[1:]) if raw else np.zeros(0, np.uint64)
+        self.place = np.argsort(hashes)
+        self.known = hashes[self.place]
+
+    def find(self, data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the words of a slice are known, and the number of each in the vocabulary."""
+        if not len(starts) or not len(self.known):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        h = Rolling(LOWER[data]).of(starts, stops)
+        at = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
+        hit = np.flatnonzero(self.known[at] == h)
+        return hit, self.place[at[hit]]
 
 
 def word_counts(docs: DataFrame, vocabulary: list[str]) -> dict[str, int]:
     """In how many lines of the corpus each word of the (fixed, short) vocabulary stands."""
-    # the words' hashes in order, with their places in ``vocabulary``
-    raw = [x.encode() for x in vocabulary]
-    ends = np.cumsum([0, *map(len, raw)])
-    hashes = Rolling(np.frombuffer(b"".join(raw), np.uint8)).of(ends[:-1], ends[1:]) if raw else np.zeros(0, np.uint64)
-    place = np.argsort(hashes)
-    known = hashes[place]
+    known = Vocabulary(vocabulary)
 
     def count(batches):
-        seen = np.zeros(len(known), np.int64)
+        seen = np.zeros(len(vocabulary), np.int64)
         for _, data, offsets in slices(batches, "text"):
             starts, stops, row = word_spans(data, offsets, ALNUM)
-            if not len(starts) or not len(known):
-                continue
-            h = Rolling(LOWER[data]).of(starts, stops)
-            at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-            hit = np.flatnonzero(known[at] == h)
+            hit, word = known.find(data, starts, stops)
             line = np.searchsorted(np.flatnonzero(data == 10), starts[hit]) + row[hit]
-            seen += np.bincount(np.unique(line * len(known) + at[hit]) % len(known), minlength=len(known))
-        yield pa.record_batch({"word": [vocabulary[i] for i in place], "n": pa.array(seen)})
+            seen += np.bincount(np.unique(line * len(vocabulary) + word) % max(1, len(vocabulary)), minlength=len(vocabulary))
+        yield pa.record_batch({"word": pa.array(vocabulary, pa.string()), "n": pa.array(seen)})
 
     rows = docs.select("text").filter("text is not null").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
     return dict(rows)
@@ -116,76 +107,73 @@ def phrase(words: str) -> re.Pattern:
     return re.compile(rb"(?<![^\x00-\x2F\x3A-\x60\x7B-\x7F])" + SEPARATOR.join(w.encode() for w in words.split()) + rb"(?![^\x00-\x2F\x3A-\x60\x7B-\x7F])")
 
 
+class Template:
+    """A template's words by their rank in the common order; how many a block needs, and the words of a block."""
+
+    def __init__(self, label: str, text: str, rank: dict[str, int], containment: float):
+        words = text.split()
+        self.label, self.ranks = label, sorted({rank[w] for w in words})
+        self.need = math.ceil(containment * len(self.ranks) - 1e-9)
+        self.size = math.ceil(len(words) / containment - 1e-9)
+        self.prefix = self.ranks[: len(self.ranks) - self.need + 1]
+
+    def blocks(self, at: np.ndarray, rank: np.ndarray, row: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """(row, first word, word after the last, shared words) of the blocks found, given the known words of a slice in order.
+
+        A block is told from its first to its last word of the template; the blocks that start at one word count once.
+        """
+        own = np.isin(rank, self.ranks)
+        at, rank, row = at[own], rank[own], row[own]
+        first = np.flatnonzero(np.isin(rank, self.prefix))
+        if not len(first):
+            return []
+        apart = at + row * self.size  # no block reaches over two texts
+        low, high = np.searchsorted(apart, apart[first] - self.size + 1), np.searchsorted(apart, apart[first] + self.size - 1, "right")
+        long = high - low >= self.need
+        near = [(a, b) for a, b, i in zip(low[long].tolist(), high[long].tolist(), rank[first[long]].tolist(), strict=True) if len(set(rank[a:b][rank[a:b] >= i].tolist())) >= self.need]
+        out, done = [], 0
+        for a, b in near:
+            # every block that holds a first word begins in its reach; reaches overlap, so each start is taken once
+            for i in range(max(a, done), b):
+                end = int(np.searchsorted(apart, apart[i] + self.size))
+                shared = len(set(rank[i:end].tolist()))
+                if shared >= self.need:
+                    out.append((int(row[i]), int(at[i]), int(at[end - 1]) + 1, shared))
+            done = max(done, b)
+        return out
+
+
 class Index:
-    """Templates under the words of their prefixes."""
-
-    def __init__(self, templates: list[tuple[str, str]], counts: dict[str, int], containment: float, names: dict[str, list[str]]):
-        self.prefix: dict[bytes, list[tuple[int, int]]] = {}
-        self.templates = []
-        # every template word's place in the common order
-        vocabulary = {w for _, t in templates for w in t.split()}
-        self.order = {w.encode(): i for i, w in enumerate(sorted(vocabulary, key=lambda x: (counts.get(x, 0), x)))}
-        for k, (label, text) in enumerate(templates):
-            ordered = sorted(set(text.split()), key=lambda x: (counts.get(x, 0), x))
-            need = math.ceil(containment * len(ordered) - 1e-9)
-            for place, word in enumerate(ordered[: len(ordered) - need + 1]):
-                self.prefix.setdefault(word.encode(), []).append((k, place))
-            size = math.ceil(len(text.split()) / containment - 1e-9)
-            # without a name of its own a template is told by its rarest word
-            told = [(n.split()[0].encode(), phrase(n), len(n.split())) for n in names.get(text, ordered[:1])]
-            self.templates.append((label, frozenset(x.encode() for x in ordered), need, size, told))
-
-    def found(self, text: bytes, starts: np.ndarray, stops: np.ndarray) -> dict[str, float]:
-        """Label -> best containment over the blocks of a lower-cased text with words at ``starts`` to ``stops``."""
-        out: dict[str, float] = {}
-        if not any(w in text for w in self.prefix):
-            return out
-        words = set(WORDS.findall(text))
-        own = sorted(words & self.order.keys(), key=self.order.__getitem__)
-        near = {k for j, w in enumerate(own) for k, place in self.prefix.get(w, ()) if min(len(self.templates[k][1]) - place, len(own) - j) >= self.templates[k][2]}
-        for k in near:
-            label, whole, need, size, told = self.templates[k]
-            if len(whole & words) < need:
-                continue
-            best, lines = 0, set()
-            for word, name, length in told:
-                if word not in text:
+    """The templates over one vocabulary, rarest word first."""
+
+    def __init__(self, templates: list[tuple[str, str]], counts: dict[str, int], containment: float):
+        words = sorted({w for _, t in templates for w in t.split()}, key=lambda x: (counts.get(x, 0), x))
+        self.vocabulary = Vocabulary(words)
+        rank = {w: i for i, w in enumerate(words)}
+        self.templates = [Template(label, text, rank, containment) for label, text in templates]
+
+    def found(self, data: np.ndarray, starts: np.ndarray, stops: np.ndarray, row: np.ndarray, gives_way: dict[str, set[str]] = GIVES_WAY) -> dict[int, dict[str, float]]:
+        """row -> label -> best containment, over all blocks of the texts of a slice."""
+        at, rank = self.vocabulary.find(data, starts, stops)
+        blocks = [(t, t.blocks(at, rank, row[at])) for t in self.templates] if len(at) else []
+        spans: dict[tuple[int, str], list[tuple[int, int]]] = {}
+        for t, some in blocks:
+            for r, a, b, _ in some:
+                spans.setdefault((r, t.label), []).append((a, b))
+        out: dict[int, dict[str, float]] = {}
+        for t, some in blocks:
+            for r, a, b, shared in some:
+                if any(x < b and a < y for other in gives_way.get(t.label, ()) for x, y in spans.get((r, other), ())):
                     continue
-                for m in name.finditer(text):
-                    at = int(np.searchsorted(starts, m.start()))
-                    best = max(best, self._window(text, starts, stops, at, length, size, whole))
-                    line = (text.rfind(b"\n", 0, m.start()) + 1, text.find(b"\n", m.end()))
-                    if b"\n" not in m[0] and line not in lines:
-                        lines.add(line)
-                        best = max(best, len(whole.intersection(WORDS.findall(text[line[0] : line[1] if line[1] >= 0 else len(text)]))))
-                    if best == len(whole):
-                        break
-            if best >= need:
-                out[label] = max(out.get(label, 0.0), best / len(whole))
+                best = out.setdefault(r, {})
+                best[t.label] = max(best.get(t.label, 0.0), shared / len(t.ranks))
         return out
 
-    @staticmethod
-    def _window(text: bytes, starts: np.ndarray, stops: np.ndarray, at: int, length: int, size: int, whole: frozenset) -> int:
-        """Most words of ``whole`` in ``size`` consecutive words that hold the words ``at`` to ``at + length``."""
-        first, last = max(0, at + length - size), min(len(starts), at + size)
-        words = [text[a:b] for a, b in zip(starts[first:last].tolist(), stops[first:last].tolist(), strict=True)]
-        held: dict[bytes, int] = {}
-        best = 0
-        for i, w in enumerate(words):
-            if w in whole:
-                held[w] = held.get(w, 0) + 1
-            if i >= size and (old := words[i - size]) in whole:
-                held[old] -= 1
-                if not held[old]:
-                    del held[old]
-            best = max(best, len(held)) if i >= at + length - 1 - first else best
-        return best
-
-
-def scan_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: list[tuple[str, str]] = TEMPLATES, containment: float = CONTAINMENT, names: dict[str, list[str]] = NAMES) -> DataFrame:
+
+def scan_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: list[tuple[str, str]] = TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score)."""
     counts = word_counts(docs, sorted({w for _, t in templates for w in t.split()}))
-    index = Index(templates, counts, containment, names)
+    index = Index(templates, counts, containment)
     patterns = [(p.split()[0].encode(), phrase(p), label) for p, label in phrases.items()]
 
     def scan(batches):
@@ -194,7 +182,7 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates:
             n_words = np.bincount(row, minlength=len(rows)) if len(row) else np.zeros(len(rows), np.int64)
             first_of = np.concatenate([[0], np.cumsum(n_words)])
             low = data.tobytes().lower()
-            out = []
+            out, every = [], index.found(data, starts, stops, row)
             for i in range(len(rows)):
                 text = low[offsets[i] : offsets[i + 1]]
                 places, base = [], set()
@@ -205,7 +193,7 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates:
                         if hits:
                             base.add(label)
                 own = slice(first_of[i], first_of[i + 1])
-                near = index.found(text, starts[own] - offsets[i], stops[own] - offsets[i])
+                near = every.get(i, {})
                 at = np.searchsorted(starts[own] - offsets[i], sorted(places)) if places else []
                 labels = sorted(base | near.keys())
                 out.append((len(places), int(at[0]) if places else None, int(at[-1]) if places else None, ",".join(sorted(base)), ",".join(labels), max(near.values(), default=1.0 if base else 0.0)))
