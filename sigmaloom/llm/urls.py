@@ -1,13 +1,14 @@
 """Operator 6, URL filters: association rules over URL tokens.
 
-URLs that the rule list covers carry its verdict as label; rules are learned from them alone. FP-growth finds
-frequent token combinations with the label ``block``; a combination becomes a rule if its confidence reaches
-``min_confidence``, and falls away if a part of it is a rule already (its parts are listed and joined with the rules).
-Rules match through an inverted index on each rule's rarest token. The rule list's own verdict comes first, the mined
-rules decide the rest; what none matches is allowed.
+URLs that the rule list blocks carry the label; FP-growth over all URLs finds frequent token combinations with it. A
+combination becomes a rule if ``min_confidence`` of all URLs that hold it are blocked (those that the list does not
+cover are no evidence, so they count against it), if that is ``min_lift`` times the share of blocked URLs, and if it
+names both a part of the host and a part of the path: a suffix of hosts or a folder alone never decides. A rule falls
+away if a part of it is a rule already. Rules match through an inverted index on each rule's rarest token. The rule
+list's own verdict comes first, the mined rules decide the rest; what none matches is allowed.
 
 Defined results: a null url or one without ``://`` has empty host and path and no rule, and is allowed; repeated
-rows are judged alike; an empty table gives no row; without covered urls nothing is mined.
+rows are judged alike; an empty table gives no row; without blocked urls nothing is mined.
 
 Mined rules number at most what the thresholds admit; their table is broadcast only below BROADCAST_RULES rows.
 Matches join back on the url, whose copies adaptive skew splitting can part.
@@ -31,6 +32,9 @@ RULES = [
 ]
 MIN_SUPPORT = 0.002
 MIN_CONFIDENCE = 0.8
+MIN_LIFT = 1.5
+#: A rule holds a token of each of these kinds.
+NEEDED = ("h:", "p:")
 #: A combination needs so many urls in any case.
 LEAST_URLS = 5
 BROADCAST_RULES = 10_000
@@ -67,29 +71,30 @@ def tokens() -> Column:
     return F.array_distinct(F.concat(host, path, query, ext))
 
 
-def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """(antecedent, confidence, support) from (tokens, blocked): minimal token combinations that say block."""
-    rows = labelled.count()
-    empty = labelled.sparkSession.createDataFrame([], "antecedent array<string>, confidence double, support double")
+def holds(kind: str) -> Column:
+    return F.exists("antecedent", lambda t: t.startswith(kind))
+
+
+def mine_rules(urls: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT, needed: tuple[str, ...] = NEEDED) -> DataFrame:
+    """(antecedent, confidence, support) from all (tokens, blocked): minimal token combinations that say block."""
+    rows = urls.count()
+    empty = urls.sparkSession.createDataFrame([], "antecedent array<string>, confidence double, support double")
     if not rows:
         return empty
     items = F.concat("tokens", F.when(F.col("blocked"), F.array(F.lit(BLOCK))).otherwise(F.array().cast("array<string>")))
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_support, LEAST_URLS / rows)), minConfidence=min_confidence).fit(labelled.select(items.alias("items")))
-    found = model.associationRules.filter(F.element_at("consequent", 1) == BLOCK).select(F.sort_array("antecedent").alias("antecedent"), "confidence", "support")
-    found = written(found, "url-rules")
-    known = found.select(F.col("antecedent").alias("part"))
-    nested = found.select("antecedent", F.explode(proper_parts(F.col("antecedent"))).alias("part")).join(known, "part", "left_semi")
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_support, LEAST_URLS / rows)), minConfidence=min_confidence).fit(urls.select(items.alias("items")))
+    found = model.associationRules.filter((F.element_at("consequent", 1) == BLOCK) & (F.col("lift") >= min_lift))
+    for kind in needed:
+        found = found.filter(holds(kind))
+    found = written(found.select(F.sort_array("antecedent").alias("antecedent"), "confidence", "support"), "url-rules")
+    # a part of a rule is met through one of its tokens, the one that the fewest rules hold
+    held = found.select("antecedent", F.explode("antecedent").alias("t"))
+    often = held.groupBy("t").agg(F.count("*").alias("n"))
+    part = held.join(often, "t").groupBy(F.col("antecedent").alias("part")).agg(F.min(F.struct("n", "t"))["t"].alias("t"))
+    nested = held.join(part, "t").filter((F.size("part") < F.size("antecedent")) & (F.size(F.array_except("part", "antecedent")) == 0))
     return found.join(nested.select("antecedent").distinct(), "antecedent", "left_anti")
 
 
-def proper_parts(items: Column) -> Column:
-    """All parts of a short sorted array but itself and the empty one, each in order: one for each number of as many bits."""
-    size = F.size(items)
-    numbers = F.sequence(F.lit(1), F.pow(F.lit(2), size).cast("int") - 2)
-    part = lambda m: F.filter(items, lambda x, i: F.floor(m / F.pow(F.lit(2), i)).cast("int") % 2 == 1)
-    return F.when(size > 1, F.transform(numbers, part)).otherwise(F.array().cast("array<array<string>>"))
-
-
 def match_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """(url, mined) for the distinct urls of (url, tokens) that hold all tokens of a rule; ``mined`` is the first such rule."""
     counts = urls.select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count("*").alias("n"))
@@ -105,7 +110,7 @@ def filter_urls(pages: DataFrame, rules: list[tuple[str, str]] = RULES, min_supp
     """(page_id, host, path, rule, mined, verdict)."""
     rule, says = listed_rule(rules)
     parts = with_parts(pages).withColumns({"rule": rule, "says": says, "tokens": tokens()})
-    mined = mine_rules(parts.filter("says is not null").select("tokens", (F.col("says") == "block").alias("blocked")), min_support, min_confidence)
+    mined = mine_rules(parts.filter("url is not null").select("tokens", F.coalesce(F.col("says") == "block", F.lit(False)).alias("blocked")), min_support, min_confidence)
     urls = parts.filter("rule is null and url is not null").select("url", "tokens")
     hit = match_rules(urls, mined).withColumnRenamed("url", "_url")
     out = parts.join(hit, F.col("rule").isNull() & (F.col("url") == F.col("_url")), "left")

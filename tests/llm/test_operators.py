@@ -232,17 +232,18 @@ def test_mined_rules_are_minimal_and_as_counted(spark):
                 blocked[c] += bad
     good = {c for c in part if blocked[c] >= 10 and blocked[c] >= 0.7 * part[c]}
     want = sorted(list(c) for c in good if not any(set(d) < set(c) for d in good))
-    got = urls.mine_rules(spark.createDataFrame(rows, "tokens array<string>, blocked boolean"), 0.05, 0.7)
+    got = urls.mine_rules(spark.createDataFrame(rows, "tokens array<string>, blocked boolean"), 0.05, 0.7, 0.0, ())
     assert want and sorted(r.antecedent for r in got.collect()) == want
 
 
 def test_urls_judged_by_rules_of_covered_ones(spark):
-    rows = [(i, f"http://x{i}.org/es/{i}") for i in range(20)] + [(50 + i, f"http://x{i}.net/de/{i}") for i in range(20)] + [(100, "http://new.org/fr/1"), (101, "http://new.net/fr/1"), (102, "http://new.info/fr/1")]
+    rows = [(i, f"http://x{i}.org/es/{i}") for i in range(20)] + [(50 + i, f"http://x{i}.net/de/{i}") for i in range(20)] + [(100, "http://new.org/fr/1"), (101, "http://new.net/fr/1"), (102, "http://new.info/fr/1"), (103, "http://new.org/old/es/1"), (104, "http://new.info/es/1")]
     d = spark.createDataFrame([(i, u, "h", "r", "t") for i, u in rows], "page_id long, url string, host string, rule string, tokens string")
     got = {r.page_id: r for r in urls.filter_urls(d).collect()}
     assert len(got) == len(rows)
     assert got[0].verdict == "block" and got[50].verdict == "allow"
-    assert got[100].verdict == "block" and got[100].mined == "h:org" and got[101].verdict == got[102].verdict == "allow"
+    # neither the host's suffix nor the folder alone decides, both together do
+    assert [got[i].verdict for i in (100, 101, 102, 104)] == ["allow"] * 4 and got[103].verdict == "block" and got[103].mined == "h:org p:es"
     assert urls.filter_urls(d.limit(0)).count() == 0
 
 
