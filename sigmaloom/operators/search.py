@@ -113,15 +113,33 @@ def score_formulas(plan: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def fuzzy_match(plan: DataFrame, words: DataFrame, threshold: float = 0.32, limit: int = 16) -> DataFrame:
-    """Q6: (query_id, variant, word, score): words(word) within ``threshold`` edits a character, found by a shared trigram; ``limit`` a variant."""
-    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - 2, F.lit(1))), lambda i: F.substring(c, i, F.lit(3))))
-    v = plan.filter(~F.contains("variant", F.lit(" "))).select("query_id", "variant", F.explode(grams(F.col("variant"))).alias("g"))
-    w = words.select("word", F.explode(grams(F.col("word"))).alias("g"))
-    p = v.join(w, "g").select("query_id", "variant", "word").distinct()
+    """Q6: (query_id, variant, word, score): words(word) within ``threshold`` edits a character of the longer one; ``limit`` a variant.
+
+    A word cut into k + 1 near-even segments keeps one of them whole under k edits, moved by k places at most. So a word is
+    listed under its segments for each k that a variant of fitting length allows it, and a variant looks up its own pieces of
+    those lengths at those places: every pair within the threshold shares one. Pairs that do are measured.
+    """
+    slack = 1e-9
+    most = lambda n: F.floor(n * threshold + slack).cast("int")
+    # segments of a word of length b for k edits: place, then length of number i
+    parts, small, extra = F.col("k") + 1, F.floor(F.col("b") / (F.col("k") + 1)).cast("int"), F.col("b") % (F.col("k") + 1)
+    begin = F.col("i") * small + F.greatest(F.lit(0), F.col("i") - (parts - extra))
+    size = small + F.when(F.col("i") >= parts - extra, 1).otherwise(0)
+    longest = F.floor(F.col("b") / (1 - threshold) + slack).cast("int")  # of a variant that can reach the word
+    w = words.select("word").distinct().withColumn("b", F.length("word")).filter("b > 0")
+    w = w.withColumn("k", F.explode(F.sequence(most(F.col("b")), most(longest)))).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k"))))
+    w = w.withColumn("s", F.substring(F.col("word"), begin + 1, size))
+    v = plan.filter(~F.contains("variant", F.lit(" "))).select("query_id", "variant")
+    one = v.select("variant").distinct().withColumn("a", F.length("variant")).filter("a > 0")
+    lengths = F.sequence(F.greatest(F.lit(1), F.ceil(F.col("a") * (1 - threshold) - slack).cast("int")), F.floor(F.col("a") / (1 - threshold) + slack).cast("int"))
+    one = one.withColumn("b", F.explode(lengths)).withColumn("k", most(F.greatest("a", "b"))).filter("abs(a - b) <= k").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k"))))
+    one = one.withColumns({"from": F.greatest(F.lit(0), begin - F.col("k")), "to": F.least(F.col("a") - size, begin + F.col("k"))}).filter("from <= to")
+    one = one.withColumn("p", F.explode(F.sequence("from", "to"))).withColumn("s", F.substring(F.col("variant"), F.col("p") + 1, size))
+    pairs = one.join(w, ["b", "k", "i", "s"]).select("variant", "word").distinct()
     share = F.levenshtein("variant", "word") / F.greatest(F.length("variant"), F.length("word"))
-    p = p.withColumn("share", share).filter(F.col("share") <= threshold).withColumn("score", F.round(420 - 420 * F.col("share"), 0).cast("long"))
-    r = F.row_number().over(Window.partitionBy("query_id", "variant").orderBy(F.desc("score"), "word"))
-    return p.withColumn("r", r).filter(F.col("r") <= limit).select("query_id", "variant", "word", "score")
+    near = pairs.withColumn("share", share).filter(F.col("share") <= threshold).withColumn("score", F.round(420 - 420 * F.col("share"), 0).cast("long"))
+    r = F.row_number().over(Window.partitionBy("variant").orderBy(F.desc("score"), "word"))
+    return near.withColumn("r", r).filter(F.col("r") <= limit).join(v.distinct(), "variant").select("query_id", "variant", "word", "score")
 
 
 def merge_and_rank(hits: DataFrame, k: int = 10) -> DataFrame:

@@ -121,10 +121,24 @@ def _(spark, folder):
     return merge.lexical_similarity_join(keyed(spark, folder), 700)
 
 
-@query("m4_embedding_similarity", "select a.vec_id as left, b.vec_id as right, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 4) as score from embeddings a join embeddings b on a.label = b.label and a.vec_id < b.vec_id where list_cosine_similarity(a.embedding::double[], b.embedding::double[]) >= 0.3")
+#: Every vector, and one that drifted from it towards the next vector of the table by 0.2 to 0.65 of it.
+VECTORS = """
+vec as (select vec_id as id, label, embedding::double[] as e, lead(embedding::double[]) over (order by vec_id) as f from embeddings),
+vecs as (select 2 * id as id, label, e from vec union all select 2 * id + 1, label, list_transform(list_zip(e, f), lambda x: x[1] + (0.2 + 0.05 * (id % 10)) * x[2]) from vec where f is not null)
+"""
+
+
+def _vectors(spark, folder):
+    v = table(spark, folder, "embeddings").select("vec_id", F.col("label").alias("chapter_id"), F.col("embedding").cast("array<double>").alias("e"))
+    after = v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("e").alias("f"))
+    near = F.zip_with("e", "f", lambda x, y: x + (F.lit(0.2) + F.lit(0.05) * (F.col("vec_id") % 10)) * y)
+    drifted = v.join(after, "vec_id").select((2 * F.col("vec_id") + 1).alias("id"), "chapter_id", near.alias("embedding"))
+    return v.select((2 * F.col("vec_id")).alias("id"), "chapter_id", F.col("e").alias("embedding")).union(drifted)
+
+
+@query("m4_embedding_similarity", f"with {VECTORS} select a.id as left, b.id as right, round(list_cosine_similarity(a.e, b.e), 4) as score from vecs a join vecs b on a.label = b.label and a.id < b.id where list_cosine_similarity(a.e, b.e) >= 0.88")
 def _(spark, folder):
-    v = table(spark, folder, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("chapter_id"), "embedding")
-    return merge.embedding_similarity_join(v, 0.3)
+    return merge.embedding_similarity_join(_vectors(spark, folder))
 
 
 PARTS = f"""{CONCEPTS}, lk as (select "left", "right", reason, score from m2 union all select * from m3 where score >= 700),

@@ -140,9 +140,10 @@ def _(spark, folder):
     return search.score_formulas(_plan(spark, folder), search.search_documents(corpus(spark, folder)))
 
 
-@query("q6_fuzzy_match", f"""with {CORPUS}, {SEARCH}, wd as (select distinct symbol as word from occ), pr as (select query_id, variant, word, levenshtein(variant, word) / greatest(length(variant), length(word)) as share from (select distinct query_id, variant from qp) p, wd where regexp_matches(variant, '^[a-z.,]+$')
-    and len(list_intersect(list_transform(generate_series(1, greatest(length(variant) - 2, 1)), lambda i: substr(variant, i, 3)), list_transform(generate_series(1, greatest(length(word) - 2, 1)), lambda i: substr(word, i, 3)))) > 0),
-  sc as (select query_id, variant, word, cast(round(420 - 420 * share) as bigint) as score from pr where share <= 0.32) select * from sc qualify row_number() over (partition by query_id, variant order by score desc, word) <= 16""")
+@query("q6_fuzzy_match", f"""with {CORPUS}, {SEARCH}, wd as (select distinct symbol as word from occ),
+  sc as (select variant, word, cast(round(420 - 420 * levenshtein(variant, word) / greatest(length(variant), length(word))) as bigint) as score
+    from (select distinct variant from qp where regexp_matches(variant, '^[a-z.,]+$')), wd where levenshtein(variant, word) / greatest(length(variant), length(word)) <= 0.32 qualify row_number() over (partition by variant order by score desc, word) <= 16)
+  select distinct query_id, variant, word, score from sc join qp using (variant)""")
 def _(spark, folder):
     words = corpus(spark, folder).select(F.explode("words").alias("word")).distinct()
     return search.fuzzy_match(_plan(spark, folder).filter(F.col("variant").rlike("^[a-z.,]+$")), words)
