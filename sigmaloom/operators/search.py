@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+import unicodedata
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.work import written
+
 
 #: Words of a query, the English terms they stand for, and words beside which they do not count.
 RULES = [
@@ -54,62 +59,160 @@ CHAPTER = [r"^(?:chapter|chap|ch|c)\s*([a-z]?\d+)$", r"^第\s*([a-z]?\d+)\s*章$
 NUMBER_FORMS = ["%s", "formula %s", "formula%s", "公式 %s", "公式%s"]
 CHAPTER_FORMS = ["%s", "chapter %s", "chapter%s", "chap %s", "ch %s", "c%s", "第%s章"]
 QUOTES = ("’‘`“”‐‑‒–—−", "'''\"\"------")
+#: Single characters that Unicode reads as one other (full width, circled, styled); from the compatibility forms of the basic plane.
+FOLDED = {c: f for c in map(chr, range(0xA0, 0x10000)) if not 0xD800 <= ord(c) < 0xE000 and len(f := unicodedata.normalize("NFKC", c)) == 1 and f != c}
+#: Ligatures, which are several characters.
+LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "…": "..."}
+#: LaTeX that is read as words, in order.
+LATEX_WORDS = [
+    (r"\\sigma\b", " sigma "), (r"\\Delta\b", " delta "), (r"\\mu\b", " mu "), (r"\\pi\b", " pi "), (r"\\beta\b", " beta "), (r"\\alpha\b", " alpha "), (r"\\theta\b", " theta "), (r"\\rho\b", " rho "),
+    (r"\\varphi\b", " phi "), (r"\\phi\b", " phi "), (r"\\kappa\b", " kappa "), (r"\\omega\b", " omega "), (r"\\Omega\b", " omega "), (r"\\lambda\b", " lambda "), (r"\\gamma\b", " gamma "),
+    (r"\\bar\s*\{([^{}]+)\}", "$1 bar "), (r"\\overline\s*\{([^{}]+)\}", "$1 bar "), (r"\\widehat\s*\{([^{}]+)\}", "$1 hat "), (r"\\widetilde\s*\{([^{}]+)\}", "$1 tilde "),
+    (r"\\hat\s*\{([^{}]+)\}", "$1 hat "), (r"\\tilde\s*\{([^{}]+)\}", "$1 tilde "), (r"\\(?:dfrac|tfrac|frac)\s*\{([^{}]+)\}\s*\{([^{}]+)\}", "$1 over $2 $1/$2 "),
+    (r"\\(?:mathbf|mathrm|mathit|operatorname)\s*\{([^{}]+)\}", "$1"), (r"\\(?:left|right|quad|qquad|cdot|times|sum|prod|int|exp|ln|log)\b", " "),
+]
+#: What is no letter, digit or CJK character.
+APART = r"[^a-z0-9一-鿿]+"
 
 
 def normal(text: Column) -> Column:
-    """Lower case, ``1,2`` as ``1.2``, plain quotes and dashes, single spaces."""
-    s = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"(\d),(\d)", "$1.$2")
+    """Compatibility forms and case folded, ``1,2`` as ``1.2``, plain quotes and dashes, single spaces."""
+    s = F.translate(F.coalesce(text, F.lit("")), "".join(FOLDED), "".join(FOLDED.values()))
+    for c, plain in LIGATURES.items():
+        s = F.replace(s, F.lit(c), F.lit(plain))
+    s = F.regexp_replace(F.lower(s), r"(?<=\d),(?=\d)", ".")
     return F.trim(F.regexp_replace(F.translate(s, *QUOTES), r"\s+", " "))
 
 
+def latex_words(text: Column) -> Column:
+    for pattern, said in LATEX_WORDS:
+        text = F.regexp_replace(text, pattern, said)
+    return text
+
+
+def compact(text: Column) -> Column:
+    return F.regexp_replace(normal(text), r"\s+", "")
+
+
 def loose(text: Column) -> Column:
-    """Letters, digits and CJK characters only."""
-    return F.regexp_replace(normal(text), r"[^a-z0-9一-鿿]+", "")
+    """Letters, digits and CJK characters only, after LaTeX is read as words."""
+    return F.regexp_replace(latex_words(normal(text)), APART, "")
+
+
+def number_forms(number: Column) -> list[Column]:
+    return [F.format_string(x, number) for x in NUMBER_FORMS[1:]]
 
 
 def search_documents(formulas: DataFrame) -> DataFrame:
-    """Q1: (id, number, label, latex, norm, compact, loose) of formulas."""
-    n = normal(F.concat_ws(" ", "label", "context_text"))
-    return formulas.select(F.col("formula_id").alias("id"), F.col("raw_id").alias("number"), normal(F.col("label")).alias("label"), normal(F.col("latex")).alias("latex"), n.alias("norm"), F.replace(n, F.lit(" "), F.lit("")).alias("compact"), loose(F.concat_ws(" ", "label", "context_text")).alias("loose"))
+    """Q1: (id, number, label, section, latex, context, keywords, search_text, compact, loose) of formulas; keywords joined by spaces, absent columns empty."""
+    have = lambda c: F.coalesce(F.col(c), F.lit("")) if c in formulas.columns else F.lit("")
+    keywords = F.array_join("keywords", " ") if "keywords" in formulas.columns else F.lit("")
+    d = formulas.select(F.col("formula_id").alias("id"), F.col("raw_id").alias("number"), have("label").alias("label"), have("section").alias("section"), have("latex").alias("latex"), have("context_text").alias("context"), keywords.alias("keywords"))
+    parts = [F.col("id"), F.col("number"), F.col("label"), *number_forms(F.col("number")), F.col("section"), F.col("latex"), latex_words(F.col("latex")), F.col("context"), F.col("keywords")]
+    d = d.withColumn("search_text", F.array_join(F.filter(F.array(*parts), lambda x: x != ""), " "))
+    return d.withColumns({"compact": compact(F.col("search_text")), "loose": loose(F.col("search_text"))})
+
+
+#: What a variant is met by: pieces of three or two characters, a word of two, the beginning of a field.
+TRIPLE, PAIR, TOKEN, BEGIN = "3", "2", "t", "^"
+
+
+def _pieces(text: Column, size: int) -> Column:
+    """All pieces of so many characters, one after the other, in one pass."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{size}}}))"), F.lit(1)))
+
+
+def _marked(kind: str, items: Column) -> Column:
+    return F.transform(items, lambda x: F.concat(F.lit(kind), x))
+
+
+def field_matches(plan: DataFrame, fields: DataFrame) -> DataFrame:
+    """(query_id, id, field, equal, begins, holds): how the variants of a plan meet the fields(id, field, part, least, text) of documents.
+
+    ``holds`` is containment inside words too, of variants of ``least`` characters, in the compact or loose form; variants
+    of one or two letters or digits hold as a whole field or word. A postings table lists, of the pieces that the variants
+    have, the fields that have them; each variant looks up its rarest piece and what it finds is compared in full. So no
+    variant meets a document by a frequent piece if it has a rare one, and nothing within a word is missed.
+    """
+    forms = F.explode(F.array(F.struct(F.lit("c").alias("form"), compact(F.col("variant")).alias("v")), F.struct(F.lit("l").alias("form"), loose(F.col("variant")).alias("v")))).alias("x")
+    wanted = written(plan.select("query_id", forms).select("query_id", "x.*").filter("v != ''").distinct(), "search-variants")
+    v, n = F.col("v"), F.length("v")
+    short = v.rlike("^[a-z0-9]{1,2}$")
+    none = F.array().cast("array<string>")
+    begin = F.when((n <= 2) & (F.col("form") == "c"), F.array(F.concat(F.lit(BEGIN), v))).otherwise(none)
+    inside = F.when(n >= 3, _marked(TRIPLE, _pieces(v, 3))).when((n == 2) & ~short, F.array(F.concat(F.lit(PAIR), v))).when(short, F.array(F.concat(F.lit(TOKEN), v))).otherwise(none)
+    one = wanted.select("form", "v").distinct()
+    # a variant of one or two characters is looked up by both ways, a longer one by its rarest piece
+    keys = one.select("form", "v", F.explode(F.concat(inside, begin)).alias("key"))
+    f = fields.select("id", "field", "part", "least", compact(F.col("text")).alias("c"), loose(F.col("text")).alias("l"), F.when(F.col("least") <= 2, F.split(normal(F.concat("text", F.lit(" "), latex_words(F.col("text")))), APART)).otherwise(none).alias("words"))
+    f = written(f, "search-fields")
+    kinds = {r.kind for r in keys.select(F.substring("key", 1, 1).alias("kind")).distinct().collect()}  # four at most
+
+    def listed(form: str) -> DataFrame:
+        text = F.col(form)
+        short_ones = F.array_union(F.filter("words", lambda x: F.length(x) <= 2), F.array("c", "l"))
+        made = {TRIPLE: _pieces(text, 3), PAIR: _pieces(text, 2), TOKEN: F.array_distinct(F.filter(short_ones, lambda x: F.length(x).between(1, 2))), BEGIN: F.array_distinct(F.array(F.substring(text, 1, 1), F.substring(text, 1, 2)))}
+        arrays = [_marked(k, made[k]) for k in made if k in kinds] or [none]
+        return f.select("id", "field", "part", F.lit(form).alias("form"), F.explode(F.concat(*arrays)).alias("key"))
+
+    needed = keys.select("form", "key").distinct()
+    postings = written(listed("c").union(listed("l")).join(needed, ["form", "key"], "left_semi"), "search-postings")
+    often = postings.groupBy("form", "key").agg(F.count("*").alias("n"))
+    rank = F.struct(F.coalesce("n", F.lit(0)), "key")
+    way = F.when(F.substring("key", 1, 1) == TRIPLE, "").otherwise(F.substring("key", 1, 1))
+    chosen = keys.join(often, ["form", "key"], "left").groupBy("form", "v", way.alias("way")).agg(F.min_by("key", rank).alias("key"))
+    near = chosen.join(postings, ["form", "key"]).select("form", "v", "id", "field", "part").distinct().join(f, ["id", "field", "part"])
+    held = F.when(short, (F.col("c") == v) | (F.col("l") == v) | F.array_contains("words", v)).otherwise(F.contains(F.when(F.col("form") == "c", F.col("c")).otherwise(F.col("l")), v))
+    is_compact = F.col("form") == "c"
+    hit = near.select("form", "v", "id", "field", (is_compact & (F.col("c") == v)).alias("equal"), (is_compact & F.startswith("c", v)).alias("begins"), ((n >= F.col("least")) & held).alias("holds"))
+    hit = hit.filter("equal or begins or holds").groupBy("form", "v", "id", "field").agg(*[F.bool_or(c).alias(c) for c in ("equal", "begins", "holds")])
+    return wanted.join(hit, ["form", "v"]).groupBy("query_id", "id", "field").agg(*[F.bool_or(c).alias(c) for c in ("equal", "begins", "holds")])
+
+
+def _fields(docs: DataFrame, fields: dict[str, tuple[int, list[Column]]]) -> DataFrame:
+    """(id, field, part, least, text): the texts of each field(least, texts) of documents, without empty ones."""
+    rows = [F.struct(F.lit(name).alias("field"), F.lit(i).alias("part"), F.lit(least).alias("least"), text.alias("text")) for name, (least, texts) in fields.items() for i, text in enumerate(texts)]
+    return docs.select("id", F.explode(F.array(*rows)).alias("x")).select("id", "x.*").filter("text != ''")
 
 
 def query_plan(queries: DataFrame, rules: list[tuple[str, list[str], str | None]] = RULES) -> DataFrame:
-    """Q2: (query_id, variant, number) of queries(query_id, text): the normal form, forms of a formula's or chapter's number, and the terms of each rule(pattern, terms, skip) that fits; number is empty where none is named."""
+    """Q2: (query_id, variant, number, mapped) of queries(query_id, text): the normal form, forms of a formula's or chapter's number, and the terms of each rule(pattern, terms, skip) that fits.
+
+    number is empty where none is named; mapped says whether a rule other than an abbreviation's (``^``) fits.
+    """
     n = F.col("n")
     q = queries.select("query_id", normal(F.col("text")).alias("n")).withColumn("number", F.regexp_extract("n", NUMBER, 1))
     chapter = F.coalesce(*[F.nullif(F.regexp_extract("n", p, 1), F.lit("")) for p in CHAPTER])
     one = [n, *[F.when(F.col("number") != "", F.format_string(x, "number")) for x in NUMBER_FORMS], *[F.when(chapter.isNotNull(), F.format_string(x, chapter)) for x in CHAPTER_FORMS]]
     fits = lambda pattern, skip: n.rlike(pattern) & ~n.rlike(skip) if skip else n.rlike(pattern)
     terms = [F.when(fits(pattern, skip), F.lit(term.lower())) for pattern, found, skip in rules for term in found]
-    return q.select("query_id", F.explode(F.array_distinct(F.array_compact(F.array(*one, *terms)))).alias("variant"), "number").filter("variant != ''").distinct()
+    mapped = functools.reduce(Column.__or__, [fits(pattern, skip) for pattern, _, skip in rules if pattern[0] != "^"], F.lit(False))
+    return q.select("query_id", F.explode(F.array_distinct(F.array_compact(F.array(*one, *terms)))).alias("variant"), "number", mapped.alias("mapped")).filter("variant != ''").distinct()
+
+
+#: Scores of a formula's fields that hold a variant, and the shortest variant.
+FORMULA_FIELDS = {"label": (780, 2), "latex": (730, 2), "keywords": (640, 2), "section": (590, 2), "context": (500, 3)}
 
 
 def score_formulas(plan: DataFrame, docs: DataFrame) -> DataFrame:
-    """Q3: (query_id, id, score), the best of: 1000 equal number, 920 begins with a chapter's number, 830 with another, 900 equal id where no number is named; 780 label, 730 LaTeX, 500 context hold a variant.
+    """Q3: (query_id, id, score) over documents of Q1, the best of: 1000 equal number, 920 begins with a chapter's number, 830 with another, 900 equal name where no number is named, and FORMULA_FIELDS.
 
-    Numbers are met by their prefixes. A variant's words must all be words of the document; the rarest of them finds the
-    candidates, so frequent words join nothing. Variants of one or two letters are whole words of a field.
+    Numbers are met by their prefixes, fields by ``field_matches``.
     """
-    q = plan.filter("number != ''").select("query_id", F.col("number").alias("q")).distinct()
+    q = plan.filter("number != ''").select("query_id", compact(F.col("number")).alias("q")).distinct()
     q = q.withColumn("key", F.when(F.col("q").rlike(r"^[a-z]?\d+$"), F.concat("q", F.lit("."))).otherwise(F.col("q")))
-    begin = docs.select("id", "number", F.explode(F.expr("transform(sequence(1, length(number) + 1), i -> substring(concat(number, '.'), 1, i))")).alias("key"))
+    n = docs.select("id", compact(F.col("number")).alias("number"))
+    begin = n.select("id", "number", F.explode(F.expr("transform(sequence(1, length(number) + 1), i -> substring(concat(number, '.'), 1, i))")).alias("key"))
     numbered = q.join(begin, "key").filter(F.expr("number = q or startswith(number, key)"))
     tier = F.when(F.col("number") == F.col("q"), 1000).when(F.col("q").rlike(r"^[a-z]?\d+\.?$"), 920).otherwise(830)
-    named = plan.filter("number = ''").join(docs.select("id"), F.col("variant") == F.col("id"))
-
-    words = lambda c: F.filter(F.array_distinct(F.split(c, r"[^a-z0-9.]+")), lambda t: t != "")
-    p = plan.select("query_id", "variant").distinct().withColumn("words", words(F.col("variant"))).filter("size(words) > 0")
-    each = p.select("variant", F.explode("words").alias("t")).distinct()
-    tokens = docs.select("id", F.explode(words(F.col("norm"))).alias("t")).join(each.select("t").distinct(), "t", "left_semi")
-    often = tokens.groupBy("t").agg(F.count("*").alias("n"))
-    rare = each.join(often, "t", "left").groupBy("variant").agg(F.min_by("t", F.struct(F.coalesce("n", F.lit(0)), "t")).alias("t"))
-    near = p.join(rare, "variant").join(tokens, "t").join(docs.select("id", "label", "latex", "norm"), "id")
-    near = near.filter(F.size(F.array_except("words", words(F.col("norm")))) == 0)
-    short = F.col("variant").rlike("^[a-z0-9]{1,2}$")
-    holds = lambda c: F.when(short, F.array_contains(F.split(c, "[^a-z0-9]+"), F.col("variant"))).otherwise(F.contains(F.col(c), F.col("variant")))
-    held = F.when(holds("label"), 780).when(holds("latex"), 730).when((F.length("variant") >= 3) & holds("norm"), 500)
-    hits = numbered.select("query_id", "id", tier.alias("score")).union(named.select("query_id", "id", F.lit(900))).union(near.select("query_id", "id", held))
-    return hits.filter("score is not null").groupBy("query_id", "id").agg(F.max("score").cast("long").alias("score"))
+    names = docs.select("id", F.explode(F.array("id", "number", "label", *number_forms(F.col("number")))).alias("name")).select("id", compact(F.col("name")).alias("v")).distinct()
+    named = plan.filter("number = ''").select("query_id", compact(F.col("variant")).alias("v")).filter("v != ''").distinct().join(names, "v")
+    texts = {"latex": F.concat("latex", F.lit(" "), latex_words(F.col("latex")))}
+    fields = _fields(docs, {c: (least, [texts.get(c, F.col(c))]) for c, (_, least) in FORMULA_FIELDS.items()})
+    score = F.create_map(*[F.lit(x) for c, (score, _) in FORMULA_FIELDS.items() for x in (c, score)])
+    held = field_matches(plan, fields).filter("holds").select("query_id", "id", score[F.col("field")].alias("score"))
+    hits = numbered.select("query_id", "id", tier.alias("score")).union(named.select("query_id", "id", F.lit(900))).union(held)
+    return hits.groupBy("query_id", "id").agg(F.max("score").cast("long").alias("score"))
 
 
 def fuzzy_match(plan: DataFrame, words: DataFrame, threshold: float = 0.32, limit: int = 16) -> DataFrame:
@@ -142,11 +245,24 @@ def fuzzy_match(plan: DataFrame, words: DataFrame, threshold: float = 0.32, limi
     return near.withColumn("r", r).filter(F.col("r") <= limit).join(v.distinct(), "variant").select("query_id", "variant", "word", "score")
 
 
-def merge_and_rank(hits: DataFrame, k: int = 10) -> DataFrame:
-    """Q7: (query_id, rank, id, score): the best score of each id, the ``k`` best of each query."""
-    d = hits.groupBy("query_id", "id").agg(F.max("score").alias("score"))
-    r = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
-    return d.withColumn("rank", r.cast("long")).filter(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+def natural(key: Column) -> Column:
+    """A key whose order takes runs of digits as numbers and letters without case."""
+    return F.array_join(F.transform(F.regexp_extract_all(F.lower(key), F.lit(r"(\d+|\D+)"), F.lit(1)), lambda x: F.when(x.rlike(r"^\d"), F.lpad(F.ltrim(x, F.lit("0")), 12, "0")).otherwise(x)), "")
+
+
+def merge_and_rank(hits: DataFrame, k: int = 10, caps: dict[str, int] | None = None) -> DataFrame:
+    """Q7: (query_id, rank, type, id, score) of hits(query_id, type, id, name, score): the best score of each result, the ``k`` best of each query.
+
+    Equal scores go by name, numbers in it as numbers, those of appendices (a1.2) last. ``caps`` bounds the results of a type.
+    """
+    d = hits.groupBy("query_id", "type", "id").agg(F.max("score").alias("score"), F.min("name").alias("name"))
+    d = d.withColumn("_key", natural(F.regexp_replace("name", "(?i)^a(?=\\d)", "999.")))
+    order = [F.desc("score"), "_key", "id"]
+    own = F.row_number().over(Window.partitionBy("query_id", "type").orderBy(*order))
+    most = F.coalesce(F.create_map(*[F.lit(x) for kv in (caps or {"formula": 12}).items() for x in kv])[F.col("type")], F.lit(k))
+    d = d.withColumn("_own", own).filter(F.col("_own") <= most)
+    r = F.row_number().over(Window.partitionBy("query_id").orderBy(*order, "type"))
+    return d.withColumn("rank", r.cast("long")).filter(F.col("rank") <= k).select("query_id", "rank", "type", "id", "score")
 
 
 def concept_grouping(hits: DataFrame) -> DataFrame:
@@ -155,19 +271,102 @@ def concept_grouping(hits: DataFrame) -> DataFrame:
     return d
 
 
+#: Scores of a concept's fields that equal, begin with or hold a variant, the same where the query was mapped, and the shortest variant.
+CONCEPT_FIELDS = {
+    "title": ((880, 820, 760), (880, 820, 760), 2), "alias": ((850, 800, 740), (850, 800, 740), 2), "symbol": ((0, 0, 690), (0, 0, 690), 2), "context": ((0, 0, 610), (0, 0, 610), 3),
+    "section": ((0, 0, 540), (0, 0, 680), 2), "broad": ((0, 0, 520), (0, 0, 660), 2),
+}
+#: Variants that mean one concept, by kind.
+INTENTS = {"size": ["effective population size", "genetic effective size", "effective size"], "intensity": ["selection intensity", "intensity"], "linkage": ["linkage disequilibrium"]}
+STATEMENT = 80
+
+
+def is_broad(alias: Column, section: Column) -> Column:
+    """Whether an alias names a context and not the concept: empty, an internal name, the section's title, five words or more, or several in capitals."""
+    n = normal(alias)
+    words = F.size(F.filter(F.split(n, APART), lambda x: x != ""))
+    return (n == "") | n.rlike("^[a-z_]+_concept$") | (compact(alias) == compact(section)) | (words >= 5) | ((alias == F.upper(alias)) & (words >= 2))
+
+
+def intended(concepts: DataFrame) -> DataFrame:
+    """(id, kind, score): the concepts that each of INTENTS means."""
+    section, symbol = compact(F.col("section")), compact(F.col("symbol"))
+    every, broad = compact(F.array_join("aliases", " ")), F.transform(F.filter("aliases", lambda a: is_broad(a, F.col("section"))), compact)
+    primary = F.filter("aliases", lambda a: ~is_broad(a, F.col("section")))
+    own = F.concat_ws(" ", "title", "context", "symbol", F.array_join(primary, " "))
+    says = lambda *words: functools.reduce(Column.__or__, [F.contains(compact(own), F.lit(w)) | F.contains(loose(own), F.lit(w)) for w in words])
+    any_of = lambda c, *words: functools.reduce(Column.__or__, [F.contains(c, F.lit(w)) for w in words])
+    size = F.contains(compact(F.col("title")), F.lit("populationsize")) & any_of(F.concat(symbol, section, every), "n_{e}", "nsube", "effectivesize")
+    linked = says("linkagedisequilibrium") | (F.array_contains(broad, "linkagedisequilibrium") & ~F.lower("symbol").contains("\\delta") & symbol.rlike(r"^d(?:$|[_^{])|\(d\)"))
+    kinds = F.array(
+        F.when(size, F.struct(F.lit("size").alias("kind"), F.when(any_of(F.concat(section, every), "effectivesize"), 865).otherwise(840).alias("score"))),
+        F.when(says("selectionintensity", "strengthofselection"), F.struct(F.lit("intensity").alias("kind"), F.lit(840).alias("score"))),
+        F.when(linked, F.struct(F.lit("linkage").alias("kind"), F.lit(840).alias("score"))),
+    )
+    return concepts.select("id", F.explode(F.array_compact(kinds)).alias("x")).select("id", "x.*")
+
+
 def score_concepts(plan: DataFrame, concepts: DataFrame) -> DataFrame:
-    """Q4: (query_id, id, score) over concepts(id, title, alias): 880 equal title, 820 title begins, 760 title holds, 850 equal alias, 740 alias holds; found by the variant's first word among the words of both."""
-    words = F.array_distinct(F.filter(F.split(F.lower(F.concat_ws(" ", "title", "alias")), r"[^a-z0-9]+"), lambda x: x != ""))
-    tokens = concepts.select("id", F.lower("title").alias("title"), F.lower("alias").alias("alias"), F.explode(words).alias("t"))
-    hit = plan.withColumn("t", F.regexp_extract("variant", r"^([a-z0-9]+)", 1)).filter("t != ''").join(tokens, "t")
-    v = F.col("variant")
-    score = F.when(F.col("title") == v, 880).when(F.col("alias") == v, 850).when(F.col("title").startswith(v), 820).when(F.contains("title", v), 760).when(F.contains("alias", v), 740)
-    return hit.withColumn("score", score.cast("long")).filter("score is not null").groupBy("query_id", "id").agg(F.max("score").alias("score"))
-
-
-def score_chapters(plan: DataFrame, chapters: DataFrame) -> DataFrame:
-    """Q5: (query_id, chapter_id, score): 960 if a variant is the chapter's number or name, 820 if its title(chapter_id, chapter, title) holds the variant; numbers are chapters, not appendices."""
-    number = F.regexp_extract("variant", r"^(?:chapter\s*)?(\d+)(?:\.|$)", 1)
-    exact = plan.withColumn("n", number).filter("n != ''").join(chapters.withColumn("n", F.col("chapter").cast("string")), "n").select("query_id", "chapter_id", F.lit(960).alias("score"))
-    held = plan.join(F.broadcast(chapters), F.expr("length(variant) >= 3 and contains(lower(title), variant)")).select("query_id", "chapter_id", F.lit(820).alias("score"))
-    return exact.union(held).groupBy("query_id", "chapter_id").agg(F.max("score").cast("long").alias("score"))
+    """Q4: (query_id, id, score) over concepts(id, title, symbol, label, section, context, aliases), for queries that name no number.
+
+    The best of CONCEPT_FIELDS and, where the query means one of INTENTS, that concept's score; a concept that is only a
+    formula's statement scores STATEMENT less.
+    """
+    plan = plan.filter("number = ''")
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    d = concepts.select("id", *[text(c).alias(c) for c in ("title", "symbol", "label", "section", "context")], F.coalesce("aliases", F.array().cast("array<string>")).alias("aliases"))
+    d = written(d, "search-concepts")
+    least = {c: x[2] for c, x in CONCEPT_FIELDS.items()}
+    fields = _fields(d, {c: (least[c], [x]) for c, x in (("title", F.col("title")), ("symbol", F.concat("symbol", F.lit(" "), "label")), ("context", F.col("context")), ("section", F.col("section")))})
+    alias = d.select("id", "section", F.posexplode("aliases").alias("part", "text"))
+    alias = alias.select("id", F.when(is_broad(F.col("text"), F.col("section")), "broad").otherwise("alias").alias("field"), "part", F.lit(2).alias("least"), "text").filter("text != ''")
+    found = field_matches(plan, fields.union(alias)).join(plan.groupBy("query_id").agg(F.bool_or("mapped").alias("mapped")), "query_id")
+
+    def tier(place: int) -> Column:
+        of = lambda which: F.create_map(*[F.lit(y) for c, x in CONCEPT_FIELDS.items() for y in (c, x[which][place])])[F.col("field")]
+        return F.when(F.col("mapped"), of(1)).otherwise(of(0))
+
+    score = F.greatest(F.when(F.col("equal"), tier(0)), F.when(F.col("begins"), tier(1)), F.when(F.col("holds"), tier(2)))
+    kinds = plan.sparkSession.createDataFrame([(k, v.replace(" ", "")) for k, some in INTENTS.items() for v in some], "kind string, v string")
+    meant = plan.select("query_id", compact(F.col("variant")).alias("v")).join(F.broadcast(kinds), "v").select("query_id", "kind").distinct().join(intended(d), "kind")  # as many kinds as INTENTS
+    hits = found.select("query_id", "id", score.alias("score")).filter("score > 0").union(meant.select("query_id", "id", "score")).groupBy("query_id", "id").agg(F.max("score").alias("score"))
+    statement = F.col("id").cast("string").endswith("_statement") | F.col("title").rlike(r"(?i)^formula\s+\S+\s+result$")
+    less = d.select("id", F.when(statement, STATEMENT).otherwise(0).alias("less"))
+    return hits.join(less, "id").select("query_id", "id", F.greatest(F.lit(0), F.col("score") - F.col("less")).cast("long").alias("score"))
+
+
+#: How a query names a chapter or an appendix; the first list says that it does, the second which one.
+ASKS_CHAPTER = [r"\b(?:chapter|chap|ch)\s*[a-z]?\d+\b", r"第\s*[a-z]?\d+\s*章", r"^[a-z]?\d+\s*章$"]
+WHICH_CHAPTER = [r"\b(?:chapter|chap|ch)\s*([a-z]?\d+)\b", r"^第\s*([a-z]?\d+)\s*章$", r"^([a-z]?\d+)\s*章$"]
+ASKS_APPENDIX = [r"\b(?:appendix|app)\s*[a-z]?\d+\b", r"附录\s*[a-z]?\d+", r"^[a-z]?\d+\s*附录$"]
+WHICH_APPENDIX = [r"\b(?:appendix|app)\s*([a-z]?\d+)\b", r"附录\s*([a-z]?\d+)", r"^([a-z]?\d+)\s*附录$"]
+#: Names of a chapter and of an appendix; the first two are its own, the others also lead to it.
+CHAPTER_NAMES = ["chapter%s", "第%s章", "chapter %s", "chap %s", "ch %s", "c%s"]
+APPENDIX_NAMES = ["appendix%s", "附录%s", "appendix %s", "app %s"]
+
+
+def query_intents(queries: DataFrame) -> DataFrame:
+    """(query_id, chapter, appendix, by_chapter, by_appendix): the number of the chapter or appendix that a query(query_id, text) names, else null, and whether it asks for one."""
+    n = F.col("n")
+    which = lambda patterns: F.coalesce(*[F.nullif(F.regexp_extract(n, p, 1), F.lit("")) for p in patterns])
+    asks = lambda patterns: functools.reduce(Column.__or__, [n.rlike(p) for p in patterns])
+    q = queries.select("query_id", normal(F.col("text")).alias("n"))
+    return q.select("query_id", which(WHICH_CHAPTER).alias("chapter"), which(WHICH_APPENDIX).alias("appendix"), asks(ASKS_CHAPTER).alias("by_chapter"), asks(ASKS_APPENDIX).alias("by_appendix"))
+
+
+def score_chapters(plan: DataFrame, intents: DataFrame, chapters: DataFrame) -> DataFrame:
+    """Q5: (query_id, chapter_id, score) over chapters(chapter_id, chapter, title), for queries that name no number: 960 for the chapter or appendix asked for, 820 if a name or the title holds a variant.
+
+    A query that asks for a chapter meets no appendix and no other chapter, and the other way round.
+    """
+    digits = F.regexp_extract("chapter_id", r"(\d+)$", 1)
+    d = chapters.withColumn("n", F.when(digits != "", digits).otherwise(F.col("chapter").cast("string"))).withColumn("added", F.lower("chapter_id").startswith("appendix"))
+    names = lambda k: F.when(F.col("added"), F.array(*[F.format_string(x, "n") for x in APPENDIX_NAMES][k])).otherwise(F.array(*[F.format_string(x, "n") for x in CHAPTER_NAMES][k]))
+    own = d.select(F.col("chapter_id").alias("id"), F.posexplode(F.array_append(names(slice(0, 2)), F.col("chapter_id"))).alias("part", "text"))
+    own = own.select("id", F.lit("own").alias("field"), "part", F.lit(2).alias("least"), "text")
+    every = d.select(F.col("chapter_id").alias("id"), F.lit("every").alias("field"), F.lit(0).alias("part"), F.lit(2).alias("least"), F.concat_ws(" ", "chapter_id", "title", F.array_join(names(slice(0, 6)), " ")).alias("text"))
+    found = field_matches(plan.filter("number = ''"), own.union(every)).join(intents, "query_id").join(d.select(F.col("chapter_id").alias("id"), "n", "added"), "id")
+    found = found.filter(F.when(F.col("added"), F.coalesce(F.col("appendix") == F.col("n"), F.lit(True)) & F.col("chapter").isNull()).otherwise(F.coalesce(F.col("chapter") == F.col("n"), F.lit(True)) & F.col("appendix").isNull()))
+    asked = F.when(F.col("added"), F.col("by_appendix")).otherwise(F.col("by_chapter"))
+    score = F.when((F.col("field") == "own") & F.col("equal") & asked, 960).when((F.col("field") == "every") & F.col("holds"), 820)
+    return found.select("query_id", F.col("id").alias("chapter_id"), score.alias("score")).filter("score is not null").groupBy("query_id", "chapter_id").agg(F.max("score").cast("long").alias("score"))

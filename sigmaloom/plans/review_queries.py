@@ -88,11 +88,44 @@ def _(spark, folder):
 ASKED = ["有效群体大小", "自然选择", "选择强度", "连锁不平衡", "LD", "Ne", "第3章", "chapter 2", "公式 4.1", "群体大小"]
 
 
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
 def _norm(text: str) -> str:
-    plain = f"translate(regexp_replace(lower({text}), '(\\d),(\\d)', '\\1.\\2', 'g'), '{search.QUOTES[0]}', '{search.QUOTES[1].replace(chr(39), chr(39) * 2)}')"
+    text = f"translate(coalesce({text}, ''), {_quoted(''.join(search.FOLDED))}, {_quoted(''.join(search.FOLDED.values()))})"
+    for c, plain in search.LIGATURES.items():
+        text = f"replace({text}, '{c}', '{plain}')"
+    comma = lambda x: f"regexp_replace({x}, '([0-9]),([0-9])', '\\1.\\2', 'g')"
+    plain = f"translate({comma(comma(f'lower({text})'))}, '{search.QUOTES[0]}', {_quoted(search.QUOTES[1])})"
     return f"trim(regexp_replace({plain}, '\\s+', ' ', 'g'))"
 
 
+def _latex_words(text: str) -> str:
+    for pattern, said in search.LATEX_WORDS:
+        text = f"regexp_replace({text}, '{pattern}', '{said.replace('$', chr(92))}', 'g')"
+    return text
+
+
+def folded(texts: str) -> str:
+    """CTE ``fx``: (text, n, c, l, words) of the texts of a query: its normal, compact and loose forms, and its words with LaTeX read."""
+    return rf"""
+tx as (select distinct text, {_latex_words("text")} as lw from ({texts})),
+nx as (select text, {_norm("text")} as n, {_norm("text || ' ' || lw")} as m from tx),
+fx as (select text, n, regexp_replace(n, '\s+', '', 'g') as c, regexp_replace({_latex_words("n")}, '{search.APART}', '', 'g') as l, string_split_regex(m, '{search.APART}') as words from nx)
+"""
+
+
+def matched(fields: str, plan: str) -> str:
+    """CTEs ``va`` and ``fm``: every variant of ``plan`` held against every row of ``fields``(id, field, least, text), by way of ``fx``."""
+    return rf"""
+va as (select distinct query_id, form, v, regexp_matches(v, '^[a-z0-9]{{1,2}}$') as short from (select query_id, 'c' as form, c as v from {plan} p join fx on fx.text = p.variant union all select query_id, 'l', l from {plan} p join fx on fx.text = p.variant) where v <> ''),
+fm as (select query_id, id, field, bool_or(form = 'c' and c = v) as equal, bool_or(form = 'c' and starts_with(c, v)) as begins,
+    bool_or(length(v) >= least and case when short then c = v or l = v or (least <= 2 and list_contains(words, v)) else contains(case form when 'c' then c else l end, v) end) as holds
+  from va join (select f.*, c, l, words from {fields} f join fx using (text) where f.text <> '') f on starts_with(c, v) or contains(l, v) or contains(c, v) or list_contains(words, v) group by all having equal or begins or holds)
+"""
+
+
 def _text(x: str | None) -> str:
     return "null" if x is None else "'" + x.replace("'", "''") + "'"
 
@@ -101,46 +134,65 @@ _RULES = ", ".join(f"({_text(p)}, {_text(t.lower())}, {_text(skip)})" for p, ter
 _FORMS = lambda value, forms: f"unnest([{', '.join(chr(39) + f.replace('%s', chr(39) + ' || ' + value + ' || ' + chr(39)) + chr(39) for f in forms)}])"
 _CHAPTER = "coalesce(" + ", ".join(f"nullif(regexp_extract(n, '{p}', 1), '')" for p in search.CHAPTER) + ")"
 
-SEARCH = rf"""
-sd as (select formula_id as id, raw_id as number, {_norm("label")} as label, {_norm("latex")} as latex, {_norm("label || ' ' || context_text")} as norm from corpus),
-qs as (select *, regexp_extract(n, '{search.NUMBER}', 1) as number from (select item_id as query_id, {_norm(f"case item_id % 4 when 0 then text when 1 then string_split_regex(text, '[ ]+')[1] || ' ' || (item_id % 20 + 1) || '.1a' when 2 then [{', '.join(map(_text, ASKED))}][item_id // 4 % {len(ASKED)} + 1] else string_split_regex(text, '[ ]+')[1] end")} as n from benchmark)),
+_asked = f"case item_id % 4 when 0 then text when 1 then string_split_regex(text, '[ ]+')[1] || ' ' || (item_id % 20 + 1) || '.1a' when 2 then [{', '.join(map(_text, ASKED))}][item_id // 4 % {len(ASKED)} + 1] else string_split_regex(text, '[ ]+')[1] end"
+PLAN = rf"""
+qs as (select *, regexp_extract(n, '{search.NUMBER}', 1) as number from (select item_id as query_id, {_norm(_asked)} as n from benchmark)),
 rules(pattern, term, skip) as (values {_RULES}),
-qp as (select distinct query_id, variant, number from (select query_id, n as variant, number from qs union all select query_id, {_FORMS("number", search.NUMBER_FORMS)}, number from qs where number <> ''
+ruled as (select query_id, pattern, term from qs join rules on regexp_matches(n, pattern) and (skip is null or not regexp_matches(n, skip))),
+qp as (select distinct query_id, variant, number, query_id in (select query_id from ruled where not starts_with(pattern, '^')) as mapped from (select query_id, n as variant, number from qs union all select query_id, {_FORMS("number", search.NUMBER_FORMS)}, number from qs where number <> ''
   union all select query_id, {_FORMS("c", search.CHAPTER_FORMS)}, number from (select *, {_CHAPTER} as c from qs) where c is not null
-  union all select query_id, term, number from qs join rules on regexp_matches(n, pattern) and (skip is null or not regexp_matches(n, skip))) where variant <> ''),
-pw as (select distinct query_id, variant, list_filter(string_split_regex(variant, '[^a-z0-9.]+'), lambda x: x <> '') as words from qp),
-dw as (select *, string_split_regex(norm, '[^a-z0-9.]+') as words from sd),
-near as (select query_id, id, variant, label, latex, norm, regexp_matches(variant, '^[a-z0-9]{{1,2}}$') as short from pw join (select *, unnest(list_distinct(words)) as t from dw) d on d.t = pw.words[1] and list_has_all(d.words, pw.words)),
+  union all select query_id, term, number from ruled join qs using (query_id)) where variant <> '')
+"""
+_names = "[number, label, 'formula ' || number, 'formula' || number, '公式 ' || number, '公式' || number]"
+DOCS = rf"""
+sd as (select formula_id as id, raw_id as number, label, coalesce(lang, '') || ' part ' || coalesce(words[1], '') as section, latex, context_text as context, array_to_string(words[3:8], ' ') as keywords from corpus),
+fd as (select id, x.field as field, x.least as least, x.text as text from (select id, unnest([{{'field': 'label', 'least': 2, 'text': label}}, {{'field': 'latex', 'least': 2, 'text': latex || ' ' || {_latex_words("latex")}}}, {{'field': 'keywords', 'least': 2, 'text': keywords}},
+  {{'field': 'section', 'least': 2, 'text': section}}, {{'field': 'context', 'least': 3, 'text': context}}]) as x from sd)),
+names as (select id, unnest(list_concat([id], {_names})) as text from sd)
+"""
+SEARCH = f"""{PLAN}, {DOCS}, {folded("select text from fd union all select text from names union all select number from sd union all select number from qp union all select variant from qp")}, {matched("fd", "qp")},
 hits as (select query_id, id, cast(max(s) as bigint) as score from (
-  select query_id, id, case when case when short then list_contains(string_split_regex(label, '[^a-z0-9]+'), variant) else contains(label, variant) end then 780 when case when short then list_contains(string_split_regex(latex, '[^a-z0-9]+'), variant) else contains(latex, variant) end then 730 when length(variant) >= 3 and contains(norm, variant) then 500 end as s from near
-  union all select query_id, id, 900 from qp join sd on id = variant where qp.number = ''
-  union all select query_id, id, case when sd.number = q then 1000 when regexp_matches(q, '^[a-z]?\d+\.?$') then 920 else 830 end from (select distinct query_id, number as q from qp where number <> '') join sd on sd.number = q or starts_with(sd.number, case when regexp_matches(q, '^[a-z]?\d+$') then q || '.' else q end)) where s is not null group by all)
+  select query_id, id, case field when 'label' then 780 when 'latex' then 730 when 'keywords' then 640 when 'section' then 590 else 500 end as s from fm where holds
+  union all select query_id, id, 900 from qp join fx v on v.text = variant join fx a on a.c = v.c and a.c <> '' join names on names.text = a.text where qp.number = ''
+  union all select query_id, id, case when n = q then 1000 when regexp_matches(q, '^[a-z]?[0-9]+\\.?$') then 920 else 830 end
+    from (select distinct query_id, fx.c as q from qp join fx on fx.text = qp.number where number <> '') join (select id, fx.c as n from sd join fx on fx.text = sd.number) on n = q or starts_with(n, case when regexp_matches(q, '^[a-z]?[0-9]+$') then q || '.' else q end)) group by all)
 """
+NATURAL = lambda key: f"array_to_string(list_transform(regexp_extract_all(lower({key}), '([0-9]+|[^0-9]+)', 1), lambda x: case when regexp_matches(x, '^[0-9]') then lpad(ltrim(x, '0'), 12, '0') else x end), '')"
 
 
-def _plan(spark, folder):
+def _queries(spark, folder):
     i, first = F.col("item_id"), F.get(F.split("text", "[ ]+"), F.lit(0))
     asked = F.get(F.array(*map(F.lit, ASKED)), (F.floor(i / 4) % len(ASKED)).cast("int"))
     text = F.when(i % 4 == 0, F.col("text")).when(i % 4 == 1, F.concat(first, F.lit(" "), i % 20 + 1, F.lit(".1a"))).when(i % 4 == 2, asked).otherwise(first)
-    return search.query_plan(table(spark, folder, "benchmark").select(i.alias("query_id"), text.alias("text")))
+    return table(spark, folder, "benchmark").select(i.alias("query_id"), text.alias("text"))
+
+
+def _plan(spark, folder):
+    return search.query_plan(_queries(spark, folder))
+
+
+def _documents(spark, folder):
+    f = corpus(spark, folder).withColumns({"keywords": F.slice("words", 3, 6), "section": F.concat(F.coalesce("lang", F.lit("")), F.lit(" part "), F.coalesce(F.get("words", F.lit(0)), F.lit("")))})
+    return search.search_documents(f)
 
 
-@query("q1_search_documents", rf"with {CORPUS}, {SEARCH} select id, number, label, latex, norm, replace(norm, ' ', '') as compact, regexp_replace(norm, '[^a-z0-9一-鿿]+', '', 'g') as loose from sd")
+@query("q1_search_documents", f"""with {CORPUS}, {DOCS}, st as (select *, array_to_string(list_filter([id, {_names[1:-1]}, section, latex, {_latex_words("latex")}, context, keywords], lambda x: x <> ''), ' ') as search_text from sd), {folded("select search_text as text from st")}
+  select id, number, label, section, latex, context, keywords, search_text, c as compact, l as loose from st join fx on fx.text = search_text""")
 def _(spark, folder):
-    return search.search_documents(corpus(spark, folder))
+    return _documents(spark, folder)
 
 
-@query("q2_query_plan", f"with {CORPUS}, {SEARCH} select * from qp")
+@query("q2_query_plan", f"with {PLAN} select * from qp")
 def _(spark, folder):
     return _plan(spark, folder)
 
 
 @query("q3_score_formulas", f"with {CORPUS}, {SEARCH} select * from hits")
 def _(spark, folder):
-    return search.score_formulas(_plan(spark, folder), search.search_documents(corpus(spark, folder)))
+    return search.score_formulas(_plan(spark, folder), _documents(spark, folder))
 
 
-@query("q6_fuzzy_match", f"""with {CORPUS}, {SEARCH}, wd as (select distinct symbol as word from occ),
+@query("q6_fuzzy_match", f"""with {CORPUS}, {PLAN}, wd as (select distinct symbol as word from occ),
   sc as (select variant, word, cast(round(420 - 420 * levenshtein(variant, word) / greatest(length(variant), length(word))) as bigint) as score
     from (select distinct variant from qp where regexp_matches(variant, '^[a-z.,]+$')), wd where levenshtein(variant, word) / greatest(length(variant), length(word)) <= 0.32 qualify row_number() over (partition by variant order by score desc, word) <= 16)
   select distinct query_id, variant, word, score from sc join qp using (variant)""")
@@ -149,9 +201,78 @@ def _(spark, folder):
     return search.fuzzy_match(_plan(spark, folder).filter(F.col("variant").rlike("^[a-z.,]+$")), words)
 
 
-@query("q7_merge_and_rank", f"with {CORPUS}, {SEARCH} select query_id, row_number() over (partition by query_id order by score desc, id) as rank, id, score from hits qualify row_number() over (partition by query_id order by score desc, id) <= 10")
+CHAPTERS = f"""
+ch as (select *, regexp_extract(chapter_id, '([0-9]+)$', 1) as d from (select chapter_id, chapter, concat_ws(' ', min(words[1]), max(words[1])) as title from corpus group by all
+  union all select 'appendix' || chapter, chapter, 'of ' || chapter_id from (select distinct chapter_id, chapter from corpus))),
+cn as (select *, starts_with(chapter_id, 'appendix') as added, case when starts_with(chapter_id, 'appendix') then [{", ".join(_quoted(x).replace("%s", "' || d || '") for x in search.APPENDIX_NAMES)}] else [{", ".join(_quoted(x).replace("%s", "' || d || '") for x in search.CHAPTER_NAMES)}] end as names from ch),
+cf as (select chapter_id as id, 'own' as field, 2 as least, unnest(list_append(names[1:2], chapter_id)) as text from cn union all select chapter_id, 'every', 2, concat_ws(' ', chapter_id, title, array_to_string(names, ' ')) from cn),
+pc as (select * from qp where number = ''),
+iq as (select query_id, {", ".join(f"coalesce({', '.join(f'nullif(regexp_extract(n, {_quoted(p)}, 1), {_quoted(str())})' for p in some)}) as {name}" for name, some in (("chapter", search.WHICH_CHAPTER), ("appendix", search.WHICH_APPENDIX)))},
+  {", ".join("(" + " or ".join(f"regexp_matches(n, {_quoted(p)})" for p in some) + f") as {name}" for name, some in (("by_chapter", search.ASKS_CHAPTER), ("by_appendix", search.ASKS_APPENDIX)))} from qs)
+"""
+Q5 = f"""{PLAN}, {CHAPTERS}, {folded("select text from cf union all select variant from qp")}, {matched("cf", "pc")},
+q5 as (select query_id, chapter_id, cast(max(s) as bigint) as score from (select query_id, fm.id as chapter_id, case when field = 'own' and equal and case when added then by_appendix else by_chapter end then 960 when field = 'every' and holds then 820 end as s
+    from fm join iq using (query_id) join cn on cn.chapter_id = fm.id where case when added then coalesce(iq.appendix = d, true) and iq.chapter is null else coalesce(iq.chapter = d, true) and iq.appendix is null end) where s is not null group by all)
+"""
+
+
+def _chapters(spark, folder):
+    f = corpus(spark, folder)
+    first = F.get("words", F.lit(0))
+    own = f.groupBy("chapter_id", "chapter").agg(F.concat_ws(" ", F.min(first), F.max(first)).alias("title"))
+    added = f.select("chapter_id", "chapter").distinct().select(F.concat(F.lit("appendix"), "chapter").alias("chapter_id"), "chapter", F.concat(F.lit("of "), "chapter_id").alias("title"))
+    return own.union(added)
+
+
+def chapter_hits(spark, folder):
+    queries = _queries(spark, folder)
+    return search.score_chapters(search.query_plan(queries), search.query_intents(queries), _chapters(spark, folder))
+
+
+@query("q5_score_chapters", f"with {CORPUS}, {Q5} select * from q5")
+def _(spark, folder):
+    return chapter_hits(spark, folder)
+
+
+@query("q7_merge_and_rank", f"""with {CORPUS}, {SEARCH}, h as (select query_id, id, number as name, score from hits join (select id, number from sd) using (id)),
+  o as (select query_id, 'formula' as type, id, score, row_number() over (partition by query_id order by score desc, {NATURAL("name")}, id) as rank from h) select * from o where rank <= 10""")
+def _(spark, folder):
+    docs = _documents(spark, folder)
+    hits = search.score_formulas(_plan(spark, folder), docs).join(docs.select("id", F.col("number").alias("name")), "id")
+    return search.merge_and_rank(hits.withColumn("type", F.lit("formula")))
+
+
+#: Parts as concepts: one alias that names the brand, one in capitals that names the context, one that is the section's title.
+PART_CONCEPTS = """
+cc4 as (select p_partkey as id, p_name as title, p_brand as symbol, 'Formula ' || p_size as label, p_type as section, 'A ' || p_name || ' of ' || p_type || ' size' as context, [lower(p_brand) || ' thing', upper(p_name), p_type] as aliases from part),
+qs4 as (select p_partkey as query_id, case p_partkey % 7 when 0 then p_name when 1 then string_split(p_name, ' ')[1] when 2 then substr(p_name, 2, 4) when 3 then p_type when 4 then p_brand when 5 then substr(p_name, 1, 2) else p_type || ' siz' end as n from part),
+"""
+
+
+def _part_concepts(spark, folder):
+    p = table(spark, folder, "part")
+    aliases = F.array(F.concat(F.lower("p_brand"), F.lit(" thing")), F.upper("p_name"), F.col("p_type"))
+    context = F.concat(F.lit("A "), "p_name", F.lit(" of "), "p_type", F.lit(" size"))
+    d = p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("title"), F.col("p_brand").alias("symbol"), F.concat(F.lit("Formula "), "p_size").alias("label"), F.col("p_type").alias("section"), context.alias("context"), aliases.alias("aliases"))
+    text = F.expr("case p_partkey % 7 when 0 then p_name when 1 then split(p_name, ' ')[0] when 2 then substring(p_name, 2, 4) when 3 then p_type when 4 then p_brand when 5 then substring(p_name, 1, 2) else concat(p_type, ' siz') end")
+    return d, p.select(F.col("p_partkey").alias("query_id"), text.alias("text"))
+
+
+_alias = f"select id, case when regexp_matches(fa.n, '^[a-z_]+_concept$') or fa.c = fs.c or len(list_filter(string_split_regex(fa.n, '{search.APART}'), lambda x: x <> '')) >= 5 or (alias = upper(alias) and len(list_filter(string_split_regex(fa.n, '{search.APART}'), lambda x: x <> '')) >= 2) then 'broad' else 'alias' end as field, 2 as least, alias as text from (select id, section, unnest(aliases) as alias from cc4) join fx fa on fa.text = alias join fx fs on fs.text = section"
+
+
+@query("q4_score_concepts", f"""with {PART_CONCEPTS} qt as (select query_id, {_norm("n")} as n from qs4), q4 as (select query_id, n as variant from qt),
+  {folded("select title as text from cc4 union all select symbol || ' ' || label from cc4 union all select context from cc4 union all select section from cc4 union all select unnest(aliases) from cc4 union all select variant from q4")},
+  f4 as (select id, 'title' as field, 2 as least, title as text from cc4 union all select id, 'symbol', 2, symbol || ' ' || label from cc4 union all select id, 'context', 3, context from cc4 union all select id, 'section', 2, section from cc4 union all {_alias}),
+  dq as (select distinct min(query_id) over (partition by variant) as query_id, variant from q4), {matched("f4", "dq")},
+  s4 as (select query_id, id, max(case field when 'title' then case when equal then 880 when begins then 820 else 760 end when 'alias' then case when equal then 850 when begins then 800 else 740 end when 'symbol' then case when holds then 690 end when 'context' then case when holds then 610 end when 'section' then case when holds then 540 end else case when holds then 520 end end) as score from fm group by all)
+  select query_id, id, cast(score as bigint) as score from s4 where score is not null""")
 def _(spark, folder):
-    return search.merge_and_rank(search.score_formulas(_plan(spark, folder), search.search_documents(corpus(spark, folder))))
+    """Each distinct text once, for the first part that asks it."""
+    concepts, queries = _part_concepts(spark, folder)
+    queries = queries.groupBy(search.normal(F.col("text")).alias("text")).agg(F.min("query_id").alias("query_id"))
+    plan = queries.select("query_id", F.col("text").alias("variant"), F.lit("").alias("number"), F.lit(False).alias("mapped")).filter("variant != ''")
+    return search.score_concepts(plan, concepts)
 
 
 @query("q8_concept_grouping", f"with {REVIEW} select cast(substr(chapter_id, 8) as bigint) as query_id, lower(name) as title, max_by(concept_id, {{'s': conf, 'i': -concept_id}}) as best_id, max(conf) as score, count(*) as n, string_agg(distinct status, ',' order by status) as labels from rv group by all")

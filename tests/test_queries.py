@@ -145,7 +145,8 @@ def test_query_plan_and_scores(spark):
     f = [("formula_2.1a", "2.1a", "Formula 2.1a", "x y", "the effective population size"), ("formula_2.1", "2.1", "Formula 2.1", "z", "alpha"), ("formula_21.1a", "21.1a", "Formula 21.1a", "w", "drift")]
     docs = search.search_documents(spark.createDataFrame(f, "formula_id string, raw_id string, label string, latex string, context_text string"))
     got = {(r.query_id, r.id): r.score for r in search.score_formulas(plan, docs).collect()}
-    assert got == {(1, "formula_2.1a"): 500, (2, "formula_2.1"): 1000, (2, "formula_2.1a"): 830, (4, "formula_2.1a"): 900, (5, "formula_2.1"): 920, (5, "formula_2.1a"): 920}
+    assert got == {(1, "formula_2.1a"): 500, (2, "formula_2.1"): 1000, (2, "formula_2.1a"): 830, (4, "formula_2.1a"): 900, (5, "formula_2.1"): 920, (5, "formula_2.1a"): 920} | {(2, "formula_21.1a"): 780, (5, "formula_21.1a"): 780}
+    assert {r.mapped for r in rows if r.query_id == 1} == {True} and not any(r.mapped for r in rows if r.query_id != 1)
 
 
 def test_sanitized_at_any_depth(spark):
