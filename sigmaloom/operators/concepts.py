@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.work import written
+from .symbols import GREEK
+
 
 #: Wordings of generated copy that must not be published.
 UNSAFE_COPY = [
@@ -13,18 +18,79 @@ UNSAFE_COPY = [
 ]
 
 
-def teaching_move(texts: DataFrame, patterns: DataFrame) -> DataFrame:
-    """(id, move, sentence): of texts(id, text) the first pattern(ordinal, pattern, move) that a sentence matches, at its first sentence; else none and the first sentence; up to 210 characters."""
-    s = texts.select("id", F.posexplode(F.filter(F.transform(F.split("text", r"[.!?]\s+|\n"), F.trim), lambda x: x != "")).alias("pos", "sentence"))
-    hit = s.join(F.broadcast(patterns), F.expr("sentence rlike pattern")).groupBy("id").agg(F.min(F.struct("ordinal", "pos", "move", "sentence")).alias("h"))
-    first = s.filter("pos = 0").select("id", F.col("sentence").alias("first"))
-    return first.join(hit, "id", "left").select("id", F.coalesce("h.move", F.lit("none")).alias("move"), F.substring(F.coalesce("h.sentence", "first"), 1, 210).alias("sentence"))
+#: What a sentence does for a formula, by the words that tell it, first match first; and what is said where none does.
+MOVES = [
+    ("recalls prior equations to propose an estimator", r"(?i)\brecalling\b.*\b(suggests?|estimator|approach)\b"),
+    ("introduces an estimator", r"(?i)\bestimat(?:or|e|ed|ing)\b"),
+    ("defines a quantity explicitly", r"(?i)\bdefined\s+as\b"),
+    ("names a quantity used in the literature", r"(?i)\b(?:called|denoted\s+by)\b"),
+    ("sets notation before the formula", r"(?i)\b(?:let|letting)\b"),
+    ("explains symbols with a where clause", r"(?i)\bwhere\b"),
+]
+NO_MOVE = "uses nearby prose as formula evidence"
+
+
+def spaced(text: Column) -> Column:
+    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
+
+
+def sentences_of(text: Column) -> Column:
+    """The sentences of a text of single spaces: what ends in a full stop, question or exclamation mark before a space."""
+    return F.filter(F.split(F.regexp_replace(text, r"([.!?])\s+", "$1\n"), "\n"), lambda x: F.trim(x) != "")
+
+
+def teaching_move(texts: DataFrame, moves: list[tuple[str, str]] = MOVES) -> DataFrame:
+    """(id, move, sentence): of texts(id, text) the first move whose pattern a sentence matches, at its first sentence; else NO_MOVE and the first sentence, up to 210 characters.
+
+    Displayed formulas are taken out first; a text without words gives no row. One pass over each text, no join.
+    """
+    whole = F.col("whole")
+    d = texts.select("id", spaced(F.col("text")).alias("whole")).filter("whole != ''")
+    d = d.withColumn("s", sentences_of(F.regexp_replace(whole, r"(?s)\$\$.*?\$\$", " [formula] ")))
+    hits = [F.when(_first_match(p).isNotNull(), F.struct(F.lit(move).alias("move"), _first_match(p).alias("sentence"))) for move, p in moves]
+    first = F.struct(F.lit(NO_MOVE).alias("move"), F.coalesce(F.get("s", F.lit(0)), whole).alias("sentence"))
+    return d.withColumn("h", F.coalesce(*hits, first)).select("id", "h.move", F.substring(spaced(F.col("h.sentence")), 1, 210).alias("sentence"))
+
+
+def _first_match(pattern: str) -> Column:
+    return F.get(F.filter("s", lambda x: x.rlike(pattern)), F.lit(0))
 
 
 def unique_concept_ids(concepts: DataFrame, base: str, order: str) -> DataFrame:
-    """C4: (+ concept_id): the base id, with _2, _3 and so on for repeats in order."""
-    r = F.row_number().over(Window.partitionBy(base).orderBy(order))
-    return concepts.withColumn("concept_id", F.when(r == 1, F.col(base)).otherwise(F.concat(base, F.lit("_"), r)))
+    """C4: (+ concept_id): in order of the whole number ``order``, the first free one of the base id, the base id with _2, _3 and so on.
+
+    An id is free if no row before has taken it, be it its own base id ("a", "a", "a_2": a, a_2, a_2_2). Number k of a base
+    is contested only where "base_k" is a base id too: the latter's first row gets it unless so many rows of the base came
+    before that they reached k. A base's free numbers then go to its rows by rank. Bases are decided from the shortest to
+    those that extend them, one round a level; without such bases there is no round.
+    """
+    rows = concepts.withColumn("_r", F.row_number().over(Window.partitionBy(base).orderBy(order)))
+    known = concepts.groupBy(F.col(base).alias("b")).agg(F.min(order).alias("first")).filter("b is not null")
+    form = r"^(.+)_([2-9]|[1-9]\d+)$"
+    kids = known.select(F.col("b").alias("kid"), F.regexp_extract("b", form, 1).alias("b"), F.regexp_extract("b", form, 2).try_cast("long").alias("k"), "first")
+    kids = written(kids.filter("k is not null").join(known.select("b"), "b", "left_semi"), "id-kids")
+    number = F.col("_r")
+    if not kids.isEmpty():
+        # rows of the base before the first row of each base that extends it
+        marks = rows.select(F.col(base).alias("b"), F.col(order).alias("o"), F.lit(None).cast("string").alias("kid"), F.lit(None).cast("long").alias("k")).join(kids.select("b").distinct(), "b", "left_semi")
+        marks = marks.union(kids.select("b", "first", "kid", "k")).withColumn("r", F.count(F.when(F.col("kid").isNull(), 1)).over(Window.partitionBy("b").orderBy("o").rowsBetween(Window.unboundedPreceding, -1)))
+        asked = marks.filter("kid is not null").groupBy("b").agg(F.array_sort(F.collect_list(F.struct("k", "r", "kid"))).alias("asked"))
+        asked = written(asked, "id-asked")
+        # ``gone``: the numbers of a base that others hold, its own id (1) among them where its parent took that
+        level = asked.select("b").join(kids.select(F.col("kid").alias("b")), "b", "left_anti").withColumn("lost", F.lit(False))
+        done, gone = None, []
+        while True:
+            pick = F.aggregate("asked", F.when(F.col("lost"), F.array(F.lit(1).cast("long"))).otherwise(F.array().cast("array<bigint>")), lambda g, x: F.when(x["r"] >= x["k"] - F.size(g), g).otherwise(F.array_append(g, x["k"])))
+            done = written(level.join(asked, "b", "left").withColumn("gone", F.when(F.col("asked").isNull(), F.when(F.col("lost"), F.array(F.lit(1).cast("long")))).otherwise(pick)), "id-level")
+            gone.append(done.select("b", "gone"))
+            level = done.filter("asked is not null").select("gone", F.explode("asked").alias("x")).select(F.col("x.kid").alias("b"), (~F.array_contains("gone", F.col("x.k"))).alias("lost"))
+            if level.isEmpty():
+                break
+        every = functools.reduce(DataFrame.union, gone).filter("size(gone) > 0").withColumnRenamed("b", base)
+        rows = rows.join(every, base, "left")
+        passed = F.size(F.filter("gone", lambda k, i: k - i <= F.col("_r")))
+        number = F.col("_r") + F.when(F.col("gone").isNull(), 0).otherwise(passed)
+    return rows.withColumn("concept_id", F.when(number == 1, F.col(base)).otherwise(F.concat(base, F.lit("_"), number))).select(*concepts.columns, "concept_id")
 
 
 def prerequisite_concepts(senses: DataFrame, edges: DataFrame) -> DataFrame:
@@ -167,21 +233,93 @@ def evidence_ranking(concepts: DataFrame, blocks: DataFrame) -> DataFrame:
     return d.groupBy("key").agg(best.alias("b")).select("key", "b.*")
 
 
-def symbol_concepts(occ: DataFrame, formulas: DataFrame, rules: DataFrame, names: DataFrame) -> DataFrame:
+#: Wordings that no name and no definition holds.
+BAD_PHRASE = r"(?i)\b(first term|second term|third term|large parentheses|where|which|given that|note that|following set|standard approach|value for and|if gaussian|for gaussian|letting|assuming|subtracting|yielding|generated|is given|computed|calculated)\b"
+BAD_NAME = r"(?i)^(first|second|third|last|following|if|for|when|while|satisfies|most robust approach|additional technical restriction|within-generation change is not influenced)\b"
+NOT_USEFUL = [BAD_PHRASE, r"(?i)\bholds for all possible values of\b", r"(?i)\bappears in the literature\b", r"(?i)\bWright's \(\d{4}", r"[A-Z][A-Z\s,'-]{18,}$", r"\b[A-Z]{3,}(?:'S)?\b.*\b[A-Z]{3,}(?:'S)?\b", r"(?i)\b(first|second|third)\s+term\b"]
+NO_PHRASE_START = r"(?i)^(a|an|the|if|for|when|while|thus|similarly|likewise|hence)\b"
+#: How a style is read before a common name, and in a symbol's own name.
+PREFIXES = [(r"\\(?:overline|bar)", "Mean "), (r"\\Delta", "Change in "), ("prime", "Updated ")]
+READABLE = [
+    (r"\\widehat\{\\boldsymbol\{([^{}]+)\}\}", "$1 estimator vector"), (r"\\boldsymbol\{([^{}]+)\}", "$1 vector"), (r"\\mathbf\{([^{}]+)\}", "$1 matrix"), (r"\\(?:overline|bar)\{([^{}]+)\}", "$1-bar"),
+    (r"\\(?:widehat|hat)\{([^{}]+)\}", "$1-hat"), (r"\\Delta", "Change"), (r"\\delta", "delta"), (r"\\epsilon|\\varepsilon", "epsilon"), (r"\\(alpha|beta|gamma|sigma|mu)", "$1"),
+    (r"_\{([^{}]+)\}", " sub $1"), (r"\^\{\\prime\}", " prime"), (r"\^\{([^{}]+)\}", " power $1"), (r"[{}]|\\", ""),
+]
+LOW_WORDS = ["a", "an", "and", "as", "by", "for", "from", "in", "of", "on", "or", "the", "to", "with"]
+OPERATOR_NAMES = ["\\sum", "\\prod", "\\int", "\\partial"]
+
+
+def title_case(text: Column) -> Column:
+    word = lambda x, i: F.when((i > 0) & F.lower(x).isin(LOW_WORDS), F.lower(x)).otherwise(F.concat(F.upper(F.substring(x, 1, 1)), F.lower(F.substring(x, 2, 10_000))))
+    return F.array_join(F.transform(F.split(spaced(text), " "), word), " ")
+
+
+def base_symbol(symbol: Column) -> Column:
+    for pattern, kept in ((r"\\(?:overline|bar|widehat|hat)\{([^{}]+)\}", "$1"), (r"[_^]\{[^{}]+\}", ""), (r"[{}]", ""), (r"^\\", "")):
+        symbol = F.regexp_replace(symbol, pattern, kept)
+    return symbol
+
+
+def readable_symbol(symbol: Column) -> Column:
+    for pattern, said in READABLE:
+        symbol = F.regexp_replace(symbol, pattern, said)
+    return title_case(symbol)
+
+
+def is_useful(sentence: Column) -> Column:
+    """Whether a sentence can stand as a definition: 28 to 190 characters, a capital first, none of NOT_USEFUL, at most 12 single letters."""
+    fine = F.length(sentence).between(28, 190) & sentence.rlike(r"^[A-Z][A-Za-z0-9(\"' ]")
+    for pattern in NOT_USEFUL:
+        fine = fine & ~sentence.rlike(pattern)
+    return fine & (F.size(F.regexp_extract_all(sentence, F.lit(r"\b[A-Za-z]\b"), F.lit(0))) <= 12)
+
+
+def named_phrase(context: Column, base: Column) -> Column:
+    """What a context calls a formula's symbol, else null: the first of three patterns whose phrase is fit for a name."""
+    words = r"([A-Za-z][A-Za-z\s,'-]{3,64})"
+    own = F.concat(F.lit(rf"(?i)(?:the|called|denote|denotes|defined as|is the|is called)\s+{words}\s+(?:\Q"), base, F.lit(r"\E|is|as|by|equals)"))
+    found = [F.call_function("regexp_extract", context, p, F.lit(1)) for p in (own, F.lit(rf"(?i){words}\s+(?:is|are)\s+(?:defined|given|computed|calculated)"), F.lit(rf"(?i){words}\s+is\s"))]
+    fit = []
+    for x in found:
+        phrase = spaced(F.regexp_replace(x, r"(?i)\b(the|this|that|where|and|or)$", ""))
+        good = (phrase != "") & (F.size(F.split(phrase, " ")) <= 5) & ~phrase.rlike(BAD_PHRASE) & ~phrase.rlike(BAD_NAME) & ~phrase.rlike(NO_PHRASE_START) & (F.lower(phrase) != "let")
+        fit.append(F.when(good, title_case(phrase)))
+    return F.coalesce(*fit)
+
+
+def symbol_concepts(occ: DataFrame, formulas: DataFrame, rules: list[tuple[str, str, str, str]], names: DataFrame, evidenced: DataFrame | None = None) -> DataFrame:
     """(key, name, concept_type, conf, needs_review) for every symbol of every formula.
 
-    The first of rules(ordinal, symbol_pattern, context_pattern, name, concept_type) that fits symbol and context, else
-    the name in names(symbol, name), else the symbol itself. 82 if named, 68 else; 8 more if the context explains the
-    symbol, 4 more if the formula defines it, 95 at most; below 72 it needs review.
+    The name, in this order: of the first of rules(symbol pattern, context pattern, name, type) that fits symbol and
+    context; of names(symbol, name) for the symbol; for its base, after a word for its style; of a Greek letter; an
+    operator's; of a phrase of the context, where the formula defines the symbol; the symbol read aloud. Hundredths: 82 if
+    defined, 68 if used; 8 for a rule, 8 if the sentence that holds the symbol (else any) is useful, 4 if the key is among
+    ``evidenced``, 5 for a listed name, 5 if defined; 95 at most; below 72 it needs review.
+
+    Each context meets each rule once and each distinct symbol once; a use then takes the least rule that both have.
     """
-    d = occ.select("formula_id", "symbol", "defines").join(formulas.select("formula_id", "context_text"), "formula_id").withColumn("key", F.concat_ws("::", "formula_id", "symbol"))
-    fit = d.join(F.broadcast(rules), F.expr("symbol rlike symbol_pattern and context_text rlike context_pattern"))
-    fit = fit.groupBy("key").agg(F.min_by(F.struct(F.col("name").alias("n"), F.col("concept_type").alias("t")), "ordinal").alias("rule"))
-    d = d.join(fit, "key", "left").join(F.broadcast(names.select("symbol", F.col("name").alias("listed"))), "symbol", "left")
-    named = F.coalesce("rule.n", "listed")
-    explained = F.contains(F.lower("context_text"), F.concat(F.lit("where "), F.lower("symbol"), F.lit(" is")))
-    conf = F.least(F.lit(95), F.when(named.isNotNull(), 82).otherwise(68) + F.when(explained, 8).otherwise(0) + F.when(F.col("defines"), 4).otherwise(0)).cast("long")
-    return d.select("key", F.coalesce(named, "symbol").alias("name"), F.coalesce("rule.t", F.lit("symbol")).alias("concept_type"), conf.alias("conf"), (conf < 72).alias("needs_review"))
+    met = lambda column, which: F.array_compact(F.array(*[F.when(column.rlike(r[which]), i) for i, r in enumerate(rules)]).cast("array<int>"))
+    f = formulas.select("formula_id", spaced(F.col("context_text")).alias("context"))
+    f = f.withColumns({"fits": met(F.col("context"), 1), "said": F.transform(sentences_of(F.col("context")), lambda x: F.struct(x.alias("text"), F.lower(x).alias("low"), is_useful(x).alias("useful")))})
+    s = occ.select("symbol").distinct()
+    s = s.withColumns({"base": base_symbol(F.col("symbol")), "readable": readable_symbol(F.col("symbol")), "meant": met(F.col("symbol"), 0)})
+    listed = names.select(F.col("symbol").alias("_s"), F.col("name").alias("_n"))
+    s = s.join(listed.withColumnsRenamed({"_s": "symbol", "_n": "own"}), "symbol", "left").join(listed.withColumnsRenamed({"_s": "base", "_n": "of_base"}), "base", "left")
+    style = functools.reduce(lambda rest, p: F.when(F.col("symbol").rlike(p[0]), p[1]).otherwise(rest), reversed(PREFIXES), F.lit(""))
+    operator = F.col("symbol").isin(OPERATOR_NAMES) | F.concat(F.lit("\\"), "base").isin(OPERATOR_NAMES)
+    greek = F.when(F.col("base").isin([g for g in GREEK if g.islower()]), F.initcap("base"))
+    s = written(s.withColumns({"known": F.coalesce("own", F.concat(style, "of_base"), greek, F.when(operator, F.col("readable"))), "operator": operator, "listed": F.col("own").isNotNull() | F.col("of_base").isNotNull()}).drop("own", "of_base"), "symbols")
+    d = occ.select("formula_id", "symbol", "defines").join(s, "symbol").join(f, "formula_id").withColumn("key", F.concat_ws("::", "formula_id", "symbol"))
+    d = d.withColumn("rule", F.array_min(F.array_intersect("fits", "meant")))
+    of = lambda which, rest: F.coalesce(F.get(F.array(*[F.lit(r[which]) for r in rules]), F.col("rule")), rest) if rules else rest
+    hit = F.get(F.filter("said", lambda x: F.contains(x["text"], F.col("base")) | F.contains(x["low"], F.lower("readable"))), F.lit(0))
+    useful = F.coalesce(hit["useful"], F.exists("said", lambda x: x["useful"]))
+    phrase = F.when(F.col("defines") & F.col("known").isNull() & F.col("rule").isNull(), named_phrase(F.col("context"), F.col("base")))
+    kind = F.when(F.col("operator"), "operator_or_function").when(F.col("base").isin("Cov", "Var", "E", "Pr"), "math_concept").when(F.col("defines") | F.col("base").isin("w", "W", "z", "p", "q"), "quantity_concept").otherwise("domain_concept")
+    point = lambda test, n: F.when(test, n).otherwise(0)
+    d = d.withColumn("_e", F.lit(False)) if evidenced is None else d.join(evidenced.select("key", F.lit(True).alias("_e")).distinct(), "key", "left")
+    conf = F.least(F.lit(95), F.when(F.col("defines"), 87).otherwise(68) + point(F.col("rule").isNotNull(), 8) + point(useful, 8) + point(F.col("_e"), 4) + point(F.col("listed"), 5)).cast("long")
+    return d.select("key", of(2, F.coalesce("known", phrase, "readable")).alias("name"), of(3, kind).alias("concept_type"), conf.alias("conf"), (conf < 72).alias("needs_review"))
 
 
 def rule_concept_graph(formulas: DataFrame, senses: DataFrame, introduced: DataFrame, prerequisites: DataFrame, limit: int = 6) -> DataFrame:

@@ -34,18 +34,34 @@ def refs(spark, folder):
     return formulas, senses, pre, c.introduced_concepts(uses, pre, senses)
 
 
-@query("c3_teaching_move", r"""with pt(ordinal, pattern, move) as (values (0, 'must |response', 'condition'), (1, ' with ', 'relation'), (2, 'tion ', 'process')),
-  s as (select id, i - 1 as pos, s as sentence from (select id, unnest(x) as s, generate_subscripts(x, 1) as i from (select doc_id as id, list_filter(list_transform(string_split_regex(text, '[.!?]\s+|\n'), lambda y: trim(y)), lambda y: y <> '') as x from documents))),
-  h as (select id, min({'o': ordinal, 'p': pos, 'm': move, 's': sentence}) as h from s join pt on regexp_matches(sentence, pattern) group by id)
-  select s.id, coalesce(h.h.m, 'none') as move, substr(coalesce(h.h.s, sentence), 1, 210) as sentence from s left join h on h.id = s.id where pos = 0""")
+def _sentences(text: str) -> str:
+    return f"list_filter(string_split(regexp_replace({text}, '([.!?])\\s+', '\\1\n', 'g'), '\n'), lambda x: trim(x) <> '')"
+
+
+_SPACED = "trim(regexp_replace(coalesce(%s, ''), '\\s+', ' ', 'g'))"
+_MOVES = "".join(f"when list_bool_or(list_transform(s, lambda x: regexp_matches(x, '{p}'))) then {{'m': '{m}', 's': list_filter(s, lambda x: regexp_matches(x, '{p}'))[1]}} " for m, p in c.MOVES)
+
+
+@query("c3_teaching_move", f"""with t as (select doc_id as id, {_SPACED % "text"} as whole from documents), d as (select *, {_sentences("regexp_replace(whole, '[$][$].*?[$][$]', ' [formula] ', 'gs')")} as s from t where whole <> ''),
+  h as (select id, case {_MOVES} else {{'m': '{c.NO_MOVE}', 's': coalesce(s[1], whole)}} end as h from d) select id, h.m as move, substr({_SPACED % "h.s"}, 1, 210) as sentence from h""")
 def _(spark, folder):
-    patterns = spark.createDataFrame([(0, r"must |response", "condition"), (1, r" with ", "relation"), (2, r"tion ", "process")], "ordinal int, pattern string, move string")
-    return c.teaching_move(table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text"), patterns)
+    return c.teaching_move(table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text"))
 
 
-@query("c4_unique_ids", "select p_partkey, case when r = 1 then p_name else p_name || '_' || r end as concept_id from (select *, row_number() over (partition by p_name order by p_partkey) as r from part)")
+@query("c4_unique_ids", """with recursive b as (select p_partkey, p_name, case when p_partkey % 50 = 7 then p_name || '_' || (2 + p_partkey % 9) else p_name end as base from part),
+  r as (select *, row_number() over (partition by base order by p_partkey) as r from b),
+  kids as (select c.base as kid, p.base, c.k, c.first, (select count(*) from b where b.base = p.base and b.p_partkey < c.first) as r
+    from (select base, regexp_extract(base, '^(.+)_([0-9]+)$', 1) as stem, regexp_extract(base, '^(.+)_([0-9]+)$', 2)::bigint as k, min(p_partkey) as first from b where regexp_matches(base, '_[0-9]+$') group by all) c join (select distinct base from b) p on p.base = c.stem),
+  n as (select *, row_number() over (partition by base order by k) as i from kids),
+  f(base, i, gone) as (select base, 0::bigint, []::bigint[] from (select distinct base from kids) union all select f.base, n.i, case when n.r >= n.k - len(gone) then gone else list_append(gone, n.k) end from f join n on n.base = f.base and n.i = f.i + 1),
+  g as (select base, gone from f qualify row_number() over (partition by base order by i desc) = 1),
+  lost as (select kid as base, [1::bigint] as gone from kids join g using (base) where not list_contains(gone, k)),
+  e as (select * from g union all select * from lost)
+  select p_partkey, case when num = 1 then base else base || '_' || num end as concept_id from (select p_partkey, base, r + coalesce(len(list_filter(gone, lambda k, i: k - (i - 1) <= r)), 0) as num from r left join e using (base))""")
 def _(spark, folder):
-    return c.unique_concept_ids(table(spark, folder, "part").select("p_partkey", "p_name"), "p_name", "p_partkey").select("p_partkey", "concept_id")
+    """Parts by name; some carry a number that others of the name reach too."""
+    p = table(spark, folder, "part").select("p_partkey", F.expr("case when p_partkey % 50 = 7 then concat(p_name, '_', 2 + p_partkey % 9) else p_name end").alias("base"))
+    return c.unique_concept_ids(p, "base", "p_partkey").select("p_partkey", "concept_id")
 
 
 @query("c5_prerequisite_concepts", f"with {GRAPH}, {REFS} select * from pre")
