@@ -194,14 +194,19 @@ def _(spark, folder):
     return one("pages").union(one("blocks")).union(one("formula_records"))
 
 
-@query("s10_publish_sanitized", """select p_partkey as id, p_name as name, '{"refs":[{"name":"' || p_name || '","deep":{"note":"y","list":[{"n":' || p_partkey || '}]}}],"tags":{"a":"1"}}' as rest from part""")
+@query("s10_publish_sanitized", """select p_partkey as id, p_name as name, case when p_partkey % 3 = 0 then p_name || ' is a quantity to locate first when reading its relationship to the main term in ' || p_brand || '.' else 'The ' || p_name end as definition,
+  '{"refs":[{"name":"mean ' || p_name || '","definition_zh":"' || case when p_partkey % 2 = 0 then 'mean ' || p_name || ' 表示 the formula 中一组取值的中心水平。' else 'fine' end || '","deep":{"note":"y","list":[{"n":' || p_partkey || '}]}}],"tags":{"a":"1"},"summary":{"n":1},"source":{"method":"learner concept views from formula dependencies and structured evidence"},"evidence":[{"chunk":"c"}]}' as rest from part""")
 def _(spark, folder):
     p = table(spark, folder, "part")
-    deep = F.struct(F.lit("y").alias("note"), F.lit("m").alias("extraction_model"), F.array(F.struct(F.col("p_partkey").alias("n"), F.lit("s").alias("source_sentence"))).alias("list"))
-    inner = F.array(F.struct(F.col("p_name").alias("name"), F.lit("x").alias("review_status"), F.lit("t").alias("teaching_move"), deep.alias("deep")))
-    tags = F.create_map(F.lit("a"), F.lit("1"), F.lit("reviewed_by"), F.lit("b"))
-    d = files.sanitized(p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.lit("a").alias("review_notes"), F.array(F.lit(1)).alias("symbol_concepts"), inner.alias("refs"), tags.alias("tags")))
-    return d.select("id", "name", F.to_json(F.struct(*[c for c in d.columns if c not in ("id", "name")])).alias("rest"))
+    key, text = F.col("p_partkey"), F.lit
+    deep = F.struct(text("y").alias("note"), text("m").alias("extraction_model"), F.array(F.struct(key.alias("n"), text("s").alias("source_sentence"))).alias("list"))
+    name = F.concat(text("mean "), "p_name").alias("name")
+    inner = F.array(F.struct(name, F.when(key % 2 == 0, "它标记的是").otherwise("fine").alias("definition_zh"), text("x").alias("review_status"), text("t").alias("teaching_move"), deep.alias("deep")))
+    tags = F.create_map(text("a"), text("1"), text("reviewed_by"), text("b"))
+    own = F.when(key % 3 == 0, "A Local mathematical Quantity here").otherwise(F.concat(text("The "), "p_name"))
+    more = [F.struct(text(1).alias("n"), text(2).alias("low_confidence_entries")).alias("summary"), F.struct(text("m").alias("method"), text("t").alias("symbol_concept_map")).alias("source"), F.array(F.struct(text("c").alias("chunk"), text("s").alias("sentence"))).alias("evidence")]
+    d = files.sanitized(p.select(key.alias("id"), F.col("p_name").alias("name"), own.alias("definition"), F.col("p_brand").alias("formula_label"), text("a").alias("review_notes"), F.array(text(1)).alias("symbol_concepts"), inner.alias("refs"), tags.alias("tags"), *more))
+    return d.select("id", "name", "definition", F.to_json(F.struct("refs", "tags", "summary", "source", "evidence")).alias("rest"))
 
 
 @query("t1_page_intake", f"with {EVENTS} select book_id, kind, count(*) as n from events group by all")

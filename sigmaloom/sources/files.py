@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import functools
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DataType, MapType, StructType
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructField, StructType
+
+from ..operators.concepts import UNSAFE_COPY
 
 OCR = "result struct<layoutParsingResults:array<struct<markdown:struct<text:string>>>>"
 BLOCKS = "id string, metadata struct<chapter:string,heading_path:array<string>,formula_references:array<string>>, blocks array<struct<type:string,content:string>>"
@@ -22,25 +28,46 @@ def read_ocr_pages(spark: SparkSession, path: str) -> DataFrame:
     return items.select(F.regexp_replace("source_file", r"\.[^.]*$", "").alias("book_id"), index.alias("page_index"), F.coalesce("r.markdown.text", F.lit("")).alias("text"), "source_file")
 
 
-def read_markdown_pages(spark: SparkSession, path: str, book_id: str) -> DataFrame:
-    """One page per ``*.md`` file, in order of the names."""
-    d = spark.read.text(f"{path}/*.md", wholetext=True).select(F.col("_metadata.file_name").alias("source_file"), F.col("value").alias("text"))
-    return d.select(F.lit(book_id).alias("book_id"), (F.row_number().over(Window.orderBy("source_file")) - 1).cast("long").alias("page_index"), "text", "source_file")
+def read_markdown_pages(spark: SparkSession, path: str, book_id: str | None = None) -> DataFrame:
+    """pages(book_id, page_index, text, source_file): a page per ``*.md`` file, in order of the names. The files of one book, or of a folder of books named by their folders; each book is ranked by itself."""
+    glob = f"{path}/*.md" if book_id else f"{path}/*/*.md"
+    d = spark.read.text(glob, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_name").alias("source_file"), F.col("value").alias("text"))
+    own = F.lit(book_id) if book_id else F.url_decode(F.regexp_extract("file", r"([^/]+)/[^/]+$", 1))
+    index = F.row_number().over(Window.partitionBy("book_id").orderBy("source_file")) - 1
+    return d.withColumn("book_id", own).select("book_id", index.cast("long").alias("page_index"), "text", "source_file")
+
+
+def _json(spark: SparkSession, schema: str, path: str, lines: bool) -> DataFrame:
+    return spark.read.schema(schema).option("multiLine", not lines).json(path)
 
 
-def read_structured_blocks(spark: SparkSession, path: str) -> DataFrame:
-    """S3: blocks(chapter_id, doc_id, block_index, block_type, content, heading, formula_references, priority) of structured JSON documents, a line each; broken rows and blank blocks are skipped."""
-    d = spark.read.schema(BLOCKS).json(path).filter("id is not null")
-    chapter = F.regexp_extract("metadata.chapter", r"(?i)(chapter|appendix)\s*(\d+)", 2)
-    d = d.select("id", F.concat(F.lit("chapter"), chapter).alias("chapter_id"), F.array_join("metadata.heading_path", " > ").alias("heading"), F.array_join("metadata.formula_references", ",").alias("formula_references"), F.posexplode("blocks").alias("block_index", "b"))
+def read_structured_blocks(spark: SparkSession, path: str, lines: bool = True) -> DataFrame:
+    """S3: blocks(chapter_id, doc_id, block_index, block_type, content, heading, formula_references, priority) of structured JSON documents, a line each or (``lines`` false) a file each.
+
+    Broken rows and blank blocks are skipped. The chapter is the metadata's, else that of the file's name
+    (``chapter3_...``), else chapter0; a file's document without an id takes the file's name.
+    """
+    file = F.regexp_replace(F.col("_metadata.file_name"), r"\.json$", "")
+    d = _json(spark, BLOCKS, path, lines).select("*", file.alias("_file"))
+    d = d.withColumn("id", F.coalesce("id", F.lit(None) if lines else F.when(F.col("blocks").isNotNull(), F.col("_file")))).filter("id is not null")
+    chapter = F.regexp_extract(F.coalesce("metadata.chapter", F.lit("")), r"(?i)(chapter|appendix)\s*(\d+)", 2)
+    named = F.regexp_extract("_file", r"^(chapter\d+)_", 1)
+    chapter = F.when(chapter != "", F.concat(F.lit("chapter"), chapter)).when(named != "", named).otherwise("chapter0")
+    d = d.select("id", chapter.alias("chapter_id"), F.array_join("metadata.heading_path", " > ").alias("heading"), F.array_join("metadata.formula_references", ",").alias("formula_references"), F.posexplode("blocks").alias("block_index", "b"))
     level = F.create_map(*[F.lit(x) for kv in PRIORITY.items() for x in kv])[F.col("b.type")]
     d = d.withColumn("priority", level.cast("long")).filter("priority is not null and trim(b.content) != ''")
     return d.select("chapter_id", F.col("id").alias("doc_id"), F.col("block_index").cast("long").alias("block_index"), F.col("b.type").alias("block_type"), F.col("b.content").alias("content"), "heading", "formula_references", "priority")
 
 
-def read_embeddings(spark: SparkSession, path: str) -> DataFrame:
-    """vectors(id, embedding) of JSON lines: the first of id, embedding_id, stable_key; embedding or vector."""
-    d = spark.read.schema("id string, embedding_id string, stable_key string, embedding array<double>, vector array<double>").json(path)
+VECTOR = "id string, embedding_id string, stable_key string, embedding array<double>, vector array<double>"
+
+
+def read_embeddings(spark: SparkSession, path: str, lines: bool = True) -> DataFrame:
+    """vectors(id, embedding): the first of id, embedding_id, stable_key; embedding or vector. JSON lines, or (``lines`` false) files that hold an array of records or an object with one as items or data."""
+    one = f"struct<{VECTOR.replace(' ', ':').replace(',:', ',')}>"
+    d = _json(spark, f"{VECTOR}, items array<{one}>, data array<{one}>", path, lines)
+    record = F.struct(*[F.col(c.split()[0]) for c in VECTOR.split(", ")])
+    d = d.select(F.explode(F.coalesce("items", "data", F.array(record))).alias("r")).select("r.*")
     return d.select(F.coalesce("id", "embedding_id", "stable_key").alias("id"), F.coalesce("embedding", "vector").alias("embedding")).filter("id is not null and embedding is not null")
 
 
@@ -62,21 +89,74 @@ def write_normalized(target: str, **tables: DataFrame) -> None:
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("book_id").parquet(f"{target}/{name}")
 
 
-def _public(value: Column, kind: DataType) -> Column:
-    """``value`` without internal fields in structs at any depth, through arrays and maps; structs left without fields become null."""
+#: What a summary, a source and an item of evidence lose besides INTERNAL.
+DROPPED = {"summary": ["symbol_concept_entries", "low_confidence_entries"], "source": ["symbol_concept_map"], "evidence": ["sentence"]}
+SOURCE_METHOD = "learner concept views from formula dependencies and structured evidence"
+#: Tables of the review that are never published.
+REVIEW_TABLES = r"(?:^|/)(?:[^/]+_symbol_concept_map|concept_merge_candidates|concept_review_audit)(?:\.[a-z]+)?$|(?:^|/)(?:llm_prompts|llm_results|symbol_sense/prompts)(?:/|$)"
+#: By what a name speaks of, the sentences that take the place of unsafe copy; the last ones are for any other name.
+FALLBACKS = [
+    ("probability|density|likelihood", "{0} describes probability weight in {1}.", "{0} 表示 {1} 中的可能性或概率权重。"),
+    ("frequency|allele", "{0} is the population proportion or allele state tracked in {1}.", "{0} 表示 {1} 中被追踪的群体比例或等位基因状态。"),
+    ("variance|sigma|covariance|correlation", "{0} describes spread or joint movement in {1}.", "{0} 描述 {1} 中变量的离散程度或共同变化。"),
+    ("mean|average|expectation|expected", "{0} is the center of a set of values in {1}.", "{0} 表示 {1} 中一组取值的中心水平。"),
+    ("", "{0} is a quantity to locate first when reading its relationship to the main term in {1}.", "{0} 是 {1} 中需要先定位的量，用来读清它和核心关系的连接方式。"),
+]
+
+
+def is_public_table(path: str) -> bool:
+    """Whether a table may be published: those of the review may not."""
+    return re.search(REVIEW_TABLES, path) is None
+
+
+def _safe_copy(copy: Column, chinese: bool, name: Column, formula: Column) -> Column:
+    """``copy``, or where it has an unsafe wording a sentence by what its name speaks of."""
+    said = None
+    for pattern, english, other in reversed(FALLBACKS):
+        before, between, after = re.split(r"\{[01]\}", other if chinese else english)
+        sentence = F.concat(F.lit(before), name, F.lit(between), formula, F.lit(after))
+        said = sentence if said is None else F.when(F.lower(name).rlike(pattern), sentence).otherwise(said)
+    unsafe = functools.reduce(Column.__or__, [copy.rlike(p) for p in UNSAFE_COPY])
+    return F.when(unsafe, said).otherwise(copy)
+
+
+def _public_fields(fields: list[StructField], get: Callable[[str], Column], place: str) -> list[Column]:
+    """The published ones of the fields of a row or struct that stands at ``place``."""
+    texts = {f.name for f in fields if isinstance(f.dataType, StringType)}
+    first = lambda names, rest: F.coalesce(*[F.nullif(F.trim(F.regexp_replace(get(n), r"\s+", " ")), F.lit("")) for n in names if n in texts], F.lit(rest))
+    name, formula = first(["name", "concept_name"], "Concept"), first(["formula_label", "supporting_formula_label", "label"], "the formula")
+    out = []
+    for f in fields:
+        if f.name in INTERNAL or f.name in DROPPED.get(place, ()):
+            continue
+        value = _public(get(f.name), f.dataType, f.name)
+        if f.name in ("definition", "definition_zh") and f.name in texts:
+            value = _safe_copy(value, f.name == "definition_zh", name, formula)
+        if place == "source" and f.name == "method" and f.name in texts:
+            value = F.lit(SOURCE_METHOD)
+        out.append(value.alias(f.name))
+    return out
+
+
+def _public(value: Column, kind: DataType, place: str = "") -> Column:
+    """``value`` as it is published, structs at any depth, through arrays and maps; structs left without fields become null."""
     if isinstance(kind, StructType):
-        kept = [f for f in kind.fields if f.name not in INTERNAL]
-        return F.when(value.isNotNull(), F.struct(*[_public(value[f.name], f.dataType).alias(f.name) for f in kept])) if kept else F.lit(None)
+        kept = _public_fields(kind.fields, lambda n: value[n], place)
+        return F.when(value.isNotNull(), F.struct(*kept)) if kept else F.lit(None)
     if isinstance(kind, ArrayType):
-        return F.transform(value, lambda x: _public(x, kind.elementType))
+        return F.transform(value, lambda x: _public(x, kind.elementType, place))
     if isinstance(kind, MapType):
-        return F.transform_values(F.map_filter(value, lambda k, _: ~k.cast("string").isin(INTERNAL)), lambda _, v: _public(v, kind.valueType))
+        return F.transform_values(F.map_filter(value, lambda k, _: ~k.cast("string").isin(INTERNAL)), lambda _, v: _public(v, kind.valueType, place))
     return value
 
 
 def sanitized(views: DataFrame) -> DataFrame:
-    """Views without internal fields, at the top and inside structs, arrays and maps at any depth."""
-    return views.select(*[_public(F.col(f.name), f.dataType).alias(f.name) for f in views.schema.fields if f.name not in INTERNAL])
+    """Views as they are published: without internal fields, at the top and inside structs, arrays and maps at any depth.
+
+    Summaries lose their review counters, sources the review's table, evidence its sentences. A definition with one of the
+    unsafe wordings gives way to a sentence by what the name beside it speaks of.
+    """
+    return views.select(*_public_fields(views.schema.fields, F.col, ""))
 
 
 def read_formula_library(spark: SparkSession, path: str) -> DataFrame:
