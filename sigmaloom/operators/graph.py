@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.work import shared_dir, written
+from ..functions.work import shared_dir
 
 
 #: Formulas of a chapter in one block of the depth: what a task holds at once.
@@ -20,6 +20,7 @@ def formula_depth(formulas: DataFrame, edges: DataFrame, block: int = BLOCK) ->
 
     A chapter is cut by position into blocks, and the first blocks of all chapters are settled in one round, then the
     second ones: targets in earlier blocks are joined from the shared folder, those in the block are followed in order.
+    Edges and depths lie there by block, so a round reads its own edges and of the depths only the blocks that they name.
     So rounds grow with the longest chapter's blocks, not with the depth, which has no bound.
     """
     spark = formulas.sparkSession
@@ -27,11 +28,15 @@ def formula_depth(formulas: DataFrame, edges: DataFrame, block: int = BLOCK) ->
     e = edges.filter("target_id is not null").select("dependent_id", "target_id").distinct()
     e = e.join(at.withColumnRenamed("formula_id", "dependent_id"), "dependent_id")
     e = e.join(at.select(F.col("formula_id").alias("target_id"), F.col("chapter_id").alias("_c"), F.col("position").alias("target")), "target_id")
-    e = e.select("chapter_id", "position", "target", F.expr(f"position div {block}").alias("block"), F.expr(f"target div {block}").alias("_b"), F.expr("chapter_id = _c and target < position").alias("earlier"))
-    e = written(e.sortWithinPartitions("block"), "depth-edges")
-    blocks = sorted(r.block for r in e.select("block").distinct().collect())
-    if not e.filter("not earlier").isEmpty():
-        raise ValueError("an edge's target does not sort earlier in the chapter")
+    e = e.select("chapter_id", "position", "target", F.expr(f"target div {block}").alias("_b"), F.expr("chapter_id = _c and target < position").alias("earlier"), F.expr(f"position div {block}").alias("block"))
+    folder = f"{shared_dir(spark)}/depth-{uuid.uuid4().hex}"
+    e.repartition("block", "chapter_id").write.partitionBy("block").parquet(f"{folder}/edges")
+    e = spark.read.schema(e.schema).parquet(f"{folder}/edges")
+    named: dict[int, list[int]] = {}
+    for r in e.groupBy("block", "_b").agg(F.bool_and("earlier").alias("earlier")).collect():  # at most the square of the longest chapter's blocks
+        if not r.earlier:
+            raise ValueError("an edge's target does not sort earlier in the chapter")
+        named.setdefault(r.block, []).append(r._b)
 
     def levels(rows: pa.Table) -> pa.Table:
         depth: dict[int, int] = {}
@@ -41,14 +46,15 @@ def formula_depth(formulas: DataFrame, edges: DataFrame, block: int = BLOCK) ->
         return pa.table({"chapter_id": chapter, "position": pa.array(depth.keys(), pa.int64()), "depth": pa.array(depth.values(), pa.int64())})
 
     schema = at.select("chapter_id").schema.add("position", "long").add("depth", "long")
-    path = f"{shared_dir(spark)}/depth-{uuid.uuid4().hex}"
-    spark.createDataFrame([], schema).write.parquet(path)
-    for k in blocks:
-        done = spark.read.schema(schema).parquet(path).select("chapter_id", F.col("position").alias("target"), "depth")
-        own = e.filter(F.col("block") == k).join(done, ["chapter_id", "target"], "left")
+    path, whole = f"{folder}/depths", spark.createDataFrame([], at.select("chapter_id").schema.add("position", "long").add("depth", "long").add("block", "long")).schema
+    spark.createDataFrame([], whole).write.partitionBy("block").parquet(path)
+    for k in sorted(named):
+        done = spark.read.schema(whole).parquet(path).filter(F.col("block").isin([b for b in named[k] if b < k]))
+        own = e.filter(F.col("block") == k).join(done.select("chapter_id", F.col("position").alias("target"), "depth"), ["chapter_id", "target"], "left")
         base = F.when(F.col("_b") < k, F.coalesce("depth", F.lit(0)) + 1).otherwise(0)
-        own.select("chapter_id", "position", "target", base.alias("base")).groupBy("chapter_id").applyInArrow(levels, schema).write.mode("append").parquet(path)
-    found = at.join(spark.read.schema(schema).parquet(path), ["chapter_id", "position"], "left")
+        found = own.select("chapter_id", "position", "target", base.alias("base")).groupBy("chapter_id").applyInArrow(levels, schema)
+        found.withColumn("block", F.lit(k).cast("long")).write.mode("append").partitionBy("block").parquet(path)
+    found = at.join(spark.read.schema(whole).parquet(path).drop("block"), ["chapter_id", "position"], "left")
     return found.groupBy("formula_id").agg(F.coalesce(F.max("depth"), F.lit(0)).cast("long").alias("depth"))
 
 
