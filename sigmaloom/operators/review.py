@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 STATUSES = ["unreviewed", "approved", "needs_revision", "ambiguous", "rejected"]
@@ -64,6 +64,51 @@ def result_validation(raw: DataFrame, known: DataFrame) -> tuple[DataFrame, Data
     return accepted, issues.union(issue(ids.join(raw, "formula_id", "left_anti"), "missing"))
 
 
+#: Types and states that a result may name.
+CONCEPT_TYPES = ["quantity_concept", "math_concept", "domain_concept", "theorem_or_principle", "operator_or_function", "unknown"]
+RESULT_STATES = ["unreviewed", "approved", "rejected", "edited", "ambiguous", "needs_revision", "reviewed"]
+RESULT_MODEL = "llm_structured_symbol_concept_extractor"
+
+
+def _value(name: str, kind: str) -> Column:
+    """Field ``name`` of the JSON value ``v`` if it is of that JSON type, else null; nothing is turned into another type."""
+    own = F.expr(f"try_variant_get(v, '$.{name}', 'variant')")
+    shape, cast = {"string": ("^STRING$", "string"), "number": (r"^(BIGINT|DOUBLE|DECIMAL\(.*\)|FLOAT)$", "double"), "strings": (r"^ARRAY<.*>$", "array<variant>")}[kind]
+    return F.when(F.schema_of_variant(own).rlike(shape), F.expr(f"try_variant_get(v, '$.{name}', '{cast}')"))
+
+
+def concept_results(raw: DataFrame, concepts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """V6: (entries, issues) of raw(row_id, text), each text the JSON of one result, held against concepts(stable_key, concept_name, concept_type, definition).
+
+    Text that is no JSON (``broken_json``), no object (``not_an_object``) or names no known concept (``unknown_key``) is
+    rejected; the key is stable_key, else task_id, else chapter, formula, role and symbol. Anything else is accepted, with
+    what is missing or not allowed taken from the concept: ``missing_concept_name``, ``missing_definition``,
+    ``invalid_concept_type``, ``invalid_review_status`` (then unreviewed). A confidence is a number of 0 to 1 in
+    hundredths, 0 if it is none; below 72 the entry is flagged for review. issues(row_id, stable_key, issue).
+    """
+    d = raw.select("row_id", "text", F.expr("try_parse_json(coalesce(text, ''))").alias("v")).withColumn("shape", F.schema_of_variant("v"))
+    text = lambda n: F.coalesce(_value(n, "string"), F.lit(""))
+    item = d.filter("shape like 'OBJECT%'")
+    parts = F.array_join(F.array(*[text(n) for n in ("chapter_id", "formula_id", "role", "symbol")]), "::")
+    key = F.coalesce(F.nullif(text("stable_key"), F.lit("")), F.nullif(text("task_id"), F.lit("")), parts)
+    flags = F.coalesce(F.transform(F.filter(_value("review_flags", "strings"), lambda x: F.schema_of_variant(x) == "STRING"), lambda x: F.call_function("try_variant_get", x, F.lit("$"), F.lit("string"))), F.array().cast("array<string>"))
+    number = _value("confidence", "number")
+    conf = F.when(number.isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), number)))
+    item = item.select("row_id", key.alias("stable_key"), *[F.trim(text(n)).alias(f"_{n}") for n in ("concept_name", "definition")], text("concept_type").alias("_concept_type"), text("review_status").alias("_status"), F.round(100 * conf).cast("long").alias("conf"), flags.alias("flags"), text("review_notes").alias("review_notes"), text("extraction_model").alias("_model"))
+    held = item.join(concepts.select("stable_key", "concept_name", "concept_type", "definition"), "stable_key")
+    fine = F.col("_concept_type").isin(CONCEPT_TYPES)
+    status = F.when(F.col("_status").isin(RESULT_STATES), F.col("_status")).otherwise("unreviewed")
+    own = lambda n: F.when(F.col(f"_{n}") != "", F.col(f"_{n}")).otherwise(F.col(n)).alias(n)
+    more = F.array_compact(F.array(F.lit("llm_candidate"), F.when(F.col("conf") < 72, F.lit("needs_review"))))
+    entries = held.select("row_id", "stable_key", own("concept_name"), F.when(fine, F.col("_concept_type")).otherwise(F.col("concept_type")).alias("concept_type"), own("definition"), "conf", status.alias("review_status"), F.array_distinct(F.concat("flags", more)).alias("review_flags"), "review_notes", F.when(F.col("_model") != "", F.col("_model")).otherwise(RESULT_MODEL).alias("extraction_model"))
+    tests = {"missing_concept_name": F.col("_concept_name") == "", "missing_definition": F.col("_definition") == "", "invalid_concept_type": ~fine, "invalid_review_status": ~F.col("_status").isin(["", *RESULT_STATES])}
+    found = held.select("row_id", "stable_key", F.explode(F.array_compact(F.array(*[F.when(t, F.lit(n)) for n, t in tests.items()]))).alias("issue"))
+    none = F.lit(None).cast("string").alias("stable_key")
+    shapeless = d.filter("v is null or shape not like 'OBJECT%'").select("row_id", none, F.when(F.col("v").isNull(), "broken_json").otherwise("not_an_object").alias("issue"))
+    unknown = item.join(concepts, "stable_key", "left_anti").select("row_id", "stable_key", F.lit("unknown_key").alias("issue"))
+    return entries, shapeless.union(unknown).union(found)
+
+
 def incremental_cache_plan(wanted: DataFrame, cache: DataFrame) -> DataFrame:
     """V8: (formula_id, digest) of wanted(formula_id, latex, context_text) whose digest is not in cache(digest)."""
     digest = F.sha2(F.concat_ws("\n", "formula_id", "latex", "context_text"), 256)

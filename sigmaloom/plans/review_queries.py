@@ -72,6 +72,45 @@ def _(spark, folder):
     return review.result_validation(_raw(spark, folder), corpus(spark, folder))[1]
 
 
+#: A result of every part, each of a kind by its number: whole, broken, no object, unknown, with values missing, not allowed or of another type.
+RESULTS = """
+kinds as (select *, p_partkey % 11 as k, 'c' || p_partkey as key from part),
+want as (select p_partkey as row_id, key as stable_key, case when k in (3, 7) then p_name else 'Name ' || p_partkey end as concept_name, case when k in (4, 7) then 'unknown' else 'math_concept' end as concept_type,
+  case when k = 7 then 'Of ' || p_name else 'What it is' end as definition, cast(case k when 5 then 100 when 6 then 0 when 7 then 0 when 8 then 71 else 90 end as bigint) as conf, case when k in (7, 8) then 'unreviewed' else 'approved' end as review_status,
+  case when k in (6, 7, 8) then ['seen', 'llm_candidate', 'needs_review'] else ['seen', 'llm_candidate'] end as review_flags, k from kinds where k not in (0, 1, 2))
+"""
+
+
+def _results(spark, folder):
+    p = table(spark, folder, "part").withColumn("k", F.col("p_partkey") % 11)
+    k, name = F.col("k"), F.concat(F.lit("Name "), "p_partkey")
+    text = lambda field, value: F.concat(F.lit(f'"{field}":'), value)
+    said = lambda x: F.concat(F.lit('"'), x, F.lit('"'))
+    key = F.when(k == 2, "nobody").otherwise(F.concat(F.lit("c"), "p_partkey"))
+    fields = [
+        F.when(k == 9, text("task_id", said(key))).when(k == 10, F.concat(F.lit('"chapter_id":"x","formula_id":"y","role":"z","symbol":"'), "p_partkey", F.lit('"'))).otherwise(text("stable_key", said(key))),
+        text("concept_name", F.when(k == 3, F.lit('" "')).when(k == 7, F.lit("[1]")).otherwise(said(name))), text("concept_type", F.when(k == 4, F.lit('"odd"')).when(k == 7, F.lit("null")).otherwise(F.lit('"math_concept"'))),
+        F.when(k != 7, text("definition", F.lit('"What it is"'))), text("confidence", F.when(k == 5, "7").when(k == 6, '"0.9"').when(k == 7, "-1").when(k == 8, "0.71").otherwise("0.9")),
+        text("review_status", F.when(k == 7, F.lit("{}")).when(k == 8, F.lit('"odd"')).otherwise(F.lit('"approved"'))), F.lit('"review_flags":["seen",3,"seen"]'),
+    ]
+    whole = F.concat(F.lit("{"), F.array_join(F.array_compact(F.array(*fields)), ","), F.lit("}"))
+    raw = p.select(F.col("p_partkey").alias("row_id"), F.when(k == 0, F.substring(whole, 1, 20)).when(k == 1, F.concat(F.lit("["), whole, F.lit("]"))).otherwise(whole).alias("text"))
+    known = F.when(k == 10, F.concat(F.lit("x::y::z::"), "p_partkey")).otherwise(F.concat(F.lit("c"), "p_partkey"))
+    concepts = p.filter("k != 2").select(known.alias("stable_key"), F.col("p_name").alias("concept_name"), F.lit("unknown").alias("concept_type"), F.concat(F.lit("Of "), "p_name").alias("definition"))
+    return review.concept_results(raw, concepts)
+
+
+@query("v6_concept_entries", f"with {RESULTS} select row_id, case k when 10 then 'x::y::z::' || row_id else stable_key end as stable_key, concept_name, concept_type, definition, conf, review_status, review_flags, '' as review_notes, '{review.RESULT_MODEL}' as extraction_model from want")
+def _(spark, folder):
+    return _results(spark, folder)[0]
+
+
+@query("v6_concept_issues", """select p_partkey as row_id, case when k in (0, 1) then null when k = 2 then 'nobody' else 'c' || p_partkey end as stable_key, issue from (select p_partkey, p_partkey % 11 as k from part) join (values (0, 'broken_json'), (1, 'not_an_object'), (2, 'unknown_key'),
+  (3, 'missing_concept_name'), (4, 'invalid_concept_type'), (7, 'missing_concept_name'), (7, 'missing_definition'), (7, 'invalid_concept_type'), (8, 'invalid_review_status')) i(k, issue) using (k)""")
+def _(spark, folder):
+    return _results(spark, folder)[1]
+
+
 @query("v8_cache_plan", f"with {CORPUS}, w as (select formula_id, position, sha256(formula_id || chr(10) || latex || chr(10) || context_text) as digest from corpus) select formula_id, digest from w where position % 3 <> 0")
 def _(spark, folder):
     f = corpus(spark, folder)
