@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import LOWER, slices
 
@@ -80,12 +81,12 @@ def mixture(p: np.ndarray, weight: np.ndarray, steps: int = 30) -> tuple[np.ndar
     return share, float(weight @ np.log(p @ share))
 
 
-def judge(logs: np.ndarray, weight: np.ndarray) -> tuple[int, float]:
-    """(column of the language, score) for one document with ``weight`` times the trigrams of log-likelihoods ``logs``."""
+def judge(logs: np.ndarray, weight: np.ndarray) -> tuple[int, float, list[tuple[int, float]]]:
+    """(column of the language, score, columns and shares of the chosen set) for one document with ``weight`` times the trigrams of log-likelihoods ``logs``."""
     alone = weight @ logs
     best = int(alone.argmax())
     rest = np.exp(np.clip((alone - alone[best]) / OVERLAP, -700, 0))
-    pick, score = best, float(1 / rest.sum())
+    pick, score, chosen = best, float(1 / rest.sum()), [(best, 1.0)]
     top = logs.max(1, keepdims=True)
     p = np.exp(logs - top)
     offset = float(weight @ top[:, 0])
@@ -101,34 +102,41 @@ def judge(logs: np.ndarray, weight: np.ndarray) -> tuple[int, float]:
         if value > reached:
             reached, at = value, int(part.argmax())
             pick, score = int(order[at]), float(part[at])
-    return pick, min(1.0, score)
+            chosen = list(zip(order[:k].tolist(), part.tolist(), strict=True))
+    return pick, min(1.0, score), chosen
+
+
+MIXTURE = T.ArrayType(T.StructType([T.StructField("lang", T.StringType()), T.StructField("share", T.DoubleType())]))
 
 
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[str]) -> DataFrame:
-    """Columns ``keep`` of ``docs`` with lang_pred and score."""
+    """Columns ``keep`` of ``docs`` with lang_pred, score and mixture: the chosen languages with their shares, the largest first (empty for ``und``)."""
     langs, logs = model
+    kind = pa.list_(pa.struct([("lang", pa.string()), ("share", pa.float64())]))
 
     def predict(batches):
         for rows, data, offsets in slices(batches, "text"):
             key, ends = trigram_buckets(data, offsets)
-            names, scores = [], []
+            names, scores, sets = [], [], []
             for i, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
                 part = data[offsets[i] : offsets[i + 1]]
                 lettered = b > a and (bool(((part | 32) - 97 < 26).any()) or any(map(str.isalpha, bytes(part).decode("utf-8", "ignore"))))
                 if not lettered or not langs:
                     names.append("und")
                     scores.append(0.0)
+                    sets.append([])
                     continue
                 n = np.bincount(key[a:b])
                 full = n.nonzero()[0]
-                at, score = judge(logs[full], n[full].astype(float))
+                at, score, chosen = judge(logs[full], n[full].astype(float))
                 names.append(langs[at])
                 scores.append(score)
+                sets.append([{"lang": langs[c], "share": round(x, 4)} for c, x in sorted(chosen, key=lambda x: (-x[1], x[0]))])
             out = {k: rows.column(k) for k in keep}
-            yield pa.record_batch(out | {"lang_pred": pa.array(names, pa.string()), "score": pa.array(scores, pa.float64())})
+            yield pa.record_batch(out | {"lang_pred": pa.array(names, pa.string()), "score": pa.array(scores, pa.float64()), "mixture": pa.array(sets, kind)})
 
     fields = docs.select(*keep).schema
-    return docs.select(*keep, *[c for c in ("text",) if c not in keep]).mapInArrow(predict, fields.add("lang_pred", "string").add("score", "double"))
+    return docs.select(*keep, *[c for c in ("text",) if c not in keep]).mapInArrow(predict, fields.add("lang_pred", "string").add("score", "double").add("mixture", MIXTURE))
 
 
 def held_out() -> Column:
@@ -137,6 +145,6 @@ def held_out() -> Column:
 
 
 def language_of(docs: DataFrame, train_on: DataFrame | None = None) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score) for ``docs``; learned from the rows of ``train_on`` (or ``docs``) that are not held out."""
+    """(doc_id, held_out, lang_pred, score, mixture) for ``docs``; learned from the rows of ``train_on`` (or ``docs``) that are not held out."""
     model = train((docs if train_on is None else train_on).filter(~held_out()))
     return identify(docs.select("doc_id", held_out().alias("held_out"), "text"), model, ["doc_id", "held_out"])

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from sigmaloom.llm import queries, resample, runs, simhash
+from sigmaloom.llm import langid, queries, resample, runs, simhash
 from sigmaloom.operators.components import connected_components
 
 EDGES = [
@@ -197,3 +197,15 @@ def test_runs_operator_output(spark):
     got = runs.periodic_runs(frame(spark, [(1, "a b  a b a b\na b tail"), (2, "no run here"), (3, None)]), keep=("doc_id", "weight")).sort("doc_id").collect()
     assert [(r.n_words, r.collapsed, [tuple(x) for x in r.runs]) for r in got] == [(9, "a b tail", [(0, 8, 2)]), (3, "no run here", []), (0, "", [])]
     assert runs.periodic_runs(frame(spark, [])).count() == 0
+
+
+def test_language_mixtures(spark):
+    """Texts of two languages halved: both are chosen, with shares near a half; others have one."""
+    r = random.Random(8)
+    word = {"aa": lambda: "".join(r.choices("abcde", k=6)), "bb": lambda: "".join(r.choices("vwxyz", k=6)), "cc": lambda: "".join(r.choices("jklmn", k=6))}
+    make = lambda lang, n: " ".join(word[lang]() for _ in range(n))
+    rows = [(i, make(lang, 200), lang) for i, lang in enumerate(["aa", "bb", "cc"] * 15)] + [(100, make("aa", 300) + " " + make("bb", 300), None), (101, None, "aa"), (102, "123", "aa")]
+    got = {x.doc_id: x for x in langid.language_of(spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "1 as mixture", "2 as score")).collect()}
+    both = {m.lang: m.share for m in got[100].mixture}
+    assert set(both) == {"aa", "bb"} and all(0.4 < s < 0.6 for s in both.values()) and got[100].lang_pred in both
+    assert [(m.lang, m.share) for m in got[0].mixture] == [("aa", 1.0)] and got[101].mixture == [] and got[102].lang_pred == "und"
