@@ -69,16 +69,44 @@ def learning_paths(seeds: DataFrame, formulas: DataFrame) -> DataFrame:
     return d.select("path_id", (F.row_number().over(Window.partitionBy("path_id").orderBy("ordinal", "formula_id")) - 1).cast("long").alias("ordinal"), "formula_id")
 
 
+#: A formula of a chapter beside this many better ones of it is in no story: more than three of a chapter never are, seeds apart.
+OF_CHAPTER = 3
+
+
 def storyline_blueprint(formulas: DataFrame, occ: DataFrame, blueprints: DataFrame, limit: int = 6) -> DataFrame:
-    """(story_id, formula_id, score): per blueprint(story_id, low, high, symbol) 10 for each used match, 8 for each defined one; at most two of a chapter, ``limit`` in all, stories of two or more."""
-    hit = occ.join(blueprints, "symbol").filter("chapter between low and high")
-    s = hit.groupBy("story_id", "formula_id", "chapter", "position").agg(F.sum(F.when(F.col("defines"), 8).otherwise(10)).alias("score"))
-    order = ["score", "chapter", "position"]
-    by = [F.desc(order[0]), *order[1:], "formula_id"]
-    s = s.withColumn("r", F.row_number().over(Window.partitionBy("story_id", "chapter").orderBy(*by))).filter("r <= 2")
-    s = s.withColumn("r", F.row_number().over(Window.partitionBy("story_id").orderBy(*by))).filter(F.col("r") <= limit)
-    s = s.withColumn("n", F.count("*").over(Window.partitionBy("story_id"))).filter("n >= 2")
-    return s.select("story_id", "formula_id", F.col("score").cast("long").alias("score"))
+    """(story_id, ordinal, formula_id, score, reversed) per blueprint(story_id, low, high, keys, seeds, roles, tokens).
+
+    A formula of the chapters low to high scores 10 for each symbol whose form, canonical form or family is among ``keys``
+    (of one of ``roles``, if any are named), 8 more for each of them that it defines, 1000 less its rank if it is a seed, 12
+    for each of ``tokens`` in its LaTeX. Seeds come first, then by score, of a chapter that the story has only while it has
+    fewer than three; ``limit`` in all, stories of two or more, in reading order. ``reversed``: the story's seeds that go
+    back behind an earlier seed's chapter and were not taken.
+
+    The choice is a fold over a bounded list: the seeds, and the best of each chapter as far as they can be reached.
+    """
+    bp = blueprints.select("story_id", "low", "high", "keys", *[F.coalesce(c, F.array().cast("array<string>")).alias(c) for c in ("seeds", "roles", "tokens")])
+    keyed = bp.select("story_id", "low", "high", "roles", F.explode(F.array_distinct("keys")).alias("key"))
+    role = F.col("role") if "role" in occ.columns else F.lit(None).cast("string")
+    entry = occ.select("formula_id", "chapter", "symbol", "defines", role.alias("role"), F.explode(F.array_distinct(F.array("symbol", "canonical", "family"))).alias("key"))
+    hit = entry.join(keyed, "key").filter("chapter between low and high and (size(roles) = 0 or array_contains(roles, role))")
+    hit = hit.select("story_id", "formula_id", "symbol", "defines").distinct().groupBy("story_id", "formula_id").agg(F.sum(F.when(F.col("defines"), 18).otherwise(10)).alias("points"))
+    d = hit.join(formulas.select("formula_id", "chapter", "position", "latex"), "formula_id").join(bp.select("story_id", "seeds", "tokens"), "story_id")
+    seed = F.array_position("seeds", F.col("formula_id"))
+    score = F.col("points") + F.when(seed > 0, 1001 - seed).otherwise(0) + 12 * F.size(F.filter("tokens", lambda t: F.contains(F.col("latex"), t)))
+    d = d.select("story_id", "formula_id", "chapter", "position", F.when(seed > 0, seed).alias("seed"), score.cast("long").alias("score"))
+    order = [F.desc("score"), "chapter", "position", "formula_id"]
+    d = d.withColumn("_r", F.row_number().over(Window.partitionBy("story_id", "chapter", F.col("seed").isNull()).orderBy(*order))).filter(F.col("seed").isNotNull() | (F.col("_r") <= OF_CHAPTER))
+    d = d.withColumn("_r", F.row_number().over(Window.partitionBy("story_id", F.col("seed").isNull()).orderBy(*order))).filter(F.col("seed").isNotNull() | (F.col("_r") <= (OF_CHAPTER + 1) * limit))
+    one = F.struct(F.coalesce("seed", F.lit(1 << 30)).alias("o"), (-F.col("score")).alias("s"), "chapter", "position", "formula_id", F.col("seed").isNotNull().alias("seeded"))
+    listed = d.groupBy("story_id").agg(F.array_sort(F.collect_list(one)).alias("list"))  # seeds, and a multiple of the limit
+    none = F.filter("list", lambda x: F.lit(False))
+    full = lambda got, x: (F.size(got) >= limit) | ((F.size(got) >= 3) & F.exists(got, lambda y: y["chapter"] == x["chapter"]))
+    listed = listed.withColumn("got", F.slice(F.aggregate("list", none, lambda got, x: F.when(x["seeded"] | ~full(got, x), F.array_append(got, x)).otherwise(got)), 1, limit)).filter("size(got) >= 2")
+    back = lambda x: F.exists(F.filter("list", lambda y: y["seeded"] & (y["o"] < x["o"])), lambda y: y["chapter"] > x["chapter"])
+    left = F.filter("list", lambda x: x["seeded"] & back(x) & ~F.exists("got", lambda y: y["formula_id"] == x["formula_id"]))
+    steps = F.array_sort(F.transform("got", lambda x: F.struct(x["chapter"].alias("c"), x["position"].alias("p"), x["formula_id"].alias("formula_id"), (-x["s"]).alias("score"))))
+    out = listed.select("story_id", F.posexplode(steps).alias("ordinal", "x"), F.transform(left, lambda x: x["formula_id"]).alias("reversed"))
+    return out.select("story_id", F.col("ordinal").cast("long").alias("ordinal"), "x.formula_id", "x.score", F.array_join("reversed", ",").alias("reversed"))
 
 
 def storyline_by_symbol(formulas: DataFrame, uses: DataFrame, max_lines: int = 8, max_steps: int = 8, first: int = 6) -> DataFrame:

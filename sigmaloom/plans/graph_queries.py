@@ -162,16 +162,28 @@ def _(spark, folder):
     return rank.learning_paths(seeds, corpus(spark, folder))
 
 
-STORY = "bp as (select item_id as story_id, 1 as low, 10 as high, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{3,}'))) as symbol from benchmark)"
-
-
-@query("r7_storyline_blueprint", f"""with {CORPUS}, {STORY}, s as (select story_id, formula_id, chapter, position, sum(case when defines then 8 else 10 end) as score from occ join bp on bp.symbol = occ.symbol and chapter between low and high group by all),
-  a as (select * from s qualify row_number() over (partition by story_id, chapter order by score desc, chapter, position, formula_id) <= 2), b as (select * from a qualify row_number() over (partition by story_id order by score desc, chapter, position, formula_id) <= 6)
-  select story_id, formula_id, cast(score as bigint) as score from b qualify count(*) over (partition by story_id) >= 2""")
+STORY = """bp as (select item_id as story_id, 1 + item_id % 3 as low, 12 + item_id % 5 as high, list_distinct(regexp_extract_all(lower(text), '[a-z]{3,}')) as keys,
+  ['formula_' || (item_id % 9 + 6) || '.1a', 'formula_' || (item_id % 5 + 1) || '.2b', 'formula_4.3a', 'formula_2.1b'][:item_id % 5] as seeds, regexp_extract_all(lower(text), '[a-z]{3,}')[:2] as tokens from benchmark)"""
+
+
+@query("r7_storyline_blueprint", f"""with recursive {CORPUS}, {STORY},
+  h as (select distinct story_id, formula_id, symbol, defines from (select *, unnest(list_distinct([symbol, canonical, family])) as key from occ) o join (select *, unnest(keys) as key from bp) b using (key) where chapter between low and high),
+  p as (select story_id, formula_id, sum(case when defines then 18 else 10 end) as points from h group by all),
+  s as (select story_id, formula_id, chapter, position, nullif(coalesce(list_position(seeds, formula_id), 0), 0) as seed, seeds, points + coalesce(1001 - nullif(coalesce(list_position(seeds, formula_id), 0), 0), 0) + 12 * len(list_filter(tokens, lambda t: contains(latex, t))) as score
+    from p join corpus using (formula_id) join bp using (story_id)),
+  n as (select *, row_number() over (partition by story_id order by coalesce(seed, 1000000), -score, chapter, position, formula_id) as i from s),
+  g(story_id, i, ids, chapters) as (select distinct story_id, 0::bigint, []::varchar[], []::int[] from n
+    union all select g.story_id, n.i, case when n.seed is not null or not (len(ids) >= 6 or (len(ids) >= 3 and list_contains(chapters, n.chapter))) then list_append(ids, formula_id) else ids end,
+      case when n.seed is not null or not (len(ids) >= 6 or (len(ids) >= 3 and list_contains(chapters, n.chapter))) then list_append(chapters, n.chapter) else chapters end from g join n on n.story_id = g.story_id and n.i = g.i + 1),
+  f as (select story_id, ids[:6] as ids from g qualify row_number() over (partition by story_id order by i desc) = 1),
+  back as (select a.story_id, string_agg(a.formula_id, ',' order by a.seed) as reversed from s a join f using (story_id) where a.seed is not null and not list_contains(ids, a.formula_id) and exists (select 1 from s b where b.story_id = a.story_id and b.seed < a.seed and b.chapter > a.chapter) group by all)
+  select story_id, row_number() over (partition by story_id order by chapter, position, formula_id) - 1 as ordinal, formula_id, cast(score as bigint) as score, coalesce(reversed, '') as reversed
+  from s join f using (story_id) left join back using (story_id) where len(ids) >= 2 and list_contains(ids, formula_id)""")
 def _(spark, folder):
     formulas, occ, _, _ = vocabulary(spark, folder)
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0)))
-    blueprints = table(spark, folder, "benchmark").select(F.col("item_id").alias("story_id"), F.lit(1).alias("low"), F.lit(10).alias("high"), F.explode(words).alias("symbol"))
+    words, i = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{3,}"), F.lit(0)), F.col("item_id")
+    seeds = F.slice(F.array(F.concat(F.lit("formula_"), i % 9 + 6, F.lit(".1a")), F.concat(F.lit("formula_"), i % 5 + 1, F.lit(".2b")), F.lit("formula_4.3a"), F.lit("formula_2.1b")), F.lit(1), (i % 5).cast("int"))
+    blueprints = table(spark, folder, "benchmark").select(i.alias("story_id"), (1 + i % 3).alias("low"), (12 + i % 5).alias("high"), words.alias("keys"), seeds.alias("seeds"), F.lit(None).cast("array<string>").alias("roles"), F.slice(words, 1, 2).alias("tokens"))
     return rank.storyline_blueprint(formulas, occ, blueprints)
 
 
