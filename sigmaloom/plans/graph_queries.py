@@ -14,7 +14,7 @@ GRAPH = ",".join([CORPUS, J1, J4, J5]) + """,
 found as (
   select dependent_id, target_id, '' as via_symbol, 'explicit_reference' as evidence, 94 as conf, 0 as stage, ordinal from j5o
   union all select dependent_id, target_id, '', 'compound_group', 86, 1, ordinal from j4b where prior
-  union all select j1.formula_id, j1.target_id, j1.symbol, case match_type when 'exact' then 'exact_match' else 'canonical_match' end, case match_type when 'exact' then 92 else 82 end, 2, u.ordinal from j1 join uses u on u.formula_id = j1.formula_id and u.symbol = j1.symbol),
+  union all select j1.formula_id, j1.target_id, j1.symbol, case match_type when 'exact' then 'exact_match' else 'canonical_match' end, case match_type when 'exact' then 90 else 82 end, 2, u.ordinal from j1 join uses u on u.formula_id = j1.formula_id and u.symbol = j1.symbol),
 ge as materialized (select dependent_id, target_id, via_symbol, evidence, conf from (select *, row_number() over (partition by dependent_id, target_id order by stage, ordinal, via_symbol) as r from found) where r = 1)
 """
 DEPTH = """

@@ -8,7 +8,8 @@ import pytest
 from sigmaloom.plans import registry
 
 FOLDER = "/root/testdata/sf0.001"
-QUICK = ["i1_sense_registry", "j1_asof_definition", "j4_equation_groups", "e6_dependencies_conservative", "a1_dependency_audit", "n1_segment_events", "n7_score_formula", "r1_featured_two_stage", "g3_starter_formulas", "x4_symbol_keys", "m3_lexical_similarity"]
+QUICK = ["i1_sense_registry", "j1_asof_definition", "j4_equation_groups", "e6_dependencies_conservative", "a1_dependency_audit", "n1_segment_events", "n7_score_formula", "r1_featured_two_stage", "g3_starter_formulas", "x4_symbol_keys", "m3_lexical_similarity",
+         "e4_opened_candidates", "e6_dependencies_ocr", "q3_score_formulas", "q4_score_concepts", "c1_symbol_concepts", "m4_embedding_similarity", "r7_storyline_blueprint", "s5_dependency_payloads", "v6_concept_entries"]
 
 
 def plain(v):
