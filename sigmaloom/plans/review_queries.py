@@ -114,7 +114,7 @@ def _(spark, folder):
 @query("v8_cache_plan", f"with {CORPUS}, w as (select formula_id, position, sha256(formula_id || chr(10) || latex || chr(10) || context_text) as digest from corpus) select formula_id, digest from w where position % 3 <> 0")
 def _(spark, folder):
     f = corpus(spark, folder)
-    cache = f.filter("position % 3 = 0").select(F.sha2(F.concat_ws("\n", "formula_id", "latex", "context_text"), 256).alias("digest"))
+    cache = f.filter("position % 3 = 0").select("formula_id", F.sha2(F.concat("formula_id", F.lit("\n"), "latex", F.lit("\n"), "context_text"), 256).alias("digest"))
     return review.incremental_cache_plan(f, cache)
 
 
