@@ -46,3 +46,59 @@ def odd(tmp_path_factory):
 @pytest.mark.parametrize("name", NAMES)
 def test_texts_without_words(spark, odd, name):
     assert_same(spark, odd[1], odd[0], name)
+
+
+def shuffled(spark, df):
+    """Records that the stages of a run of ``df`` write to shuffles."""
+    store, gateway = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+    stages = lambda: store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+
+    def read():
+        it, found = stages().iterator(), {}
+        while it.hasNext():
+            s = it.next()
+            found[s.stageId()] = s.shuffleWriteRecords()
+        return found
+
+    before = read()
+    df.write.format("noop").mode("overwrite").save()
+    return sum(n for k, n in read().items() if k not in before)
+
+
+def test_uses_do_not_move_by_key(spark):
+    """A use's lookups of the chapter move the formulas as arrays and the senses, not the uses."""
+    from sigmaloom.operators import resolve
+    from sigmaloom.plans.resolve_queries import inputs
+
+    _, uses, senses = inputs(spark, FOLDER)
+    assert shuffled(spark, resolve.resolved_uses(uses, senses)) < uses.count() / 2
+
+
+@pytest.mark.parametrize("block", [1, 3, 4096])
+def test_lookups_over_blocks(spark, monkeypatch, block):
+    """Counts and last definitions over any number of blocks, uses after the last sense and chapters without one, against a plain loop."""
+    from sigmaloom.operators import resolve
+
+    monkeypatch.setattr(resolve, "BLOCK", block)
+    sense = "sense_id string, symbol string, canonical string, family string, formula_id string, chapter_id string, chapter int, position long"
+    use = "formula_id string, chapter_id string, chapter int, position long, symbol string, canonical string, family string, ordinal long"
+    key = lambda s: (s.rstrip("s"), s[:1])
+    senses = [(f"{c}{p}::{s}", s, *key(s), f"{c}{p}", c, 1, p) for c in "ab" for p, s in enumerate(["x", "ys", "y", "yt", "x", "xs", "x"])]
+    uses = [(f"{c}{p}", c, 1, p, s, *key(s), o) for c in "abc" for p in range(12) for o, s in enumerate(["x", "xs", "y", "ys", "yt", "z", "yz"])]
+    got = resolve.resolved_uses(spark.createDataFrame(uses, use), spark.createDataFrame(senses, sense)).collect()
+    want = {}
+    for f, c, _, p, s, can, fam, _o in uses:
+        early = [x for x in senses if x[5] == c and x[7] < p]
+        exact, canon, kin = [x for x in early if x[1] == s], [x for x in early if x[2] == can], [x for x in early if x[3] == fam]
+        hit = (exact or canon or [None])[-1]
+        want[f, s] = (hit and hit[4], hit and hit[0], "exact" if exact else "canonical" if canon else None, len(kin), kin[-1][4] if kin else None)
+    assert len(got) == len(want) and {(r.formula_id, r.symbol): (r.target_id, r.sense_id, r.match_type, r.n_family, r.last_family) for r in got} == want
+
+
+def test_earlier_chapters_are_counted_by_key(spark):
+    """J2 moves each use once."""
+    from sigmaloom.operators import resolve
+    from sigmaloom.plans.adapter import vocabulary
+
+    _, _, senses, uses = vocabulary(spark, FOLDER)
+    assert shuffled(spark, resolve.earlier_chapter_candidates(uses, senses)) < 3 * uses.count()
