@@ -225,11 +225,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: tuple[int, int] = (8
     keys = table_keys(classes, side, depth)
     buckets = keys.groupBy("key").agg(F.count("*").alias("c"), F.min("id").alias("low"), F.max("id").alias("high")).filter("c > 1")
     twos = buckets.filter("c = 2").select(F.col("low").alias("left"), F.col("high").alias("right"))
-    more = written(keys.join(buckets.filter("c > 2").select("key", "c"), "key"), "minhash-keys")
+    more = written(keys.join(buckets.filter("c > 2").select("key", "c", "low"), "key"), "minhash-keys")
     lists = more.filter(F.col("c") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_list("id")).alias("ids"))  # SMALL at most
     few = lists.select(F.posexplode("ids").alias("p", "left"), "ids").select("left", F.explode(F.slice("ids", F.col("p") + 2, F.lit(SMALL))).alias("right"))
     pairs = written(plausible(twos.union(few), classes, threshold, least_equal), "minhash-pairs")
-    large = more.filter(F.col("c") > SMALL).select("key", "id")
+    # the groups of all tables with one smallest class are one group: a cluster is not met once a table, and no pair is lost
+    large = more.filter(F.col("c") > SMALL).select(F.col("low").alias("key"), "id").distinct()
     large = written(large, "minhash-large")
     ids = pairs.select(F.col("left").alias("id")).union(pairs.select("right")).union(large.select("id")).distinct()
     ids = written(classes.select("id", "doc_id", "t").join(ids, "id", "left_semi"), "minhash-ids")

@@ -14,3 +14,17 @@ def test_learned_state_takes_the_earliest(spark, tmp_path):
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/events")
     got = intake.stream_learned_state(spark, stream, f"{tmp_path}/seen", f"{tmp_path}/checkpoint").collect()
     assert [(r.user_id, r.chapter_id, r.formula_id, r.first_ts) for r in got] == [(1, "chapter1", "f", day(2))]
+
+
+def test_a_cluster_is_one_large_group_not_one_a_table(spark, monkeypatch):
+    """Near copies share many keys of the 64 tables; their rows for the large groups grow with the copies, not with copies times tables."""
+    from sigmaloom.llm import minhash
+
+    words = [f"w{i}" for i in range(200)]
+    docs = spark.createDataFrame([(i, " ".join([*words[:i], f"own{i}", *words[i + 1 :]])) for i in range(60)], "doc_id long, text string")
+    seen, links = [], minhash.large_group_links
+    monkeypatch.setattr(minhash, "large_group_links", lambda large, *rest: seen.append((large.count(), large.select("id").distinct().count())) or links(large, *rest))
+    got = minhash.near_duplicates(docs, 3, (85, 100)).collect()
+    assert {r.component_id for r in got} == {0}
+    ((rows, ids),) = seen
+    assert ids >= 50 and rows <= 20 * ids
