@@ -28,3 +28,12 @@ def test_a_cluster_is_one_large_group_not_one_a_table(spark, monkeypatch):
     assert {r.component_id for r in got} == {0}
     ((rows, ids),) = seen
     assert ids >= 50 and rows <= 20 * ids
+
+
+def test_entries_are_read_not_moved(spark):
+    """The builder's entries are marked where the uses are looked up; to read them shuffles nothing."""
+    from sigmaloom.plans.resolve_queries import built
+    from tests.test_corpus_faults import FOLDER, shuffled
+
+    entries = built(spark, FOLDER)[2]
+    assert entries.count() > 0 and shuffled(spark, entries) == 0
