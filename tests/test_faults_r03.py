@@ -32,8 +32,9 @@ def test_a_cluster_is_one_large_group_not_one_a_table(spark, monkeypatch):
 
 def test_entries_are_read_not_moved(spark):
     """The builder's entries are marked where the uses are looked up; to read them shuffles nothing."""
-    from sigmaloom.plans.resolve_queries import built
+    from sigmaloom.plans import registry, resolve_queries
     from tests.test_corpus_faults import FOLDER, shuffled
 
-    entries = built(spark, FOLDER)[2]
+    assert "e4_ambiguous_assembly" in registry.QUERIES
+    entries = resolve_queries.built(spark, FOLDER)[2]
     assert entries.count() > 0 and shuffled(spark, entries) == 0
