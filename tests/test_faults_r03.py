@@ -38,3 +38,29 @@ def test_entries_are_read_not_moved(spark):
     assert "e4_ambiguous_assembly" in registry.QUERIES
     entries = resolve_queries.built(spark, FOLDER)[2]
     assert entries.count() > 0 and shuffled(spark, entries) == 0
+
+
+def test_guidance_is_written_out_not_moved(spark):
+    """Users without a first prerequisite, with some or all of them, and without an id, against a plain loop; fewer rows move than are returned."""
+    from sigmaloom.operators import graph
+    from tests.test_corpus_faults import shuffled
+
+    ids = [f"f{i:02}" for i in range(40)]
+    edges = [(ids[i], ids[j]) for i in range(2, 40) for j in {0, i // 2, i - 1}]
+    learned = [(u, "c", f"f{i:02}") for u in range(200) for i in range(u % 4 + 1) if u % 25 == 1 or u % 50 == 2] + [(u, "c", "other") for u in [*range(200), None]]
+    known = {}
+    for u, _, f in learned:
+        known.setdefault(u, set()).add(f)
+    want = {}
+    for u, have in known.items():
+        for f in ids:
+            if left := [t for d, t in edges if d == f and t not in have]:
+                want[u, f] = min(left)
+    frames = (
+        spark.createDataFrame(edges, "dependent_id string, target_id string"),
+        spark.createDataFrame([(f, "c", i) for i, f in enumerate(ids)], "formula_id string, chapter_id string, position long"),
+        spark.createDataFrame(learned, "user_id long, chapter_id string, formula_id string"),
+    )
+    df = graph.locked_guidance(*frames)
+    assert {(r.user_id, r.formula_id): r.blocker_id for r in df.collect()} == want
+    assert shuffled(spark, graph.locked_guidance(*frames)) < len(want)
