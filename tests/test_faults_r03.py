@@ -2,6 +2,8 @@
 
 import datetime
 
+import pytest
+
 
 def test_learned_state_takes_the_earliest(spark, tmp_path):
     """Events that come before earlier ones, in one batch and in later ones."""
@@ -82,3 +84,25 @@ def test_concepts_are_scored_by_short_plans(spark):
     search.score_concepts(plan, spark.createDataFrame(CONCEPTS, "id string, title string, symbol string, label string, section string, context string, aliases array<string>")).write.format("noop").mode("overwrite").save()
     made = [text for k, text in plans().items() if k not in before]
     assert made and max(map(len, made)) < 150_000
+
+
+@pytest.mark.parametrize("values", [1 << 20, 200])
+def test_all_similar_vectors_are_found(spark, monkeypatch, values):
+    """The registered query against its SQL at a low threshold, with a chapter in one block and in many; it gives more than the pairs at 0.88."""
+    import os
+
+    import duckdb
+
+    from sigmaloom.operators import merge
+    from sigmaloom.plans import registry
+    from tests.test_corpus_faults import FOLDER, assert_same
+
+    con = duckdb.connect()
+    for f in os.listdir(FOLDER):
+        con.execute(f"create view {f[:-8]} as select * from '{FOLDER}/{f}'")
+    monkeypatch.setattr(merge, "BLOCK_VALUES", values * 8)
+    monkeypatch.setattr(merge, "STRIP", values)
+    assert_same(spark, con, FOLDER, "m4_embedding_similarity")
+    low = "select count(*) from embeddings a join embeddings b on a.label = b.label and a.vec_id < b.vec_id where list_cosine_similarity(a.embedding::double[], b.embedding::double[]) >= 0.3"
+    own = registry.QUERIES["m4_embedding_similarity"](spark, FOLDER).filter("left % 2 = 0 and right % 2 = 0").count()
+    assert own == con.execute(low).fetchone()[0] > 0
