@@ -106,3 +106,41 @@ def test_all_similar_vectors_are_found(spark, monkeypatch, values):
     low = "select count(*) from embeddings a join embeddings b on a.label = b.label and a.vec_id < b.vec_id where list_cosine_similarity(a.embedding::double[], b.embedding::double[]) >= 0.3"
     own = registry.QUERIES["m4_embedding_similarity"](spark, FOLDER).filter("left % 2 = 0 and right % 2 = 0").count()
     assert own == con.execute(low).fetchone()[0] > 0
+
+
+@pytest.mark.parametrize("block", [1, 3, 4096])
+def test_family_review_does_not_move_uses(spark, monkeypatch, block):
+    """The review of families against its SQL over any number of blocks; the formulas move, the uses do not."""
+    import os
+
+    import duckdb
+
+    from sigmaloom.operators import resolve
+    from sigmaloom.plans import registry
+    from tests.test_corpus_faults import FOLDER, assert_same, shuffled
+
+    con = duckdb.connect()
+    for f in os.listdir(FOLDER):
+        con.execute(f"create view {f[:-8]} as select * from '{FOLDER}/{f}'")
+    monkeypatch.setattr(resolve, "BLOCK", block)
+    assert_same(spark, con, FOLDER, "j3_family_review")
+    if block == 4096:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as on large tables
+        try:
+            moved = shuffled(spark, registry.QUERIES["j3_family_review"](spark, FOLDER))
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        assert moved < registry.QUERIES["j7_use_filter"](spark, FOLDER).count() / 2
+
+
+@pytest.mark.parametrize("name", ["e4_ambiguous_assembly", "j3_family_review"])
+def test_blocks_become_values_in_slices(spark, monkeypatch, name):
+    """The entries of a formula and the review's rows do not depend on how the uses of a block are cut."""
+    from sigmaloom.operators import resolve
+    from sigmaloom.plans import registry
+    from tests.test_corpus_faults import FOLDER
+
+    rows = lambda: sorted(map(repr, registry.QUERIES[name](spark, FOLDER).collect()))
+    want = rows()
+    monkeypatch.setattr(resolve, "SLICE", 50)
+    assert want and rows() == want
