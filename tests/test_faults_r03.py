@@ -144,3 +144,16 @@ def test_blocks_become_values_in_slices(spark, monkeypatch, name):
     want = rows()
     monkeypatch.setattr(resolve, "SLICE", 50)
     assert want and rows() == want
+
+
+def test_prerequisites_are_found_once(spark):
+    """What is read twice is written: no lookup is left in the plans of the queries that read it, and no use moves to be held against it."""
+    from sigmaloom.plans import registry, view_queries
+    from tests.test_corpus_faults import FOLDER, shuffled
+
+    plan = lambda d: d._jdf.queryExecution().optimizedPlan().toString()
+    for name in ("c11_nested_references", "c12_rule_concept_graph"):
+        assert "CoGroups" not in plan(registry.QUERIES[name](spark, FOLDER))
+    introduced = view_queries.refs(spark, FOLDER)[3]
+    uses = registry.QUERIES["j7_use_filter"](spark, FOLDER).count()
+    assert introduced.count() > 0 and shuffled(spark, introduced) < uses / 10
