@@ -157,3 +157,34 @@ def test_prerequisites_are_found_once(spark):
     introduced = view_queries.refs(spark, FOLDER)[3]
     uses = registry.QUERIES["j7_use_filter"](spark, FOLDER).count()
     assert introduced.count() > 0 and shuffled(spark, introduced) < uses / 10
+
+
+def test_candidates_of_earlier_chapters_are_all_listed(spark):
+    """The pairs of classes and the classes of uses give every pair of a use and a sense of an earlier chapter, in a plain loop."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from sigmaloom.operators import resolve
+
+    r = random.Random(5)
+    names = ["alpha", "alphas", "alphabet", "alpine", "beta", "betas", "bet"]
+    canonical = lambda s: s.removesuffix("s")
+    keys = lambda s: (s, canonical(s), s[:4])
+    senses = [(f"f{i}::{s}", *keys(s), f"f{i}", f"chapter{c}", c, i) for i in range(40) for c in [i % 5 + 1] for s in r.sample(names, r.randint(1, 3))]
+    uses = [(f"u{i}", f"chapter{c}", c, i, *keys(s), o) for i in range(40) for c in [i % 6 + 1] for o, s in enumerate(r.sample(names, 3))]
+    want = set()
+    for f, _, chapter, _, symbol, can, fam, _ in uses:
+        for _, s, s_can, s_fam, target, _, at, _ in senses:
+            if at < chapter and s_can == can:
+                want.add((f, symbol, target, "exact", max(40, 78 - 3 * (chapter - at))))
+            if at < chapter and s_fam == fam and s != symbol:
+                want.add((f, symbol, target, "family", max(30, 62 - 4 * (chapter - at))))
+    s = spark.createDataFrame(senses, "sense_id string, symbol string, canonical string, family string, formula_id string, chapter_id string, chapter int, position long")
+    u = spark.createDataFrame(uses, "formula_id string, chapter_id string, chapter int, position long, symbol string, canonical string, family string, ordinal long")
+    pairs, classes = resolve.candidate_pairs(u, s), resolve.earlier_chapter_candidates(u, s)
+    same = "chapter = c and (match_type = 'exact' and key = canonical or match_type = 'family' and key = family and via_symbol != symbol)"
+    got = classes.join(pairs.withColumnRenamed("chapter", "c"), F.expr(same)).select("formula_id", "symbol", "target_id", "match_type", "conf").collect()
+    assert {tuple(x) for x in got} == want
+    listed = {(x.formula_id, x.symbol): (x.n_exact, x.n_kin) for x in classes.collect()}
+    assert listed == {k: tuple(sum(w[:2] == k and w[3] == m for w in want) for m in ("exact", "family")) for k in {w[:2] for w in want}}
