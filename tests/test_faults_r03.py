@@ -188,3 +188,24 @@ def test_candidates_of_earlier_chapters_are_all_listed(spark):
     assert {tuple(x) for x in got} == want
     listed = {(x.formula_id, x.symbol): (x.n_exact, x.n_kin) for x in classes.collect()}
     assert listed == {k: tuple(sum(w[:2] == k and w[3] == m for w in want) for m in ("exact", "family")) for k in {w[:2] for w in want}}
+
+
+def test_answers_move_with_their_formula(spark):
+    """Answers one by one or in lists give the same; the query moves lists, not uses."""
+    from pyspark.sql import functions as F
+
+    from sigmaloom.operators import review
+    from sigmaloom.plans import registry
+    from tests.test_corpus_faults import FOLDER, shuffled
+
+    formulas = spark.createDataFrame([("a", "c1", 0), ("b", "c1", 1), ("c", "c2", 2), ("d", None, 3)], "formula_id string, chapter_id string, position long")
+    rows = [("b", "x", "a", 40), ("b", "y", "a", 39), ("b", "z", "b", 90), ("a", "x", "b", 90), ("c", "x", "a", 90), ("c", "y", None, 90), ("d", "x", "a", 90), ("b", "v", "gone", 90), ("gone", "x", "a", 90), ("b", "w", "a", None)]
+    plain = spark.createDataFrame(rows, "formula_id string, symbol string, target_id string, conf long")
+    lists = plain.groupBy("formula_id", "target_id").agg(F.collect_list(F.struct("symbol", "conf")).alias("answers"))
+    for results in (plain, lists):
+        edges, ambiguous = review.sense_to_edges(results, formulas)
+        assert [tuple(r) for r in edges.select("dependent_id", "target_id", "via_symbol").collect()] == [("b", "a", "x")]
+        assert sorted((r.formula_id, r.symbol) for r in ambiguous.collect()) == sorted((f, s) for f, s, *_ in rows if f != "gone" and (f, s) != ("b", "x"))
+    uses = registry.QUERIES["j7_use_filter"](spark, FOLDER).count()
+    for name in ("v7_sense_edges", "v7_sense_ambiguous"):
+        assert shuffled(spark, registry.QUERIES[name](spark, FOLDER)) < uses / 10
