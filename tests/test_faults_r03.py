@@ -209,3 +209,21 @@ def test_answers_move_with_their_formula(spark):
     uses = registry.QUERIES["j7_use_filter"](spark, FOLDER).count()
     for name in ("v7_sense_edges", "v7_sense_ambiguous"):
         assert shuffled(spark, registry.QUERIES[name](spark, FOLDER)) < uses / 10
+
+
+def test_notes_and_stories_are_read_where_formulas_are(spark):
+    """Notes in lists give what single ones give, and move nothing; a story's points are added up without moving what it meets."""
+    from pyspark.sql import functions as F
+
+    from sigmaloom.operators import graph
+    from sigmaloom.plans import registry
+    from tests.test_corpus_faults import FOLDER, shuffled
+
+    rows = [("f", "accent", 3, "b"), ("f", "acronym", 1, "b"), ("f", "plain", 0, "z"), ("f", "accent", 1, "a"), ("f", "accent", 5, "c"), ("f", "acronym", 6, "d"), ("f", "accent", 7, "e"), ("g", "plain", 0, "z")]
+    single = spark.createDataFrame(rows, "formula_id string, kind string, rank long, note string")
+    lists = single.groupBy("formula_id").agg(F.collect_list(F.struct("kind", "rank", "note")).alias("notes"))
+    for annotations in (single, lists):
+        assert sorted(map(tuple, graph.key_concepts(annotations).collect())) == [("f", 0, "a"), ("f", 1, "b"), ("f", 2, "c"), ("f", 3, "d")]
+    assert shuffled(spark, registry.QUERIES["g10_key_concepts"](spark, FOLDER)) == 0
+    plan = registry.QUERIES["r7_storyline_blueprint"](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode(array_distinct(array(symbol" not in plan  # three keys of every occurrence
