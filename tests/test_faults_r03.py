@@ -227,3 +227,26 @@ def test_notes_and_stories_are_read_where_formulas_are(spark):
     assert shuffled(spark, registry.QUERIES["g10_key_concepts"](spark, FOLDER)) == 0
     plan = registry.QUERIES["r7_storyline_blueprint"](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
     assert "explode(array_distinct(array(symbol" not in plan  # three keys of every occurrence
+
+
+def test_pages_move_whole(spark):
+    """Headings carry over the pages of a book, also of pages without a book; pages move, not their lines."""
+    from sigmaloom.operators import segment
+    from tests.test_corpus_faults import shuffled
+
+    rows = []
+    for book in ("a", None):
+        rows += [(book, 0, "one\n# Chapter 3: Three\ntwo"), (book, 1, "three\n## 4 Four\nfour"), (book, 2, "five $$x$$ six"), (book, 3, None), (book, 4, "seven\n$$a\nb$$\neight")]
+    pages = spark.createDataFrame(rows, "book_id string, page_index long, text string")
+    got = segment.segment_events(pages).orderBy("book_id", "page_index", "line_index", "seq").collect()
+    mine = [(r.page_index, r.kind, r.text, r.section, r.subsection, r.chapter_id) for r in got if r.book_id == "a"]
+    at = [("Chapter 1", "", "chapter1"), ("Three", "", "chapter3"), ("Three", "Four", "chapter3")]
+    assert mine == [
+        (0, "text", "one", *at[0]), (0, "heading", "Three", *at[1]), (0, "text", "two", *at[1]), (1, "text", "three", *at[1]), (1, "heading", "Four", *at[2]), (1, "text", "four", *at[2]),
+        (2, "text", "five", *at[2]), (2, "formula", "x", *at[2]), (2, "text", "six", *at[2]), (4, "text", "seven", *at[2]), (4, "formula", "a\nb", *at[2]), (4, "text", "eight", *at[2]),
+    ]
+    assert [(r.page_index, r.kind, r.text, r.section, r.subsection, r.chapter_id) for r in got if r.book_id is None] == mine
+    contexts = {(r.book_id, r.text): (r.before_text, r.after_text) for r in segment.attach_context(segment.segment_events(pages)).collect()}
+    assert contexts == {("a", "x"): ("three four five", "six seven"), ("a", "a\nb"): ("six seven", "eight"), (None, "x"): ("", ""), (None, "a\nb"): ("", "")}
+    many = spark.createDataFrame([("a", i, "\n".join(["word"] * 50)) for i in range(40)], "book_id string, page_index long, text string")
+    assert shuffled(spark, segment.segment_events(many)) < 2000
