@@ -250,3 +250,25 @@ def test_pages_move_whole(spark):
     assert contexts == {("a", "x"): ("three four five", "six seven"), ("a", "a\nb"): ("six seven", "eight"), (None, "x"): ("", ""), (None, "a\nb"): ("", "")}
     many = spark.createDataFrame([("a", i, "\n".join(["word"] * 50)) for i in range(40)], "book_id string, page_index long, text string")
     assert shuffled(spark, segment.segment_events(many)) < 2000
+
+
+def test_whole_symbols_are_read_in_their_formula(spark):
+    """Whole symbols and roles read from a formula's list: as the joins give them, without moving an occurrence."""
+    from sigmaloom.operators import symbols
+    from tests.test_corpus_faults import shuffled
+
+    rows = [("a", r"x_{1} = x + y"), ("b", r"\sigma(x, y) = r"), ("c", r"E(x_1, y) = z"), ("d", r"E(x) = \mu"), ("e", "u + v"), ("f", ""), ("g", None), ("h", r"\sigma = x_{2} + x"), ("i", r"\sigma_{1} = \sigma(a, b)")]
+    f = spark.createDataFrame(rows * 20, "formula_id string, latex string").distinct().localCheckpoint()
+    occ = symbols.symbol_occurrences(f)
+    joined = symbols.fragment_suppression(occ, f)
+    whole = symbols.whole_symbols(f)
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, joined.select("formula_id", "symbol", "ordinal").collect()))
+    kind = {(r.formula_id, r.symbol): r.kind for r in symbols.defined_symbols(f, occ).collect()}
+    first, want = set(), []
+    for i, s, _ in sorted(map(tuple, whole.collect()), key=lambda r: (r[0], r[2])):
+        defined = kind[i, s] == "defined" and i not in first
+        first |= {i} if defined else set()
+        want.append((i, s, "defined" if defined else "used"))
+    roles = symbols.concept_symbols(f)
+    assert sorted(map(tuple, roles.collect())) == sorted(want)
+    assert shuffled(spark, whole) == 0 and shuffled(spark, roles) == 0
