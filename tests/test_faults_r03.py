@@ -272,3 +272,14 @@ def test_whole_symbols_are_read_in_their_formula(spark):
     roles = symbols.concept_symbols(f)
     assert sorted(map(tuple, roles.collect())) == sorted(want)
     assert shuffled(spark, whole) == 0 and shuffled(spark, roles) == 0
+
+
+def test_a_phrase_is_sought_once(spark):
+    """Each pattern of a name is in the plan once, not once for each test of what it finds; sentences move only where they tell symbols apart."""
+    from pyspark.sql import functions as F
+
+    from sigmaloom.operators import concepts
+
+    d = spark.createDataFrame([("The mean wait is computed here.", "w"), ("nothing", "w"), (None, "w")], "context string, base string").select(concepts.named_phrase(F.col("context"), F.col("base")).alias("name"))
+    assert [r.name for r in d.collect()] == ["Mean Wait", None, None]
+    assert d._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract(") <= 3
