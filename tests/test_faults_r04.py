@@ -36,3 +36,35 @@ def test_entries_list_their_candidates(spark, con):
     rows = registry.QUERIES["e4_ambiguous_assembly"](spark, FOLDER).collect()
     assert all(len(r.candidates.split(",")) == r.n_candidates for r in rows)
     assert {r.scope for r in rows} == {"chapter", "earlier"} and max(r.n_candidates for r in rows) > 3
+
+
+@pytest.mark.parametrize("block", [3, 4096])
+@pytest.mark.parametrize("mode", ["conservative", "ocr"])
+def test_packed_uses_give_the_same(spark, monkeypatch, mode, block):
+    """Lookups of formulas as arrays, cut anywhere, against those of rows of uses; and no use is a row before it is looked up."""
+    from pyspark.sql import functions as F
+
+    from sigmaloom.operators import resolve
+    from sigmaloom.plans import adapter
+
+    monkeypatch.setattr(resolve, "BLOCK", block)
+    monkeypatch.setattr(resolve, "TEXT", 2000)
+    formulas = adapter.corpus(spark, FOLDER).withColumn("context_text", F.concat("context_text", F.lit(" and where "), F.coalesce(F.get("words", F.lit(3)), F.lit("z")), F.lit(" is told.")))
+    stop = [] if mode == "ocr" else adapter.STOP
+    uses, senses = adapter.looked_up(formulas, stop, mode)
+    far = formulas if mode == "conservative" else None
+    resolved = resolve.resolved_uses(uses, senses, far)
+    rows = lambda d, columns: sorted(map(repr, d.select(*columns).collect()))
+    same = adapter.packed(formulas, stop, mode)
+    got = resolve.packed_lookups(*same, mode, far)
+    assert "Generate posexplode(words" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert rows(got, got.columns) == rows(resolve.needed_uses(resolved, mode), got.columns)
+    edges = resolve.packed_lookups(*same, f"{mode} edges" if mode == "ocr" else "edges")
+    bare = resolved.drop("scope", "entry", "n_candidates")
+    want = resolve.needed_uses(bare, mode)
+    want = want.filter("target_id is not null or told") if mode == "ocr" else want
+    assert rows(edges, edges.columns) == rows(want, edges.columns)
+    if mode == "ocr":
+        links = resolve.packed_lookups(*same, "links")
+        first = bare.filter("target_id is not null").groupBy("formula_id", "target_id").agg(F.min_by(F.struct("symbol", "ordinal", "match_type"), "ordinal").alias("x")).select("formula_id", "target_id", "x.*")
+        assert rows(links, links.columns) == rows(first, links.columns)
