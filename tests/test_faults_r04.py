@@ -68,3 +68,20 @@ def test_packed_uses_give_the_same(spark, monkeypatch, mode, block):
         links = resolve.packed_lookups(*same, "links")
         first = bare.filter("target_id is not null").groupBy("formula_id", "target_id").agg(F.min_by(F.struct("symbol", "ordinal", "match_type"), "ordinal").alias("x")).select("formula_id", "target_id", "x.*")
         assert rows(links, links.columns) == rows(first, links.columns)
+
+
+def test_guidance_meets_classes_of_users(spark):
+    """Users who have learned the same meet a formula once, in lists of a bounded length; what moves does not grow with users times formulas."""
+    from sigmaloom.operators import graph
+    from tests.test_corpus_faults import shuffled
+
+    ids = [f"f{i:02}" for i in range(60)]
+    formulas = spark.createDataFrame([(f, "c", i) for i, f in enumerate(ids)], "formula_id string, chapter_id string, position long")
+    edges = [(ids[i], ids[j]) for i in range(1, 60) for j in {0, i // 2, i - 1}]
+    learned = [(u, "c", ids[i]) for u in range(300) for i in range(3) if u % 8 >> i & 1] + [(u, "c", "other") for u in range(300)]
+    got = graph.locked_guidance(spark.createDataFrame(edges, "dependent_id string, target_id string"), formulas, spark.createDataFrame(learned, "user_id long, chapter_id string, formula_id string"))
+    have = {u: {f for x, _, f in learned if x == u} for u in range(300)}
+    want = {(u, f, min(left)) for u in have for f in ids if (left := [t for d, t in edges if d == f and t not in have[u]])}
+    rows = got.collect()
+    assert len(rows) == len(want) > 15_000 and {(r.user_id, r.formula_id, r.blocker_id) for r in rows} == want
+    assert shuffled(spark, got) < 2500
