@@ -85,3 +85,21 @@ def test_guidance_meets_classes_of_users(spark):
     rows = got.collect()
     assert len(rows) == len(want) > 15_000 and {(r.user_id, r.formula_id, r.blocker_id) for r in rows} == want
     assert shuffled(spark, got) < 2500
+
+
+def test_a_long_chapter_is_several_parts(spark, con, monkeypatch, tmp_path):
+    """No row of a payload holds a whole chapter, whatever its length; read again, all formulas and edges are there."""
+    from sigmaloom.sources import files
+
+    monkeypatch.setattr(files, "PART", 3)
+    formulas = spark.createDataFrame([(f"{c}{i}", c, i, "x") for c in ("a", "b") for i in range(10)], "formula_id string, chapter_id string, position long, latex string")
+    edges = [(f"a{i}", f"a{j}", "exact_match", 90) for i in range(10) for j in range(i)]
+    found = files.chapter_payloads(formulas, spark.createDataFrame(edges, "dependent_id string, target_id string, evidence string, conf long"))
+    rows = found.collect()
+    assert max(len(r.formulas) for r in rows) == 3 and len(rows) == 8 and all(r.dependencies == [] for r in rows if r.chapter_id == "b")
+    for c in ("a", "b"):
+        assert [f.formula_id for r in sorted(rows, key=lambda r: r.part) if r.chapter_id == c for f in r.formulas] == [f"{c}{i}" for i in range(10)]
+    files.write_payloads(found, f"{tmp_path}/payloads")
+    f, e = files.read_dependency_payloads(spark.read.parquet(f"{tmp_path}/payloads"))
+    assert f.count() == 20 and sorted(tuple(r) for r in e.select("dependent_id", "target_id", "evidence", "conf").collect()) == sorted(edges)
+    assert_equals_sql(spark, con, "s8_chapter_payloads")
