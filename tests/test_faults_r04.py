@@ -131,3 +131,19 @@ def test_pieces_are_found_in_arrays_or_listed(spark, monkeypatch, most):
     assert got == want and len(want) > 60
     if most > 5:
         assert shuffled(spark, search.field_matches(plan, fields)) < 400
+
+
+def test_audited_entries_do_not_move(spark):
+    """Entries that know their chapter are counted where they are."""
+    from sigmaloom.operators import audit
+    from tests.test_corpus_faults import shuffled
+
+    formulas = spark.createDataFrame([("f", "c")], "formula_id string, chapter_id string")
+    edges = spark.createDataFrame([], "dependent_id string, edge_status string, evidence string")
+    entries = spark.createDataFrame([("f", "c")] * 500, "dependent_id string, chapter_id string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as on large tables
+    try:
+        found = audit.dependency_audit(formulas, edges, entries)
+        assert found.first().ambiguous == 500 and shuffled(spark, found) < 100
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
